@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns
+from driver_queries.silver import FEED_SQL, feed_records
 from seqlake.functions import scoring
 from seqlake.operators import features
-from seqlake.operators.silver import latest_per_key
 from seqlake.operators.feed import explode_record
 
 KEYS = ["conv_id", "turn"]
@@ -114,8 +114,7 @@ def g11_long(spark, folder):
 
 
 def g12(spark, folder):
-    docs = read(spark, folder, "documents")
-    moves = explode_record(docs.select("doc_id", "text"), "doc_id", "text", key_as="game_id")
+    moves = explode_record(feed_records(spark, folder), "game_id", "body")
     return features.build_feed_features(moves)
 
 
@@ -186,27 +185,8 @@ ORACLES = {
         key="conv_id", order="turn", actor="role", first="user", second="assistant"),
     "G11_summary_long_keys": EVENTS_SCORED + SUMMARY_SQL.format(
         key="event_type", order="event_id", actor="actor", first="even", second="odd"),
-    "G12_feed_features": """
-        WITH lines AS (
-          SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-        bodies AS (SELECT doc_id, n, regexp_replace(line, '\\r+$', '') AS line FROM lines),
-        names AS (
-          SELECT doc_id,
-                 coalesce(last(substr(line, 3) ORDER BY n) FILTER (WHERE line LIKE 'N+%'), '') AS black_player,
-                 coalesce(last(substr(line, 3) ORDER BY n) FILTER (WHERE line LIKE 'N-%'), '') AS white_player
-          FROM bodies GROUP BY doc_id),
-        moves AS (
-          SELECT doc_id, substr(line, 2) AS move_usi,
-                 row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS move_number
-          FROM bodies WHERE substr(line, 1, 1) IN ('+', '-') AND length(line) > 1)
-        SELECT CAST(doc_id AS VARCHAR) AS game_id, CAST(move_number AS INTEGER) AS move_number,
-               'lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1' AS sfen, move_usi,
-               CASE WHEN move_number % 2 = 0 THEN 'black' ELSE 'white' END AS player,
-               black_player, white_player,
-               '局面: lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1 指し手: '
-                 || move_usi AS search_text
-        FROM moves JOIN names USING (doc_id)""",
+    "G12_feed_features": "WITH" + FEED_SQL + """
+        SELECT *, '局面: ' || sfen || ' 指し手: ' || move_usi AS search_text FROM feed""",
     "G13_knowledge_features": """
         SELECT doc_id AS strategy, text AS content, source, text AS search_text FROM documents""",
 }

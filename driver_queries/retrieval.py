@@ -1,2 +1,219 @@
-QUERIES = {}
-ORACLES = {}
+"""V1–V10: retrieval over text collections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driver_queries.common import read
+from seqlake.operators import retrieval
+from seqlake.operators.embedding import embed
+from seqlake.operators.nearest import top_k, top_k_approx
+from seqlake.operators.retrieval import Route
+
+WORD_ROUTES = (
+    Route("all", 3),
+    Route("english", 2, ("the ", "with ")),
+    Route("french", 2, ("le ", "eau")),
+    Route("absent", 2, ("and ",)),
+)
+
+
+def v1(spark, folder):
+    """By language: no text under three names, or the text with blanks around it."""
+    lang = F.col("lang")
+    text = (
+        F.when(lang == "de", F.lit(" None\n"))
+        .when(lang == "es", F.when(F.col("n_chars") > 300, "NaN").otherwise("  "))
+        .otherwise(F.concat(F.lit("\t "), "text", F.lit(" \n")))
+    )
+    return retrieval.clean_text(read(spark, folder, "documents").select("doc_id", text.alias("text")), "text")
+
+
+def v2(spark, folder):
+    embedded = embed(read(spark, folder, "documents"), "text")
+    return embedded.select("doc_id", "embedding")
+
+
+def _no_vectors(df, text):
+    return df.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+
+def v3(spark, folder):
+    rows = read(spark, folder, "conversations")
+    collection = retrieval.build_collection(
+        rows, "positions", retrieval.position_id("conv_id", "turn"), "text",
+        ["conv_id", "turn", "role"], _no_vectors,
+    )
+    entries = F.concat_ws(",", F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return collection.select("collection", "id", "document", entries.alias("metadata"))
+
+
+def _vectors(spark, folder):
+    return read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _vector_queries(spark, folder):
+    return read(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+def v4(spark, folder):
+    return top_k(_vectors(spark, folder), _vector_queries(spark, folder))
+
+
+def v4_tiles(spark, folder):
+    """The way beyond the size bound of the queries: both sides in tiles."""
+    return top_k(_vectors(spark, folder), _vector_queries(spark, folder), query_bytes=0, tile_rows=300)
+
+
+def v5(spark, folder):
+    return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bucket_rows=150, tile_rows=100)
+
+
+def _questions(spark, folder):
+    """Each benchmark text asks with the vector of the same number."""
+    vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    return read(spark, folder, "benchmark").join(vectors, "item_id").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question"), "embedding",
+        F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"),
+    )
+
+
+def _collections(spark, folder):
+    """One collection per label; label 3 is missing."""
+    number = F.col("vec_id").cast("string")
+    return read(spark, folder, "embeddings").filter(F.col("label") != 3).select(
+        F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"),
+        F.col("vec_id").alias("id"),
+        F.concat(F.lit("vector "), number).alias("document"),
+        F.create_map(F.lit("id"), number, F.lit("label"), F.col("label").cast("string")).alias("metadata"),
+        "embedding",
+    )
+
+
+def v6(spark, folder):
+    questions = _questions(spark, folder)
+    hits = retrieval.search(_collections(spark, folder), questions, k=3)
+    prompts = retrieval.build_prompts(questions, hits)
+    return prompts.select("query_id", "prompt", "answer", F.array_join("documents", "|").alias("documents"))
+
+
+def v8(spark, folder):
+    hits = retrieval.search(_collections(spark, folder), _questions(spark, folder))
+    return hits.select("query_id", "collection", "rank", "text", F.col("metadata")["label"].alias("label"), "distance")
+
+
+def v9(spark, folder):
+    questions = read(spark, folder, "documents").select("doc_id", "text")
+    return retrieval.route(questions, "text", WORD_ROUTES).select("doc_id", "collection", "hits")
+
+
+def v9_search(spark, folder):
+    """Routed questions, each collection searched for its own number of hits."""
+    every = _collections(spark, folder)
+    english = every.filter(F.col("collection") < "label5").withColumn("collection", F.lit("english"))
+    french = every.filter(F.col("collection") >= "label5").withColumn("collection", F.lit("french"))
+    collections = every.withColumn("collection", F.lit("all")).unionByName(english).unionByName(french)
+    questions = _questions(spark, folder).drop("collection")
+    routed = retrieval.route(questions, "question", WORD_ROUTES)
+    hits = retrieval.search(collections, routed, k=3)
+    return hits.select("query_id", "collection", "rank", "text", "distance")
+
+
+def v10(spark, folder):
+    return retrieval.chunk(read(spark, folder, "documents"), "doc_id", "text")
+
+
+# Cosines are taken in double precision on both sides, then rounded.
+PAIRS_SQL = """
+vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (
+  SELECT {query} AS query_id, {columns} c.vec_id AS id,
+         round(1 - list_cosine_similarity({vector}, c.e), 6) + 0.0 AS distance
+  FROM {queries} JOIN vectors c ON {on}),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {partition} ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)
+"""
+TOP_K_SQL = "WITH" + PAIRS_SQL.format(
+    query="q.vec_id", columns="", vector="q.e", queries="vectors q", on="true", partition="query_id"
+) + "SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 5"
+QUESTIONS_SQL = """
+questions AS (
+  SELECT b.item_id, b.text, CAST(e.embedding AS DOUBLE[]) AS e, e.label
+  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+"""
+HITS_SQL = "WITH" + QUESTIONS_SQL + PAIRS_SQL.format(
+    query="q.item_id", columns="q.label, ", vector="q.e", queries="questions q",
+    on="q.label = c.label AND c.label != 3", partition="query_id",
+)
+
+QUERIES = {
+    "V1_clean_text": v1,
+    "V2_embed": v2,
+    "V3_build_collection": v3,
+    "V4_top_k": v4,
+    "V4_top_k_tiles": v4_tiles,
+    "V5_top_k_approx": v5,
+    "V6_V7_prompts": v6,
+    "V8_search": v8,
+    "V9_route": v9,
+    "V9_routed_search": v9_search,
+    "V10_chunk": v10,
+}
+
+ORACLES = {
+    "V1_clean_text": """
+        SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents
+        WHERE lang NOT IN ('de', 'es')""",
+    "V3_build_collection": """
+        SELECT 'positions' AS collection, format('{}__move{:04d}', CAST(conv_id AS VARCHAR), turn) AS id,
+               regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS document,
+               'conv_id=' || conv_id || ',turn=' || turn || ',role=' || role AS metadata
+        FROM conversations
+        WHERE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none')""",
+    "V4_top_k": TOP_K_SQL,
+    "V4_top_k_tiles": TOP_K_SQL,
+    "V6_V7_prompts": HITS_SQL + """,
+        blocks AS (
+          SELECT query_id,
+                 string_agg('ドキュメント ' || rank || ':' || chr(10) || 'vector ' || id || chr(10)
+                   || 'メタデータ: {''id'': ''' || id || ''', ''label'': ''' || label || '''}',
+                   chr(10) || chr(10) ORDER BY rank) AS body,
+                 string_agg('vector ' || id, '|' ORDER BY rank) AS documents
+          FROM ranked WHERE rank <= 3 GROUP BY query_id)
+        SELECT q.item_id AS query_id,
+               '以下の将棋の棋譜情報を参考に、質問に答えてください。' || chr(10) || '質問: ' || q.text || chr(10)
+                 || '参考情報:' || chr(10) || b.body || chr(10) || '回答:' AS prompt,
+               CASE WHEN b.query_id IS NULL THEN '関連する情報が見つかりませんでした。' END AS answer,
+               coalesce(b.documents, '') AS documents
+        FROM questions q LEFT JOIN blocks b ON q.item_id = b.query_id""",
+    "V8_search": HITS_SQL + """
+        SELECT query_id, 'label' || label AS collection, rank, 'vector ' || id AS text,
+               CAST(label AS VARCHAR) AS label, distance
+        FROM ranked WHERE rank <= 5""",
+    "V9_route": """
+        SELECT doc_id, 'all' AS collection, 3 AS hits FROM documents
+        UNION ALL SELECT doc_id, 'english', 2 FROM documents WHERE regexp_matches(text, 'the |with ')
+        UNION ALL SELECT doc_id, 'french', 2 FROM documents WHERE regexp_matches(text, 'le |eau')
+        UNION ALL SELECT doc_id, 'absent', 2 FROM documents WHERE regexp_matches(text, 'and ')""",
+    "V9_routed_search": "WITH" + QUESTIONS_SQL + """
+        routed AS (
+          SELECT *, 'all' AS collection, 3 AS hits FROM questions
+          UNION ALL SELECT *, 'english', 2 FROM questions WHERE regexp_matches(text, 'the |with ')
+          UNION ALL SELECT *, 'french', 2 FROM questions WHERE regexp_matches(text, 'le |eau')),
+        """ + PAIRS_SQL.format(
+            query="q.item_id", columns="q.collection, q.hits, ", vector="q.e", queries="routed q",
+            on="c.label != 3 AND (q.collection = 'all' OR (q.collection = 'english') = (c.label < 5))",
+            partition="query_id, collection",
+        ) + "SELECT query_id, collection, rank, 'vector ' || id AS text, distance FROM ranked WHERE rank <= hits",
+    "V10_chunk": """
+        WITH lines AS (
+          SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\r+$', '')) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        body AS (SELECT * FROM lines WHERE line != '' AND (length(line) > 30 OR regexp_matches(line, '[。．！？.!?]'))),
+        pieces AS (
+          SELECT doc_id, n, p, substr(line, CAST(p * 500 + 1 AS BIGINT), 500) AS content
+          FROM (SELECT *, unnest(range(0, (length(line) - 1) // 500 + 1)) AS p FROM body)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, p) - 1 AS i FROM pieces)
+        SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, format('{}__chunk{:04d}', CAST(doc_id AS VARCHAR), i) AS id, content
+        FROM numbered""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions import scoring
-from seqlake.operators.ordered import bucket_of, row_rank, with_previous
+from seqlake.operators.ordered import BUCKET, bucket_of, row_rank, with_previous
 from seqlake.spec import SequenceSpec
 
 SPEC = SequenceSpec()
@@ -18,24 +18,29 @@ def with_turn_score(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:
     return df.withColumn("score_from_turn", scoring.turn_score(spec))
 
 
-def with_delta(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:
+def with_delta(
+    df: DataFrame, spec: SequenceSpec = SPEC, keep_bucket: bool = False
+) -> DataFrame:
     """Change of ``score_from_turn`` from the preceding row of the key, null on the first."""
     return (
-        with_previous(df, spec, {"_previous_score": "score_from_turn"})
+        with_previous(df, spec, {"_previous_score": "score_from_turn"}, keep_bucket)
         .withColumn("score_delta", F.col("score_from_turn") - F.col("_previous_score"))
         .drop("_previous_score")
     )
 
 
 def with_scores(
-    df: DataFrame, spec: SequenceSpec = SPEC, threshold: int = scoring.JUMP_THRESHOLD
+    df: DataFrame,
+    spec: SequenceSpec = SPEC,
+    threshold: int = scoring.JUMP_THRESHOLD,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Turn score, its change and the jump flag: what both Gold tables need.
 
     Row 0 carries the first actor's name while its score is the one before any move, so the first
     change of a key mixes both sides; that is how the tables define it.
     """
-    scored = with_delta(with_turn_score(df, spec), spec)
+    scored = with_delta(with_turn_score(df, spec), spec, keep_bucket)
     return scored.withColumn("is_blunder", scoring.is_jump("score_delta", threshold))
 
 
@@ -122,11 +127,11 @@ def _without_overlong(
     """Null the JSON of keys that have more than ``cell_rows`` rows, before it is shuffled."""
     overlong = df.groupBy(spec.key).count().filter(F.col("count") > cell_rows)
     # Each of these keys has over cell_rows rows, so there are few at any size of the table.
-    overlong = F.broadcast(overlong.select(spec.key, F.lit(True).alias("_overlong")))
+    overlong = F.broadcast(overlong.select(F.col(spec.key).alias("_key"), "count"))
     return (
-        parts.join(overlong, spec.key, "left")
-        .withColumn("series_json", F.when(F.col("_overlong").isNull(), F.col("series_json")))
-        .drop("_overlong")
+        parts.join(overlong, F.col(spec.key).eqNullSafe(F.col("_key")), "left")
+        .withColumn("series_json", F.when(F.col("count").isNull(), F.col("series_json")))
+        .drop("_key", "count")
     )
 
 
@@ -165,13 +170,14 @@ def summarise(
 ) -> DataFrame:
     """``game_summary`` from rows that already carry ``is_blunder``.
 
-    The rows come hashed by (key, bucket) from the window before, so the first grouping needs no
-    shuffle, and the second one moves one row per bucket.
+    Rows that keep their bucket are still hashed by (key, bucket): then the first grouping needs
+    no shuffle, and the second one moves one row per bucket.
     """
     first, second = f"{spec.first_actor}_blunders", f"{spec.second_actor}_blunders"
     final = f"final_{spec.score}"
+    bucket = F.col(BUCKET) if BUCKET in scored.columns else bucket_of(spec)
     per_bucket = scored.groupBy(
-        spec.key, *([] if spec.one_bucket else [bucket_of(spec).alias("part")])
+        spec.key, *([] if spec.one_bucket else [bucket.alias("part")])
     ).agg(
         F.min_by(spec.first_name, row_rank(spec)).alias(spec.first_name),
         F.min_by(spec.second_name, row_rank(spec)).alias(spec.second_name),
@@ -209,7 +215,8 @@ def build_summary(
     cell_rows: int = SERIES_CELL_ROWS,
 ) -> DataFrame:
     """``game_summary``: names, length, last score, jumps per actor and the score series."""
-    return summarise(with_scores(df, spec, threshold), spec, keep_nulls, cell_rows)
+    scored = with_scores(df, spec, threshold, keep_bucket=True)
+    return summarise(scored, spec, keep_nulls, cell_rows)
 
 
 def build_feed_features(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:

@@ -19,7 +19,7 @@ def _last_name(lines: Column, mark: str) -> Column:
     return F.coalesce(F.substring(F.try_element_at(found, F.lit(-1)), 3, 2**31 - 1), F.lit(""))
 
 
-def explode_record(df: DataFrame, key: str, body: str, key_as: str | None = None) -> DataFrame:
+def explode_record(df: DataFrame, key: str, body: str) -> DataFrame:
     """One row per move of each record; a record without moves gives none.
 
     A move is a line that starts with ``+`` or ``-`` and has more text. The actor alternates and
@@ -31,15 +31,15 @@ def explode_record(df: DataFrame, key: str, body: str, key_as: str | None = None
         lines, lambda line: (line.startswith("+") | line.startswith("-")) & (F.length(line) > 1)
     )
     return (
-        df.select(F.col(key).cast("string").alias(key_as or key), _lines(body).alias("_lines"))
+        df.select(F.col(key).cast("string").alias(key), _lines(body).alias("_lines"))
         .select(
-            key_as or key,
+            key,
             _last_name(lines, "N+").alias("black_player"),
             _last_name(lines, "N-").alias("white_player"),
             F.posexplode(moves).alias("move_number", "_line"),
         )
         .select(
-            key_as or key,
+            key,
             "move_number",
             F.lit(INITIAL_SFEN).alias("sfen"),
             F.substring("_line", 2, 2**31 - 1).alias("move_usi"),

@@ -37,12 +37,18 @@ def _in_bucket(spec: SequenceSpec):
     return Window.partitionBy(spec.key, BUCKET).orderBy(F.col(HALO).desc(), spec.order)
 
 
-def _drop_halos(rows: DataFrame) -> DataFrame:
-    return rows.filter(~F.col(HALO)).drop(HALO, BUCKET)
+def _drop_halos(rows: DataFrame, keep_bucket: bool = False) -> DataFrame:
+    rows = rows.filter(~F.col(HALO)).drop(HALO)
+    return rows if keep_bucket else rows.drop(BUCKET)
 
 
-def with_previous(df: DataFrame, spec: SequenceSpec, previous: Mapping[str, str]) -> DataFrame:
-    """Add columns ``{new: old}`` holding ``old`` of the preceding row of the key, else null."""
+def with_previous(
+    df: DataFrame, spec: SequenceSpec, previous: Mapping[str, str], keep_bucket: bool = False
+) -> DataFrame:
+    """Add columns ``{new: old}`` holding ``old`` of the preceding row of the key, else null.
+
+    ``keep_bucket`` leaves the bucket column, by which the result is already hashed.
+    """
     if spec.one_bucket:
         window = Window.partitionBy(spec.key).orderBy(spec.order)
         return df.withColumns({new: F.lag(old).over(window) for new, old in previous.items()})
@@ -57,7 +63,7 @@ def with_previous(df: DataFrame, spec: SequenceSpec, previous: Mapping[str, str]
     rows = with_halos(cut, halos).withColumns(
         {new: F.lag(old).over(_in_bucket(spec)) for new, old in previous.items()}
     )
-    return _drop_halos(rows)
+    return _drop_halos(rows, keep_bucket)
 
 
 def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> DataFrame:
