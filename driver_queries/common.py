@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.session import spread
 from seqlake.spec import SequenceSpec
 
 
@@ -12,6 +13,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """For work that is heavy per row: the given tables have one row group each."""
+    return spread(read(spark, folder, name))
+
+
 # Conversations: a turn is a step, its role the actor, the length of its text the score.
 TURNS = SequenceSpec(
     key="conv_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.common import read
+from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
 from seqlake.operators.embedding import embed
 from seqlake.operators.nearest import top_k, top_k_approx
@@ -26,11 +26,11 @@ def v1(spark, folder):
         .when(lang == "es", F.when(F.col("n_chars") > 300, "NaN").otherwise("  "))
         .otherwise(F.concat(F.lit("\t "), "text", F.lit(" \n")))
     )
-    return retrieval.clean_text(read(spark, folder, "documents").select("doc_id", text.alias("text")), "text")
+    return retrieval.clean_text(read_spread(spark, folder, "documents").select("doc_id", text.alias("text")), "text")
 
 
 def v2(spark, folder):
-    embedded = embed(read(spark, folder, "documents"), "text")
+    embedded = embed(read_spread(spark, folder, "documents"), "text")
     return embedded.select("doc_id", "embedding")
 
 
@@ -103,7 +103,7 @@ def v8(spark, folder):
 
 
 def v9(spark, folder):
-    questions = read(spark, folder, "documents").select("doc_id", "text")
+    questions = read_spread(spark, folder, "documents").select("doc_id", "text")
     return retrieval.route(questions, "text", WORD_ROUTES).select("doc_id", "collection", "hits")
 
 
@@ -120,7 +120,7 @@ def v9_search(spark, folder):
 
 
 def v10(spark, folder):
-    return retrieval.chunk(read(spark, folder, "documents"), "doc_id", "text")
+    return retrieval.chunk(read_spread(spark, folder, "documents"), "doc_id", "text")
 
 
 # Cosines are taken in double precision on both sides, then rounded.

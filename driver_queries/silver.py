@@ -6,12 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from driver_queries.common import TURNS, TURNS_SQL, read, turns
+from driver_queries.common import TURNS, TURNS_SQL, read, read_spread, turns
 from seqlake.functions.moves import usi_to_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import explode_record
-from seqlake.operators.kif import parse_kif
-from seqlake.operators.replay import RunningTotal, fold_per_key, replay_positions
+from seqlake.operators.replay import RunningTotal, fold_per_key, replay_records
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 
 LIMIT = 1_500
@@ -23,7 +22,7 @@ def feed_records(spark, folder):
     body = F.concat(
         F.lit("' record\nN+"), "source", F.lit("\r\nN-"), "lang", F.lit("\n-"), lines, F.lit("\nN+last\n%TORYO\n+")
     )
-    return read(spark, folder, "documents").select(
+    return read_spread(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("game_id"), body.alias("body"), "source"
     )
 
@@ -72,7 +71,7 @@ def kif_records(spark, folder):
         F.array_join(F.transform("_words", line), "\r\n"),
         F.lit("\n  999 投了\nまで\n   1 ７六歩(77)\n"),
     )
-    return read(spark, folder, "conversations").withColumn("_words", words).select(
+    return read_spread(spark, folder, "conversations").withColumn("_words", words).select(
         F.concat_ws("-", conv, F.col("turn").cast("string")).alias("game_id"), body.alias("body")
     )
 
@@ -116,7 +115,7 @@ boards AS (
 
 
 def replayed(spark, folder):
-    return replay_positions(parse_kif(kif_records(spark, folder), "game_id", "body"))
+    return replay_records(kif_records(spark, folder), "game_id", "body")
 
 
 def t1(spark, folder):

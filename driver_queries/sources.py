@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driver_queries.common import read
+from driver_queries.common import read, read_spread
 from driver_queries.silver import KIF_SQL, feed_records, kif_records
 from seqlake.operators.kif import parse_kif
 from seqlake.plans import flows
@@ -68,7 +68,7 @@ def s3(spark, folder):
     head = F.concat_ws(",", F.col("l_orderkey").cast("string"), part, flag)
     quantity = F.col("l_quantity").cast("int").cast("string")
     tail = F.when(number == 5, "").otherwise(F.concat(F.lit(","), number.cast("string"), F.lit(","), quantity))
-    lines = read(spark, folder, "lineitem").select(F.concat(head, tail).alias("line"))
+    lines = read_spread(spark, folder, "lineitem").select(F.concat(head, tail).alias("line"))
     return lines.select(parse_csv_lines("line", LINE_SCHEMA).alias("row")).select("row.*")
 
 
@@ -81,7 +81,7 @@ def s4(spark, folder):
 
 
 def s5(spark, folder):
-    return listing_links(read(spark, folder, "pages"), "url", "html", 'href="([^"]+)"')
+    return listing_links(read_spread(spark, folder, "pages"), "url", "html", 'href="([^"]+)"')
 
 
 def s6(spark, folder):
@@ -91,7 +91,7 @@ def s6(spark, folder):
     pages = F.create_map(F.lit("0"), empty, F.concat(F.lit("p"), F.col("doc_id").cast("string")), page)
     answer = F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))
     broken = F.when(F.col("lang") == "de", F.lit('{"query": {}}')).otherwise(answer)
-    return read(spark, folder, "documents").select("doc_id", first_extract(broken).alias("extract"))
+    return read_spread(spark, folder, "documents").select("doc_id", first_extract(broken).alias("extract"))
 
 
 def s6_props(spark, folder):
@@ -100,7 +100,7 @@ def s6_props(spark, folder):
         F.lit('{"query":{"pages":{"1":{"extract":""},"2":{"extract":"'),
         F.regexp_replace("props", '"', "'"), F.lit('"}}}}'),
     )
-    return read(spark, folder, "events").select("event_id", first_extract(answer).alias("extract"))
+    return read_spread(spark, folder, "events").select("event_id", first_extract(answer).alias("extract"))
 
 
 def s7(spark, folder):
@@ -128,7 +128,7 @@ def s8(spark, folder):
     content = F.coalesce(
         _cp932(F.when(F.col("lang") == "en", kana)), F.col("text").cast("binary")
     )
-    return read(spark, folder, "documents").select("doc_id", decode_text(content).alias("text"))
+    return read_spread(spark, folder, "documents").select("doc_id", decode_text(content).alias("text"))
 
 
 def s9(spark, folder):

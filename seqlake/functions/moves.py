@@ -15,9 +15,9 @@ PIECE_NAMES = {
 USI_MOVE = r"^(?:[PLNSGBR]\*[1-9][a-i]|[1-9][a-i][1-9][a-i]\+?)$"
 
 
-def _cells(state: Column) -> Column:
-    """81 letters, rank by rank: a promoted piece becomes one capital letter, an empty square a dot."""
-    cells = F.lower(F.regexp_replace(F.substring_index(state, " ", 1), "/", ""))
+def _cells(rank: Column) -> Column:
+    """Nine letters: a promoted piece becomes one capital letter, an empty square a dot."""
+    cells = F.lower(rank)
     for piece in "plnsbr":
         cells = F.replace(cells, F.lit(f"+{piece}"), F.lit(piece.upper()))
     for empty in range(1, 10):
@@ -25,11 +25,6 @@ def _cells(state: Column) -> Column:
     return cells
 
 
-def _place(file: Column, rank: Column) -> Column:
-    """1-based place of a square in the cells: from file 9 to file 1, from rank a to rank i."""
-    return (F.instr(F.lit(RANK_LETTERS), rank) - 1) * 9 + 10 - file.try_cast("int")
-
-
 def usi_to_japanese(move: Column | str, state: Column | str) -> Column:
     """Struct of ``text`` and ``error`` for a move and the state before it.
 
@@ -45,8 +40,17 @@ def usi_to_japanese(move: Column | str, state: Column | str) -> Column:
         for code in letters
         for x in (code[1:].upper() if code[0] == "+" else code, PIECE_NAMES[code])
     ])
-    place = F.when(~drop, _place(F.substring(move, 1, 1), F.substring(move, 2, 1)))
-    code = F.when(drop, F.lower(F.substring(move, 1, 1))).otherwise(F.substr(_cells(state), place, F.lit(1)))
+    # Ranks run from a to i, and inside a rank files run from 9 to 1.
+    ranks = F.split(F.substring_index(state, " ", 1), "/")
+    rank_before = F.get(ranks, F.instr(F.lit(RANK_LETTERS), F.substring(move, 2, 1)) - 1)
+    place = 10 - F.substring(move, 1, 1).try_cast("int")
+    code = F.when(drop, F.lower(F.substring(move, 1, 1))).otherwise(
+        F.substr(_cells(rank_before), place, F.lit(1))
+    )
     suffix = F.when(drop, "打").when(move.endswith("+"), "成").otherwise("")
     text = F.when(move.rlike(USI_MOVE), F.concat(file, rank, F.try_element_at(names, code), suffix))
-    return F.struct(text.alias("text"), F.when(text.isNull(), move).alias("error"))
+    # By way of an array, so that the text is worked out once.
+    shown = F.transform(
+        F.array(text), lambda t: F.struct(t.alias("text"), F.when(t.isNull(), move).alias("error"))
+    )
+    return shown[0]

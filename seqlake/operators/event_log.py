@@ -44,7 +44,9 @@ def expectation_results(log: DataFrame, update_id: str | None = None) -> DataFra
         target = F.broadcast(_newest_completed(log))
         flows = flows.join(target, F.col("origin.update_id") == target["update_id"], "left_semi")
     entries = F.from_json(F.get_json_object("details", f"{quality}.expectations"), EXPECTATIONS_TYPE)
-    reports = flows.select("timestamp", F.inline(entries)).select(
+    # The outer form reads the JSON once; a plain inline would read it for a filter as well.
+    entries = flows.select("timestamp", F.inline_outer(entries)).filter(F.col("name").isNotNull())
+    reports = entries.select(
         F.substring_index("dataset", ".", -1).alias("dataset"),
         "name",
         "passed_records",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.functions.arrays import explode_with_place
 from seqlake.operators.silver import latest_per_key
 from seqlake.spec import INITIAL_SFEN
 
@@ -30,15 +31,21 @@ def explode_record(df: DataFrame, key: str, body: str) -> DataFrame:
     moves = F.filter(
         lines, lambda line: (line.startswith("+") | line.startswith("-")) & (F.length(line) > 1)
     )
-    return (
+    records = (
         df.select(F.col(key).cast("string").alias(key), _lines(body).alias("_lines"))
         .select(
             key,
             _last_name(lines, "N+").alias("black_player"),
             _last_name(lines, "N-").alias("white_player"),
-            F.posexplode(moves).alias("move_number", "_line"),
+            moves.alias("_moves"),
         )
-        .select(
+    )
+    # Apart from the names, which would else be worked out again for every move.
+    per_move = explode_with_place(
+        records, [key, "black_player", "white_player"], F.col("_moves"), "move_number", "_line"
+    )
+    return (
+        per_move.select(
             key,
             "move_number",
             F.lit(INITIAL_SFEN).alias("sfen"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.functions.arrays import explode_with_place
+
 # Fixed values of the notation.
 RULER = "手数--"
 FIRST_NAMES = ("先手：", "下手：")
@@ -15,11 +17,14 @@ RANK_LETTERS = "abcdefghi"
 DROP_PIECES = "歩香桂銀金角飛"
 DROP_LETTERS = "PLNSGBR"
 MOVE = (
-    r"^\s*\d+\s+(?:([１２３４５６７８９])([一二三四五六七八九])|同[\s　]*)"
-    r"(?:成香|成桂|成銀|[歩香桂銀金角飛玉王と杏圭全馬龍竜])"
-    r"(?:打|(成|不成)?\(([1-9])([1-9])\))"
+    r"^\s*\d+\s+(?:([１２３４５６７８９][一二三四五六七八九])|同[\s　]*)"
+    r"(成香|成桂|成銀|[歩香桂銀金角飛玉王と杏圭全馬龍竜])"
+    r"(?:(打)|(成|不成)?\(([1-9][1-9])\)).*$"
 )
-DROP = r"([歩香桂銀金角飛])打"
+SHORTEST_MOVE_LINE = 6
+# What a move line becomes: a mark, then target, piece, 打 or 成, and origin.
+MARK = "\u0001"
+PARTS = MARK + "$1,$2,$3$4,$5"
 
 
 def _name(lines: Column, marks: tuple[str, ...]) -> Column:
@@ -28,19 +33,25 @@ def _name(lines: Column, marks: tuple[str, ...]) -> Column:
     return F.regexp_replace(value, r"[\s　]+$", "")
 
 
-def _move_lines(lines: Column) -> Column:
-    """The lines below the ruler up to the first one that is no move."""
+def _moves(lines: Column) -> Column:
+    """The lines below the ruler up to the first one that is no move, in parts."""
     below = F.slice(
         lines,
         F.array_position(F.transform(lines, lambda line: line.startswith(RULER)), F.lit(True)).cast("int") + 1,
         F.size(lines) + 1,
     )
-    end = F.array_position(F.transform(below, lambda line: line.rlike(MOVE)), F.lit(False)).cast("int")
-    return F.when(end > 0, F.slice(below, 1, F.greatest(end - 1, F.lit(0)))).otherwise(below)
+    return F.transform(below, lambda line: F.regexp_replace(line, MOVE, PARTS))
+
 
+def _until_other(moves: Column) -> Column:
+    end = F.array_position(F.transform(moves, lambda m: m.startswith(MARK)), F.lit(False)).cast("int")
+    return F.when(end > 0, F.slice(moves, 1, F.greatest(end - 1, F.lit(0)))).otherwise(moves)
 
-def _square(file: Column, rank: Column) -> Column:
-    return F.concat(file, F.translate(rank, "123456789", RANK_LETTERS))
+
+def most_moves(records: DataFrame, body: str) -> int:
+    """An upper bound of the moves of one record, from the length of the texts alone."""
+    longest = records.agg(F.max(F.length(body))).first()[0]
+    return (longest or 0) // SHORTEST_MOVE_LINE
 
 
 def parse_kif(records: DataFrame, key: str, body: str) -> DataFrame:
@@ -49,39 +60,37 @@ def parse_kif(records: DataFrame, key: str, body: str) -> DataFrame:
     ``key`` must be unique (``latest_per_key``). A missing name is null. Comments are skipped, and
     the first other line that is no move ends the record.
     """
-    lines = F.filter(
-        F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n"),
-        lambda line: (F.trim(line) != "") & ~line.startswith("*"),
-    )
-    line = F.col("_line")
-    file = F.translate(F.regexp_extract(line, MOVE, 1), WIDE_DIGITS, "123456789")
-    rank = F.translate(F.regexp_extract(line, MOVE, 2), RANK_NUMERALS, "123456789")
-    origin = F.regexp_extract(line, MOVE, 4), F.regexp_extract(line, MOVE, 5)
-    dropped = F.translate(F.regexp_extract(line, DROP, 1), DROP_PIECES, DROP_LETTERS)
+    unix = F.replace(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.filter(F.split(unix, "\n"), lambda line: (F.trim(line) != "") & ~line.startswith("*"))
+    parts = F.col("_parts")
+    target = F.translate(F.substring(parts[0], 2, 2), WIDE_DIGITS + RANK_NUMERALS, "123456789" + RANK_LETTERS)
     # The moves of a record come out of one cell, so the window holds what one task held before.
     so_far = Window.partitionBy(key).orderBy("move_number")
-    target = F.last(F.when(file != "", _square(file, rank)), ignorenulls=True).over(so_far)
-    usi = F.when(dropped != "", F.concat(dropped, F.lit("*"), "_target")).otherwise(
-        F.concat(
-            _square(*origin),
-            "_target",
-            F.when(F.regexp_extract(line, MOVE, 3) == "成", "+").otherwise(""),
-        )
+    origin = F.concat(
+        F.substring(parts[3], 1, 1), F.translate(F.substring(parts[3], 2, 1), "123456789", RANK_LETTERS)
     )
-    return (
+    usi = (
+        F.when(F.col("move_number") == 0, "")
+        .when(parts[2] == "打", F.concat(F.translate(parts[1], DROP_PIECES, DROP_LETTERS), F.lit("*"), "_target"))
+        .otherwise(F.concat(origin, "_target", F.when(parts[2] == "成", "+").otherwise("")))
+    )
+    parsed = (
         records.select(key, lines.alias("_lines"))
         .select(
             key,
             _name(F.col("_lines"), FIRST_NAMES).alias("black_player"),
             _name(F.col("_lines"), SECOND_NAMES).alias("white_player"),
-            F.posexplode(F.concat(F.array(F.lit("")), _move_lines(F.col("_lines")))).alias("move_number", "_line"),
-        )
-        .withColumn("_target", target)
-        .select(
-            key,
-            "move_number",
-            F.when(F.col("move_number") == 0, "").otherwise(usi).alias("move_usi"),
-            "black_player",
-            "white_player",
+            _moves(F.col("_lines")).alias("_moves"),
         )
+        .withColumn("_moves", F.concat(F.array(F.lit("")), _until_other(F.col("_moves"))))
+    )
+    # Apart from the names, which would else be worked out again for every move.
+    per_move = explode_with_place(
+        parsed, [key, "black_player", "white_player"], F.col("_moves"), "move_number", "_move"
+    )
+    return (
+        per_move.withColumn("_parts", F.split("_move", ","))
+        .withColumn("_target", F.when(F.col("move_number") > 0, target))
+        .withColumn("_target", F.last(F.nullif("_target", F.lit("")), ignorenulls=True).over(so_far))
+        .select(key, "move_number", usi.alias("move_usi"), "black_player", "white_player")
     )

@@ -162,7 +162,7 @@ def _tile(id: str, tiles: Column | int) -> Column:
 
 
 def _every(tiles: Column | int) -> Column:
-    return F.explode(F.sequence(F.lit(0), (F.lit(tiles) - 1).cast("int")))
+    return F.explode_outer(F.sequence(F.lit(0), (F.lit(tiles) - 1).cast("int")))
 
 
 def _grid(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, grouped: bool, tile_rows: int) -> DataFrame:
@@ -255,7 +255,7 @@ def top_k_approx(
 
     def bucketed(df: DataFrame, probe: bool) -> DataFrame:
         buckets = _buckets(size["dim"], tables, bits, seed, probe)
-        return df.withColumn("_bucket", F.explode(buckets("embedding")))
+        return df.withColumn("_bucket", F.explode_outer(buckets("embedding")))
 
     rows, probes = bucketed(left, False), bucketed(right, True)
     down, across = _split_hot(rows, tile_rows), _split_hot(probes, tile_rows)
@@ -267,7 +267,7 @@ def top_k_approx(
             .withColumn(own_as, F.pmod(F.xxhash64(id), tiles).cast("int"))
             .drop("_tiles")
             .join(other, "_bucket", "left")
-            .withColumn(other_as, F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .withColumn(other_as, F.explode_outer(F.sequence(F.lit(0), tiles - 1)))
             .drop("_tiles")
         )
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.operators.kif import most_moves, parse_kif
 from seqlake.operators.ordered import BUCKET, HALO, bucket_of, with_halos
 from seqlake.spec import INITIAL_SFEN, SequenceSpec
 
@@ -361,6 +362,12 @@ class BoardFold:
         return board.text(last)
 
 
+def replay_records(records: DataFrame, key: str, body: str) -> DataFrame:
+    """Positions of each game record in KIF notation; ``key`` must be unique."""
+    spec = replace(SequenceSpec(key=key), max_order=most_moves(records, body))
+    return replay_positions(parse_kif(records, key, body), spec)
+
+
 def replay_positions(moves: DataFrame, spec: SequenceSpec | None = None) -> DataFrame:
     """Positions of each game: ``sfen`` after and ``prev_sfen`` before each move, and the player.
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.functions.arrays import explode_with_place
 from seqlake.functions.text import CHUNK_CHARS, NO_TEXT, chunks, metadata_map, metadata_text, strip
 from seqlake.operators.embedding import embed
 from seqlake.operators.nearest import TOP_K, top_k
@@ -147,11 +148,13 @@ def route(queries: DataFrame, text: str, routes: Sequence[Route] = ROUTES) -> Da
         )
         for r in routes
     ]
-    return queries.select("*", F.inline(F.filter(F.array(*called), lambda r: r.isNotNull())))
+    routed = queries.select("*", F.inline_outer(F.array(*called)))
+    return routed.filter(F.col("collection").isNotNull())
 
 
 def chunk(df: DataFrame, key: str, text: str, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """``key, chunk_index, id, content``: the paragraphs of each article."""
-    return df.select(key, F.posexplode(chunks(F.col(text), max_chars)).alias("chunk_index", "content")).select(
+    pieces = explode_with_place(df, [key], chunks(F.col(text), max_chars), "chunk_index", "content")
+    return pieces.select(
         key, "chunk_index", chunk_id(key, "chunk_index").alias("id"), "content"
     )

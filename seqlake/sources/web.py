@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlake.functions.arrays import explode_with_place
+
 # How many days back, how many records per listing page.
 DAYS_BACK = 3
 RECORDS_PER_PAGE = 10
@@ -17,7 +19,7 @@ def day_urls(df: DataFrame, base: str, end: str, days: Column | int = DAYS_BACK)
     count = F.lit(days) if isinstance(days, int) else days
     offsets = F.sequence(F.lit(0), (count - 1).cast("int"))
     return (
-        df.select(F.col(end), F.explode(offsets).alias("_back"))
+        df.select(F.col(end), F.explode_outer(offsets).alias("_back"))
         .select(F.date_sub(end, F.col("_back")).alias("day"))
         .withColumn("url", F.concat(F.lit(f"{base}/"), F.date_format("day", "yyyy/MM/dd"), F.lit("/")))
     )
@@ -33,7 +35,7 @@ def listing_links(
     """
     links = F.slice(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)), 1, cap)
     return (
-        pages.select(page_url, F.posexplode(links).alias("place", "_link"))
+        explode_with_place(pages, [page_url], links, "place", "_link")
         .withColumn("link_url", F.concat(page_url, "_link"))
         .withColumn("key", F.regexp_replace(F.substring_index("link_url", "/", -1), r"\.[^.]*$", ""))
         .drop("_link")
