@@ -66,7 +66,7 @@ def v4_tiles(spark, folder):
 
 
 def v5(spark, folder):
-    return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bucket_rows=150, tile_rows=100)
+    return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bucket_rows=150, tile_rows=400)
 
 
 def _questions(spark, folder):

@@ -7,15 +7,20 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts that stand for no text, and the limits of a chunk.
+# Texts that stand for no text, blank characters, and the limits of a chunk.
 NO_TEXT = ("", "nan", "none")
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 CHUNK_CHARS = 500
 HEADING_CHARS = 30
 SENTENCE_END = "[。．！？.!?]"
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def tokens(text: Column | str) -> Column:

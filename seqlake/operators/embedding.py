@@ -10,6 +10,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.functions.text import tokens
 
@@ -26,7 +27,8 @@ def embed_with(
 
     The encoder gets ``batch_rows`` texts at a time. Rows without a text get no vector.
     """
-    schema = df.schema.add("embedding", "array<float>")
+    vector = T.StructField("embedding", T.ArrayType(T.FloatType()))
+    schema = T.StructType([*df.schema.fields, vector])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()

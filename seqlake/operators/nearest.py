@@ -41,26 +41,33 @@ def _arrow_matrix(column: pa.Array) -> np.ndarray:
 def _smallest(distance: np.ndarray, k: int) -> np.ndarray:
     """Mask of the k smallest values per row; among equal ones the leftmost."""
     if distance.shape[1] <= k:
-        return np.isfinite(distance)
+        return np.ones(distance.shape, bool)
     bound = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
     below = distance < bound
     equal = distance == bound
     room = k - below.sum(axis=1, keepdims=True)
-    return (below | (equal & (np.cumsum(equal, axis=1) <= room))) & np.isfinite(distance)
+    return below | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
-def _block_hits(queries, query_groups, ids, vectors, groups, k) -> pd.DataFrame:
-    """At most k hits (``q, id, distance``) per query of one block of the corpus."""
+def _group_hits(queries, places, ids, vectors, k) -> Iterator[pd.DataFrame]:
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
-    parts = []
-    for start in range(0, len(queries), _QUERY_STEP):
-        step = slice(start, start + _QUERY_STEP)
+    for start in range(0, len(places), _QUERY_STEP):
+        step = places[start:start + _QUERY_STEP]
         distance = np.round(1 - queries[step] @ vectors.T, 6) + 0.0
-        if groups is not None:
-            distance[query_groups[step][:, None] != groups[by_id][None, :]] = np.inf
         q, c = np.nonzero(_smallest(distance, k))
-        parts.append(pd.DataFrame({"q": q + start, "id": ids[c], "distance": distance[q, c]}))
+        yield pd.DataFrame({"q": step[q], "id": ids[c], "distance": distance[q, c]})
+
+
+def _block_hits(queries, query_groups, ids, vectors, groups, k) -> pd.DataFrame:
+    """At most k hits (``q, id, distance``) per query of one block of the corpus."""
+    if groups is None:
+        parts = [*_group_hits(queries, np.arange(len(queries)), ids, vectors, k)]
+    else:
+        parts = [pd.DataFrame({"q": np.array([], np.int64), "id": ids[:0], "distance": np.array([], float)})]
+        for group in pd.unique(groups):
+            mine, places = groups == group, np.flatnonzero(query_groups == group)
+            parts += _group_hits(queries, places, ids[mine], vectors[mine], k)
     return pd.concat(parts, ignore_index=True)
 
 

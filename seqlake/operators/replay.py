@@ -17,6 +17,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.operators.kif import most_moves, parse_kif
 from seqlake.operators.ordered import BUCKET, HALO, bucket_of, with_halos
@@ -133,7 +134,8 @@ def fold_per_key(df: DataFrame, spec: SequenceSpec, value: str, fold: Fold) -> D
     The order counts from 0 without gaps; rows without one are left out. The first row that cannot
     be applied ends its key: that row and all later ones are left out too.
     """
-    shape = df.schema.add(BEFORE, "string").add(AFTER, "string")
+    states = [T.StructField(name, T.StringType()) for name in (BEFORE, AFTER)]
+    shape = T.StructType([*df.schema.fields, *states])
     rows = df.filter(F.col(spec.order).isNotNull()).withColumns({
         _KEY: F.col(spec.key).cast("string"),
         BUCKET: bucket_of(spec),
@@ -142,13 +144,17 @@ def fold_per_key(df: DataFrame, spec: SequenceSpec, value: str, fold: Fold) -> D
     })
     in_order = [_KEY, BUCKET, F.col(HALO).desc(), _ORDER]
 
+    # A fixed number of partitions: small ones would be merged, though playing takes far longer
+    # than their size suggests.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def played(part: DataFrame, starts: DataFrame | None, keep_stop: bool) -> DataFrame:
         if starts is None:
             part = part.withColumns({HALO: F.lit(False), _START: F.lit(None).cast("string")})
         else:
             part = with_halos(part.withColumn(_START, F.lit(None).cast("string")), starts)
         return (
-            part.repartition(_KEY, BUCKET)
+            part.repartition(tasks, _KEY, BUCKET)
             .sortWithinPartitions(*in_order)
             .mapInArrow(_play(fold, keep_stop), shape)
         )
@@ -161,7 +167,7 @@ def fold_per_key(df: DataFrame, spec: SequenceSpec, value: str, fold: Fold) -> D
     long_rows = rows.join(long_keys, rows[_KEY].eqNullSafe(long_keys[_KEY]), "left_semi")
     summaries = (
         long_rows.select(_KEY, BUCKET, _ORDER, _VALUE)
-        .repartition(_KEY, BUCKET)
+        .repartition(tasks, _KEY, BUCKET)
         .sortWithinPartitions(_KEY, BUCKET, _ORDER)
         .mapInArrow(_summaries(fold), f"{_KEY} string, {BUCKET} bigint, summary string")
     )
@@ -229,8 +235,10 @@ def _kind(piece: str) -> str:
 
 
 def _rank_text(cells: list[str | None]) -> str:
-    text = "".join(piece or "1" for piece in cells)
-    return re.sub("1+", lambda run: str(len(run.group())), text)
+    text = "".join([piece or "1" for piece in cells])
+    for length in range(9, 1, -1):
+        text = text.replace("1" * length, str(length))
+    return text
 
 
 @dataclass
@@ -238,6 +246,7 @@ class _Board:
     cells: list[str | None]
     hands: dict[str, int]
     ranks: list[str]
+    hand: str = ""
 
     @classmethod
     def read(cls, sfen: str) -> _Board:
@@ -248,13 +257,18 @@ class _Board:
         hands = dict.fromkeys(HAND_ORDER, 0)
         for count, piece in re.findall(r"(\d*)([A-Za-z])", hand):
             hands[piece] = int(count or 1)
-        return cls(cells, hands, ranks.split("/"))
+        board = cls(cells, hands, ranks.split("/"))
+        board.hold()
+        return board
+
+    def hold(self, piece: str | None = None, change: int = 0) -> None:
+        if piece is not None:
+            self.hands[piece] += change
+        held = [(self.hands[p], p) for p in HAND_ORDER if self.hands[p] > 0]
+        self.hand = "".join([f"{n}{p}" if n > 1 else p for n, p in held]) or "-"
 
     def text(self, order: int) -> str:
-        hand = "".join(
-            f"{n if n > 1 else ''}{piece}" for piece in HAND_ORDER if (n := self.hands[piece]) > 0
-        )
-        return f"{'/'.join(self.ranks)} {'w' if order % 2 else 'b'} {hand or '-'} {order + 1}"
+        return f"{'/'.join(self.ranks)} {'w' if order % 2 else 'b'} {self.hand} {order + 1}"
 
     def put(self, square: int, piece: str | None) -> None:
         self.cells[square] = piece
@@ -272,7 +286,7 @@ class _Board:
             piece = _owned(dropped, by_first)
             if self.hands[piece] <= 0:
                 return False
-            self.hands[piece] -= 1
+            self.hold(piece, -1)
         else:
             moved = self.cells[_square(origin)]
             if moved is None or (plus and (moved[0] == "+" or _kind(moved) not in PROMOTING)):
@@ -282,7 +296,7 @@ class _Board:
             self.put(_square(origin), None)
         taken = self.cells[to]
         if taken is not None and _kind(taken) != "K":
-            self.hands[_owned(_kind(taken), by_first)] += 1
+            self.hold(_owned(_kind(taken), by_first), 1)
         self.put(to, piece)
         return True
 
@@ -346,10 +360,10 @@ class BoardFold:
         board = _Board.read(state)
         before = list(board.cells)
         for piece, change in hands.items():
-            board.hands[piece] += change
+            board.hold(piece, change)
         for square, by_first in taken:
             if before[square] is not None and _kind(before[square]) != "K":
-                board.hands[_owned(_kind(before[square]), by_first)] += 1
+                board.hold(_owned(_kind(before[square]), by_first), 1)
         for square, held in cells:
             piece = None
             if held is not None:
