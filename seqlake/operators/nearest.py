@@ -22,6 +22,7 @@ from seqlake.session import shared_dir
 TOP_K = 5
 QUERY_BYTES = 64 << 20
 TILE_ROWS = 20_000
+BROADCAST_BUCKETS = 1_000_000
 _QUERY_STEP = 512
 
 
@@ -142,7 +143,8 @@ def _tile_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, group
 
     def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if corpus.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "_group": [], "id": [], "distance": []})
+            nothing = queries[["query_id", "_group"]].iloc[:0]
+            return nothing.assign(id=corpus["id"].iloc[:0], distance=0.0)
         hits = _best(
             _block_hits(
                 _matrix(queries["embedding"]),
@@ -265,6 +267,11 @@ def top_k_approx(
         return df.withColumn("_bucket", F.explode_outer(buckets("embedding")))
 
     rows, probes = bucketed(left, False), bucketed(right, True)
+    # Rows of buckets nobody asks for stay where they are.
+    asked = probes.select("_bucket").distinct()
+    if right.count() * tables * (bits + 1) <= BROADCAST_BUCKETS:
+        asked = F.broadcast(asked)
+    rows = rows.join(asked, "_bucket", "left_semi")
     down, across = _split_hot(rows, tile_rows), _split_hot(probes, tile_rows)
 
     def placed(df: DataFrame, id: str, own: DataFrame, own_as: str, other: DataFrame, other_as: str):
