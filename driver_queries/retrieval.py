@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
-from seqlake.operators.embedding import embed
+from seqlake.operators.embedding import embed, embed_with
 from seqlake.operators.nearest import top_k, top_k_approx
 from seqlake.operators.retrieval import Route
 
@@ -34,6 +35,17 @@ def v2(spark, folder):
     return embedded.select("doc_id", "embedding")
 
 
+def _letter_counts():
+    """Stands for loading a model: its vectors count the letters a to h."""
+    return lambda texts: np.array([[t.count(letter) for letter in "abcdefgh"] for t in texts])
+
+
+def v2_model(spark, folder):
+    embedded = embed_with(read_spread(spark, folder, "documents").select("doc_id", "text"), "text", _letter_counts)
+    parts = [F.col("embedding")[i].cast("int").alias(f"n_{letter}") for i, letter in enumerate("abcdefgh")]
+    return embedded.select("doc_id", *parts)
+
+
 def _no_vectors(df, text):
     return df.withColumn("embedding", F.lit(None).cast("array<float>"))
 
@@ -69,6 +81,16 @@ def v5(spark, folder):
     return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bucket_rows=150, tile_rows=400)
 
 
+def v5_recall(spark, folder):
+    """How much of the exact answer the approximate one holds."""
+    keys = ["query_id", "id"]
+    exact, near = v4(spark, folder).select(keys), v5(spark, folder).select(keys)
+    counts = near.join(exact.withColumn("hit", F.lit(1)), keys, "left").agg(
+        F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"), F.sum("hit").alias("_found")
+    )
+    return counts.select("queries", "hits", (F.col("_found") >= 0.8 * F.col("hits")).alias("recall_of_80_percent"))
+
+
 def _questions(spark, folder):
     """Each benchmark text asks with the vector of the same number."""
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
@@ -97,6 +119,13 @@ def v6(spark, folder):
     return prompts.select("query_id", "prompt", "answer", F.array_join("documents", "|").alias("documents"))
 
 
+def v7(spark, folder):
+    """Every question goes to a collection that does not exist."""
+    questions = _questions(spark, folder).withColumn("collection", F.lit("absent"))
+    prompts = retrieval.build_prompts(questions, retrieval.search(_collections(spark, folder), questions))
+    return prompts.select("query_id", "prompt", "answer", F.size("documents").alias("documents"))
+
+
 def v8(spark, folder):
     hits = retrieval.search(_collections(spark, folder), _questions(spark, folder))
     return hits.select("query_id", "collection", "rank", "text", F.col("metadata")["label"].alias("label"), "distance")
@@ -149,11 +178,14 @@ HITS_SQL = "WITH" + QUESTIONS_SQL + PAIRS_SQL.format(
 QUERIES = {
     "V1_clean_text": v1,
     "V2_embed": v2,
+    "V2_embed_with_model": v2_model,
     "V3_build_collection": v3,
     "V4_top_k": v4,
     "V4_top_k_tiles": v4_tiles,
     "V5_top_k_approx": v5,
-    "V6_V7_prompts": v6,
+    "V5_recall": v5_recall,
+    "V6_prompts": v6,
+    "V7_no_hits": v7,
     "V8_search": v8,
     "V9_route": v9,
     "V9_routed_search": v9_search,
@@ -164,6 +196,11 @@ ORACLES = {
     "V1_clean_text": """
         SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents
         WHERE lang NOT IN ('de', 'es')""",
+    "V2_embed_with_model": "SELECT doc_id, "
+    + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS INTEGER) AS n_{c}" for c in "abcdefgh")
+    + " FROM documents",
+    "V5_recall": """
+        SELECT count(*) AS queries, 5 * count(*) AS hits, true AS recall_of_80_percent FROM embeddings""",
     "V3_build_collection": """
         SELECT 'positions' AS collection, format('{}__move{:04d}', CAST(conv_id AS VARCHAR), turn) AS id,
                regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS document,
@@ -172,7 +209,11 @@ ORACLES = {
         WHERE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none')""",
     "V4_top_k": TOP_K_SQL,
     "V4_top_k_tiles": TOP_K_SQL,
-    "V6_V7_prompts": HITS_SQL + """,
+    "V7_no_hits": """
+        SELECT item_id AS query_id, CAST(NULL AS VARCHAR) AS prompt,
+               '関連する情報が見つかりませんでした。' AS answer, 0 AS documents
+        FROM benchmark JOIN embeddings ON item_id = vec_id""",
+    "V6_prompts": HITS_SQL + """,
         blocks AS (
           SELECT query_id,
                  string_agg('ドキュメント ' || rank || ':' || chr(10) || 'vector ' || id || chr(10)
