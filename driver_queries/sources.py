@@ -167,7 +167,7 @@ def r1(spark, folder):
     """All three flows over tables built from the given ones; the expectation counts."""
     base, name = scratch_path(spark, "flows"), uuid.uuid4().hex[:12]
     layers = Layers("landing", f"bronze_{name}", f"silver_{name}", f"gold_{name}", location=base)
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layers.bronze}")
+    flows.create_schema(spark, layers, "bronze")
     conversations = read(spark, folder, "conversations")
     positions = conversations.select(
         F.when(F.col("role") != "system", F.col("conv_id").cast("string")).alias("game_id"),

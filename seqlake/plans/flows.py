@@ -92,10 +92,16 @@ FLOWS: dict[str, Callable[[SparkSession, Layers, str, FlowReport], None]] = {
 }
 
 
+def create_schema(spark: SparkSession, layers: Layers, layer: str) -> None:
+    """The schema of a layer, in the folder of its tables when that is given."""
+    where = f" LOCATION '{layers.location}/{getattr(layers, layer)}'" if layers.location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layers.schema(layer)}{where}")
+
+
 def run(spark: SparkSession, flow: str, layers: Layers, source: str) -> FlowReport:
     """Run one flow; ``source`` is its landing path or its Bronze table. Errors are raised."""
     for layer in ("silver", "gold"):
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layers.schema(layer)}")
+        create_schema(spark, layers, layer)
     report = FlowReport(flow)
     FLOWS[flow](spark, layers, source, report)
     return report

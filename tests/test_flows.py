@@ -16,7 +16,7 @@ HEADER = ",".join(POSITIONS_SCHEMA.fieldNames())
 def layers(spark, tmp_path):
     name = uuid.uuid4().hex[:10]
     found = Layers("landing", f"bronze_{name}", f"silver_{name}", f"gold_{name}", location=str(tmp_path))
-    spark.sql(f"CREATE SCHEMA {found.bronze}")
+    flows.create_schema(spark, found, "bronze")
     return found
 
 
