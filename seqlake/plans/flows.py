@@ -6,6 +6,7 @@ Every table is replaced as a whole, and its row expectations are counted in the
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,11 +109,13 @@ def run(spark: SparkSession, flow: str, layers: Layers, source: str) -> FlowRepo
 
 
 def run_all(spark: SparkSession, layers: Layers, sources: Mapping[str, str]) -> list[FlowReport]:
-    """Run the flows one by one; an error ends its own flow only and is kept in its report."""
-    reports = []
-    for flow, source in sources.items():
+    """Run the flows side by side; an error ends its own flow only and is kept in its report."""
+
+    def attempt(flow: str, source: str) -> FlowReport:
         try:
-            reports.append(run(spark, flow, layers, source))
+            return run(spark, flow, layers, source)
         except Exception as error:
-            reports.append(FlowReport(flow, error=f"{type(error).__name__}: {error}"))
-    return reports
+            return FlowReport(flow, error=f"{type(error).__name__}: {error}")
+
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        return list(pool.map(attempt, sources.keys(), sources.values()))
