@@ -119,6 +119,23 @@ def v6(spark, folder):
     return prompts.select("query_id", "prompt", "answer", F.array_join("documents", "|").alias("documents"))
 
 
+def v6_ask(spark, folder):
+    """From turns and questions to prompts, with vectors SQL can state."""
+
+    def embedder(df, text):
+        return embed_with(df, text, _letter_counts)
+
+    collection = retrieval.build_collection(
+        read(spark, folder, "conversations"), "positions", retrieval.position_id("conv_id", "turn"), "text",
+        ["role"], embedder,
+    )
+    questions = read(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    prompts = retrieval.ask(questions, collection, 3, embedder=embedder)
+    return prompts.select("query_id", "prompt", F.size("documents").alias("documents"))
+
+
 def v7(spark, folder):
     """Every question goes to a collection that does not exist."""
     questions = _questions(spark, folder).withColumn("collection", F.lit("absent"))
@@ -152,6 +169,9 @@ def v10(spark, folder):
     return retrieval.chunk(read_spread(spark, folder, "documents"), "doc_id", "text")
 
 
+LETTERS_SQL = "[" + ", ".join(
+    f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in "abcdefgh"
+) + "]"
 # Cosines are taken in double precision on both sides, then rounded.
 PAIRS_SQL = """
 vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -185,6 +205,7 @@ QUERIES = {
     "V5_top_k_approx": v5,
     "V5_recall": v5_recall,
     "V6_prompts": v6,
+    "V6_ask": v6_ask,
     "V7_no_hits": v7,
     "V8_search": v8,
     "V9_route": v9,
@@ -209,6 +230,23 @@ ORACLES = {
         WHERE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none')""",
     "V4_top_k": TOP_K_SQL,
     "V4_top_k_tiles": TOP_K_SQL,
+    "V6_ask": f"""
+        WITH docs AS (
+          SELECT format('{{}}__move{{:04d}}', CAST(conv_id AS VARCHAR), turn) AS id, role,
+                 regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations),
+        d AS (SELECT *, {LETTERS_SQL} AS e FROM docs),
+        q AS (SELECT *, {LETTERS_SQL} AS e FROM benchmark),
+        pairs AS (
+          SELECT q.item_id, q.text AS question, d.id, d.role, d.text,
+                 round(1 - list_cosine_similarity(q.e, d.e), 6) + 0.0 AS distance FROM q JOIN d ON true),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, id) AS rank FROM pairs)
+        SELECT item_id AS query_id, CAST(count(*) AS INTEGER) AS documents,
+               '以下の将棋の棋譜情報を参考に、質問に答えてください。' || chr(10) || '質問: ' || min(question) || chr(10)
+                 || '参考情報:' || chr(10)
+                 || string_agg('ドキュメント ' || rank || ':' || chr(10) || text || chr(10)
+                      || 'メタデータ: {{''role'': ''' || role || '''}}', chr(10) || chr(10) ORDER BY rank)
+                 || chr(10) || '回答:' AS prompt
+        FROM ranked WHERE rank <= 3 GROUP BY item_id""",
     "V7_no_hits": """
         SELECT item_id AS query_id, CAST(NULL AS VARCHAR) AS prompt,
                '関連する情報が見つかりませんでした。' AS answer, 0 AS documents

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from driver_queries.common import TURNS, TURNS_SQL, read, read_spread, turns
-from seqlake.functions.moves import usi_to_japanese
+from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import explode_record
 from seqlake.operators.replay import RunningTotal, fold_per_key, replay_records
@@ -183,8 +183,7 @@ def t8(spark, folder):
 
 def t9(spark, folder):
     moves = replayed(spark, folder).filter(F.col("move_number") > 0)
-    shown = usi_to_japanese("move_usi", "prev_sfen")
-    return moves.select("game_id", "move_number", shown.alias("shown")).select("game_id", "move_number", "shown.*")
+    return with_japanese(moves, "move_usi", "prev_sfen").select("game_id", "move_number", "text", "error")
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Numerals of the ranks and names of the pieces.
@@ -26,10 +26,10 @@ def _cells(rank: Column) -> Column:
 
 
 def usi_to_japanese(move: Column | str, state: Column | str) -> Column:
-    """Struct of ``text`` and ``error`` for a move and the state before it.
+    """A move in words, from its notation and the state before it.
 
-    ``text`` is file digit, rank numeral, piece and ``成`` or ``打``. Text that is no move, and a
-    move from an empty square, give a null text and the move as the error.
+    That is file digit, rank numeral, piece and ``成`` or ``打``. Text that is no move, and a move
+    from an empty square, give null.
     """
     move, state = (F.col(c) if isinstance(c, str) else c for c in (move, state))
     drop = F.substring(move, 2, 1) == "*"
@@ -48,9 +48,12 @@ def usi_to_japanese(move: Column | str, state: Column | str) -> Column:
         F.substr(_cells(rank_before), place, F.lit(1))
     )
     suffix = F.when(drop, "打").when(move.endswith("+"), "成").otherwise("")
-    text = F.when(move.rlike(USI_MOVE), F.concat(file, rank, F.try_element_at(names, code), suffix))
-    # By way of an array, so that the text is worked out once.
-    shown = F.transform(
-        F.array(text), lambda t: F.struct(t.alias("text"), F.when(t.isNull(), move).alias("error"))
+    shown = F.concat(file, rank, F.try_element_at(names, code), suffix)
+    return F.when(move.rlike(USI_MOVE), shown)
+
+
+def with_japanese(df: DataFrame, move: str, state: str) -> DataFrame:
+    """Add ``text``, and ``error``: the move where it gives no text."""
+    return df.withColumn("text", usi_to_japanese(move, state)).withColumn(
+        "error", F.when(F.col("text").isNull(), F.col(move))
     )
-    return shown[0]

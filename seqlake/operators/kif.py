@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions.arrays import explode_with_place
@@ -21,9 +21,8 @@ MOVE = (
     r"(成香|成桂|成銀|[歩香桂銀金角飛玉王と杏圭全馬龍竜])"
     r"(?:(打)|(成|不成)?\(([1-9][1-9])\)).*$"
 )
-SHORTEST_MOVE_LINE = 6
 # What a move line becomes: a mark, then target, piece, 打 or 成, and origin.
-MARK = "\u0001"
+MARK, SAME = "\u0001", "\u0002"
 PARTS = MARK + "$1,$2,$3$4,$5"
 
 
@@ -48,31 +47,41 @@ def _until_other(moves: Column) -> Column:
     return F.when(end > 0, F.slice(moves, 1, F.greatest(end - 1, F.lit(0)))).otherwise(moves)
 
 
-def most_moves(records: DataFrame, body: str) -> int:
-    """An upper bound of the moves of one record, from the length of the texts alone."""
-    longest = records.agg(F.max(F.length(body))).first()[0]
-    return (longest or 0) // SHORTEST_MOVE_LINE
+def _with_targets(moves: Column) -> Column:
+    """Give a move to the same square the target of the last move that names one.
+
+    The moves are joined and split again where a target is named, so that each piece is one such
+    move and the moves to its square behind it.
+    """
+    joined = F.replace(F.array_join(moves, ""), F.lit(f"{MARK},"), F.lit(f"{SAME},"))
+    runs = F.filter(F.split(joined, MARK), lambda run: run != "")
+
+    def spelled(run: Column) -> Column:
+        target = F.substring_index(run, ",", 1)
+        return F.transform(
+            F.split(run, SAME), lambda move, i: F.when(i == 0, move).otherwise(F.concat(target, move))
+        )
+
+    return F.flatten(F.transform(runs, spelled))
 
 
 def parse_kif(records: DataFrame, key: str, body: str) -> DataFrame:
     """``move_number, move_usi`` and both names per record; row 0 is the start, with an empty move.
 
-    ``key`` must be unique (``latest_per_key``). A missing name is null. Comments are skipped, and
-    the first other line that is no move ends the record.
+    A missing name is null. Comments are skipped, and the first other line that is no move ends the
+    record. Nothing is shuffled: the moves of a record come out in order where the record lies.
     """
     unix = F.replace(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.filter(F.split(unix, "\n"), lambda line: (F.trim(line) != "") & ~line.startswith("*"))
     parts = F.col("_parts")
-    target = F.translate(F.substring(parts[0], 2, 2), WIDE_DIGITS + RANK_NUMERALS, "123456789" + RANK_LETTERS)
-    # The moves of a record come out of one cell, so the window holds what one task held before.
-    so_far = Window.partitionBy(key).orderBy("move_number")
+    target = F.translate(parts[0], WIDE_DIGITS + RANK_NUMERALS, "123456789" + RANK_LETTERS)
     origin = F.concat(
         F.substring(parts[3], 1, 1), F.translate(F.substring(parts[3], 2, 1), "123456789", RANK_LETTERS)
     )
     usi = (
         F.when(F.col("move_number") == 0, "")
-        .when(parts[2] == "打", F.concat(F.translate(parts[1], DROP_PIECES, DROP_LETTERS), F.lit("*"), "_target"))
-        .otherwise(F.concat(origin, "_target", F.when(parts[2] == "成", "+").otherwise("")))
+        .when(parts[2] == "打", F.concat(F.translate(parts[1], DROP_PIECES, DROP_LETTERS), F.lit("*"), target))
+        .otherwise(F.concat(origin, target, F.when(parts[2] == "成", "+").otherwise("")))
     )
     parsed = (
         records.select(key, lines.alias("_lines"))
@@ -82,15 +91,13 @@ def parse_kif(records: DataFrame, key: str, body: str) -> DataFrame:
             _name(F.col("_lines"), SECOND_NAMES).alias("white_player"),
             _moves(F.col("_lines")).alias("_moves"),
         )
-        .withColumn("_moves", F.concat(F.array(F.lit("")), _until_other(F.col("_moves"))))
+        .withColumn("_moves", _until_other(F.col("_moves")))
+        .withColumn("_moves", F.concat(F.array(F.lit("")), _with_targets(F.col("_moves"))))
     )
     # Apart from the names, which would else be worked out again for every move.
     per_move = explode_with_place(
         parsed, [key, "black_player", "white_player"], F.col("_moves"), "move_number", "_move"
     )
-    return (
-        per_move.withColumn("_parts", F.split("_move", ","))
-        .withColumn("_target", F.when(F.col("move_number") > 0, target))
-        .withColumn("_target", F.last(F.nullif("_target", F.lit("")), ignorenulls=True).over(so_far))
-        .select(key, "move_number", usi.alias("move_usi"), "black_player", "white_player")
+    return per_move.withColumn("_parts", F.split("_move", ",")).select(
+        key, "move_number", usi.alias("move_usi"), "black_player", "white_player"
     )

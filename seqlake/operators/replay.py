@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators.kif import most_moves, parse_kif
+from seqlake.operators.kif import parse_kif
 from seqlake.operators.ordered import BUCKET, HALO, bucket_of, with_halos
 from seqlake.spec import INITIAL_SFEN, SequenceSpec
 
@@ -128,11 +128,15 @@ def _starts(fold: Fold):
     return run
 
 
-def fold_per_key(df: DataFrame, spec: SequenceSpec, value: str, fold: Fold) -> DataFrame:
+def fold_per_key(
+    df: DataFrame, spec: SequenceSpec, value: str, fold: Fold, in_place: bool = False
+) -> DataFrame:
     """``df`` with ``_before`` and ``_after``: the state around each row of its key.
 
     The order counts from 0 without gaps; rows without one are left out. The first row that cannot
-    be applied ends its key: that row and all later ones are left out too.
+    be applied ends its key: that row and all later ones are left out too. ``in_place`` is for rows
+    that already lie together by key and in order, as exploding a record leaves them: they are
+    played without a shuffle.
     """
     states = [T.StructField(name, T.StringType()) for name in (BEFORE, AFTER)]
     shape = T.StructType([*df.schema.fields, *states])
@@ -148,6 +152,12 @@ def fold_per_key(df: DataFrame, spec: SequenceSpec, value: str, fold: Fold) -> D
     # than their size suggests.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    if in_place:
+        lying = rows.withColumns(
+            {BUCKET: F.lit(0).cast("bigint"), HALO: F.lit(False), _START: F.lit(None).cast("string")}
+        )
+        return lying.mapInArrow(_play(fold, keep_stop=False), shape)
+
     def played(part: DataFrame, starts: DataFrame | None, keep_stop: bool) -> DataFrame:
         if starts is None:
             part = part.withColumns({HALO: F.lit(False), _START: F.lit(None).cast("string")})
@@ -377,18 +387,22 @@ class BoardFold:
 
 
 def replay_records(records: DataFrame, key: str, body: str) -> DataFrame:
-    """Positions of each game record in KIF notation; ``key`` must be unique."""
-    spec = replace(SequenceSpec(key=key), max_order=most_moves(records, body))
-    return replay_positions(parse_kif(records, key, body), spec)
+    """Positions of each game record in KIF notation; ``key`` must be unique.
+
+    A record is played where it lies: from texts to positions nothing is shuffled.
+    """
+    return replay_positions(parse_kif(records, key, body), SequenceSpec(key=key), in_place=True)
 
 
-def replay_positions(moves: DataFrame, spec: SequenceSpec | None = None) -> DataFrame:
+def replay_positions(
+    moves: DataFrame, spec: SequenceSpec | None = None, in_place: bool = False
+) -> DataFrame:
     """Positions of each game: ``sfen`` after and ``prev_sfen`` before each move, and the player.
 
     ``moves`` has row 0 with an empty move per game, as ``parse_kif`` gives it.
     """
     spec = spec or SequenceSpec()
-    folded = fold_per_key(moves, spec, spec.move, BoardFold())
+    folded = fold_per_key(moves, spec, spec.move, BoardFold(), in_place)
     return folded.withColumns({
         spec.state: F.col(AFTER),
         spec.prev_state: F.col(BEFORE),

@@ -139,6 +139,21 @@ def build_prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def ask(
+    questions: DataFrame,
+    collections: DataFrame,
+    k: int = TOP_K,
+    collection: str = "positions",
+    embedder: Callable[[DataFrame, str], DataFrame] = embed,
+) -> DataFrame:
+    """From ``query_id, question`` to prompts: embed, search one collection, put the prompts together.
+
+    The embedder must be the one the collection was built with.
+    """
+    queries = embedder(questions.withColumn("collection", F.lit(collection)), "question")
+    return build_prompts(questions, search(collections, queries, k))
+
+
 def route(queries: DataFrame, text: str, routes: Sequence[Route] = ROUTES) -> DataFrame:
     """One row per question and collection it calls for, with ``hits``, the number to take."""
     called = [

@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.functions.moves import usi_to_japanese
+from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import build_feed_positions, explode_record
-from seqlake.operators.kif import most_moves, parse_kif
+from seqlake.operators.kif import parse_kif
 from seqlake.operators.replay import BoardFold, RunningTotal, fold_per_key, replay_positions, replay_records
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import ARTICLE_RAW_SCHEMA, FEED_POSITIONS_SCHEMA, FEED_RAW_SCHEMA, INITIAL_SFEN, SequenceSpec
@@ -124,9 +124,9 @@ def test_kif_long_piece_names_and_repeated_same_square(spark):
     }
 
 
-def test_most_moves_is_an_upper_bound(spark):
-    assert most_moves(texts(spark, GAME), "body") >= 5
-    assert most_moves(texts(spark, GAME).limit(0), "body") == 0
+def test_records_are_played_without_a_shuffle(spark):
+    df = replay_records(texts(spark, GAME), "game_id", "body")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 # Replay
@@ -225,7 +225,7 @@ def test_running_total_stops_at_its_limit(spark, bucket):
 ])
 def test_move_in_japanese(spark, move, state, text):
     df = spark.createDataFrame([(move, state)], "move string, state string")
-    shown = df.select(usi_to_japanese("move", "state").alias("s")).first()["s"]
+    shown = with_japanese(df, "move", "state").first()
     assert (shown["text"], shown["error"]) == (text, None if text else move)
 
 
