@@ -9,6 +9,7 @@ from driver_queries.silver import FEED_SQL, feed_records
 from seqlake.functions import scoring
 from seqlake.operators import features
 from seqlake.operators.feed import explode_record
+from seqlake.operators.ordered import fit_buckets
 
 KEYS = ["conv_id", "turn"]
 FEATURES = ["score_from_turn", "score_delta", "is_best_move", "is_blunder", "move_quality"]
@@ -79,9 +80,10 @@ def g7(spark, folder):
 
 
 def g7_long(spark, folder):
-    return features.build_features(steps(spark, folder).withColumn("state", F.col("props")), EVENTS).select(
-        "event_type", "event_id", "actor", "score", *FEATURES
-    )
+    rows = steps(spark, folder)
+    # Buckets of about 500 rows, whatever the gaps between the ids.
+    featured = features.build_features(rows, fit_buckets(rows, EVENTS, rows=500))
+    return featured.select("event_type", "event_id", "actor", "score", *FEATURES)
 
 
 def g8(spark, folder):

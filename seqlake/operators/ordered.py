@@ -7,7 +7,9 @@ extra row, its *halo*. Halos come from one small aggregate row per bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,29 @@ BUCKET = "_bucket"
 HALO = "_halo"
 
 
+def fit_buckets(df: DataFrame, spec: SequenceSpec, rows: int = 100_000) -> SequenceSpec:
+    """``spec`` with buckets that hold about ``rows`` rows of the longest key.
+
+    For orders with wide gaps, such as event ids or times, where a bucket of a fixed width would
+    hold few rows. Takes one pass over key and order.
+    """
+    order = F.col(spec.order).cast("bigint")
+    per_key = df.groupBy(spec.key).agg(
+        F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")
+    )
+    seen = per_key.agg(
+        F.max(F.struct("n", "low", "high")).alias("longest"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    ).first()
+    longest = seen["longest"]
+    if longest is None or longest["n"] == 0:
+        return spec
+    span = longest["high"] - longest["low"] + 1
+    width = max(1, math.ceil(span * rows / longest["n"]))
+    return replace(spec, bucket_rows=width, max_order=seen["high"] if seen["low"] >= 0 else None)
+
+
 def bucket_of(spec: SequenceSpec) -> Column:
     return F.expr(f"cast(`{spec.order}` as bigint) div {spec.bucket_rows}")
 

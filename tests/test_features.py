@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqlake.operators import features
-from seqlake.operators.ordered import with_last_known, with_row_number
+from seqlake.operators.ordered import bucket_of, fit_buckets, with_last_known, with_row_number
 from seqlake.spec import POSITIONS_SCHEMA, SequenceSpec
 
 SPEC = SequenceSpec()
@@ -218,6 +218,21 @@ def test_last_known_and_row_number_are_the_same_however_keys_are_cut(spark, buck
         assert by_key(build(cut), "out") == by_key(build(WHOLE), "out")
 
 
+def test_buckets_fit_orders_with_gaps(spark):
+    rows = [row(game_id="long", move_number=n * 1_000, score_cp=n) for n in range(100)]
+    rows += [row(game_id="short", move_number=n, score_cp=n) for n in range(3)]
+    df = frame(spark, *rows)
+    spec = fit_buckets(df, SPEC, rows=10)
+    assert 9_000 <= spec.bucket_rows <= 11_000 and not spec.one_bucket
+    sizes = [r["count"] for r in df.groupBy("game_id", bucket_of(spec)).count().collect()]
+    assert max(sizes) <= 11
+    assert by_key(features.build_features(df, spec), *FEATURES) == model(rows)
+    assert fit_buckets(df, SPEC, rows=1_000).one_bucket
+    assert fit_buckets(df.limit(0), SPEC) == SPEC
+    negative = fit_buckets(df.withColumn("move_number", F.col("move_number") - 5), SPEC, rows=1_000)
+    assert not negative.one_bucket
+
+
 def test_null_order_comes_first_and_null_keys_are_one_key(spark):
     rows = [
         row(move_number=None, score_cp=7), row(score_cp=10), row(move_number=5, score_cp=11),
