@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
-from seqlake.operators.embedding import embed, embed_with
+from seqlake.operators.embedding import embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k, top_k_approx
 from seqlake.operators.retrieval import Route
 
@@ -35,6 +35,12 @@ def v2(spark, folder):
     return embedded.select("doc_id", "embedding")
 
 
+def v2_weighted(spark, folder):
+    documents = read_spread(spark, folder, "documents")
+    embedded = embed(documents, "text", weights=term_weights(documents, "text"))
+    return embedded.select("doc_id", "embedding")
+
+
 def _letter_counts():
     """Stands for loading a model: its vectors count the letters a to h."""
     return lambda texts: np.array([[t.count(letter) for letter in "abcdefgh"] for t in texts])
@@ -198,6 +204,7 @@ HITS_SQL = "WITH" + QUESTIONS_SQL + PAIRS_SQL.format(
 QUERIES = {
     "V1_clean_text": v1,
     "V2_embed": v2,
+    "V2_embed_weighted": v2_weighted,
     "V2_embed_with_model": v2_model,
     "V3_build_collection": v3,
     "V4_top_k": v4,

@@ -21,9 +21,9 @@ def is_jump(delta: Column | str, threshold: int = JUMP_THRESHOLD) -> Column:
     return F.abs(delta) >= threshold
 
 
-def matches(left: Column | str, right: Column | str) -> Column:
-    """Null when either side is null."""
-    return F.expr(left) == F.expr(right) if isinstance(left, str) else left == right
+def matches(left: str, right: str) -> Column:
+    """Whether two columns are equal; null when either side is null."""
+    return F.col(left) == F.col(right)
 
 
 def label(order: Column | str, match: Column | str, jump: Column | str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +49,32 @@ def embed_with(
     return df.mapInArrow(run, schema)
 
 
-def embed(df: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Add ``embedding`` without a model: hashed counts of words and word pairs, of length 1.
-
-    It runs in the JVM, needs no pass to fit, and gives a text the same vector in any table.
-    """
+def _counted(df: DataFrame, text: str, dimensions: int) -> DataFrame:
     words = tokens(F.coalesce(F.col(text), F.lit("")))
     pairs = F.transform(
         F.arrays_zip(F.col("_words"), F.expr("slice(_words, 2, size(_words))").alias("_next")),
         lambda pair: F.concat_ws(" ", pair["_words"], pair["_next"]),
     )
     tokenised = df.withColumn("_words", words).withColumn("_terms", F.concat("_words", pairs))
-    counted = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=dimensions).transform(tokenised)
+    return HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=dimensions).transform(tokenised)
+
+
+def term_weights(df: DataFrame, text: str, dimensions: int = DIMENSIONS) -> IDFModel:
+    """Weights that count rare terms of the texts for more, for ``embed``; one pass of partial sums."""
+    return IDF(inputCol="_counts", outputCol="_weighted").fit(_counted(df, text, dimensions))
+
+
+def embed(
+    df: DataFrame, text: str, dimensions: int = DIMENSIONS, weights: IDFModel | None = None
+) -> DataFrame:
+    """Add ``embedding`` without a model: hashed counts of words and word pairs, of length 1.
+
+    It runs in the JVM. Without weights it needs no pass to fit, and gives a text the same vector in
+    any table; texts and questions must share their weights.
+    """
+    counted = _counted(df, text, dimensions)
+    if weights is not None:
+        counted = weights.transform(counted).drop("_counts").withColumnRenamed("_weighted", "_counts")
     unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
         "_words", "_terms", "_counts", "_unit"

@@ -22,11 +22,12 @@ def with_delta(
     df: DataFrame, spec: SequenceSpec = SPEC, keep_bucket: bool = False
 ) -> DataFrame:
     """Change of ``score_from_turn`` from the preceding row of the key, null on the first."""
-    return (
-        with_previous(df, spec, {"_previous_score": "score_from_turn"}, keep_bucket)
-        .withColumn("score_delta", F.col("score_from_turn") - F.col("_previous_score"))
-        .drop("_previous_score")
-    )
+    rows = with_previous(df, spec, {"_previous_score": "score_from_turn"}, keep_bucket)
+    return _with_change(rows).drop("_previous_score")
+
+
+def _with_change(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score_delta", F.col("score_from_turn") - F.col("_previous_score"))
 
 
 def with_scores(
@@ -48,17 +49,20 @@ def with_match(
     df: DataFrame, spec: SequenceSpec = SPEC, compare_to: str = "same"
 ) -> DataFrame:
     """``is_best_move``: the move equals the best move of the same row, or of the previous one."""
-    if compare_to == "same":
-        return df.withColumn("is_best_move", F.col(spec.move) == F.col(spec.best))
-    if compare_to != "previous":
-        raise ValueError(f"compare_to must be 'same' or 'previous', not {compare_to!r}")
-    return (
-        with_previous(df, spec, {"_previous_best": spec.best})
-        .withColumn("is_best_move", F.col(spec.move) == F.col("_previous_best"))
-        .drop("_previous_best")
+    other = _compared(spec, compare_to)
+    rows = df if other == spec.best else with_previous(df, spec, {other: spec.best})
+    return rows.withColumn("is_best_move", scoring.matches(spec.move, other)).select(
+        *df.columns, "is_best_move"
     )
 
 
+def _compared(spec: SequenceSpec, compare_to: str) -> str:
+    columns = {"same": spec.best, "previous": "_previous_best"}
+    if compare_to not in columns:
+        raise ValueError(f"compare_to must be 'same' or 'previous', not {compare_to!r}")
+    return columns[compare_to]
+
+
 def with_label(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:
     return df.withColumn("move_quality", scoring.label(spec.order, "is_best_move", "is_blunder"))
 
@@ -69,11 +73,24 @@ def build_features(
     compare_to: str = "same",
     threshold: int = scoring.JUMP_THRESHOLD,
 ) -> DataFrame:
-    """``position_features``: the input columns and six feature columns, row for row."""
-    columns = df.columns
-    featured = with_label(with_match(with_scores(df, spec, threshold), spec, compare_to), spec)
+    """``position_features``: the input columns and six feature columns, row for row.
+
+    All that is looked up in the previous row comes with one shuffle.
+    """
+    other = _compared(spec, compare_to)
+    look_back = {"_previous_score": "score_from_turn"}
+    if other != spec.best:
+        look_back[other] = spec.best
+    rows = _with_change(with_previous(with_turn_score(df, spec), spec, look_back))
+    featured = with_label(
+        rows.withColumns({
+            "is_blunder": scoring.is_jump("score_delta", threshold),
+            "is_best_move": scoring.matches(spec.move, other),
+        }),
+        spec,
+    )
     return featured.withColumn("search_text", scoring.position_text(spec)).select(
-        *columns,
+        *df.columns,
         "score_from_turn",
         "score_delta",
         "is_best_move",

@@ -194,8 +194,9 @@ def top_k(
     """``query_id, rank, id, distance``: the k nearest rows of ``corpus`` for each query.
 
     ``corpus`` has ``id, embedding``, ``queries`` has ``query_id, embedding``; with ``on`` a query
-    only meets rows with its own value of that column, which the result names too. Queries of up to ``query_bytes`` are sent to
-    all tasks and the corpus is not shuffled; beyond that both sides are cut into tiles.
+    only meets rows with its own value of that column, which the result names too. Queries of up to
+    ``query_bytes`` are sent to all tasks and the corpus is not shuffled; beyond that both sides are
+    cut into tiles.
     """
     left = _vectors(corpus, "id", "id", on)
     right = _vectors(queries, "query_id", "query_id", on)

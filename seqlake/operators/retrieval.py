@@ -12,6 +12,7 @@ from seqlake.functions.arrays import explode_with_place
 from seqlake.functions.text import CHUNK_CHARS, NO_TEXT, chunks, metadata_map, metadata_text, strip
 from seqlake.operators.embedding import embed
 from seqlake.operators.nearest import TOP_K, top_k
+from seqlake.session import shared_dir
 from seqlake.sources.tables import publish
 
 # The prompt, its numbered blocks, and the answer when nothing was found.
@@ -148,9 +149,11 @@ def ask(
 ) -> DataFrame:
     """From ``query_id, question`` to prompts: embed, search one collection, put the prompts together.
 
-    The embedder must be the one the collection was built with.
+    The embedder must be the one the collection was built with; ``collections`` is a published table.
     """
-    queries = embedder(questions.withColumn("collection", F.lit(collection)), "question")
+    # Cut here, or the questions would be embedded for each step of the search.
+    shared_dir(questions.sparkSession)
+    queries = embedder(questions.withColumn("collection", F.lit(collection)), "question").checkpoint()
     return build_prompts(questions, search(collections, queries, k))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.text import metadata_text
 from seqlake.operators import retrieval
-from seqlake.operators.embedding import embed, embed_with
+from seqlake.operators.embedding import embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k, top_k_approx
 from seqlake.operators.retrieval import ROUTES
 
@@ -122,6 +122,21 @@ def test_embedding_is_unit_length_and_follows_the_words(spark):
     assert np.allclose(rows[0], rows[1]) and rows[0] @ rows[2] < 0.5
 
 
+def test_rare_terms_weigh_more(spark):
+    texts = [("common rare",), ("common",), ("common",), ("rare",), ("common other",)]
+    df = spark.createDataFrame(texts, "t string")
+    asked = spark.createDataFrame([("common rare",)], "t string")
+
+    def closeness(weights):
+        pair, common, rare = (
+            np.array(embed(d, "t", weights=weights).first()["embedding"])
+            for d in (asked, df.filter("t = 'common'"), df.filter("t = 'rare'"))
+        )
+        return pair @ rare - pair @ common
+
+    assert closeness(term_weights(df, "t")) > closeness(None) + 0.1
+
+
 def test_model_gets_batches_and_is_loaded_once_per_task(spark):
     df = spark.createDataFrame([(n, None if n == 3 else f"text {n}") for n in range(70)], "n int, t string").coalesce(1)
     calls = spark.sparkContext.accumulator(0)
