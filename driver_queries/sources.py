@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from driver_queries.common import read, read_spread
 from driver_queries.silver import KIF_SQL, feed_records, kif_records
 from seqlake.operators.kif import parse_kif
-from seqlake.plans import flows
+from seqlake.plans import audits, flows
 from seqlake.session import scratch_path
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text
@@ -163,8 +163,8 @@ def s11(spark, folder):
     return publish(orders, table, path)
 
 
-def r1(spark, folder):
-    """All three flows over tables built from the given ones; the expectation counts."""
+def _run_flows(spark, folder):
+    """All three flows over tables built from the given ones."""
     base, name = scratch_path(spark, "flows"), uuid.uuid4().hex[:12]
     layers = Layers("landing", f"bronze_{name}", f"silver_{name}", f"gold_{name}", location=base)
     flows.create_schema(spark, layers, "bronze")
@@ -197,10 +197,22 @@ def r1(spark, folder):
     errors = [report.error for report in reports if report.error]
     if errors:
         raise RuntimeError("; ".join(errors))
+    return layers, reports
+
+
+def r1(spark, folder):
+    """The expectation counts of the flows."""
+    _, reports = _run_flows(spark, folder)
     counts = [report.expectations(spark) for report in reports]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def r1_audits(spark, folder):
+    """What the audits find in the tables of the flows."""
+    layers, _ = _run_flows(spark, folder)
+    return audits.audit_tables(spark, layers).filter(F.col("bad_rows") > 0)
+
+
 QUERIES = {
     "S1_typed_csv": s1,
     "S2_many_files": s2,
@@ -215,6 +227,7 @@ QUERIES = {
     "S10_export_csv": s10,
     "S11_publish": s11,
     "R1_flows": r1,
+    "R1_audits": r1_audits,
 }
 
 ORACLES = {
@@ -265,6 +278,19 @@ ORACLES = {
                regexp_replace(text, '[\\r\\n]+', '|', 'g') AS pv
         FROM conversations""",
     "S11_publish": "SELECT * FROM orders",
+    "R1_audits": """
+        WITH c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role,
+                          regexp_replace(text, '\\s+', ' ', 'g') AS sfen FROM conversations),
+        d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY game_id, turn ORDER BY sfen) = 1),
+        w AS (SELECT *, row_number() OVER g - 1 AS place, lag(sfen) OVER g AS before
+              FROM d WINDOW g AS (PARTITION BY game_id ORDER BY turn)),
+        found AS (
+          SELECT unnest(['positions', 'position_features', 'game_summary']) AS dataset, 'game_id null' AS "check",
+                 count(*) AS bad_rows FROM d WHERE game_id IS NULL
+          UNION ALL SELECT 'positions', 'sequence gaps', count(*) FROM w WHERE place != turn
+          UNION ALL SELECT 'positions', 'chain breaks', count(*) FROM w
+            WHERE CASE WHEN turn = 0 THEN sfen != role ELSE role != before END)
+        SELECT * FROM found WHERE bad_rows > 0""",
     "R1_flows": """
         WITH c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role FROM conversations),
         d AS (SELECT DISTINCT game_id, turn, role FROM c

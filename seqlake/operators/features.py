@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions import scoring
-from seqlake.operators.ordered import BUCKET, bucket_of, row_rank, with_previous
+from seqlake.operators.ordered import BUCKET, bucket_of, null_first, row_rank, with_previous
 from seqlake.spec import SequenceSpec
 
 SPEC = SequenceSpec()
@@ -103,7 +103,7 @@ def build_features(
 def final_score(spec: SequenceSpec = SPEC):
     """Aggregate: the last non-null score of the key."""
     return F.expr(
-        f"max_by(`{spec.score}`, `{spec.order}`) FILTER (WHERE `{spec.score}` IS NOT NULL)"
+        f"max_by(`{spec.score}`, {null_first(spec.order)}) FILTER (WHERE `{spec.score}` IS NOT NULL)"
     )
 
 
@@ -208,7 +208,7 @@ def summarise(
     if spec.one_bucket:
         return per_bucket.withColumnRenamed("series_json", "score_series_json")
 
-    place = F.coalesce("part", F.lit(-(2**63)))
+    place = F.expr(null_first("part"))
     return (
         _without_overlong(per_bucket, scored, spec, cell_rows)
         .groupBy(spec.key)
@@ -216,7 +216,9 @@ def summarise(
             F.min_by(spec.first_name, place).alias(spec.first_name),
             F.min_by(spec.second_name, place).alias(spec.second_name),
             F.max("total_moves").alias("total_moves"),
-            F.expr(f"max_by(`{final}`, part) FILTER (WHERE `{final}` IS NOT NULL)").alias(final),
+            F.expr(
+                f"max_by(`{final}`, {null_first('part')}) FILTER (WHERE `{final}` IS NOT NULL)"
+            ).alias(final),
             F.sum(first).alias(first),
             F.sum(second).alias(second),
             _joined_series().alias("score_series_json"),

@@ -47,9 +47,13 @@ def bucket_of(spec: SequenceSpec) -> Column:
     return F.expr(f"cast(`{spec.order}` as bigint) div {spec.bucket_rows}")
 
 
+def null_first(order: str) -> str:
+    """An integer column as an aggregate's order, in SQL: null comes first, as in a window."""
+    return f"coalesce(cast(`{order}` AS bigint), bigint('{-(2**63)}'))"
+
+
 def row_rank(spec: SequenceSpec) -> Column:
-    """The order as an aggregate sees it: a null order comes first, as in a window."""
-    return F.coalesce(F.col(spec.order).cast("bigint"), F.lit(-(2**63)))
+    return F.expr(null_first(spec.order))
 
 
 def with_halos(cut: DataFrame, halos: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> Da
 
     cut = df.withColumn(BUCKET, bucket_of(spec))
     tails = cut.groupBy(spec.key, BUCKET).agg(
-        F.expr(f"max_by(`{old}`, `{spec.order}`) FILTER (WHERE `{old}` IS NOT NULL)").alias(old)
+        F.expr(f"max_by(`{old}`, {null_first(spec.order)}) FILTER (WHERE `{old}` IS NOT NULL)").alias(old)
     )
     earlier = (
         Window.partitionBy(spec.key)

@@ -242,6 +242,10 @@ def test_null_order_comes_first_and_null_keys_are_one_key(spark):
     want = by_key(features.build_features(df, WHOLE), *FEATURES)
     assert want["G1", 0][1] == 3 and want[None, 9][1] == 3
     assert by_key(features.build_features(df, SPLIT), *FEATURES) == want
+    only_null = frame(spark, row(move_number=None, score_cp=7))
+    for spec in (WHOLE, SPLIT):
+        assert features.build_summary(only_null, spec).first()["final_score_cp"] == 7
+        assert by_key(with_last_known(df, spec, "out", "score_cp"), "out")["G1", None] == (7,)
 
 
 def test_a_long_key_is_no_single_window_partition(spark):

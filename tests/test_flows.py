@@ -4,10 +4,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.plans import flows
+from seqlake.plans import audits, flows
 from seqlake.session import scratch_path, shared_dir, spread
 from seqlake.sources.tables import append_bronze
-from seqlake.spec import EXPECTATIONS, POSITIONS_SCHEMA, Layers
+from seqlake.spec import EXPECTATIONS, POSITIONS_SCHEMA, Layers, SequenceSpec
 
 HEADER = ",".join(POSITIONS_SCHEMA.fieldNames())
 
@@ -58,6 +58,27 @@ def test_positions_flow(spark, layers, landing):
     assert report.expectations(spark).count() == 6
 
 
+def test_audits_of_the_flow_tables(spark, layers, landing):
+    flows.run(spark, "positions", layers, landing)
+    tables = ["positions", "position_features", "game_summary"]
+    rows = audits.audit_tables(spark, layers, tables, SequenceSpec(bucket_rows=2)).collect()
+    found = {(r["dataset"], r["check"]): r["bad_rows"] for r in rows}
+    assert {k: n for k, n in found.items() if n} == {
+        ("positions", "game_id null"): 1, ("positions", "move_number null"): 1, ("positions", "player not_in"): 1,
+        ("position_features", "game_id null"): 1, ("position_features", "move_number null"): 1,
+        ("game_summary", "game_id null"): 1, ("game_summary", "total_moves null"): 1,
+    }
+    for check in ("sequence gaps", "chain breaks", "inconsistent keys", "duplicate keys", "columns", "empty table"):
+        assert found["positions", check] == 0
+    assert found["position_features", "rows of the source"] == 0 and found["game_summary", "series"] == 0
+
+
+def test_audit_of_an_empty_table_with_a_column_too_many(spark):
+    df = spark.createDataFrame([], "strategy string, content string, source string, extra int")
+    found = {r["check"]: r["bad_rows"] for r in audits.audit(df, audits.AUDITS["joseki_knowledge"]).collect()}
+    assert found["columns"] == 1 and found["empty table"] == 1 and found["strategy null"] == 0
+
+
 def test_flow_runs_again_over_its_own_tables(spark, layers, landing):
     flows.run(spark, "positions", layers, landing)
     flows.run(spark, "positions", layers, landing)
