@@ -106,13 +106,15 @@ def audit(
     columns += [quality.is_empty(c) for c in rules.not_empty]
     columns += [quality.is_negative(c) for c in rules.not_negative]
     columns += [quality.not_in(c, values) for c, values in rules.one_of.items()]
+    columns.append(("empty", "table", F.lit(True)))
     per_column = quality.audit_columns(df, columns)
+    is_empty = (F.col("bad_rows") == 0).cast("bigint")
     parts = [
-        per_column.select(F.concat_ws(" ", "column", "rule").alias("check"), "bad_rows"),
-        _counted(quality.check_schema(df, rules.columns), "columns"),
-        df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("empty table").alias("check"), (F.col("n") == 0).cast("bigint").alias("bad_rows")
+        per_column.select(
+            F.concat_ws(" ", "column", "rule").alias("check"),
+            F.when(F.col("rule") == "table", is_empty).otherwise(F.col("bad_rows")).alias("bad_rows"),
         ),
+        _counted(quality.check_schema(df, rules.columns), "columns"),
     ]
     if rules.unique:
         parts.append(_counted(quality.duplicate_keys(df, rules.unique), "duplicate keys"))
