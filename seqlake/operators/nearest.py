@@ -235,10 +235,9 @@ def _buckets(dim: int, tables: int, bits: int, seed: int, probe: bool):
 def _split_hot(rows: DataFrame, tile_rows: int) -> DataFrame:
     """``_bucket, _tiles`` of the buckets with more than ``tile_rows`` rows."""
     sizes = rows.groupBy("_bucket").count().filter(F.col("count") > tile_rows)
-    # Each of them has over tile_rows rows, so there are at most rows / tile_rows.
-    return F.broadcast(
-        sizes.select("_bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("_tiles"))
-    )
+    hot = sizes.select("_bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("_tiles"))
+    hot = hot.checkpoint()
+    return F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
 
 
 def top_k_approx(
@@ -268,6 +267,7 @@ def top_k_approx(
         return df.withColumn("_bucket", F.explode_outer(buckets("embedding")))
 
     rows, probes = bucketed(left, False), bucketed(right, True)
+    shared_dir(corpus.sparkSession)
     # Rows of buckets nobody asks for stay where they are.
     asked = probes.select("_bucket").distinct()
     if right.count() * tables * (bits + 1) <= BROADCAST_BUCKETS:
@@ -293,7 +293,6 @@ def top_k_approx(
         k,
         on is not None,
     )
-    shared_dir(corpus.sparkSession)
     distinct = hits.groupBy("query_id", "_group", "id").agg(F.min("distance").alias("distance"))
     found = _named(_ranked(distinct, k).checkpoint(), queries, on)
     names = ["query_id", *([on] if on else [])]

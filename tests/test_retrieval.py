@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import metadata_text
-from seqlake.operators import retrieval
+from seqlake.operators import nearest, retrieval
 from seqlake.operators.embedding import embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k, top_k_approx
 from seqlake.operators.retrieval import ROUTES
@@ -83,7 +83,9 @@ def test_no_queries_null_vectors_and_text_ids(spark):
     assert sorted((r["query_id"], r["id"]) for r in asked.collect()) == [(n, f"v{n}") for n in range(5)]
 
 
-def test_approximate_search_finds_most_and_splits_hot_buckets(spark):
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_approximate_search_finds_most_and_splits_hot_buckets(spark, bound, monkeypatch):
+    monkeypatch.setattr(nearest, "BROADCAST_BUCKETS", bound)
     data = vectors(600, dim=16, seed=4, copies=200)
     queries = vectors(40, dim=16, seed=5)
     exact = brute(data, queries, 5)
