@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import common, language_id, packing, secret_scan, simhash_dedup, substring_dedup, toxicity
+from seqlake.llm import common, decontamination, language_id, packing, secret_scan, simhash_dedup, substring_dedup, toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, common.read(spark, folder, "labels")))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find(
+        common.read(spark, folder, "documents"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(common.read(spark, folder, "documents"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
 }
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_secret_scan": _op4_sql()}

@@ -125,3 +125,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each group: one with the smallest doc_id.
+
+    Rows without doc_id stay.
+    """
+    groups = near_duplicates(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    kept = rows.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(rows.filter("doc_id IS NULL")).select("row.*")
