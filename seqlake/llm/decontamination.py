@@ -26,6 +26,7 @@ of items with equal text each is reported; further columns are ignored by ``find
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +45,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 SHARD_POSTINGS = 500_000
-_EDGES = ".,;:!?()[]{}\"'`*_|"
+_EDGES = string.punctuation + "«»„“”‘’…¿¡–—"
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|a):\s", re.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?]\s+(?=\S)")
 
