@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import common, decontamination, language_id, packing, secret_scan, simhash_dedup, substring_dedup, toxicity
+from seqlake.llm import (
+    common, decontamination, hamming_search, html_extraction, language_id, packing, secret_scan, simhash_dedup,
+    substring_dedup, suffix_dedup, toxicity,
+)
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +40,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.main_text(common.read(spark, folder, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     rows = secret_scan.scan(common.read(spark, folder, "documents"))
     base = [number for number, rule in enumerate(secret_scan.RULES) if rule.base]
@@ -79,6 +86,28 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(common.read(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.repeats(common.read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_repeated", "n_removed")
+
+
+OP6_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS content
+  FROM texts, unnest(range(1, len(ws) - 48)) t(i)),
+found AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY content) AS low, max(doc_id) OVER (PARTITION BY content) AS high
+  FROM windows),
+covered AS (
+  SELECT doc_id, i + j AS i, bool_or(low < doc_id) AS later FROM found, range(50) r(j) WHERE low < high GROUP BY ALL)
+SELECT doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(*) AS n_repeated, count(*) FILTER (later) AS n_removed
+FROM covered JOIN texts USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.read(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, common.read(spark, folder, "labels")))
@@ -94,13 +123,38 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(common.read(spark, folder, "documents"))
 
 
+def op10_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows."""
+    codes = common.stored(hamming_search.sign_codes(common.read(spark, folder, "embeddings"), "vec_id", "embedding"), "codes")
+    return hamming_search.top_k(codes, codes.filter("id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id,
+         CAST(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: CAST((x[1] > 0) <> (x[2] > 0) AS INTEGER))) AS INTEGER) AS distance
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
     "op4_secret_scan": op4_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_hamming_search": op10_hamming_search,
+}
+ORACLES = {
+    "op1_substring_dedup": OP1_SQL,
+    "op4_secret_scan": _op4_sql(),
+    "op6_suffix_dedup": OP6_SQL,
+    "op10_hamming_search": OP10_SQL,
 }
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op4_secret_scan": _op4_sql()}
