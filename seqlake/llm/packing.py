@@ -41,8 +41,8 @@ END = 0
 NODES = 2000
 # Different words whose ids a worker keeps, for its later tasks too.
 CACHE_WORDS = 800_000
-# Pieces of one length that are numbered in one task.
-NUMBERED_ROWS = 20_000
+# Pieces of one length that are numbered together.
+NUMBERED_ROWS = 1000
 
 
 # Words of printable ASCII and Latin-1 letters, and how the tokenizer cuts them in lower case.
@@ -273,9 +273,9 @@ def assign(rows: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {row["length"]: row["n"] for row in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(bin_completion(histogram, size))
     keys = slots[:, 0] << 44 | slots[:, 1]
-    # Pieces of a common length are numbered in shares.
-    shares = 1 + max(histogram.values(), default=0) // NUMBERED_ROWS
-    dealt = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
+    # Pieces of a common length are numbered in shares; a share's first number is the sum of those before.
+    shares = F.element_at(F.lit([1 + histogram.get(n, 0) // NUMBERED_ROWS for n in range(1, size + 1)]), F.col("length").cast("int"))
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shares))
     inside = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")
     numbered = dealt.withColumn("number", F.row_number().over(inside) - 1)
     sizes = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
