@@ -25,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: worked out once, and safe from lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -201,10 +201,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
         .filter("low < high")
         .select("anchor")
     )
-    members = stored(runs.join(shared, "anchor"), "members")
+    # Grouped sides are written before they are joined: a join of plain shuffles splits hot keys.
+    members = stored(runs.join(stored(shared, "shared"), "anchor"), "members")
     classes = members.groupBy("anchor", "content").agg(
         F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one")
     )
+    classes = stored(classes, "classes")
     crowded = (
         classes.groupBy("anchor")
         .agg(F.sum(F.col("one.windows") + window - 1).alias("n"))
@@ -212,7 +214,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
         .select("anchor", F.lit(True).alias("crowded"))
     )
     wanted = (
-        classes.join(crowded, "anchor", "left")
+        classes.join(stored(crowded, "crowded"), "anchor", "left")
         .groupBy("one.doc_id", "one.text_key")
         .agg(
             F.collect_list(
@@ -242,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
         .agg(F.flatten(F.collect_set("spans")).alias("spans"))
     )
     return (
-        members.join(found, ["anchor", "content"])
+        members.join(stored(found, "found"), ["anchor", "content"])
         .select(
             "doc_id",
             "text_key",
