@@ -81,7 +81,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     repeated = windows.groupBy("hash").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
     extended = (
-        windows.join(repeated, "hash")
+        windows.join(stored(repeated, "repeated"), "hash")
         .groupBy("anchor", "content")
         .agg(F.collect_list(F.struct("offset", F.lit(1).alias("windows"), F.col("first").alias("doc_id"))).cast(_SPANS).alias("spans"))
     )
