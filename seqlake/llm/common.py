@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqlake.session import scratch_path, spread
 
 # A Python task works on so many bytes of text at a time (a longer text alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

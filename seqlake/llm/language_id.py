@@ -29,8 +29,8 @@ from seqlake.llm.common import slices
 
 BUCKETS = 4096
 CENTROIDS = 4
-TRAIN_DOCS = 1000
-TRAIN_TOTAL = 8000
+TRAIN_DOCS = 500
+TRAIN_TOTAL = 4000
 SLACK = 1.25
 FOLDS = 5
 UNKNOWN = "und"
@@ -169,7 +169,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_total: int = TRAI
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 counts, letters = ngram_counts(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(letters)],
@@ -178,10 +178,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_total: int = TRAI
 
     found = sample.select("lang", "text").mapInArrow(work, "lang string, counts binary, letters bigint").toArrow()
     found = found.filter(pa.compute.greater(found["letters"], 0))
-    order = sorted(range(len(found)), key=lambda i: (found["lang"][i].as_py(), found["counts"][i].as_py()))
-    counts = np.array([np.frombuffer(found["counts"][i].as_py(), np.float32) for i in order]).reshape(-1, BUCKETS)
-    letters = np.array([found["letters"][i].as_py() for i in order], np.int64)
-    return fit_vectors([found["lang"][i].as_py() for i in order], counts, letters)
+    rows = sorted(zip(found["lang"].to_pylist(), found["counts"].to_pylist(), found["letters"].to_pylist()))
+    counts = np.frombuffer(b"".join(row[1] for row in rows), np.float32).reshape(-1, BUCKETS)
+    return fit_vectors([row[0] for row in rows], counts, np.array([row[2] for row in rows], np.int64))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -189,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 names, score, rejected = model.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score),
@@ -210,7 +209,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 rejected = model.predict(batch.column("text").to_pylist())[2]
                 yield batch.filter(pa.array(~rejected))
 

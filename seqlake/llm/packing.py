@@ -40,7 +40,7 @@ END = 0
 # Branches looked at for one filling.
 NODES = 2000
 # Different words whose ids a worker keeps, for its later tasks too.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 # Pieces of one length that are numbered together.
 NUMBERED_ROWS = 1000
 
