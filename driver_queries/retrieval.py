@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
-from seqlake.operators.embedding import embed, embed_with, term_weights
+from seqlake.operators.embedding import embed, embed_with, term_weights, with_terms
 from seqlake.operators.nearest import top_k, top_k_approx
 from seqlake.operators.retrieval import Route
 
@@ -20,14 +20,17 @@ WORD_ROUTES = (
 
 
 def v1(spark, folder):
-    """By language: no text under three names, or the text with blanks around it."""
-    lang = F.col("lang")
-    text = (
-        F.when(lang == "de", F.lit(" None\n"))
-        .when(lang == "es", F.when(F.col("n_chars") > 300, "NaN").otherwise("  "))
-        .otherwise(F.concat(F.lit("\t "), "text", F.lit(" \n")))
-    )
-    return retrieval.clean_text(read_spread(spark, folder, "documents").select("doc_id", text.alias("text")), "text")
+    """Every text with blanks around it; beside it, rows that stand for no text under three names."""
+    documents = read_spread(spark, folder, "documents")
+    padded = documents.select("doc_id", F.concat(F.lit("\t "), "text", F.lit(" \n")).alias("text"))
+    junk = F.element_at(F.array(F.lit(" None\n"), F.lit("NaN"), F.lit("  ")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return retrieval.clean_text(padded.unionByName(documents.select("doc_id", junk.alias("text"))), "text")
+
+
+def v2_terms(spark, folder):
+    """What ``embed`` counts: words and pairs of words."""
+    rows = with_terms(read_spread(spark, folder, "documents"), "text")
+    return rows.select("doc_id", F.explode("_terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def v2(spark, folder):
@@ -100,16 +103,21 @@ def v5_recall(spark, folder):
 def _questions(spark, folder):
     """Each benchmark text asks with the vector of the same number."""
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
-    return read(spark, folder, "benchmark").join(vectors, "item_id").select(
+    return read(spark, folder, "benchmark").join(vectors, "item_id", "left").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question"), "embedding",
         F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"),
     )
 
 
+def _asked(questions):
+    """Those that have a vector to search with."""
+    return questions.filter(F.col("embedding").isNotNull())
+
+
 def _collections(spark, folder):
-    """One collection per label; label 3 is missing."""
+    """One collection per label."""
     number = F.col("vec_id").cast("string")
-    return read(spark, folder, "embeddings").filter(F.col("label") != 3).select(
+    return read(spark, folder, "embeddings").select(
         F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"),
         F.col("vec_id").alias("id"),
         F.concat(F.lit("vector "), number).alias("document"),
@@ -120,7 +128,7 @@ def _collections(spark, folder):
 
 def v6(spark, folder):
     questions = _questions(spark, folder)
-    hits = retrieval.search(_collections(spark, folder), questions, k=3)
+    hits = retrieval.search(_collections(spark, folder), _asked(questions), k=3)
     prompts = retrieval.build_prompts(questions, hits)
     return prompts.select("query_id", "prompt", "answer", F.array_join("documents", "|").alias("documents"))
 
@@ -145,12 +153,14 @@ def v6_ask(spark, folder):
 def v7(spark, folder):
     """Every question goes to a collection that does not exist."""
     questions = _questions(spark, folder).withColumn("collection", F.lit("absent"))
-    prompts = retrieval.build_prompts(questions, retrieval.search(_collections(spark, folder), questions))
+    prompts = retrieval.build_prompts(questions, retrieval.search(_collections(spark, folder), _asked(questions)))
     return prompts.select("query_id", "prompt", "answer", F.size("documents").alias("documents"))
 
 
 def v8(spark, folder):
-    hits = retrieval.search(_collections(spark, folder), _questions(spark, folder))
+    """The collection of label 3 is missing."""
+    collections = _collections(spark, folder).filter("collection != 'label3'")
+    hits = retrieval.search(collections, _asked(_questions(spark, folder)))
     return hits.select("query_id", "collection", "rank", "text", F.col("metadata")["label"].alias("label"), "distance")
 
 
@@ -165,7 +175,7 @@ def v9_search(spark, folder):
     english = every.filter(F.col("collection") < "label5").withColumn("collection", F.lit("english"))
     french = every.filter(F.col("collection") >= "label5").withColumn("collection", F.lit("french"))
     collections = every.withColumn("collection", F.lit("all")).unionByName(english).unionByName(french)
-    questions = _questions(spark, folder).drop("collection")
+    questions = _asked(_questions(spark, folder)).drop("collection")
     routed = retrieval.route(questions, "question", WORD_ROUTES)
     hits = retrieval.search(collections, routed, k=3)
     return hits.select("query_id", "collection", "rank", "text", "distance")
@@ -194,15 +204,16 @@ TOP_K_SQL = "WITH" + PAIRS_SQL.format(
 QUESTIONS_SQL = """
 questions AS (
   SELECT b.item_id, b.text, CAST(e.embedding AS DOUBLE[]) AS e, e.label
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+  FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id),
 """
 HITS_SQL = "WITH" + QUESTIONS_SQL + PAIRS_SQL.format(
     query="q.item_id", columns="q.label, ", vector="q.e", queries="questions q",
-    on="q.label = c.label AND c.label != 3", partition="query_id",
+    on="q.label = c.label", partition="query_id",
 )
 
 QUERIES = {
     "V1_clean_text": v1,
+    "V2_terms": v2_terms,
     "V2_embed": v2,
     "V2_embed_weighted": v2_weighted,
     "V2_embed_with_model": v2_model,
@@ -223,7 +234,14 @@ QUERIES = {
 ORACLES = {
     "V1_clean_text": """
         SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents
-        WHERE lang NOT IN ('de', 'es')""",
+        """,
+    "V2_terms": """
+        WITH texts AS (
+          SELECT doc_id, regexp_extract_all(lower(text), '\\p{Han}|\\p{Hiragana}|\\p{Katakana}|[\\p{L}\\p{N}]+') AS w FROM documents),
+        terms AS (
+          SELECT doc_id, unnest(w) AS term FROM texts
+          UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM texts, unnest(range(1, len(w))) t(i))
+        SELECT doc_id, term, count(*) AS n FROM terms GROUP BY ALL""",
     "V2_embed_with_model": "SELECT doc_id, "
     + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS INTEGER) AS n_{c}" for c in "abcdefgh")
     + " FROM documents",
@@ -257,7 +275,7 @@ ORACLES = {
     "V7_no_hits": """
         SELECT item_id AS query_id, CAST(NULL AS VARCHAR) AS prompt,
                '関連する情報が見つかりませんでした。' AS answer, 0 AS documents
-        FROM benchmark JOIN embeddings ON item_id = vec_id""",
+        FROM benchmark""",
     "V6_prompts": HITS_SQL + """,
         blocks AS (
           SELECT query_id,
@@ -275,7 +293,7 @@ ORACLES = {
     "V8_search": HITS_SQL + """
         SELECT query_id, 'label' || label AS collection, rank, 'vector ' || id AS text,
                CAST(label AS VARCHAR) AS label, distance
-        FROM ranked WHERE rank <= 5""",
+        FROM ranked WHERE rank <= 5 AND label != 3""",
     "V9_route": """
         SELECT doc_id, 'all' AS collection, 3 AS hits FROM documents
         UNION ALL SELECT doc_id, 'english', 2 FROM documents WHERE regexp_matches(text, 'the |with ')
@@ -288,14 +306,14 @@ ORACLES = {
           UNION ALL SELECT *, 'french', 2 FROM questions WHERE regexp_matches(text, 'le |eau')),
         """ + PAIRS_SQL.format(
             query="q.item_id", columns="q.collection, q.hits, ", vector="q.e", queries="routed q",
-            on="c.label != 3 AND (q.collection = 'all' OR (q.collection = 'english') = (c.label < 5))",
+            on="q.e IS NOT NULL AND (q.collection = 'all' OR (q.collection = 'english') = (c.label < 5))",
             partition="query_id, collection",
         ) + "SELECT query_id, collection, rank, 'vector ' || id AS text, distance FROM ranked WHERE rank <= hits",
     "V10_chunk": """
         WITH lines AS (
           SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\r+$', '')) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-        body AS (SELECT * FROM lines WHERE line != '' AND (length(line) > 30 OR regexp_matches(line, '[。．！？.!?]'))),
+        body AS (SELECT * FROM lines WHERE line != '' AND NOT regexp_matches(line, '^(=+[^=]|#+ )')),
         pieces AS (
           SELECT doc_id, n, p, substr(line, CAST(p * 500 + 1 AS BIGINT), 500) AS content
           FROM (SELECT *, unnest(range(0, (length(line) - 1) // 500 + 1)) AS p FROM body)),

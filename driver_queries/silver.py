@@ -10,8 +10,9 @@ from driver_queries.common import TURNS, TURNS_SQL, read, read_spread, turns
 from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import explode_record
-from seqlake.operators.replay import RunningTotal, fold_per_key, replay_records
+from seqlake.operators.replay import RunningTotal, fold_per_key
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
+from seqlake.spec import INITIAL_SFEN
 
 LIMIT = 1_500
 
@@ -95,27 +96,17 @@ plies AS (
   SELECT *, CAST(i + 1 AS INTEGER) AS move_number, CASE WHEN back THEN away || home ELSE home || away END AS move_usi
   FROM squares)
 """
-BOARD_SQL = """,
-rooks AS (
-  SELECT *, CASE WHEN back THEN CASE WHEN i % 2 = 0 THEN 2 ELSE 8 END
-                 WHEN i % 2 = 0 THEN 3 + s ELSE 7 - s END AS own FROM plies),
-files AS (
-  SELECT *, CASE WHEN i % 2 = 0 THEN own ELSE lag(own) OVER w END AS black_file,
-         CASE WHEN i % 2 = 1 THEN own ELSE coalesce(lag(own) OVER w, 8) END AS white_file
-  FROM rooks WINDOW w AS (PARTITION BY game_id ORDER BY i)),
-boards AS (
-  SELECT *, 'lnsgkgsnl/' || CAST(9 - white_file AS VARCHAR) || 'r'
-         || CASE WHEN white_file > 3 THEN CAST(white_file - 3 AS VARCHAR) ELSE '' END || 'b1'
-         || '/ppppppppp/9/9/9/PPPPPPPPP/1B'
-         || CASE WHEN black_file < 7 THEN CAST(7 - black_file AS VARCHAR) ELSE '' END || 'R'
-         || CAST(black_file - 1 AS VARCHAR) || '/LNSGKGSNL '
-         || CASE WHEN move_number % 2 = 1 THEN 'w' ELSE 'b' END || ' - ' || CAST(move_number + 1 AS VARCHAR) AS sfen
-  FROM files)
-"""
-
-
-def replayed(spark, folder):
-    return replay_records(kif_records(spark, folder), "game_id", "body")
+# Moves with the state before them, what is said of them and which fail: plain, capture by a promoted
+# piece, promotion, drop, king, an empty origin, text that is no move.
+STATED_MOVES = (
+    ("2g2f", INITIAL_SFEN, "2六歩"),
+    ("8h2b+", "lnsgkgsnl/1r5b1/pppppp1pp/6p2/9/2P6/PP1PPPPPP/1B5R1/LNSGKGSNL b - 3", "2二角成"),
+    ("P*5e", INITIAL_SFEN, "5五歩打"),
+    ("1a1b", "8+r/9/9/9/9/9/9/9/9 b - 1", "1二龍"),
+    ("5i5h", INITIAL_SFEN, "5八玉"),
+    ("5e5d", INITIAL_SFEN, None),
+    ("xxxx", INITIAL_SFEN, None),
+)
 
 
 def t1(spark, folder):
@@ -127,9 +118,9 @@ def t2(spark, folder):
 
 
 def t3(spark, folder):
-    """Each document text comes in several copies; the newest by id is the article."""
+    """Some texts come in several copies; one row of each is the article."""
     raw = read(spark, folder, "documents").select(
-        F.substring("text", 1, 20).alias("strategy"),
+        F.col("text").alias("strategy"),
         F.col("text").alias("raw_content"),
         F.col("n_chars").alias("fetched_at"),
         "source",
@@ -151,10 +142,6 @@ def t6_running(spark, folder):
     )
 
 
-def t6_replay(spark, folder):
-    return replayed(spark, folder)
-
-
 def t7(spark, folder):
     """A log line per event; the log is that of the user."""
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
@@ -182,8 +169,11 @@ def t8(spark, folder):
 
 
 def t9(spark, folder):
-    moves = replayed(spark, folder).filter(F.col("move_number") > 0)
-    return with_japanese(moves, "move_usi", "prev_sfen").select("game_id", "move_number", "text", "error")
+    """Each turn stands for one of the stated moves, by its number."""
+    cases = F.array(*[F.struct(F.lit(m).alias("move"), F.lit(state).alias("state")) for m, state, _ in STATED_MOVES])
+    case = F.element_at(cases, ((F.col("conv_id") + F.col("turn")) % len(STATED_MOVES) + 1).cast("int"))
+    moves = read(spark, folder, "conversations").select("conv_id", "turn", case.alias("case")).select("conv_id", "turn", "case.*")
+    return with_japanese(moves, "move", "state").select("conv_id", "turn", "text", "error")
 
 
 QUERIES = {
@@ -192,7 +182,6 @@ QUERIES = {
     "T3_rename": t3,
     "T4_explode_record": t4,
     "T6_running_fold": t6_running,
-    "T6_replay_positions": t6_replay,
     "T7_engine_log": t7,
     "T8_attach_analysis": t8,
     "T9_usi_to_japanese": t9,
@@ -205,25 +194,14 @@ ORACLES = {
         SELECT * FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "T3_rename": """
-        SELECT substr(text, 1, 20) AS strategy, text AS content, source FROM documents
-        QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 20)
+        SELECT text AS strategy, text AS content, source FROM documents
+        QUALIFY row_number() OVER (PARTITION BY text
                                    ORDER BY n_chars DESC, text DESC, source DESC) = 1""",
     "T4_explode_record": "WITH" + FEED_SQL + "SELECT * FROM feed",
     "T6_running_fold": "WITH" + TURNS_SQL + f""",
         sums AS (SELECT conv_id, turn, score, CAST(sum(score) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS after
                  FROM turns)
         SELECT conv_id, turn, after - score AS before, after FROM sums WHERE after <= {LIMIT}""",
-    "T6_replay_positions": "WITH" + KIF_SQL + BOARD_SQL + """
-        SELECT game_id, move_number, move_usi, black_player, white_player, sfen,
-               coalesce(lag(sfen) OVER (PARTITION BY game_id ORDER BY move_number),
-                 'lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1') AS prev_sfen,
-               CASE WHEN move_number % 2 = 1 THEN 'black' ELSE 'white' END AS player
-        FROM boards
-        UNION ALL
-        SELECT concat(conv_id, '-', turn), 0, '', CAST(conv_id AS VARCHAR), role,
-               'lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1',
-               'lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1', 'black'
-        FROM conversations""",
     "T7_engine_log": """
         WITH infos AS (
           SELECT user_id, max_by(event_type, event_id) AS kind, max(event_id) AS n FROM events
@@ -242,9 +220,11 @@ ORACLES = {
         SELECT o.*, a.lines, a.last_line FROM orders o JOIN (
           SELECT l_orderkey, count(*) AS lines, max(l_linenumber) AS last_line FROM lineitem GROUP BY l_orderkey) a
         ON o.o_orderkey = a.l_orderkey""",
-    "T9_usi_to_japanese": "WITH" + KIF_SQL + """
-        SELECT game_id, move_number, CAST(NULL AS VARCHAR) AS error,
-               CASE WHEN back THEN substr(home, 1, 1) ELSE substr(away, 1, 1) END
-               || CASE WHEN i % 2 = 0 THEN '八' ELSE '二' END || '飛' AS text
-        FROM plies""",
+    "T9_usi_to_japanese": f"""
+        SELECT conv_id, turn,
+               CASE (conv_id + turn) % {len(STATED_MOVES)} {' '.join(
+                   f"WHEN {n} THEN {'NULL' if text is None else repr(text)}" for n, (_, _, text) in enumerate(STATED_MOVES))} END AS text,
+               CASE (conv_id + turn) % {len(STATED_MOVES)} {' '.join(
+                   f"WHEN {n} THEN {repr(move)}" for n, (move, _, text) in enumerate(STATED_MOVES) if text is None)} END AS error
+        FROM conversations""",
 }

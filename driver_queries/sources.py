@@ -123,10 +123,10 @@ def _cp932(text: pd.Series) -> pd.Series:
 
 
 def s8(spark, folder):
-    """English texts are turned to kana and written in CP932, the others in UTF-8."""
-    kana = F.translate(F.regexp_replace("text", r"[^\x00-\x7f]", ""), LETTERS, KANA)
+    """English texts in ASCII are turned to kana and written in CP932, the others in UTF-8."""
+    plain = (F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7f]*$")
     content = F.coalesce(
-        _cp932(F.when(F.col("lang") == "en", kana)), F.col("text").cast("binary")
+        _cp932(F.when(plain, F.translate("text", LETTERS, KANA))), F.col("text").cast("binary")
     )
     return read_spread(spark, folder, "documents").select("doc_id", decode_text(content).alias("text"))
 
@@ -262,8 +262,8 @@ ORACLES = {
                CAST(max(length(text)) AS INTEGER) AS chars
         FROM documents WHERE lang != 'de' GROUP BY doc_id, source""",
     "S8_mixed_encodings": f"""
-        SELECT doc_id, CASE WHEN lang = 'en'
-               THEN translate(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'), '{LETTERS}', '{KANA}')
+        SELECT doc_id, CASE WHEN lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')
+               THEN translate(text, '{LETTERS}', '{KANA}')
                ELSE text END AS text FROM documents""",
     "S9_parse_kif": "WITH" + KIF_SQL + """
         SELECT game_id, move_number, move_usi, black_player, white_player FROM plies

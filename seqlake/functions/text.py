@@ -15,8 +15,7 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 CHUNK_CHARS = 500
-HEADING_CHARS = 30
-SENTENCE_END = "[。．！？.!?]"
+HEADING_MARK = "^(=+[^=]|#+ )"
 
 
 def strip(text: Column | str) -> Column:
@@ -32,12 +31,12 @@ def tokens(text: Column | str) -> Column:
 def chunks(text: Column | str, max_chars: int = CHUNK_CHARS) -> Column:
     """The paragraphs of a text, cut after ``max_chars``; blank and heading lines are dropped.
 
-    A heading is a line of at most 30 characters without the end of a sentence.
+    A heading is a line that begins with its mark: ``==`` or ``#`` and a blank.
     """
     lines = F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(line, r"\r+$", "")))
     body = F.filter(
         lines,
-        lambda line: (line != "") & ((F.length(line) > HEADING_CHARS) | line.rlike(SENTENCE_END)),
+        lambda line: (line != "") & ~line.rlike(HEADING_MARK),
     )
     piece = F.lit(f"(?s).{{1,{max_chars}}}")
     return F.flatten(F.transform(body, lambda line: F.regexp_extract_all(line, piece, F.lit(0))))

@@ -49,13 +49,17 @@ def embed_with(
     return df.mapInArrow(run, schema)
 
 
-def _counted(df: DataFrame, text: str, dimensions: int) -> DataFrame:
+def with_terms(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_words`` and ``_terms``: the words of the text, then each two that follow each other."""
     words = tokens(F.coalesce(F.col(text), F.lit("")))
-    pairs = F.transform(
-        F.arrays_zip(F.col("_words"), F.expr("slice(_words, 2, size(_words))").alias("_next")),
-        lambda pair: F.concat_ws(" ", pair["_words"], pair["_next"]),
-    )
-    tokenised = df.withColumn("_words", words).withColumn("_terms", F.concat("_words", pairs))
+    before_last = F.expr("slice(_words, 1, greatest(size(_words) - 1, 0))")
+    behind_first = F.expr("slice(_words, 2, greatest(size(_words) - 1, 0))")
+    pairs = F.zip_with(before_last, behind_first, lambda one, two: F.concat_ws(" ", one, two))
+    return df.withColumn("_words", words).withColumn("_terms", F.concat("_words", pairs))
+
+
+def _counted(df: DataFrame, text: str, dimensions: int) -> DataFrame:
+    tokenised = with_terms(df, text)
     return HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=dimensions).transform(tokenised)
 
 

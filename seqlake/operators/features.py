@@ -10,8 +10,6 @@ from seqlake.operators.ordered import BUCKET, bucket_of, null_first, row_rank, w
 from seqlake.spec import SequenceSpec
 
 SPEC = SequenceSpec()
-# A cell holds at most 2 GiB; a series entry takes some 40 bytes of JSON.
-SERIES_CELL_ROWS = 10_000_000
 
 
 def with_turn_score(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:
@@ -138,52 +136,32 @@ def series_parts(
     )
 
 
-def _without_overlong(
-    parts: DataFrame, df: DataFrame, spec: SequenceSpec, cell_rows: int
-) -> DataFrame:
-    """Null the JSON of keys that have more than ``cell_rows`` rows, before it is shuffled."""
-    overlong = df.groupBy(spec.key).count().filter(F.col("count") > cell_rows)
-    # Each of these keys has over cell_rows rows, so there are few at any size of the table.
-    overlong = F.broadcast(overlong.select(F.col(spec.key).alias("_key"), "count"))
-    return (
-        parts.join(overlong, F.col(spec.key).eqNullSafe(F.col("_key")), "left")
-        .withColumn("series_json", F.when(F.col("count").isNull(), F.col("series_json")))
-        .drop("_key", "count")
-    )
-
-
 def _joined_series():
-    """Aggregate: the JSON arrays of the parts as one array; null when they were nulled."""
+    """Aggregate: the JSON arrays of the parts as one array."""
     inner = F.expr("substr(series_json, 2, length(series_json) - 2)")
     texts = F.transform(
         F.sort_array(F.collect_list(F.struct("part", inner.alias("text")))), lambda p: p["text"]
     )
-    array = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-    return F.when(F.count("series_json") > 0, array)
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
 def series_json(
-    df: DataFrame,
-    spec: SequenceSpec = SPEC,
-    keep_nulls: bool = False,
-    cell_rows: int = SERIES_CELL_ROWS,
+    df: DataFrame, spec: SequenceSpec = SPEC, keep_nulls: bool = False
 ) -> DataFrame:
-    """One JSON array per key.
+    """One JSON array per key, whole; if a cell cannot hold it, Spark fails.
 
-    A series too long for one cell is null here; ``series_parts`` holds it whole.
+    ``series_parts`` holds a series of any length.
     """
     if spec.one_bucket:
         per_key = df.groupBy(spec.key).agg(_entries(spec).alias("_entries"))
         return per_key.select(spec.key, _as_json("_entries", keep_nulls).alias("score_series_json"))
-    parts = _without_overlong(series_parts(df, spec, keep_nulls), df, spec, cell_rows)
-    return parts.groupBy(spec.key).agg(_joined_series().alias("score_series_json"))
+    return series_parts(df, spec, keep_nulls).groupBy(spec.key).agg(_joined_series().alias("score_series_json"))
 
 
 def summarise(
     scored: DataFrame,
     spec: SequenceSpec = SPEC,
     keep_nulls: bool = False,
-    cell_rows: int = SERIES_CELL_ROWS,
 ) -> DataFrame:
     """``game_summary`` from rows that already carry ``is_blunder``.
 
@@ -210,8 +188,7 @@ def summarise(
 
     place = F.expr(null_first("part"))
     return (
-        _without_overlong(per_bucket, scored, spec, cell_rows)
-        .groupBy(spec.key)
+        per_bucket.groupBy(spec.key)
         .agg(
             F.min_by(spec.first_name, place).alias(spec.first_name),
             F.min_by(spec.second_name, place).alias(spec.second_name),
@@ -231,11 +208,10 @@ def build_summary(
     spec: SequenceSpec = SPEC,
     threshold: int = scoring.JUMP_THRESHOLD,
     keep_nulls: bool = False,
-    cell_rows: int = SERIES_CELL_ROWS,
 ) -> DataFrame:
     """``game_summary``: names, length, last score, jumps per actor and the score series."""
     scored = with_scores(df, spec, threshold, keep_bucket=True)
-    return summarise(scored, spec, keep_nulls, cell_rows)
+    return summarise(scored, spec, keep_nulls)
 
 
 def build_feed_features(df: DataFrame, spec: SequenceSpec = SPEC) -> DataFrame:

@@ -25,7 +25,7 @@ def explode_record(df: DataFrame, key: str, body: str) -> DataFrame:
 
     A move is a line that starts with ``+`` or ``-`` and has more text. The actor alternates and
     does not follow the sign; the first move has number 0. Every row carries the initial state,
-    because the moves are not played out here (see ``replay``).
+    because the moves are not played out.
     """
     lines = F.col("_lines")
     moves = F.filter(

@@ -8,8 +8,6 @@ in parallel. Rows stream through sorted partitions, so no key or bucket is ever
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -19,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators.kif import parse_kif
 from seqlake.operators.ordered import BUCKET, HALO, bucket_of, with_halos
-from seqlake.spec import INITIAL_SFEN, SequenceSpec
+from seqlake.spec import SequenceSpec
 
 BEFORE, AFTER = "_before", "_after"
 _KEY, _ORDER, _VALUE, _START = "_key", "_at", "_value", "_start"
@@ -129,14 +126,12 @@ def _starts(fold: Fold):
 
 
 def fold_per_key(
-    df: DataFrame, spec: SequenceSpec, value: str, fold: Fold, in_place: bool = False
+    df: DataFrame, spec: SequenceSpec, value: str, fold: Fold
 ) -> DataFrame:
     """``df`` with ``_before`` and ``_after``: the state around each row of its key.
 
     The order counts from 0 without gaps; rows without one are left out. The first row that cannot
-    be applied ends its key: that row and all later ones are left out too. ``in_place`` is for rows
-    that already lie together by key and in order, as exploding a record leaves them: they are
-    played without a shuffle.
+    be applied ends its key: that row and all later ones are left out too.
     """
     states = [T.StructField(name, T.StringType()) for name in (BEFORE, AFTER)]
     shape = T.StructType([*df.schema.fields, *states])
@@ -152,12 +147,6 @@ def fold_per_key(
     # than their size suggests.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    if in_place:
-        lying = rows.withColumns(
-            {BUCKET: F.lit(0).cast("bigint"), HALO: F.lit(False), _START: F.lit(None).cast("string")}
-        )
-        return lying.mapInArrow(_play(fold, keep_stop=False), shape)
-
     def played(part: DataFrame, starts: DataFrame | None, keep_stop: bool) -> DataFrame:
         if starts is None:
             part = part.withColumns({HALO: F.lit(False), _START: F.lit(None).cast("string")})
@@ -224,189 +213,3 @@ class RunningTotal:
 
     def resume(self, state, summary):
         return str(int(state) + int(summary))
-
-
-# Fixed values of the notation: hand order, pieces that promote, and the form of a move.
-HAND_ORDER = "RBGSNLPrbgsnlp"
-PROMOTING = "PLNSBR"
-USI_MOVE = re.compile(r"([PLNSGBR])\*([1-9][a-i])|([1-9][a-i])([1-9][a-i])(\+?)")
-
-
-def _square(text: str) -> int:
-    return (ord(text[1]) - ord("a")) * 9 + 9 - int(text[0])
-
-
-def _owned(kind: str, by_first: bool) -> str:
-    return kind if by_first else kind.lower()
-
-
-def _kind(piece: str) -> str:
-    return piece[-1].upper()
-
-
-def _rank_text(cells: list[str | None]) -> str:
-    text = "".join([piece or "1" for piece in cells])
-    for length in range(9, 1, -1):
-        text = text.replace("1" * length, str(length))
-    return text
-
-
-@dataclass
-class _Board:
-    cells: list[str | None]
-    hands: dict[str, int]
-    ranks: list[str]
-    hand: str = ""
-
-    @classmethod
-    def read(cls, sfen: str) -> _Board:
-        ranks, _, hand, _ = sfen.split(" ")
-        cells: list[str | None] = []
-        for token in re.findall(r"\d|\+?[A-Za-z]", ranks):
-            cells += [None] * int(token) if token.isdigit() else [token]
-        hands = dict.fromkeys(HAND_ORDER, 0)
-        for count, piece in re.findall(r"(\d*)([A-Za-z])", hand):
-            hands[piece] = int(count or 1)
-        board = cls(cells, hands, ranks.split("/"))
-        board.hold()
-        return board
-
-    def hold(self, piece: str | None = None, change: int = 0) -> None:
-        if piece is not None:
-            self.hands[piece] += change
-        held = [(self.hands[p], p) for p in HAND_ORDER if self.hands[p] > 0]
-        self.hand = "".join([f"{n}{p}" if n > 1 else p for n, p in held]) or "-"
-
-    def text(self, order: int) -> str:
-        return f"{'/'.join(self.ranks)} {'w' if order % 2 else 'b'} {self.hand} {order + 1}"
-
-    def put(self, square: int, piece: str | None) -> None:
-        self.cells[square] = piece
-        rank = square // 9
-        self.ranks[rank] = _rank_text(self.cells[rank * 9:rank * 9 + 9])
-
-    def push(self, move: str, by_first: bool) -> bool:
-        """Play a move; False, with nothing changed, if it cannot be applied."""
-        form = USI_MOVE.fullmatch(move or "")
-        if not form:
-            return False
-        dropped, drop_to, origin, target, plus = form.groups()
-        to = _square(drop_to or target)
-        if dropped:
-            piece = _owned(dropped, by_first)
-            if self.hands[piece] <= 0:
-                return False
-            self.hold(piece, -1)
-        else:
-            moved = self.cells[_square(origin)]
-            if moved is None or (plus and (moved[0] == "+" or _kind(moved) not in PROMOTING)):
-                return False
-            promoted = "+" if plus or moved[0] == "+" else ""
-            piece = promoted + _owned(_kind(moved), by_first)
-            self.put(_square(origin), None)
-        taken = self.cells[to]
-        if taken is not None and _kind(taken) != "K":
-            self.hold(_owned(_kind(taken), by_first), 1)
-        self.put(to, piece)
-        return True
-
-
-@dataclass(frozen=True)
-class BoardFold:
-    """The position after each move; moves alternate, and the first one has order 1.
-
-    A move cannot be applied when its text is no move, its origin is empty, its piece does not
-    promote or the dropped piece is not in hand. Other rules of the game are not checked.
-    """
-
-    start: str = INITIAL_SFEN
-
-    def open(self, state):
-        return _Board.read(state)
-
-    def step(self, state, order, value):
-        if order > 0 and not state.push(value, order % 2 == 1):
-            return None
-        return state.text(order)
-
-    def summary(self, rows):
-        """Changed squares, pieces taken and hands, in terms of what the squares held before.
-
-        A square holds None, or (what, promoted, owner), where ``what`` is a piece or the number
-        of the square it came from.
-        """
-        cells: dict[int, tuple | None] = {}
-        hands: dict[str, int] = {}
-        taken: list[tuple[int, bool]] = []
-        last = 0
-        for order, move in rows:
-            last = order
-            form = USI_MOVE.fullmatch(move or "")
-            if order <= 0 or not form:
-                continue
-            by_first = order % 2 == 1
-            dropped, drop_to, origin, target, plus = form.groups()
-            to = _square(drop_to or target)
-            if dropped:
-                piece = (dropped, False, by_first)
-                hands[_owned(dropped, by_first)] = hands.get(_owned(dropped, by_first), 0) - 1
-            else:
-                here = _square(origin)
-                moved = cells.get(here, (here, False, None))
-                if moved is None:
-                    continue
-                piece = (moved[0], moved[1] or bool(plus), by_first)
-                cells[here] = None
-            hit = cells.get(to, (to, False, None))
-            if hit is not None and isinstance(hit[0], int):
-                taken.append((hit[0], by_first))
-            elif hit is not None:
-                hands[_owned(hit[0], by_first)] = hands.get(_owned(hit[0], by_first), 0) + 1
-            cells[to] = piece
-        return json.dumps([last, sorted(cells.items()), hands, taken])
-
-    def resume(self, state, summary):
-        last, cells, hands, taken = json.loads(summary)
-        board = _Board.read(state)
-        before = list(board.cells)
-        for piece, change in hands.items():
-            board.hold(piece, change)
-        for square, by_first in taken:
-            if before[square] is not None and _kind(before[square]) != "K":
-                board.hold(_owned(_kind(before[square]), by_first), 1)
-        for square, held in cells:
-            piece = None
-            if held is not None:
-                what, promoted, by_first = held
-                source = before[what] if isinstance(what, int) else what
-                if source is not None:
-                    mark = "+" if promoted or source[0] == "+" else ""
-                    piece = mark + _owned(_kind(source), by_first)
-            board.put(square, piece)
-        return board.text(last)
-
-
-def replay_records(records: DataFrame, key: str, body: str) -> DataFrame:
-    """Positions of each game record in KIF notation; ``key`` must be unique.
-
-    A record is played where it lies: from texts to positions nothing is shuffled.
-    """
-    return replay_positions(parse_kif(records, key, body), SequenceSpec(key=key), in_place=True)
-
-
-def replay_positions(
-    moves: DataFrame, spec: SequenceSpec | None = None, in_place: bool = False
-) -> DataFrame:
-    """Positions of each game: ``sfen`` after and ``prev_sfen`` before each move, and the player.
-
-    ``moves`` has row 0 with an empty move per game, as ``parse_kif`` gives it.
-    """
-    spec = spec or SequenceSpec()
-    folded = fold_per_key(moves, spec, spec.move, BoardFold(), in_place)
-    return folded.withColumns({
-        spec.state: F.col(AFTER),
-        spec.prev_state: F.col(BEFORE),
-        spec.actor: F.when(F.col(spec.order) % 2 == 0, spec.second_actor).otherwise(spec.first_actor),
-    }).withColumn(
-        spec.actor, F.when(F.col(spec.order) == 0, spec.first_actor).otherwise(F.col(spec.actor))
-    ).drop(AFTER, BEFORE)

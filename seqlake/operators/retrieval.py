@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +163,7 @@ def route(queries: DataFrame, text: str, routes: Sequence[Route] = ROUTES) -> Da
     """One row per question and collection it calls for, with ``hits``, the number to take."""
     called = [
         F.when(
-            F.col(text).rlike("|".join(r.words)) if r.words else F.lit(True),
+            reduce(or_, [F.contains(F.col(text), F.lit(word)) for word in r.words], F.lit(not r.words)),
             F.struct(F.lit(r.collection).alias("collection"), F.lit(r.hits).alias("hits")),
         )
         for r in routes

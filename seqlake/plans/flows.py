@@ -99,23 +99,33 @@ def create_schema(spark: SparkSession, layers: Layers, layer: str) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layers.schema(layer)}{where}")
 
 
-def run(spark: SparkSession, flow: str, layers: Layers, source: str) -> FlowReport:
-    """Run one flow; ``source`` is its landing path or its Bronze table. Errors are raised."""
+def run(
+    spark: SparkSession, flow: str, layers: Layers, source: str, report: FlowReport | None = None
+) -> FlowReport:
+    """Run one flow; ``source`` is its landing path or its Bronze table. Errors are raised.
+
+    ``report``, if given, holds what was done even if an error ends the flow.
+    """
     for layer in ("silver", "gold"):
         create_schema(spark, layers, layer)
-    report = FlowReport(flow)
+    report = FlowReport(flow) if report is None else report
     FLOWS[flow](spark, layers, source, report)
     return report
 
 
 def run_all(spark: SparkSession, layers: Layers, sources: Mapping[str, str]) -> list[FlowReport]:
-    """Run the flows side by side; an error ends its own flow only and is kept in its report."""
+    """Run the flows side by side; an error ends its own flow only.
+
+    It is kept in the flow's report, beside the tables and counts from before.
+    """
 
     def attempt(flow: str, source: str) -> FlowReport:
+        report = FlowReport(flow)
         try:
-            return run(spark, flow, layers, source)
+            return run(spark, flow, layers, source, report)
         except Exception as error:
-            return FlowReport(flow, error=f"{type(error).__name__}: {error}")
+            report.error = f"{type(error).__name__}: {error}"
+            return report
 
     with ThreadPoolExecutor(max(1, len(sources))) as pool:
         return list(pool.map(attempt, sources.keys(), sources.values()))

@@ -159,18 +159,17 @@ def test_summary_of_rows_out_of_order(spark, spec):
     assert json.loads(kept)[3] == {"move_number": 3, "score_cp": None}
 
 
-def test_a_series_too_long_for_a_cell_is_whole_in_its_parts(spark):
+def test_a_series_of_many_parts_is_whole(spark):
     rows = [row(move_number=n, score_cp=n) for n in range(10)]
     rows += [row(game_id="G2", move_number=n, score_cp=n) for n in range(4)]
     df = frame(spark, *rows)
-    series = {r["game_id"]: r["score_series_json"] for r in features.series_json(df, SPLIT, cell_rows=5).collect()}
-    summary = {r["game_id"]: r for r in features.build_summary(df, SPLIT, cell_rows=5).collect()}
-    assert series["G1"] is None and summary["G1"]["score_series_json"] is None
-    assert summary["G1"]["total_moves"] == 9
-    assert len(json.loads(series["G2"])) == 4 == len(json.loads(summary["G2"]["score_series_json"]))
+    series = {r["game_id"]: r["score_series_json"] for r in features.series_json(df, SPLIT).collect()}
+    summary = {r["game_id"]: r for r in features.build_summary(df, SPLIT).collect()}
+    for game, length in (("G1", 10), ("G2", 4)):
+        want = [{"move_number": n, "score_cp": n} for n in range(length)]
+        assert json.loads(series[game]) == want == json.loads(summary[game]["score_series_json"])
     parts = features.series_parts(df, SPLIT).filter("game_id = 'G1'").orderBy("part").collect()
-    entries = [e for p in parts for e in json.loads(p["series_json"])]
-    assert entries == [{"move_number": n, "score_cp": n} for n in range(10)]
+    assert [e for p in parts for e in json.loads(p["series_json"])] == json.loads(series["G1"])
 
 
 def random_rows(seed):

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +5,7 @@ from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import build_feed_positions, explode_record
 from seqlake.operators.kif import parse_kif
-from seqlake.operators.replay import BoardFold, RunningTotal, fold_per_key, replay_positions, replay_records
+from seqlake.operators.replay import RunningTotal, fold_per_key
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import ARTICLE_RAW_SCHEMA, FEED_POSITIONS_SCHEMA, FEED_RAW_SCHEMA, INITIAL_SFEN, SequenceSpec
 
@@ -23,7 +21,6 @@ GAME = HEAD + (
     "   6 投了   ( 0:01/00:00:01)\n"
     "   7 １八歩(17)\n"
 )
-AFTER_FIVE = "lnsgkg1nl/1r5s1/pppppp1pp/6p2/4B4/2P6/PP1PPPPPP/7R1/LNSGKGSNL w b 6"
 
 
 def texts(spark, *bodies):
@@ -124,77 +121,7 @@ def test_kif_long_piece_names_and_repeated_same_square(spark):
     }
 
 
-def test_records_are_played_without_a_shuffle(spark):
-    df = replay_records(texts(spark, GAME), "game_id", "body")
-    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-
-
-# Replay
-
-def test_replay_positions_of_a_record(spark):
-    rows = replay_records(texts(spark, GAME), "game_id", "body").orderBy("move_number").collect()
-    assert [r["player"] for r in rows] == ["black", "black", "white", "black", "white", "black"]
-    assert (rows[0]["prev_sfen"], rows[0]["sfen"], rows[0]["move_usi"]) == (INITIAL_SFEN, INITIAL_SFEN, "")
-    assert rows[5]["sfen"] == AFTER_FIVE
-    assert all(rows[n]["prev_sfen"] == rows[n - 1]["sfen"] for n in range(1, 6))
-
-
-def moves_frame(spark, games):
-    rows = [(g, n, m) for g, moves in games.items() for n, m in enumerate(["", *moves])]
-    random.Random(3).shuffle(rows)
-    return spark.createDataFrame(rows, "game_id string, move_number int, move_usi string")
-
-
-@pytest.mark.parametrize("bad", ["P*5e", "xxxx", "5e5d", "9i9h+5", "5i5h+", "", None])
-@pytest.mark.parametrize("bucket", [1, 2, 100])
-def test_a_move_that_cannot_be_applied_ends_its_game(spark, bad, bucket):
-    games = {"a": ["7g7f", bad, "3c3d", "2g2f"], "b": ["7g7f", "3c3d", "2g2f"]}
-    df = replay_positions(moves_frame(spark, games), SequenceSpec(bucket_rows=bucket))
-    assert moves_of(df) == {"a": ["", "7g7f"], "b": ["", "7g7f", "3c3d", "2g2f"]}
-
-
-def random_game(seed, length):
-    """Moves that can be applied, whatever the rules of the game say; now and then one that cannot."""
-    rng, fold = random.Random(seed), BoardFold()
-    board, moves = fold.open(fold.start), []
-    square = lambda i: f"{9 - i % 9}{'abcdefghi'[i // 9]}"
-    while len(moves) < length:
-        order = len(moves) + 1
-        held = [p for p, n in board.hands.items() if n and p.isupper() == (order % 2 == 1)]
-        if held and rng.random() < 0.3:
-            move = f"{rng.choice(held).upper()}*{square(rng.randrange(81))}"
-        else:
-            origin = rng.choice([i for i in range(81) if board.cells[i]])
-            move = square(origin) + square(rng.randrange(81)) + rng.choice(["", "", "+"])
-        if fold.step(board, order, move) is not None or rng.random() < 0.002:
-            moves.append(move)
-    return moves
-
-
-@pytest.mark.parametrize("bucket", [1, 4, 13])
-def test_replay_is_the_same_however_games_are_cut(spark, bucket):
-    games = {f"g{i}": random_game(bucket * 10 + i, random.Random(i).randint(1, 60)) for i in range(8)}
-    df = moves_frame(spark, games)
-    whole = replay_positions(df, SequenceSpec(max_order=100))
-    cut = replay_positions(df, SequenceSpec(bucket_rows=bucket))
-    key = lambda d: sorted(map(tuple, d.select("game_id", "move_number", "sfen", "prev_sfen").collect()))
-    assert key(cut) == key(whole)
-
-
-def test_summaries_carry_the_position_across_any_cut():
-    fold = BoardFold()
-    moves = random_game(5, 200)
-    rows = [(n, m) for n, m in enumerate(["", *moves])]
-    board, states = fold.open(fold.start), []
-    for n, m in rows:
-        states.append(fold.step(board, n, m))
-    good = states.index(None) if None in states else len(states)
-    for size in (1, 7, 50):
-        state = fold.start
-        for start in range(0, good - size, size):
-            state = fold.resume(state, fold.summary(rows[start:start + size]))
-            assert state == states[start + size - 1]
-
+# Folds
 
 @pytest.mark.parametrize("bucket", [1, 3, 50])
 def test_running_total_stops_at_its_limit(spark, bucket):

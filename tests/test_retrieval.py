@@ -216,10 +216,10 @@ def test_routed_search_takes_the_hits_of_each_route(spark, collections):
 
 def test_chunks_cover_the_whole_text(spark):
     long_line = "".join(f"{n:04d}。" for n in range(301))
-    text = f"見出し\n\n本文です。\r\n{long_line}\n" + "あ" * 31
+    text = f"== 見出し ==\n# 題\n短い行\n\n本文です。\r\n{long_line}\n" + "あ" * 31
     df = spark.createDataFrame([("k", text), ("e", ""), ("n", None)], "k string, t string")
     found = retrieval.chunk(df, "k", "t").orderBy("chunk_index").collect()
-    assert [r["content"] for r in found] == ["本文です。", *[long_line[i:i + 500] for i in range(0, 1505, 500)], "あ" * 31]
+    assert [r["content"] for r in found] == ["短い行", "本文です。", *[long_line[i:i + 500] for i in range(0, 1505, 500)], "あ" * 31]
     assert [r["id"] for r in found][:2] == ["k__chunk0000", "k__chunk0001"]
 
 
