@@ -73,7 +73,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         probes = _by_segment(opened, "query").withColumn("mask", F.explode(_masks(radius)))
         met = (
             probes.select("query", "kth", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-            .join(index, ["segment", "value"])
+            # The planner takes the probes for small: it doesn't see how many values each query looks up.
+            .join(index.hint("merge"), ["segment", "value"])
             .withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
             .filter("distance <= kth")
             .select("query", "code", "n", "distance")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import slices, stored, word_hashes, words
+from seqlake.llm.common import mixed, slices, stored, word_hashes, words
 from seqlake.llm.neighbours import with_equal_neighbour
 from seqlake.llm.passages import find_runs, list_column, span_hashes
 
@@ -135,25 +135,22 @@ def page_blocks(html: str | None) -> tuple[list[str], bool]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page_key, stream, named and blocks of each page."""
-    schema = (
-        "page_id bigint, url string, host bigint, page_key bigint, stream bigint, named boolean, blocks array<string>"
-    )
+    """page_id, url, host, stream (a hash of host and blocks), named and blocks of each page."""
+    schema = "page_id bigint, url string, host bigint, stream bigint, named boolean, blocks array<string>"
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "html"):
-                keys, streams, named, blocks = [], [], [], []
-                for html in batch.column("html").to_pylist():
+                streams, named, blocks = [], [], []
+                for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                     found, own = page_blocks(html)
                     blocks.append(found)
                     named.append(own)
-                    streams.append(_signed("\n\n".join(found)))
-                    keys.append(_signed(html or ""))
+                    streams.append(_signed("\n\n".join([str(host), *found])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(keys, pa.int64()),
+                    [batch.column("page_id"), batch.column("url"), batch.column("host"),
                      pa.array(streams, pa.int64()), pa.array(named), pa.array(blocks, pa.list_(pa.string()))],
-                    names=["page_id", "url", "host", "page_key", "stream", "named", "blocks"],
+                    names=["page_id", "url", "host", "stream", "named", "blocks"],
                 )
 
     rows = pages.select(
@@ -171,51 +168,49 @@ def _signed(text: str) -> int:
 
 
 def _runs(parsed: DataFrame) -> DataFrame:
-    """The suffixes kept of each different stream of a host."""
-    schema = "host bigint, anchor bigint, content bigint, stream bigint, start int, size int"
+    """The suffixes kept of each stream: a hash of the host and all tokens of the run, and its place."""
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 flat, counts = words(batch.column("text"))
                 values = word_hashes(flat)
-                row, first, windows, anchor = find_runs(values, counts, WINDOW, GRAM)
+                row, first, windows, _ = find_runs(values, counts, WINDOW, GRAM)
                 size = windows + WINDOW - 1
-                content = span_hashes(values, first, size)
+                host = batch.column("host").to_numpy().view(np.uint64)
+                run = mixed(span_hashes(values, first, size) ^ host[row])
                 begins = np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("host").take(pa.array(row)), pa.array(anchor.view(np.int64)),
-                     pa.array(content.view(np.int64)), batch.column("stream").take(pa.array(row)),
+                    [pa.array(run.view(np.int64)), batch.column("stream").take(pa.array(row)),
                      pa.array((first - begins[row]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["host", "anchor", "content", "stream", "start", "size"],
+                    names=["run", "stream", "start", "size"],
                 )
 
-    # Copies of a page are one stream.
-    streams = parsed.groupBy("host", "stream").agg(F.first("blocks").alias("blocks"))
-    return streams.select("host", "stream", F.array_join("blocks", " ").alias("text")).mapInArrow(work, schema)
+    rows = parsed.select("host", "stream", F.array_join("blocks", " ").alias("text"))
+    return rows.mapInArrow(work, "run bigint, stream bigint, start int, size int")
 
 
 def host_repeats(parsed: DataFrame) -> DataFrame:
-    """(host, stream, spans): runs of a stream that several streams of its host repeat, with their share of them."""
+    """(stream, spans): runs of a stream that several streams of its host repeat, and whether many do."""
     runs = stored(_runs(parsed), "runs")
-    repeated = with_equal_neighbour(runs, ["host", "anchor", "content"], ["stream", "start"])
-    once = stored(repeated, "repeated")
-    counted = once.select("host", "anchor", "content", "stream").distinct().groupBy("host", "anchor", "content")
-    counted = counted.agg(F.count("*").alias("streams")).filter(F.col("streams") >= FEW_PAGES)
-    hosts = parsed.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("all_streams"))
-    shared = counted.join(hosts, "host").select(
-        "host", "anchor", "content", "streams", (F.col("streams") / F.col("all_streams")).alias("share")
-    ).filter(F.col("share") >= FEW_SHARE)
+    repeated = stored(with_equal_neighbour(runs, ["run"], ["stream", "start"]), "repeated")
+    # Copies of a page are one stream.
+    counted = repeated.select("run", "stream").distinct().groupBy("run")
+    counted = counted.agg(F.count("*").alias("streams"), F.min("stream").alias("stream")).filter(F.col("streams") >= FEW_PAGES)
+    owners = stored(parsed.select("host", "stream").distinct(), "streams")
+    hosts = owners.groupBy("host").agg(F.count("*").alias("all_streams"))
+    shared = counted.join(owners, "stream").join(hosts, "host").withColumn("share", F.col("streams") / F.col("all_streams"))
     often = (F.col("streams") >= MANY_PAGES) & (F.col("share") >= MANY_SHARE)
-    spans = F.collect_set(F.struct("start", "size", often.alias("often")))
-    return once.join(shared, ["host", "anchor", "content"]).groupBy("host", "stream").agg(spans.alias("spans"))
+    shared = stored(shared.filter(F.col("share") >= FEW_SHARE).select("run", often.alias("often")), "shared")
+    spans = F.collect_set(F.struct("start", "size", "often")).alias("spans")
+    return repeated.join(shared, "run").groupBy("stream").agg(spans)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     parsed = stored(_parsed(pages), "blocks")
     found = host_repeats(parsed)
-    rows = parsed.join(found, ["host", "stream"], "left").select("page_id", "url", "named", "blocks", "spans")
+    rows = parsed.join(found, "stream", "left").select("page_id", "url", "named", "blocks", "spans")
 
     def work(batches):
         for batch in batches:

@@ -149,7 +149,8 @@ def fit_vectors(languages: list[str], counts: np.ndarray, letters: np.ndarray) -
     seen = np.maximum.accumulate(radius[::-1])[::-1]
     largest = size_class(letters).max()
     seen[largest:] = seen[largest]
-    model.radius = np.minimum(1.0, seen * SLACK)
+    # A size with few training texts says little: what most texts of any size keep is never too far.
+    model.radius = np.minimum(1.0, np.maximum(seen, np.quantile(distance, 0.9)) * SLACK)
     return model
 
 

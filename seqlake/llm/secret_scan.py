@@ -265,10 +265,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         F.col("text").cast("string").alias("text"),
         F.xxhash64("doc_id", "text").alias("text_key"),
     )
-    text = F.col("text")
+    masked = _with_kinds(rows, rules)
+    # A step for each rule: as one nested expression the text before a rule would be worked out twice.
     for rule in rules:
-        hidden = F.regexp_replace(text, rule.masked or rule.pattern, rule.stays + mask)
-        text = F.when(_to_try(rule), hidden).otherwise(text)
-    return _with_kinds(rows, rules).select(
-        *[text.alias(name) if name == "text" else F.col("row").getField(name).alias(name) for name in docs.columns]
+        hidden = F.regexp_replace("text", rule.masked or rule.pattern, rule.stays + mask)
+        masked = masked.withColumn("text", F.when(_to_try(rule), hidden).otherwise(F.col("text")))
+    return masked.select(
+        *[F.col("text") if name == "text" else F.col("row").getField(name).alias(name) for name in docs.columns]
     )
