@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from seqlake.llm.common import mixed, slices, stored, word_hashes, words
 from seqlake.llm.neighbours import with_equal_neighbour
 from seqlake.llm.passages import find_runs, list_column, span_hashes
 
-WINDOW, GRAM = 16, 8
+WINDOW, GRAM = 16, 5
 FEW_PAGES, FEW_SHARE = 3, 0.1
 MANY_PAGES, MANY_SHARE = 10, 0.5
 COVERED = 0.5
@@ -136,7 +137,7 @@ def page_blocks(html: str | None) -> tuple[list[str], bool]:
 
 def _parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, stream (a hash of host and blocks), named and blocks of each page."""
-    schema = "page_id bigint, url string, host bigint, stream bigint, named boolean, blocks array<string>"
+    schema = "page_id bigint, url string, host bigint, stream bigint, named boolean, blocks binary"
 
     def work(batches):
         for whole in batches:
@@ -144,12 +145,13 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 streams, named, blocks = [], [], []
                 for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                     found, own = page_blocks(html)
-                    blocks.append(found)
+                    # A block holds no line break; packed, they are moved and kept in half the room.
+                    blocks.append(zlib.compress("\n".join(found).encode()))
                     named.append(own)
                     streams.append(_signed("\n\n".join([str(host), *found])))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), batch.column("host"),
-                     pa.array(streams, pa.int64()), pa.array(named), pa.array(blocks, pa.list_(pa.string()))],
+                     pa.array(streams, pa.int64()), pa.array(named), pa.array(blocks, pa.binary())],
                     names=["page_id", "url", "host", "stream", "named", "blocks"],
                 )
 
@@ -172,8 +174,8 @@ def _runs(parsed: DataFrame) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
-                flat, counts = words(batch.column("text"))
+            for batch in slices(whole, "blocks", 1 << 19):
+                flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
                 values = word_hashes(flat)
                 row, first, windows, _ = find_runs(values, counts, WINDOW, GRAM)
                 size = windows + WINDOW - 1
@@ -186,8 +188,7 @@ def _runs(parsed: DataFrame) -> DataFrame:
                     names=["run", "stream", "start", "size"],
                 )
 
-    rows = parsed.select("host", "stream", F.array_join("blocks", " ").alias("text"))
-    return rows.mapInArrow(work, "run bigint, stream bigint, start int, size int")
+    return parsed.select("host", "stream", "blocks").mapInArrow(work, "run bigint, stream bigint, start int, size int")
 
 
 def host_repeats(parsed: DataFrame) -> DataFrame:
@@ -217,7 +218,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             bounds, spans = list_column(batch, "spans")
             start, size, often = (spans.field(i).to_pylist() for i in range(3))
             texts = []
-            for row, (named, blocks) in enumerate(zip(batch.column("named").to_pylist(), batch.column("blocks").to_pylist())):
+            for row, (named, raw) in enumerate(zip(batch.column("named").to_pylist(), batch.column("blocks").to_pylist())):
+                blocks = [block for block in zlib.decompress(raw).decode().split("\n") if block]
                 part = range(int(bounds[row]), int(bounds[row + 1]))
                 runs = [(start[i], start[i] + size[i]) for i in part if often[i] or not named]
                 texts.append("\n\n".join(_uncovered(blocks, runs)))
