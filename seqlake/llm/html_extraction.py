@@ -170,7 +170,7 @@ def _signed(text: str) -> int:
 
 
 def _runs(parsed: DataFrame) -> DataFrame:
-    """The suffixes kept of each stream: a hash of the host and all tokens of the run, and its place."""
+    """The suffixes kept of each stream: a hash of the host and all tokens of the run, its place, and ``named``."""
 
     def work(batches):
         for whole in batches:
@@ -184,15 +184,20 @@ def _runs(parsed: DataFrame) -> DataFrame:
                 begins = np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run.view(np.int64)), batch.column("stream").take(pa.array(row)),
-                     pa.array((first - begins[row]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["run", "stream", "start", "size"],
+                     pa.array((first - begins[row]).astype(np.int32)), pa.array(size.astype(np.int32)),
+                     batch.column("named").take(pa.array(row))],
+                    names=["run", "stream", "start", "size", "named"],
                 )
 
-    return parsed.select("host", "stream", "blocks").mapInArrow(work, "run bigint, stream bigint, start int, size int")
+    schema = "run bigint, stream bigint, start int, size int, named boolean"
+    return parsed.select("host", "stream", "named", "blocks").mapInArrow(work, schema)
 
 
 def host_repeats(parsed: DataFrame) -> DataFrame:
-    """(stream, spans): runs of a stream that several streams of its host repeat, and whether many do."""
+    """(stream, spans): runs of a stream that several streams of its host repeat, and whether many do.
+
+    Of named articles only those that many repeat, as no other run takes anything out of them.
+    """
     runs = stored(_runs(parsed), "runs")
     repeated = stored(with_equal_neighbour(runs, ["run"], ["stream", "start"]), "repeated")
     # Copies of a page are one stream.
@@ -204,13 +209,15 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
     often = (F.col("streams") >= MANY_PAGES) & (F.col("share") >= MANY_SHARE)
     shared = stored(shared.filter(F.col("share") >= FEW_SHARE).select("run", often.alias("often")), "shared")
     spans = F.collect_set(F.struct("start", "size", "often")).alias("spans")
-    return repeated.join(shared, "run").groupBy("stream").agg(spans)
+    told = repeated.join(shared, "run").filter(F.col("often") | ~F.col("named"))
+    return told.groupBy("stream").agg(spans)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     parsed = stored(_parsed(pages), "blocks")
-    found = host_repeats(parsed)
+    # Written, so that the join knows its size: a small one is sent to the blocks, which then stay in place.
+    found = stored(host_repeats(parsed), "spans")
     rows = parsed.join(found, "stream", "left").select("page_id", "url", "named", "blocks", "spans")
 
     def work(batches):
