@@ -198,8 +198,8 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
 
     Of named articles only those that many repeat, as no other run takes anything out of them.
     """
-    runs = stored(_runs(parsed), "runs")
-    repeated = stored(with_equal_neighbour(runs, ["run"], ["stream", "start"]), "repeated")
+    # Not written: the range cut works the runs out once more for its sample, and saves a copy of all of them.
+    repeated = stored(with_equal_neighbour(_runs(parsed), ["run"], ["stream", "start"]), "repeated")
     # Copies of a page are one stream.
     counted = repeated.select("run", "stream").distinct().groupBy("run")
     counted = counted.agg(F.count("*").alias("streams"), F.min("stream").alias("stream")).filter(F.col("streams") >= FEW_PAGES)
