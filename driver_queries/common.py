@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.operators.ordered import with_bounds
 from seqlake.session import spread
 from seqlake.spec import SequenceSpec
 
@@ -44,6 +45,11 @@ turns AS (
 """
 
 
+def turns_spec(spark: SparkSession, folder: str) -> SequenceSpec:
+    """``TURNS`` with the largest turn, so that keys which fit a bucket take one window."""
+    return with_bounds(read(spark, folder, "conversations"), TURNS)
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     conv = F.col("conv_id").cast("string")
     return read(spark, folder, "conversations").select(

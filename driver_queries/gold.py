@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns
+from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns, turns_spec
 from driver_queries.silver import FEED_SQL, feed_records
 from seqlake.functions import scoring
 from seqlake.operators import features
@@ -48,11 +48,11 @@ def g1(spark, folder):
 
 def g2(spark, folder):
     signed = features.with_turn_score(turns(spark, folder), TURNS)
-    return features.with_delta(signed, TURNS).select(*KEYS, "score_delta")
+    return features.with_delta(signed, turns_spec(spark, folder)).select(*KEYS, "score_delta")
 
 
 def g3(spark, folder):
-    return features.with_scores(turns(spark, folder), TURNS).select(*KEYS, "is_blunder")
+    return features.with_scores(turns(spark, folder), turns_spec(spark, folder)).select(*KEYS, "is_blunder")
 
 
 def g4(spark, folder):
@@ -65,7 +65,7 @@ def g4_previous(spark, folder):
 
 
 def g5(spark, folder):
-    scored = features.with_scores(turns(spark, folder), TURNS)
+    scored = features.with_scores(turns(spark, folder), turns_spec(spark, folder))
     labelled = features.with_label(features.with_match(scored, TURNS), TURNS)
     return labelled.select(*KEYS, "move_quality")
 
@@ -76,7 +76,7 @@ def g6(spark, folder):
 
 
 def g7(spark, folder):
-    return features.build_features(turns(spark, folder), TURNS)
+    return features.build_features(turns(spark, folder), turns_spec(spark, folder))
 
 
 def g7_long(spark, folder):
@@ -92,7 +92,7 @@ def g8(spark, folder):
 
 
 def g9(spark, folder):
-    scored = features.with_scores(turns(spark, folder), TURNS)
+    scored = features.with_scores(turns(spark, folder), turns_spec(spark, folder))
     return scored.groupBy("conv_id").agg(
         features.count_jumps("user", TURNS).alias("user_blunders"),
         features.count_jumps("assistant", TURNS).alias("assistant_blunders"),
@@ -100,7 +100,7 @@ def g9(spark, folder):
 
 
 def g10(spark, folder):
-    return features.series_json(turns(spark, folder), TURNS)
+    return features.series_json(turns(spark, folder), turns_spec(spark, folder))
 
 
 def g10_parts(spark, folder):
@@ -108,7 +108,7 @@ def g10_parts(spark, folder):
 
 
 def g11(spark, folder):
-    return features.build_summary(turns(spark, folder), TURNS)
+    return features.build_summary(turns(spark, folder), turns_spec(spark, folder))
 
 
 def g11_long(spark, folder):

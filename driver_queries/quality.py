@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns
+from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns, turns_spec
 from seqlake.operators import event_log, features, quality
 from seqlake.operators.ordered import with_previous
 
@@ -73,11 +73,11 @@ def q4_unique(spark, folder):
 
 def q4_same_count(spark, folder):
     rows = turns(spark, folder)
-    return quality.check_same_count(rows, features.build_features(rows, TURNS))
+    return quality.check_same_count(rows, features.build_features(rows, turns_spec(spark, folder)))
 
 
 def q5(spark, folder):
-    return quality.sequence_gaps(turns(spark, folder), TURNS).select(
+    return quality.sequence_gaps(turns(spark, folder), turns_spec(spark, folder)).select(
         "conv_id", "turn", "expected_order"
     )
 
@@ -111,7 +111,7 @@ def q7(spark, folder):
 
 def q8(spark, folder):
     """The series of every conversation; those of odd conversations are turned round or cut."""
-    series = features.series_json(turns(spark, folder), TURNS)
+    series = features.series_json(turns(spark, folder), turns_spec(spark, folder))
     text = F.col("score_series_json")
     spoiled = (
         F.when(F.col("conv_id") % 4 == 1, F.expr("substr(score_series_json, 1, length(score_series_json) - 1)"))

@@ -2,7 +2,9 @@
 
 A plain window puts every row of a key into one task. Here the rows are hashed by
 (key, bucket of the order), and what a bucket must know about the rows before it arrives as one
-extra row, its *halo*. Halos come from one small aggregate row per bucket.
+extra row, its *halo*. Halos come from one small aggregate row per bucket. Orders are unique in a key, so
+a bucket holds at most as many rows as it has values; where orders are so sparse that the buckets are
+many, they are cut in the same way, and no window holds more than ``LEVEL`` of them.
 """
 
 from __future__ import annotations
@@ -13,18 +15,35 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.spec import SequenceSpec
 
 BUCKET = "_bucket"
 HALO = "_halo"
+_OUTER, _NUMBER, _TAIL = "_outer", "_rows", "_tail"
+_EARLIER = "_earlier"
+# Buckets of a key that one window may hold.
+LEVEL = 1_000_000
+_INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}
+
+
+def with_bounds(df: DataFrame, spec: SequenceSpec) -> SequenceSpec:
+    """``spec`` with the largest order as its bound, if no order is negative. One pass over the order.
+
+    Where all keys turn out to fit a bucket, what follows takes one scan and one shuffle.
+    """
+    seen = df.agg(F.min(spec.order).alias("low"), F.max(spec.order).alias("high")).first()
+    known = seen["low"] is not None and seen["low"] >= 0
+    return spec.with_max_order(int(seen["high"]) if known else None)
 
 
 def fit_buckets(df: DataFrame, spec: SequenceSpec, rows: int = 100_000) -> SequenceSpec:
-    """``spec`` with buckets that hold about ``rows`` rows of the longest key.
+    """``spec`` with wide buckets that hold at most twice ``rows`` rows of any key.
 
     For orders with wide gaps, such as event ids or times, where a bucket of a fixed width would
-    hold few rows. Takes one pass over key and order.
+    hold few rows. The width that fits the longest key on average is tried first, and a quarter of
+    it as long as a cluster fills some bucket with more; each try is one pass over key and order.
     """
     order = F.col(spec.order).cast("bigint")
     per_key = df.groupBy(spec.key).agg(
@@ -40,7 +59,15 @@ def fit_buckets(df: DataFrame, spec: SequenceSpec, rows: int = 100_000) -> Seque
         return spec
     span = longest["high"] - longest["low"] + 1
     width = max(1, math.ceil(span * rows / longest["n"]))
-    return replace(spec, bucket_rows=width, max_order=seen["high"] if seen["low"] >= 0 else None)
+    while True:
+        fitted = replace(spec, bucket_rows=width, max_order=seen["high"] if seen["low"] >= 0 else None)
+        # Orders are unique in a key: a bucket of ``rows`` values cannot hold more.
+        if width <= rows:
+            return fitted
+        most = df.groupBy(spec.key, bucket_of(fitted).alias(BUCKET)).count().agg(F.max("count")).first()[0]
+        if most <= 2 * rows:
+            return fitted
+        width = max(rows, width // 4)
 
 
 def bucket_of(spec: SequenceSpec) -> Column:
@@ -71,28 +98,95 @@ def _drop_halos(rows: DataFrame, keep_bucket: bool = False) -> DataFrame:
     return rows if keep_bucket else rows.drop(BUCKET)
 
 
-def with_previous(
-    df: DataFrame, spec: SequenceSpec, previous: Mapping[str, str], keep_bucket: bool = False
-) -> DataFrame:
-    """Add columns ``{new: old}`` holding ``old`` of the preceding row of the key, else null.
+def _most_buckets(df: DataFrame, spec: SequenceSpec) -> int:
+    """How many buckets a key can have, by the stated bound or the type of the order."""
+    bits = _INTEGER_BITS.get(type(df.schema[spec.order].dataType), 64)
+    values = 2**bits if spec.max_order is None else spec.max_order + 1
+    return values // spec.bucket_rows + 1
 
-    ``keep_bucket`` leaves the bucket column, by which the result is already hashed.
+
+def _with_earlier(buckets: DataFrame, spec: SequenceSpec, how: Mapping[str, str], most: int) -> DataFrame:
+    """Add ``_earlier<column>``: what the earlier buckets of the key hold, null if nothing.
+
+    ``buckets`` has a row for each key and bucket; ``how`` says of each column whether its "sum" or its
+    "last" value that is not null is taken. ``most`` buckets of a key at most.
     """
+    def taken(*parts: str) -> dict[str, Column]:
+        window = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        return {
+            _EARLIER + name: (F.sum(name) if rule == "sum" else F.last(name, ignorenulls=True)).over(window)
+            for name, rule in how.items()
+        }
+
+    if most <= LEVEL:
+        return buckets.withColumns(taken(spec.key))
+    cut = buckets.withColumn(_OUTER, F.expr(f"`{BUCKET}` div {LEVEL}"))
+    totals = cut.groupBy(spec.key, _OUTER).agg(*[
+        F.sum(name).alias(name) if rule == "sum"
+        else F.expr(f"max_by(`{name}`, {null_first(BUCKET)}) FILTER (WHERE `{name}` IS NOT NULL)").alias(name)
+        for name, rule in how.items()
+    ])
+    outer = _with_earlier(totals.withColumnRenamed(_OUTER, BUCKET), spec, how, most // LEVEL + 1)
+    outer = outer.select(
+        F.col(spec.key).alias("_key"), F.col(BUCKET).alias("_place"),
+        *[F.col(_EARLIER + name).alias(f"_before{name}") for name in how],
+    )
+    inner = cut.withColumns(taken(spec.key, _OUTER))
+    both = inner.join(
+        outer, inner[spec.key].eqNullSafe(outer["_key"]) & inner[_OUTER].eqNullSafe(outer["_place"])
+    )
+    found = {}
+    for name, rule in how.items():
+        here, before = F.col(_EARLIER + name), F.col(f"_before{name}")
+        found[_EARLIER + name] = F.coalesce(here + before, here, before) if rule == "sum" else F.coalesce(here, before)
+    return both.withColumns(found).select(*buckets.columns, *found)
+
+
+def with_history(
+    df: DataFrame,
+    spec: SequenceSpec,
+    previous: Mapping[str, str],
+    number: str | None = None,
+    keep_bucket: bool = False,
+) -> DataFrame:
+    """``previous`` as in ``with_previous`` and, if named, ``number`` as in ``with_row_number``, in one go."""
     if spec.one_bucket:
         window = Window.partitionBy(spec.key).orderBy(spec.order)
-        return df.withColumns({new: F.lag(old).over(window) for new, old in previous.items()})
+        found = {new: F.lag(old).over(window) for new, old in previous.items()}
+        if number:
+            found[number] = F.row_number().over(window).cast("bigint")
+        return df.withColumns(found)
 
     cut = df.withColumn(BUCKET, bucket_of(spec))
     sources = sorted(set(previous.values()))
-    tails = cut.groupBy(spec.key, BUCKET).agg(
-        *[F.max_by(name, row_rank(spec)).alias(name) for name in sources]
-    )
-    following = F.lead(BUCKET).over(Window.partitionBy(spec.key).orderBy(BUCKET))
-    halos = tails.withColumn(BUCKET, following).filter(F.col(BUCKET).isNotNull())
-    rows = with_halos(cut, halos).withColumns(
-        {new: F.lag(old).over(_in_bucket(spec)) for new, old in previous.items()}
-    )
-    return _drop_halos(rows, keep_bucket)
+    # A struct is never null, so the last one is that of the bucket before, whatever it holds.
+    kept = {_TAIL: (F.max_by(F.struct(*sources), row_rank(spec)), "last")} if sources else {}
+    if number:
+        kept[_NUMBER] = F.count(F.lit(1)), "sum"
+    tails = cut.groupBy(spec.key, BUCKET).agg(*[value.alias(name) for name, (value, _) in kept.items()])
+    rules = {name: rule for name, (_, rule) in kept.items()}
+    earlier = _with_earlier(tails, spec, rules, _most_buckets(df, spec))
+    carried = [f"{_EARLIER}{_TAIL}.{name}" for name in sources]
+    if number:
+        carried.append(F.col(_EARLIER + _NUMBER).alias("_before"))
+    halos = earlier.filter(F.col(_EARLIER + next(iter(kept))).isNotNull()).select(spec.key, BUCKET, *carried)
+    here = _in_bucket(spec)
+    found = {new: F.lag(old).over(here) for new, old in previous.items()}
+    if number:
+        # A halo takes the first place of its bucket, so its rows are numbered one too high.
+        place = F.row_number().over(here)
+        found[number] = F.coalesce(F.first("_before").over(here) + place - 1, place.cast("bigint"))
+    return _drop_halos(with_halos(cut, halos).withColumns(found), keep_bucket).drop("_before")
+
+
+def with_previous(
+    df: DataFrame, spec: SequenceSpec, previous: Mapping[str, str], keep_bucket: bool = False
+) -> DataFrame:
+    """Add columns ``{new: old}`` holding ``old`` of the preceding row of the key, else null.
+
+    ``keep_bucket`` leaves the bucket column, by which the result is already hashed.
+    """
+    return with_history(df, spec, previous, keep_bucket=keep_bucket)
 
 
 def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> DataFrame:
@@ -105,14 +199,8 @@ def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> Da
     tails = cut.groupBy(spec.key, BUCKET).agg(
         F.expr(f"max_by(`{old}`, {null_first(spec.order)}) FILTER (WHERE `{old}` IS NOT NULL)").alias(old)
     )
-    earlier = (
-        Window.partitionBy(spec.key)
-        .orderBy(BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    halos = tails.withColumn(old, F.last(old, ignorenulls=True).over(earlier)).filter(
-        F.col(old).isNotNull()
-    )
+    earlier = _with_earlier(tails, spec, {old: "last"}, _most_buckets(df, spec))
+    halos = earlier.select(spec.key, BUCKET, F.col(_EARLIER + old).alias(old)).filter(F.col(old).isNotNull())
     upto = _in_bucket(spec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = with_halos(cut, halos).withColumn(new, F.last(old, ignorenulls=True).over(upto))
     return _drop_halos(rows)
@@ -120,28 +208,4 @@ def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> Da
 
 def with_row_number(df: DataFrame, spec: SequenceSpec, new: str) -> DataFrame:
     """Add ``new``: the 1-based place of the row in its key."""
-    if spec.one_bucket:
-        window = Window.partitionBy(spec.key).orderBy(spec.order)
-        return df.withColumn(new, F.row_number().over(window).cast("bigint"))
-
-    cut = df.withColumn(BUCKET, bucket_of(spec))
-    earlier = (
-        Window.partitionBy(spec.key)
-        .orderBy(BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    halos = (
-        cut.groupBy(spec.key, BUCKET)
-        .count()
-        .withColumn("_before", F.sum("count").over(earlier))
-        .filter(F.col("_before").isNotNull())
-        .drop("count")
-    )
-    here = _in_bucket(spec)
-    # A halo takes the first place of its bucket, so its rows are numbered one too high.
-    before = F.first("_before").over(here)
-    number = F.row_number().over(here)
-    rows = with_halos(cut, halos).withColumn(
-        new, F.coalesce(before + number - 1, number.cast("bigint"))
-    )
-    return _drop_halos(rows).drop("_before")
+    return with_history(df, spec, {}, new)

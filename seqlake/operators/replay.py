@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.operators.ordered import BUCKET, HALO, bucket_of, with_halos
+from seqlake.session import shared_dir
 from seqlake.spec import SequenceSpec
 
 BEFORE, AFTER = "_before", "_after"
@@ -176,6 +177,9 @@ def fold_per_key(
         .sortWithinPartitions(_KEY, BUCKET)
         .mapInArrow(_starts(fold), f"{_KEY} string, {BUCKET} bigint, {_START} string")
     )
+    # A row for each bucket of a long key, played from twice below.
+    shared_dir(df.sparkSession)
+    starts = starts.checkpoint()
     # A bucket stops at its own misfit; the buckets behind it are cut here.
     misfits = (
         played(long_rows, starts, keep_stop=True)

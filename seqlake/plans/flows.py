@@ -63,10 +63,13 @@ def positions_flow(spark: SparkSession, layers: Layers, source: str, report: Flo
     keys = ["game_id", "move_number"]
     silver = dedupe(rows, keys, [name for name in rows.columns if name not in keys])
     positions, seen = _write(
-        silver, layers, "silver", "positions", report, {"max_order": F.max("move_number")}
+        silver, layers, "silver", "positions", report,
+        {"min_order": F.min("move_number"), "max_order": F.max("move_number")},
     )
-    # The longest key was seen in the write: when it fits a bucket, one window per key will do.
-    spec = SequenceSpec().with_max_order(seen["max_order"])
+    # The bounds were seen in the write: when all orders fit a bucket, one window per key will do. Keys,
+    # the null key too, hold an order once, as Silver was deduplicated.
+    known = seen["min_order"] is not None and seen["min_order"] >= 0
+    spec = SequenceSpec().with_max_order(seen["max_order"] if known else None)
     features, _ = _write(build_features(positions, spec), layers, "gold", "position_features", report)
     # The features hold the changes already, so the summary needs no window of its own.
     _write(summarise(features, spec), layers, "gold", "game_summary", report)

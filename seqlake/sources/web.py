@@ -26,14 +26,16 @@ def day_urls(df: DataFrame, base: str, end: str, days: Column | int = DAYS_BACK)
 
 
 def listing_links(
-    pages: DataFrame, page_url: str, html: str, pattern: str, cap: int = RECORDS_PER_PAGE
+    pages: DataFrame, page_url: str, html: str, pattern: str, cap: int | None = RECORDS_PER_PAGE
 ) -> DataFrame:
-    """``url, key`` and the place of the first ``cap`` links of each page, in page order.
+    """``url, key`` and the place of the first ``cap`` links of each page, in page order; None takes all.
 
     The first group of ``pattern`` is the link; the key is its last path part without the last
     extension.
     """
-    links = F.slice(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)), 1, cap)
+    links = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
+    if cap is not None:
+        links = F.slice(links, 1, cap)
     return (
         explode_with_place(pages, [page_url], links, "place", "_link")
         .withColumn("link_url", F.concat(page_url, "_link"))

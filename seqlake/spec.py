@@ -79,8 +79,8 @@ class SequenceSpec:
     ``order`` is an integer column, unique inside a key (``dedupe`` first). A key is cut into
     buckets of ``bucket_rows`` order values, so that no window ever holds a whole hot key; for orders
     with wide gaps ``fit_buckets`` finds the width. ``max_order`` states a known upper bound of an
-    order that is never negative; a bound below ``bucket_rows`` makes one bucket per key enough,
-    which saves the pass over the bucket borders.
+    order that is never negative (``with_bounds`` reads it); a bound below ``bucket_rows`` makes one
+    bucket per key enough, which saves the pass over the bucket borders.
     """
 
     key: str = "game_id"

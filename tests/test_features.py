@@ -7,8 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seqlake.operators import features
-from seqlake.operators.ordered import bucket_of, fit_buckets, with_last_known, with_row_number
+from seqlake.operators import features, ordered
+from seqlake.operators.ordered import bucket_of, fit_buckets, with_bounds, with_last_known, with_row_number
 from seqlake.spec import POSITIONS_SCHEMA, SequenceSpec
 
 SPEC = SequenceSpec()
@@ -232,6 +232,42 @@ def test_buckets_fit_orders_with_gaps(spark):
     assert not negative.one_bucket
 
 
+ORDERS = {
+    "microseconds": [1_700_000_000_000_000 + n * 7_919_333 for n in range(60)],
+    "a dense cluster": [*range(500_000, 500_040), *range(0, 10_000_000_000, 500_000_007)],
+    "negative": [n * 3 - 90 for n in range(60)],
+}
+
+
+@pytest.mark.parametrize("orders", ORDERS.values(), ids=ORDERS.keys())
+def test_no_bucket_holds_more_than_its_share_whatever_the_orders(spark, monkeypatch, orders):
+    """Rows for a task, and the same features. At this level a window holds a few of the buckets."""
+    monkeypatch.setattr(ordered, "LEVEL", 20_000_000)
+    rng = random.Random(len(orders))
+    rows = [("G1", n, rng.choice(["black", "white"]), rng.choice([None, rng.randint(-500, 500)])) for n in orders]
+    df = spark.createDataFrame(rows, "game_id string, move_number bigint, player string, score_cp int")
+
+    def built(spec):
+        known = with_last_known(features.with_scores(df, spec), spec, "known", "score_cp")
+        return by_key(with_row_number(known, spec, "place"), "score_delta", "known", "place")
+
+    want = built(SequenceSpec(max_order=10**18, bucket_rows=2 * 10**18))
+    for spec in (fit_buckets(df, SPEC, rows=10), SequenceSpec(bucket_rows=10)):
+        sizes = [r["count"] for r in df.groupBy("game_id", bucket_of(spec)).count().collect()]
+        assert max(sizes) <= 20 and sum(sizes) == len(orders)
+    narrow = SequenceSpec(bucket_rows=10)
+    assert by_key(features.with_scores(df, narrow), "score_delta") == {k: v[:1] for k, v in want.items()}
+    assert by_key(with_last_known(df, narrow, "out", "score_cp"), "out") == {k: v[1:2] for k, v in want.items()}
+    assert by_key(with_row_number(df, narrow, "out"), "out") == {k: v[2:] for k, v in want.items()}
+
+
+def test_bounds_are_read_from_the_orders(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("b", None)], "game_id string, move_number int")
+    assert with_bounds(df, SPEC).max_order == 3
+    assert with_bounds(df.withColumn("move_number", F.col("move_number") - 1), SPEC).max_order is None
+    assert with_bounds(df.limit(0), SPEC) == SPEC
+
+
 def test_null_order_comes_first_and_null_keys_are_one_key(spark):
     rows = [
         row(move_number=None, score_cp=7), row(score_cp=10), row(move_number=5, score_cp=11),
