@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,7 +11,13 @@ from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
 from seqlake.operators.embedding import embed, embed_with, term_weights, with_terms
 from seqlake.operators.nearest import top_k, top_k_approx
+from seqlake.operators.features import build_features, build_feed_features, build_knowledge_features
+from seqlake.operators.ordered import with_bounds
 from seqlake.operators.retrieval import Route
+from seqlake.plans import collections, flows
+from seqlake.session import scratch_path
+from seqlake.sources.tables import publish
+from seqlake.spec import Layers, SequenceSpec
 
 WORD_ROUTES = (
     Route("all", 3),
@@ -69,6 +77,38 @@ def v3(spark, folder):
     return collection.select("collection", "id", "document", entries.alias("metadata"))
 
 
+def v3_collections(spark, folder):
+    """The three Gold tables from the given ones, and the collections built from them."""
+    layers = Layers(gold=f"gold_{uuid.uuid4().hex[:12]}", location=scratch_path(spark, "collections"))
+    flows.create_schema(spark, layers, "gold")
+    role = F.col("role")
+    positions = read(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("game_id"), F.col("turn").cast("int").alias("move_number"),
+        F.col("text").alias("sfen"), role.alias("move_usi"),
+        F.when(role == "user", "black").when(role == "assistant", "white").alias("player"),
+        F.when(F.col("turn") % 3 == 0, role).otherwise("none").alias("best_move"), F.length("text").alias("score_cp"),
+    )
+    documents = read_spread(spark, folder, "documents")
+    feed = documents.select(
+        F.col("doc_id").cast("string").alias("game_id"), F.lit(0).alias("move_number"), F.col("lang").alias("sfen"),
+        F.col("source").alias("move_usi"), F.lit("black").alias("player"),
+    )
+    articles = documents.select(F.col("doc_id").cast("string").alias("strategy"), F.col("text").alias("content"), "source")
+    for name, gold in (
+        ("position_features", build_features(positions, with_bounds(positions, SequenceSpec()))),
+        ("floodgate_position_features", build_feed_features(feed)),
+        ("joseki_features", build_knowledge_features(articles)),
+    ):
+        publish(gold, layers.table("gold", name), layers.path("gold", name))
+    built = collections.build_collections(spark, layers, embedder=lambda df, text: embed_with(df, text, _letter_counts))
+    entries = F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    vector = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    every = [spark.read.table(collections.collection_table(layers, name)[0]) for name in built]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select(
+        "collection", "id", "document", F.concat_ws(",", entries).alias("metadata"), F.concat_ws(",", vector).alias("vector")
+    )
+
+
 def _vectors(spark, folder):
     return read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -87,7 +127,7 @@ def v4_tiles(spark, folder):
 
 
 def v5(spark, folder):
-    return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bucket_rows=150, tile_rows=400)
+    return top_k_approx(_vectors(spark, folder), _vector_queries(spark, folder), bits=2, tile_rows=400)
 
 
 def v5_recall(spark, folder):
@@ -188,6 +228,20 @@ def v10(spark, folder):
 LETTERS_SQL = "[" + ", ".join(
     f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in "abcdefgh"
 ) + "]"
+CHUNK_SQL = """
+        WITH lines AS (
+          SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\r+$', '')) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        body AS (SELECT * FROM lines WHERE line != '' AND NOT regexp_matches(line, '^(=+[^=]|#+ )')),
+        pieces AS (
+          SELECT doc_id, n, p, substr(line, CAST(p * 500 + 1 AS BIGINT), 500) AS content
+          FROM (SELECT *, unnest(range(0, (length(line) - 1) // 500 + 1)) AS p FROM body)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, p) - 1 AS i FROM pieces)
+        SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, format('{}__chunk{:04d}', CAST(doc_id AS VARCHAR), i) AS id, content
+        FROM numbered"""
+DOCUMENT_LETTERS_SQL = "concat_ws(',', " + ", ".join(
+    f"length(document) - length(replace(document, '{c}', ''))" for c in "abcdefgh"
+) + ")"
 # Cosines are taken in double precision on both sides, then rounded.
 PAIRS_SQL = """
 vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -218,6 +272,7 @@ QUERIES = {
     "V2_embed_weighted": v2_weighted,
     "V2_embed_with_model": v2_model,
     "V3_build_collection": v3,
+    "V3_collections": v3_collections,
     "V4_top_k": v4,
     "V4_top_k_tiles": v4_tiles,
     "V5_top_k_approx": v5,
@@ -253,6 +308,33 @@ ORACLES = {
                'conv_id=' || conv_id || ',turn=' || turn || ',role=' || role AS metadata
         FROM conversations
         WHERE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none')""",
+    "V3_collections": f"""
+        WITH signed AS (
+          SELECT *, CASE WHEN role = 'assistant' THEN -length(text) ELSE length(text) END AS score FROM conversations),
+        changed AS (SELECT *, score - lag(score) OVER (PARTITION BY conv_id ORDER BY turn) AS delta FROM signed),
+        positions AS (
+          SELECT *, CASE WHEN turn % 3 = 0 THEN role ELSE 'none' END AS best,
+                 CASE WHEN turn = 0 THEN 'start' WHEN turn % 3 = 0 THEN 'best' WHEN abs(delta) >= 200 THEN 'blunder' ELSE 'normal' END AS quality
+          FROM changed),
+        entries AS (
+          SELECT 'positions' AS collection, format('{{}}__move{{:04d}}', CAST(conv_id AS VARCHAR), turn) AS id,
+                 '局面: ' || text || ' 指し手: ' || role || ' 推奨手: ' || best || ' 評価値: ' || length(text) || 'cp' AS document,
+                 concat_ws(',', concat_ws('=', 'game_id', conv_id), concat_ws('=', 'move_number', turn), concat_ws('=', 'sfen', text),
+                   concat_ws('=', 'move_usi', role),
+                   concat_ws('=', 'player', CASE role WHEN 'user' THEN 'black' WHEN 'assistant' THEN 'white' END),
+                   concat_ws('=', 'move_quality', quality), concat_ws('=', 'score_cp', length(text))) AS metadata
+          FROM positions
+          UNION ALL
+          SELECT 'floodgate_positions', CAST(doc_id AS VARCHAR) || '__move0000', '局面: ' || lang || ' 指し手: ' || source,
+                 concat_ws(',', concat_ws('=', 'game_id', doc_id), 'move_number=0', concat_ws('=', 'sfen', lang),
+                   concat_ws('=', 'move_usi', source), 'player=black')
+          FROM documents
+          UNION ALL
+          SELECT 'joseki_knowledge', c.id, regexp_replace(c.content, '^\\s+|\\s+$', '', 'g'),
+                 concat_ws(',', concat_ws('=', 'strategy', doc_id), concat_ws('=', 'chunk_index', chunk_index), concat_ws('=', 'source', source))
+          FROM ({CHUNK_SQL}) c JOIN documents USING (doc_id))
+        SELECT *, {DOCUMENT_LETTERS_SQL} AS vector FROM entries
+        WHERE document IS NOT NULL AND lower(document) NOT IN ('', 'nan', 'none')""",
     "V4_top_k": TOP_K_SQL,
     "V4_top_k_tiles": TOP_K_SQL,
     "V6_ask": f"""
@@ -309,15 +391,5 @@ ORACLES = {
             on="q.e IS NOT NULL AND (q.collection = 'all' OR (q.collection = 'english') = (c.label < 5))",
             partition="query_id, collection",
         ) + "SELECT query_id, collection, rank, 'vector ' || id AS text, distance FROM ranked WHERE rank <= hits",
-    "V10_chunk": """
-        WITH lines AS (
-          SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\r+$', '')) AS line,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-        body AS (SELECT * FROM lines WHERE line != '' AND NOT regexp_matches(line, '^(=+[^=]|#+ )')),
-        pieces AS (
-          SELECT doc_id, n, p, substr(line, CAST(p * 500 + 1 AS BIGINT), 500) AS content
-          FROM (SELECT *, unnest(range(0, (length(line) - 1) // 500 + 1)) AS p FROM body)),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, p) - 1 AS i FROM pieces)
-        SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, format('{}__chunk{:04d}', CAST(doc_id AS VARCHAR), i) AS id, content
-        FROM numbered""",
+    "V10_chunk": CHUNK_SQL,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from driver_queries.common import read, read_spread
 from driver_queries.silver import KIF_SQL, feed_records, kif_records
+from seqlake.operators import event_log
 from seqlake.operators.kif import parse_kif
 from seqlake.plans import audits, flows
 from seqlake.session import scratch_path
@@ -18,7 +19,7 @@ from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write
 from seqlake.sources.records import decode_text
 from seqlake.sources.tables import append_bronze, publish
 from seqlake.sources.web import day_urls, first_extract, listing_links
-from seqlake.spec import FEED_RAW_SCHEMA, Layers
+from seqlake.spec import EXPECTATIONS, Layers
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -207,11 +208,55 @@ def r1(spark, folder):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-def r1_audits(spark, folder):
-    """What the audits find in the tables of the flows."""
+def r1_gate(spark, folder):
+    """The rules that a run of the flows does not meet, read back from its event log."""
     layers, _ = _run_flows(spark, folder)
-    return audits.audit_tables(spark, layers).filter(F.col("bad_rows") > 0)
+    results = event_log.expectation_results(spark.read.table(layers.table("gold", "event_log")))
+    return event_log.gate(results, EXPECTATIONS)
+
 
+def r1_audits(spark, folder):
+    """What the audits find in the tables of the flows: every check, with its number of bad rows."""
+    layers, _ = _run_flows(spark, folder)
+    return audits.audit_tables(spark, layers)
+
+
+def _checks_sql():
+    """(dataset, check) of every audit as SQL values."""
+    rows = []
+    for name, rules in audits.AUDITS.items():
+        checks = [f"{c} {rule}" for rule, columns in (
+            ("null", rules.not_null), ("null after the start", rules.after_start), ("empty", rules.not_empty),
+            ("negative", rules.not_negative), ("not_in", rules.one_of),
+        ) for c in columns]
+        checks += ["empty table", "columns"] + [f"{a} = {b}" for a, b in rules.equal]
+        checks += [check for check, wanted in (
+            ("duplicate keys", rules.unique), ("sequence gaps", rules.sequence), ("chain breaks", rules.chain),
+            ("inconsistent keys", rules.constant), ("series", rules.series), ("rows of the source", rules.rows_of),
+        ) if wanted]
+        rows += [f"('{name}', '{check}')" for check in checks]
+    return ", ".join(rows)
+
+
+FLOWS_SQL = """
+        WITH c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role FROM conversations),
+        d AS (SELECT DISTINCT game_id, turn, role FROM c
+              QUALIFY row_number() OVER (PARTITION BY game_id, turn) = 1),
+        n AS (SELECT count(*) AS n, count(game_id) AS keyed, count(*) FILTER (WHERE role != 'system') AS known,
+                     count(DISTINCT coalesce(game_id, -1)) AS games FROM d),
+        m AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+              WHERE line != ''),
+        k AS (SELECT count(*) AS n FROM documents)
+        SELECT 'positions' AS dataset, 'valid_game_id' AS name, keyed AS passed_records, n - keyed AS failed_records FROM n
+        UNION ALL SELECT 'positions', 'valid_move_number', n, 0 FROM n
+        UNION ALL SELECT 'positions', 'valid_player', known, n - known FROM n
+        UNION ALL SELECT 'position_features', 'valid_move_quality', n, 0 FROM n
+        UNION ALL SELECT 'game_summary', 'final_score_not_null', games, 0 FROM n
+        UNION ALL SELECT 'game_summary', 'valid_players', games, 0 FROM n
+        UNION ALL SELECT 'floodgate_positions', unnest(['valid_game_id', 'valid_move_number', 'valid_player']), n, 0 FROM m
+        UNION ALL SELECT 'floodgate_position_features', 'search_text_not_null', n, 0 FROM m
+        UNION ALL SELECT 'joseki_knowledge', unnest(['strategy_not_null', 'content_not_null', 'source_not_null']), n, 0 FROM k
+        UNION ALL SELECT 'joseki_features', 'search_text_not_null', n, 0 FROM k"""
 
 QUERIES = {
     "S1_typed_csv": s1,
@@ -227,6 +272,7 @@ QUERIES = {
     "S10_export_csv": s10,
     "S11_publish": s11,
     "R1_flows": r1,
+    "R1_gate": r1_gate,
     "R1_audits": r1_audits,
 }
 
@@ -278,8 +324,9 @@ ORACLES = {
                regexp_replace(text, '[\\r\\n]+', '|', 'g') AS pv
         FROM conversations""",
     "S11_publish": "SELECT * FROM orders",
-    "R1_audits": """
-        WITH c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role,
+    "R1_audits": f"""
+        WITH wanted(dataset, "check") AS (VALUES {_checks_sql()}),
+        c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role,
                           regexp_replace(text, '\\s+', ' ', 'g') AS sfen FROM conversations),
         d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY game_id, turn ORDER BY sfen) = 1),
         w AS (SELECT *, row_number() OVER g - 1 AS place, lag(sfen) OVER g AS before
@@ -290,24 +337,9 @@ ORACLES = {
           UNION ALL SELECT 'positions', 'sequence gaps', count(*) FROM w WHERE place != turn
           UNION ALL SELECT 'positions', 'chain breaks', count(*) FROM w
             WHERE CASE WHEN turn = 0 THEN sfen != role ELSE role != before END)
-        SELECT * FROM found WHERE bad_rows > 0""",
-    "R1_flows": """
-        WITH c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role FROM conversations),
-        d AS (SELECT DISTINCT game_id, turn, role FROM c
-              QUALIFY row_number() OVER (PARTITION BY game_id, turn) = 1),
-        n AS (SELECT count(*) AS n, count(game_id) AS keyed, count(*) FILTER (WHERE role != 'system') AS known,
-                     count(DISTINCT coalesce(game_id, -1)) AS games FROM d),
-        m AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-              WHERE line != ''),
-        k AS (SELECT count(*) AS n FROM documents)
-        SELECT 'positions' AS dataset, 'valid_game_id' AS name, keyed AS passed_records, n - keyed AS failed_records FROM n
-        UNION ALL SELECT 'positions', 'valid_move_number', n, 0 FROM n
-        UNION ALL SELECT 'positions', 'valid_player', known, n - known FROM n
-        UNION ALL SELECT 'position_features', 'valid_move_quality', n, 0 FROM n
-        UNION ALL SELECT 'game_summary', 'final_score_not_null', games, 0 FROM n
-        UNION ALL SELECT 'game_summary', 'valid_players', games, 0 FROM n
-        UNION ALL SELECT 'floodgate_positions', unnest(['valid_game_id', 'valid_move_number', 'valid_player']), n, 0 FROM m
-        UNION ALL SELECT 'floodgate_position_features', 'search_text_not_null', n, 0 FROM m
-        UNION ALL SELECT 'joseki_knowledge', unnest(['strategy_not_null', 'content_not_null', 'source_not_null']), n, 0 FROM k
-        UNION ALL SELECT 'joseki_features', 'search_text_not_null', n, 0 FROM k""",
+        SELECT dataset, "check", coalesce(bad_rows, 0) AS bad_rows FROM wanted LEFT JOIN found USING (dataset, "check")""",
+    "R1_flows": FLOWS_SQL,
+    "R1_gate": f"""
+        SELECT dataset, name, 'failed_records=' || failed_records AS reason FROM ({FLOWS_SQL})
+        WHERE failed_records > 0""",
 }

@@ -17,6 +17,10 @@ from seqlake.operators.silver import latest_per_key
 EXPECTATIONS_TYPE = (
     "array<struct<name:string,dataset:string,passed_records:bigint,failed_records:bigint>>"
 )
+LOG_SCHEMA = (
+    "timestamp timestamp, event_type string, level string, message string, details string, "
+    "origin struct<update_id:string>"
+)
 NO_ERRORS = "(event_logにERRORレベルのイベントなし)"
 
 

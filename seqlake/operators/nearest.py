@@ -246,24 +246,24 @@ def top_k_approx(
     k: int = TOP_K,
     on: str | None = None,
     tables: int = 8,
-    bucket_rows: int = 2_000,
+    bits: int = 14,
     seed: int = 7,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """As ``top_k``, but a query only meets rows that share a bucket of random hyperplanes with it.
 
-    The distances are exact; near rows may be missed. A query that finds fewer than k rows is
-    answered by ``top_k``. Buckets with more than ``tile_rows`` rows on either side are cut.
+    ``bits`` is the width of a table's hash: log2(rows / 2000) gives buckets of about 2,000 rows. The
+    distances are exact; near rows may be missed. A query that finds fewer than k rows is answered by
+    ``top_k``. Buckets with more than ``tile_rows`` rows on either side are cut.
     """
     left = _vectors(corpus, "id", "id", on)
     right = _vectors(queries, "query_id", "query_id", on)
-    size = left.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    bits = max(0, math.ceil(math.log2(max(1, size["n"]) / bucket_rows)))
-    if bits == 0:
+    dim = left.agg(F.max(F.size("embedding"))).first()[0]
+    if dim is None or bits == 0:
         return top_k(corpus, queries, k, on, tile_rows=tile_rows)
 
     def bucketed(df: DataFrame, probe: bool) -> DataFrame:
-        buckets = _buckets(size["dim"], tables, bits, seed, probe)
+        buckets = _buckets(dim, tables, bits, seed, probe)
         return df.withColumn("_bucket", F.explode_outer(buckets("embedding")))
 
     rows, probes = bucketed(left, False), bucketed(right, True)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators.ordered import with_previous, with_row_number
+from seqlake.operators.ordered import BUCKET, with_history, with_previous, with_row_number
 from seqlake.spec import SequenceSpec
 
 
@@ -147,11 +147,51 @@ def inconsistent_keys(df: DataFrame, key: str, columns: Sequence[str]) -> DataFr
     Two different values exist exactly when minimum and maximum differ, so nothing but two values
     per key and map task is shuffled.
     """
-    extremes = [f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]
-    differs = F.lit(False)
+    return df.groupBy(key).agg(*_extremes(columns)).filter(_differs(columns))
+
+
+def _extremes(columns: Sequence[str]) -> list[Column]:
+    return [f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]
+
+
+def _differs(columns: Sequence[str]) -> Column:
+    found = F.lit(False)
     for column in columns:
-        differs = differs | F.coalesce(F.col(f"min_{column}") != F.col(f"max_{column}"), F.lit(False))
-    return df.groupBy(key).agg(*extremes).filter(differs)
+        found = found | F.coalesce(F.col(f"min_{column}") != F.col(f"max_{column}"), F.lit(False))
+    return found
+
+
+def audit_sequence(
+    df: DataFrame,
+    spec: SequenceSpec,
+    rules: Sequence[tuple[str, str, Column]],
+    constant: Sequence[str] = (),
+    chain: bool = False,
+) -> DataFrame:
+    """``check, bad_rows``: ``audit_columns``, duplicate keys, gaps, chain breaks and inconsistent keys in one pass.
+
+    Counts as the operators of those names do; rows are shuffled once where the keys fit a bucket.
+    """
+    order = F.col(spec.order)
+    rows = with_history(df, spec, {"_state_before": spec.state} if chain else {}, "_number", keep_bucket=True)
+    place = [spec.key, *([BUCKET] if BUCKET in rows.columns else []), spec.order]
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*place).orderBy(spec.order)))
+    checks = [(f"{column} {rule}", condition) for column, rule, condition in rules]
+    checks += [("duplicate keys", F.col("_copy") == 2), ("sequence gaps", order != F.col("_number") - 1)]
+    if chain:
+        expected = F.when(order == 0, F.col(spec.state)).otherwise(F.col("_state_before"))
+        checks.append(("chain breaks", (order >= 0) & (F.col(spec.prev_state) != expected)))
+    per_key = rows.groupBy(spec.key).agg(
+        *[_count(condition).alias(f"_{i}") for i, (_, condition) in enumerate(checks)], *_extremes(constant)
+    )
+    counts = [F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(checks))]
+    names = [name for name, _ in checks]
+    if constant:
+        counts.append(F.count_if(_differs(constant)).alias(f"_{len(names)}"))
+        names.append("inconsistent keys")
+    return _long(per_key, counts, [
+        F.struct(F.lit(name).alias("check"), F.col(f"_{i}").alias("bad_rows")) for i, name in enumerate(names)
+    ])
 
 
 def bad_series(df: DataFrame, order: str, series: str = "score_series_json") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.operators import quality
+from seqlake.operators.ordered import with_bounds
 from seqlake.spec import (
     ARTICLE_RAW_SCHEMA,
     FEED_POSITIONS_SCHEMA,
@@ -22,7 +23,10 @@ from seqlake.spec import (
 
 @dataclass(frozen=True)
 class Audit:
-    """What must hold in a table. ``after_start`` may be null on the first row of a sequence only."""
+    """What must hold in a table. ``after_start`` may be null on the first row of a sequence only.
+
+    A ``sequence`` is unique by its key and order; ``chain`` and ``constant`` go with sequences.
+    """
 
     layer: str
     columns: Sequence[str]
@@ -99,31 +103,29 @@ def _counted(df: DataFrame, check: str) -> DataFrame:
 def audit(
     df: DataFrame, rules: Audit, spec: SequenceSpec | None = None, source: DataFrame | None = None
 ) -> DataFrame:
-    """``check, bad_rows`` for every promise. All column checks share one aggregation."""
-    spec = spec or SequenceSpec()
+    """``check, bad_rows`` for every promise. All checks of a sequence share one pass, as do those of columns.
+
+    Without ``spec`` a sequence's bounds are read first, which is one pass over its order.
+    """
+    if spec is None:
+        spec = with_bounds(df, SequenceSpec()) if rules.sequence else SequenceSpec()
     columns = [quality.is_null(c) for c in rules.not_null]
     columns += [(c, "null after the start", F.col(c).isNull() & (F.col(spec.order) != 0)) for c in rules.after_start]
     columns += [quality.is_empty(c) for c in rules.not_empty]
     columns += [quality.is_negative(c) for c in rules.not_negative]
     columns += [quality.not_in(c, values) for c, values in rules.one_of.items()]
     columns.append(("empty", "table", F.lit(True)))
-    per_column = quality.audit_columns(df, columns)
+    if rules.sequence:
+        counted = quality.audit_sequence(df, spec, columns, rules.constant, rules.chain)
+    else:
+        counted = quality.audit_columns(df, columns).select(F.concat_ws(" ", "column", "rule").alias("check"), "bad_rows")
     is_empty = (F.col("bad_rows") == 0).cast("bigint")
     parts = [
-        per_column.select(
-            F.concat_ws(" ", "column", "rule").alias("check"),
-            F.when(F.col("rule") == "table", is_empty).otherwise(F.col("bad_rows")).alias("bad_rows"),
-        ),
+        counted.withColumn("bad_rows", F.when(F.col("check") == "empty table", is_empty).otherwise(F.col("bad_rows"))),
         _counted(quality.check_schema(df, rules.columns), "columns"),
     ]
-    if rules.unique:
+    if rules.unique and not rules.sequence:
         parts.append(_counted(quality.duplicate_keys(df, rules.unique), "duplicate keys"))
-    if rules.sequence:
-        parts.append(_counted(quality.sequence_gaps(df, spec), "sequence gaps"))
-    if rules.chain:
-        parts.append(_counted(quality.chain_breaks(df, spec), "chain breaks"))
-    if rules.constant:
-        parts.append(_counted(quality.inconsistent_keys(df, spec.key, rules.constant), "inconsistent keys"))
     parts += [_counted(quality.mismatches(df, a, b), f"{a} = {b}") for a, b in rules.equal]
     if rules.series:
         parts.append(_counted(quality.bad_series(df, spec.order), "series"))

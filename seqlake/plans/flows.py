@@ -5,13 +5,17 @@ Every table is replaced as a whole, and its row expectations are counted in the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.operators.event_log import LOG_SCHEMA
 from seqlake.operators.feed import build_feed_positions
 from seqlake.operators.features import (
     build_features,
@@ -22,7 +26,7 @@ from seqlake.operators.features import (
 from seqlake.operators.quality import expect, observed_counts
 from seqlake.operators.silver import build_knowledge, dedupe
 from seqlake.sources.csv_files import read_sequences_csv
-from seqlake.sources.tables import publish
+from seqlake.sources.tables import append_rows, publish
 from seqlake.spec import EXPECTATIONS, Layers, SequenceSpec
 
 
@@ -116,10 +120,37 @@ def run(
     return report
 
 
-def run_all(spark: SparkSession, layers: Layers, sources: Mapping[str, str]) -> list[FlowReport]:
+def log_events(spark: SparkSession, reports: Sequence[FlowReport], update_id: str) -> DataFrame:
+    """The rows of an event log for one run: what each flow counted, its error, and how the run ended."""
+    rows = []
+
+    def add(kind: str, message: str, details: dict, level: str = "INFO") -> None:
+        rows.append((datetime.now(timezone.utc), kind, level, message, json.dumps(details), (update_id,)))
+
+    for report in reports:
+        names = {table.rsplit(".", 1)[-1]: table for table in report.tables}
+        state = "FAILED" if report.error else "COMPLETED"
+        progress = {"status": state}
+        if report.counts:
+            progress["data_quality"] = {"expectations": [
+                {"name": rule, "dataset": names[dataset], "passed_records": passed, "failed_records": failed}
+                for dataset, rule, passed, failed in report.counts
+            ]}
+        add("flow_progress", f"Flow {report.flow}: {state}", {"flow_progress": progress})
+        if report.error:
+            add("flow_progress", f"Flow {report.flow}: {report.error}", {}, "ERROR")
+    state = "FAILED" if any(report.error for report in reports) else "COMPLETED"
+    add("update_progress", f"Update {update_id}: {state}", {"update_progress": {"state": state}})
+    return spark.createDataFrame(rows, LOG_SCHEMA)
+
+
+def run_all(
+    spark: SparkSession, layers: Layers, sources: Mapping[str, str], update_id: str | None = None
+) -> list[FlowReport]:
     """Run the flows side by side; an error ends its own flow only.
 
-    It is kept in the flow's report, beside the tables and counts from before.
+    It is kept in the flow's report, beside the tables and counts from before. What happened is appended
+    to the Gold table ``event_log`` under ``update_id`` (a new one if none is given).
     """
 
     def attempt(flow: str, source: str) -> FlowReport:
@@ -131,4 +162,8 @@ def run_all(spark: SparkSession, layers: Layers, sources: Mapping[str, str]) ->
             return report
 
     with ThreadPoolExecutor(max(1, len(sources))) as pool:
-        return list(pool.map(attempt, sources.keys(), sources.values()))
+        reports = list(pool.map(attempt, sources.keys(), sources.values()))
+    create_schema(spark, layers, "gold")
+    events = log_events(spark, reports, update_id or uuid.uuid4().hex)
+    append_rows(events, layers.table("gold", "event_log"), layers.path("gold", "event_log"))
+    return reports

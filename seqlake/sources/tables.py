@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_VERSION = "version-"
 
-def _save(df: DataFrame, table: str, mode: str, path: str | None, format: str) -> None:
-    writer = df.write.format(format).mode(mode)
+
+def append_rows(df: DataFrame, table: str, path: str | None = None, format: str = "parquet") -> None:
+    writer = df.write.format(format).mode("append")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -26,12 +29,50 @@ def append_bronze(
     """Append the rows that have a body, stamped with the time of the fetch; never overwrite."""
     stamp = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)
     rows = df.filter(F.col(body) != "").withColumn("fetched_at", stamp.cast("timestamp"))
-    _save(rows, table, "append", path, format)
+    append_rows(rows, table, path, format)
+
+
+def _columns(df: DataFrame) -> list[tuple[str, str]]:
+    return [(field.name, field.dataType.simpleString()) for field in df.schema]
+
+
+def _home(spark: SparkSession, table: str) -> str:
+    *schema, name = table.split(".")
+    return f"{spark.catalog.getDatabase('.'.join(schema) or spark.catalog.currentDatabase()).locationUri}/{name}"
 
 
 def publish(
     df: DataFrame, table: str, path: str | None = None, format: str = "parquet"
 ) -> DataFrame:
-    """Replace the table by ``df`` and return the table as it was written."""
-    _save(df, table, "overwrite", path, format)
-    return df.sparkSession.read.table(table)
+    """Replace the table by ``df`` and return the table as it was written.
+
+    The rows go to a fresh folder below ``path``, and the table is pointed to it at the end: a write that
+    fails leaves the table as it was, and a table can be worked out from itself. Earlier versions stay
+    until ``drop_old_versions``. A table of other columns is created anew.
+    """
+    spark = df.sparkSession
+    fresh = f"{path or _home(spark, table)}/{_VERSION}{uuid.uuid4().hex}"
+    df.write.format(format).save(fresh)
+    if spark.catalog.tableExists(table) and _columns(spark.read.table(table)) == _columns(df):
+        place = fresh.replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.catalog.createTable(table, path=fresh, source=format, schema=df.schema)
+    return spark.read.table(table)
+
+
+def drop_old_versions(spark: SparkSession, table: str) -> int:
+    """Delete the folders that ``publish`` has replaced, and return their number.
+
+    To be called when nobody reads an earlier version or publishes the table.
+    """
+    place = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
+    current = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = current.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [
+        status.getPath() for status in files.listStatus(current.getParent())
+        if status.getPath().getName().startswith(_VERSION) and status.getPath().getName() != current.getName()
+    ]
+    return sum(files.delete(folder, True) for folder in old)

@@ -4,9 +4,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.plans import audits, flows
+from seqlake.operators import event_log
+from seqlake.plans import audits, collections, flows
 from seqlake.session import scratch_path, shared_dir, spread
-from seqlake.sources.tables import append_bronze
+from seqlake.sources.tables import append_bronze, publish
 from seqlake.spec import EXPECTATIONS, POSITIONS_SCHEMA, Layers, SequenceSpec
 
 HEADER = ",".join(POSITIONS_SCHEMA.fieldNames())
@@ -95,10 +96,33 @@ def test_all_flows_and_an_error_that_stays_in_its_flow(spark, layers, landing):
         "knowledge": layers.table("bronze", "wikipedia_raw"),
     })
     assert [(r.flow, r.error is None) for r in reports] == [("feed", False), ("positions", True), ("knowledge", True)]
+    log = spark.read.table(layers.table("gold", "event_log"))
+    update = log.first()["origin"]["update_id"]
+    results = event_log.expectation_results(log, update)
+    missed = {(r["dataset"], r["name"]): r["reason"] for r in event_log.gate(results, EXPECTATIONS).collect()}
+    assert missed["positions", "valid_game_id"] == "failed_records=1" and ("joseki_knowledge", "content_not_null") not in missed
+    assert missed["floodgate_positions", "valid_player"] == "missing"
+    assert "Flow feed" in event_log.error_digest(log, update).first()["line"]
+    assert event_log.expectation_results(log).count() == 0
     features = spark.read.table(layers.table("gold", "joseki_features")).collect()
     assert [r.asDict() for r in features] == [{"strategy": "a", "content": "body", "source": "src", "search_text": "body"}]
 
 
+def test_collections_of_the_gold_tables(spark, layers, landing):
+    assert collections.build_collections(spark, layers) == []
+    flows.run(spark, "positions", layers, landing)
+    publish(spark.createDataFrame([], "strategy string, content string, source string, search_text string"),
+            layers.table("gold", "joseki_features"), layers.path("gold", "joseki_features"))
+    assert collections.build_collections(spark, layers) == ["positions"]
+    entries = {r["id"]: r for r in spark.read.table(collections.collection_table(layers, "positions")[0]).collect()}
+    # Row 0 has no move, so no text.
+    assert {"G1__move0001", "G1__move0002"} <= set(entries) and "G1__move0000" not in entries
+    assert entries["G1__move0001"]["metadata"]["move_quality"] == "blunder" and len(entries["G1__move0001"]["embedding"]) == 256
+    articles = spark.createDataFrame([("a", "== h ==\nfirst\n\nsecond", "src")], "strategy string, search_text string, source string")
+    chunks = {r["id"]: (r["document"], r["metadata"]["chunk_index"]) for r in collections.collection_of(articles, "joseki_knowledge").collect()}
+    assert chunks == {"a__chunk0000": ("first", "0"), "a__chunk0001": ("second", "1")}
+
+
 def test_feed_flow(spark, layers):
     games = spark.createDataFrame([("g", "N+A\nN-B\n+7776FU\n-3334FU\n", "src")], "game_id string, csa string, source string")
     for hour in (1, 2):

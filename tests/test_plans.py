@@ -78,6 +78,17 @@ def test_search_does_not_shuffle_the_corpus(spark):
     assert any("WindowGroupLimit" in line and "Partial" in line for line in plan[:at])
 
 
+def test_a_sequence_is_audited_in_one_pass(spark):
+    rows = spark.read.parquet(f"{FOLDER}/conversations.parquet").select(
+        F.col("conv_id").cast("string").alias("game_id"), F.col("turn").cast("int").alias("move_number"),
+        F.col("text").alias("sfen"), F.col("role").alias("prev_sfen"), F.lit("b").alias("black_player"),
+    )
+    plan = physical(quality.audit_sequence(
+        rows, SequenceSpec(max_order=99), [quality.is_null("sfen")], ["black_player"], chain=True
+    ))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_no_cross_joins(spark):
     import __spark_entry__ as entry
 

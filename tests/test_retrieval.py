@@ -90,7 +90,7 @@ def test_approximate_search_finds_most_and_splits_hot_buckets(spark, bound, monk
     queries = vectors(40, dim=16, seed=5)
     exact = brute(data, queries, 5)
     found = hits(top_k_approx(
-        corpus_frame(spark, data), query_frame(spark, queries), 5, tables=6, bucket_rows=100, tile_rows=30
+        corpus_frame(spark, data), query_frame(spark, queries), 5, tables=6, bits=3, tile_rows=30
     ))
     assert len(found) == len(exact) == 200
     recall = len({h[::2] for h in found} & {h[::2] for h in exact}) / len(exact)
@@ -103,7 +103,7 @@ def test_approximate_search_always_gives_k(spark):
     """Queries far from everything share no bucket with k rows, and are answered exactly."""
     data = np.abs(vectors(64, dim=16)) + 1
     queries = -np.abs(vectors(4, dim=16, seed=3)) - 1
-    found = top_k_approx(corpus_frame(spark, data), query_frame(spark, queries), 5, tables=1, bucket_rows=2)
+    found = top_k_approx(corpus_frame(spark, data), query_frame(spark, queries), 5, tables=1, bits=5)
     assert hits(found) == brute(data, queries, 5)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text, read_text_records
-from seqlake.sources.tables import append_bronze, publish
+from seqlake.sources.tables import append_bronze, drop_old_versions, publish
 from seqlake.sources.web import day_urls, first_extract, listing_links
 from seqlake.spec import POSITIONS_SCHEMA
 from seqlake.streaming.ingest import append_new_files
@@ -121,6 +121,23 @@ def test_publish_replaces_the_table(spark, tmp_path, table):
     path = f"{tmp_path}/gold"
     assert publish(spark.range(5), table, path).count() == 5
     assert publish(spark.range(2), table, path).count() == 2
+    assert publish(spark.range(2).withColumn("more", F.lit(1)), table, path).columns == ["id", "more"]
+
+
+def test_a_write_that_dies_leaves_the_table_and_a_table_is_made_from_itself(spark, tmp_path, table):
+    path = f"{tmp_path}/gold"
+    before = publish(spark.range(5), table, path)
+    broken = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("dies"))).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="dies"):
+        publish(broken, table, path)
+    assert spark.read.table(table).count() == 5
+    assert publish(spark.read.table(table).filter("id > 1"), table, path).count() == 3
+    assert before.count() == 5
+    assert drop_old_versions(spark, table) == 2 and spark.read.table(table).count() == 3
+
+
+def test_publish_without_a_path(spark, table):
+    assert publish(spark.range(3), table).count() == 3 and publish(spark.range(4), table).count() == 4
 
 
 def test_text_in_two_encodings(spark, tmp_path):
