@@ -9,8 +9,8 @@ The token streams of the remaining blocks of all pages of a host are then search
 suffix array: suffixes at content-selected places are sorted by host and by what follows, neighbours are
 compared, and runs of ``WINDOW`` tokens or more that stand in different streams are counted. Equal streams
 (copies of a page) count once. A candidate block mostly covered by runs that at least ``FEW_PAGES`` streams
-and ``FEW_SHARE`` of the host's streams repeat is boilerplate; a block of a named article only if
-``MANY_PAGES`` and ``MANY_SHARE`` do. What is left is unique to the page and is kept whole.
+of the host repeat is boilerplate, whatever the size of the host; a block of a named article only if
+``MANY_PAGES`` do. What is left is unique to the page and is kept whole.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes, an
 unfinished tag or comment at the end is dropped; a page without url belongs to the host of no name; rows
@@ -35,8 +35,7 @@ from seqlake.llm.neighbours import with_equal_neighbour
 from seqlake.llm.passages import find_runs, list_column, span_hashes
 
 WINDOW, GRAM = 16, 5
-FEW_PAGES, FEW_SHARE = 3, 0.1
-MANY_PAGES, MANY_SHARE = 10, 0.5
+FEW_PAGES, MANY_PAGES = 3, 10
 COVERED = 0.5
 
 # Names of HTML elements.
@@ -202,12 +201,9 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
     repeated = stored(with_equal_neighbour(_runs(parsed), ["run"], ["stream", "start"]), "repeated")
     # Copies of a page are one stream.
     counted = repeated.select("run", "stream").distinct().groupBy("run")
-    counted = counted.agg(F.count("*").alias("streams"), F.min("stream").alias("stream")).filter(F.col("streams") >= FEW_PAGES)
-    owners = stored(parsed.select("host", "stream").distinct(), "streams")
-    hosts = owners.groupBy("host").agg(F.count("*").alias("all_streams"))
-    shared = counted.join(owners, "stream").join(hosts, "host").withColumn("share", F.col("streams") / F.col("all_streams"))
-    often = (F.col("streams") >= MANY_PAGES) & (F.col("share") >= MANY_SHARE)
-    shared = stored(shared.filter(F.col("share") >= FEW_SHARE).select("run", often.alias("often")), "shared")
+    counted = counted.agg(F.count("*").alias("streams")).filter(F.col("streams") >= FEW_PAGES)
+    often = F.col("streams") >= MANY_PAGES
+    shared = stored(counted.select("run", often.alias("often")), "shared")
     spans = F.collect_set(F.struct("start", "size", "often")).alias("spans")
     told = repeated.join(shared, "run").filter(F.col("often") | ~F.col("named"))
     return told.groupBy("stream").agg(spans)

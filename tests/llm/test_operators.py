@@ -229,6 +229,22 @@ def test_html_boilerplate_of_a_host(spark):
     assert all(len(text.split()) == 30 for page, text, _ in texts if page is not None and page < 12)
 
 
+def host_pages(spark, rows):
+    return spark.createDataFrame([(n, f"http://{host}.example/{n}", html) for n, host, html in rows], "page_id bigint, url string, html string")
+
+
+def test_html_boilerplate_is_judged_by_pages_not_by_the_size_of_the_host(spark):
+    rng = random.Random(12)
+    notice, line = " ".join(prose(rng, 40)), " ".join(prose(rng, 40))
+    own = lambda: " ".join(prose(rng, 25))
+    rows = [(n, "big", f"<p>{own()}</p>" + (f"<p>{notice}</p>" if n < 4 else "")) for n in range(60)]
+    rows += [(100 + n, "named", f"<article><p>{own()}</p>" + (f"<p>{line}</p>" if n < 10 else "") + "</article>") for n in range(40)]
+    rows += [(200 + n, "few", f"<article><p>{own()}</p>" + (f"<p>{line}</p>" if n < 9 else "") + "</article>") for n in range(12)]
+    texts = {r["page_id"]: r["text"] for r in html_extraction.main_text(host_pages(spark, rows)).collect()}
+    assert all(len(texts[n].split()) == 25 for n in [*range(60), *range(100, 140)])
+    assert all(line in texts[n] for n in range(200, 209))
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(n, " ".join(prose(rng, rng.randrange(8, 150), 5000)) + "? " + " ".join(prose(rng, 6, 5000))) for n in range(30)]
