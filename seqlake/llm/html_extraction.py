@@ -6,9 +6,10 @@ its article (``article`` or ``main``), the blocks inside it are kept and the oth
 all other blocks are candidates.
 
 The token streams of the remaining blocks of all pages of a host are then searched for long repeats with a
-suffix array: suffixes at content-selected places are sorted by host and by what follows, neighbours are
-compared, and runs of ``WINDOW`` tokens or more that stand in different streams are counted. Equal streams
-(copies of a page) count once. A candidate block mostly covered by runs that at least ``FEW_PAGES`` streams
+sparse suffix array: suffixes are kept where a minimiser stands, the smallest ``GRAM``-token hash of some window
+of ``WINDOW`` tokens, and sorted by host and minimiser. Those with an equal neighbour are extended to both sides
+window by window; equal windows always have the same minimiser, so every run of ``WINDOW`` tokens or more that
+stands in different streams is found, and counted exactly. Equal streams (copies of a page) count once. A candidate block mostly covered by runs that at least ``FEW_PAGES`` streams
 of the host repeat is boilerplate, whatever the size of the host; a block of a named article only if
 ``MANY_PAGES`` do. What is left is unique to the page and is kept whole.
 
@@ -27,17 +28,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import mixed, slices, stored, word_hashes, words
 from seqlake.llm.neighbours import with_equal_neighbour
-from seqlake.llm.passages import find_runs, list_column, span_hashes
+from seqlake.llm.passages import find_runs, gram_hashes, list_column, span_hashes
 
 WINDOW, GRAM = 16, 5
 FEW_PAGES, MANY_PAGES = 3, 10
 COVERED = 0.5
 
+_SPANS = "array<struct<offset:int,windows:int,often:boolean>>"
+
 # Names of HTML elements.
 _BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer"
@@ -169,44 +172,98 @@ def _signed(text: str) -> int:
 
 
 def _runs(parsed: DataFrame) -> DataFrame:
-    """The suffixes kept of each stream: a hash of the host and all tokens of the run, its place, and ``named``."""
+    """The suffixes kept of each stream: anchor and content (hashes with the host), place, windows and ``named``."""
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "blocks", 1 << 19):
                 flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
                 values = word_hashes(flat)
-                row, first, windows, _ = find_runs(values, counts, WINDOW, GRAM)
-                size = windows + WINDOW - 1
-                host = batch.column("host").to_numpy().view(np.uint64)
-                run = mixed(span_hashes(values, first, size) ^ host[row])
+                row, first, windows, anchor = find_runs(values, counts, WINDOW, GRAM)
+                host = batch.column("host").to_numpy().view(np.uint64)[row]
+                content = mixed(span_hashes(values, first, windows + WINDOW - 1) ^ host)
                 begins = np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run.view(np.int64)), batch.column("stream").take(pa.array(row)),
-                     pa.array((first - begins[row]).astype(np.int32)), pa.array(size.astype(np.int32)),
-                     batch.column("named").take(pa.array(row))],
-                    names=["run", "stream", "start", "size", "named"],
+                    [pa.array(mixed(anchor ^ host).view(np.int64)), pa.array(content.view(np.int64)),
+                     batch.column("stream").take(pa.array(row)), pa.array((first - begins[row]).astype(np.int32)),
+                     pa.array(windows.astype(np.int32)), batch.column("named").take(pa.array(row))],
+                    names=["anchor", "content", "stream", "start", "windows", "named"],
                 )
 
-    schema = "run bigint, stream bigint, start int, size int, named boolean"
+    schema = "anchor bigint, content bigint, stream bigint, start int, windows int, named boolean"
     return parsed.select("host", "stream", "named", "blocks").mapInArrow(work, schema)
 
 
+def _window_hashes(batches):
+    """For each wanted run the hashes of its windows."""
+    for whole in batches:
+        for batch in slices(whole, "blocks", 1 << 19):
+            flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
+            hashes = gram_hashes(word_hashes(flat), WINDOW)
+            begins = np.cumsum(counts) - counts
+            bounds, runs = list_column(batch, "runs")
+            anchor, content, start, size = (runs.field(i) for i in range(4))
+            size = size.to_numpy().astype(np.int64)
+            number = np.diff(bounds)
+            at = start.to_numpy() + np.repeat(begins, number)
+            ends = np.cumsum(size)
+            places = np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)
+            host = np.repeat(np.repeat(batch.column("host").to_numpy().view(np.uint64), number), size)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            found = pa.ListArray.from_arrays(offsets, pa.array(mixed(hashes[places] ^ host).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([anchor, content, found], names=["anchor", "content", "hashes"])
+
+
 def host_repeats(parsed: DataFrame) -> DataFrame:
-    """(stream, spans): runs of a stream that several streams of its host repeat, and whether many do.
+    """(stream, spans): windows of a stream that several streams of its host repeat, and whether many do.
 
-    Of named articles only those that many repeat, as no other run takes anything out of them.
+    Of named articles only those that many repeat, as no other window takes anything out of them.
     """
     # Not written: the range cut works the runs out once more for its sample, and saves a copy of all of them.
-    repeated = stored(with_equal_neighbour(_runs(parsed), ["run"], ["stream", "start"]), "repeated")
-    # Copies of a page are one stream.
-    counted = repeated.select("run", "stream").distinct().groupBy("run")
-    counted = counted.agg(F.count("*").alias("streams")).filter(F.col("streams") >= FEW_PAGES)
-    often = F.col("streams") >= MANY_PAGES
-    shared = stored(counted.select("run", often.alias("often")), "shared")
-    spans = F.collect_set(F.struct("start", "size", "often")).alias("spans")
-    told = repeated.join(shared, "run").filter(F.col("often") | ~F.col("named"))
-    return told.groupBy("stream").agg(spans)
+    members = stored(with_equal_neighbour(_runs(parsed), ["anchor"], ["content", "stream", "start"]), "members")
+    # Copies of a page are one stream. More streams than MANY_PAGES say nothing new: the first ones of each class
+    # hold the first ones of every window.
+    streams = members.groupBy("anchor", "content", "stream").agg(F.min("start").alias("start"), F.first("windows").alias("windows"), F.min("named").alias("named"))
+    few = Window.partitionBy("anchor", "content").orderBy("stream")
+    kept = streams.withColumn("number", F.row_number().over(few)).filter(F.col("number") <= MANY_PAGES)
+    classes = kept.groupBy("anchor", "content").agg(
+        F.collect_list("stream").alias("streams"), F.min(F.struct("stream", "start", "windows")).alias("one")
+    )
+    loose = members.filter(~F.col("named")).select("anchor").distinct().withColumn("loose", F.lit(True))
+    counts = kept.select("anchor", "stream").distinct().groupBy("anchor").agg(F.count("*").alias("most"))
+    sizes = kept.select("anchor", "content").distinct().groupBy("anchor").agg(F.count("*").alias("contents"))
+    # No window has more streams than its anchor.
+    asked = counts.join(loose, "anchor", "left").join(sizes, "anchor").filter(
+        (F.col("most") >= MANY_PAGES) | F.col("loose") & (F.col("most") >= FEW_PAGES)
+    )
+    classes = stored(classes.join(stored(asked.select("anchor", "contents"), "asked"), "anchor"), "classes")
+    often = F.col("n") >= MANY_PAGES
+    span = lambda offset, windows: F.struct(offset.alias("offset"), windows.alias("windows"), "often")
+    # All surroundings equal: all windows repeat.
+    alone = classes.filter("contents = 1").withColumn("n", F.size("streams")).filter(F.col("n") >= FEW_PAGES)
+    alone = alone.withColumn("often", often).select(
+        "anchor", "content", F.array(span(F.lit(0), F.col("one.windows"))).cast(_SPANS).alias("spans")
+    )
+    several = classes.filter("contents > 1")
+    wanted = several.groupBy("one.stream").agg(F.collect_list(F.struct("anchor", "content", "one.start", "one.windows")).alias("runs"))
+    texts = parsed.join(stored(wanted, "wanted"), "stream").select("host", "blocks", "runs")
+    hashed = texts.mapInArrow(_window_hashes, "anchor bigint, content bigint, hashes array<bigint>")
+    windows = stored(
+        hashed.dropDuplicates(["anchor", "content"]).join(several, ["anchor", "content"])
+        .select("anchor", "content", "streams", F.posexplode("hashes").alias("offset", "hash")),
+        "windows",
+    )
+    repeated = windows.select("hash", F.explode("streams").alias("stream")).distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    repeated = repeated.filter(F.col("n") >= FEW_PAGES).select("hash", often.alias("often"))
+    extended = windows.join(stored(repeated, "repeated"), "hash").groupBy("anchor", "content").agg(
+        F.collect_list(span(F.col("offset"), F.lit(1))).cast(_SPANS).alias("spans")
+    )
+    found = stored(alone.unionByName(extended), "found")
+    told = members.join(found, ["anchor", "content"]).select(
+        "stream", "named", F.expr("transform(spans, s -> struct(start + s.offset AS start, s.windows, s.often))").alias("spans")
+    )
+    told = told.withColumn("spans", F.filter("spans", lambda s: s["often"] | ~F.col("named"))).filter(F.size("spans") > 0)
+    return told.groupBy("stream").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -219,12 +276,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             bounds, spans = list_column(batch, "spans")
-            start, size, often = (spans.field(i).to_pylist() for i in range(3))
+            start, windows, often = (spans.field(i).to_pylist() for i in range(3))
             texts = []
             for row, (named, raw) in enumerate(zip(batch.column("named").to_pylist(), batch.column("blocks").to_pylist())):
                 blocks = [block for block in zlib.decompress(raw).decode().split("\n") if block]
                 part = range(int(bounds[row]), int(bounds[row + 1]))
-                runs = [(start[i], start[i] + size[i]) for i in part if often[i] or not named]
+                runs = [(start[i], start[i] + windows[i] + WINDOW - 1) for i in part if often[i] or not named]
                 texts.append("\n\n".join(_uncovered(blocks, runs)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),

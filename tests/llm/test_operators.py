@@ -245,6 +245,37 @@ def test_html_boilerplate_is_judged_by_pages_not_by_the_size_of_the_host(spark):
     assert all(line in texts[n] for n in range(200, 209))
 
 
+def page_copies(rows, window=16):
+    """Per page: its tokens, and the number of different pages of its host that hold the window at each place."""
+    owners = {}
+    split = [(n, host, named, tuple(tokens)) for n, host, named, tokens in rows]
+    for _, host, _, tokens in split:
+        for i in range(len(tokens) - window + 1):
+            owners.setdefault((host, tokens[i : i + window]), set()).add(tokens)
+    out = {}
+    for n, host, named, tokens in split:
+        most = 10 if named else 3
+        gone = {i + j for i in range(len(tokens) - window + 1) if len(owners[host, tokens[i : i + window]]) >= most for j in range(window)}
+        out[n] = [word for i, word in enumerate(tokens) if i not in gone]
+    return out
+
+
+def test_html_finds_every_repeated_block_of_a_window_or_more(spark):
+    rng = random.Random(13)
+    rows, want = [], []
+    for size in range(14, 31):
+        for sample in range(4):
+            host, block = f"h{size}x{sample}", prose(rng, size, 10**6)
+            for n in range(5):
+                parts = [prose(rng, 30, 10**6), block, prose(rng, 30, 10**6)]
+                number = len(rows)
+                rows.append((number, host, "".join(f"<p>{' '.join(part)}</p>" for part in parts)))
+                want.append((number, host, False, sum(parts, [])))
+    expected = page_copies(want)
+    got = {r["page_id"]: r["text"].split() for r in html_extraction.main_text(host_pages(spark, rows)).collect()}
+    assert got == expected
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(n, " ".join(prose(rng, rng.randrange(8, 150), 5000)) + "? " + " ".join(prose(rng, 6, 5000))) for n in range(30)]
