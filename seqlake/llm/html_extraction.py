@@ -9,9 +9,10 @@ The token streams of the remaining blocks of all pages of a host are then search
 sparse suffix array: suffixes are kept where a minimiser stands, the smallest ``GRAM``-token hash of some window
 of ``WINDOW`` tokens, and sorted by host and minimiser. Those with an equal neighbour are extended to both sides
 window by window; equal windows always have the same minimiser, so every run of ``WINDOW`` tokens or more that
-stands in different streams is found, and counted exactly. Equal streams (copies of a page) count once. A candidate block mostly covered by runs that at least ``FEW_PAGES`` streams
-of the host repeat is boilerplate, whatever the size of the host; a block of a named article only if
-``MANY_PAGES`` do. What is left is unique to the page and is kept whole.
+stands in different streams is found, and counted exactly. Equal streams (copies of a page) count once. Runs that at least
+``FEW_PAGES`` streams of the host repeat are boilerplate, whatever the size of the host; in a named article only
+those that ``MANY_PAGES`` repeat. Their tokens are removed, whatever blocks they lie in; all other tokens are
+unique to the page and stay, in their blocks.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes, an
 unfinished tag or comment at the end is dropped; a page without url belongs to the host of no name; rows
@@ -37,7 +38,6 @@ from seqlake.llm.passages import find_runs, gram_hashes, list_column, span_hashe
 
 WINDOW, GRAM = 16, 5
 FEW_PAGES, MANY_PAGES = 3, 10
-COVERED = 0.5
 
 _SPANS = "array<struct<offset:int,windows:int,often:boolean>>"
 
@@ -293,12 +293,18 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def _uncovered(blocks: list[str], runs: list[tuple[int, int]]) -> list[str]:
+    """The tokens outside all runs, block by block; a block of which nothing is left is left out."""
     if not runs:
         return blocks
     sizes = words(pa.array(blocks, pa.string()))[1]
     covered = np.zeros(int(sizes.sum()), bool)
     for start, end in runs:
         covered[start:end] = True
-    ends = np.cumsum(sizes)
-    share = [covered[end - size : end].mean() if size else 0.0 for size, end in zip(sizes, ends)]
-    return [block for block, part in zip(blocks, share) if part <= COVERED]
+    out = []
+    for block, own in zip(blocks, np.split(covered, np.cumsum(sizes)[:-1])):
+        if own.any():
+            # Blocks hold single spaces only.
+            block = " ".join(token for token, gone in zip(block.split(" "), own.tolist()) if not gone)
+        if block:
+            out.append(block)
+    return out

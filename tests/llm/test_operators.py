@@ -276,6 +276,23 @@ def test_html_finds_every_repeated_block_of_a_window_or_more(spark):
     assert got == expected
 
 
+def test_html_removes_the_repeated_part_of_a_block_only(spark):
+    rng = random.Random(14)
+    rows, want = [], []
+    for host, named, pages, mark in (("br", False, 5, "<br>"), ("cell", False, 5, "</td><td>"), ("art", True, 12, "<br>")):
+        for sizes in ((40, 20), (20, 40)):
+            part = prose(rng, sizes[0], 10**6)
+            for n in range(pages):
+                before, after = prose(rng, sizes[1] // 2, 10**6), prose(rng, sizes[1] // 2, 10**6)
+                text = mark.join(" ".join(piece) for piece in (before, part, after))
+                number = len(rows)
+                html = f"<article><p>{text}</p></article>" if named else f"<table><tr><td>{text}</td></tr></table>"
+                rows.append((number, f"{host}{sizes[0]}", html))
+                want.append((number, f"{host}{sizes[0]}", named, before + part + after))
+    got = {r["page_id"]: r["text"].split() for r in html_extraction.main_text(host_pages(spark, rows)).collect()}
+    assert got == page_copies(want) and all(len(tokens) in (20, 40) for tokens in got.values())
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(n, " ".join(prose(rng, rng.randrange(8, 150), 5000)) + "? " + " ".join(prose(rng, 6, 5000))) for n in range(30)]
