@@ -29,6 +29,7 @@ class Rule:
     """``group`` must have ``least`` characters; ``base`` rules count for the digest.
 
     ``masked``: what ``redact`` replaces, if not the whole match; ``stays``: its groups that are left.
+    ``first``: replaced before the others, which would cut it.
     """
 
     kind: str
@@ -38,6 +39,7 @@ class Rule:
     base: bool = False
     masked: str = ""
     stays: str = ""
+    first: bool = False
 
 
 # The base kinds in their order, then well-known token formats.
@@ -51,7 +53,15 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True, masked=r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]+", 0, 16, True, masked=r"[0-9a-f]{16,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # To the END line, if no other line of five dashes comes before it. Without one: header lines, all up to the last
+    # long word of base64 before any other character, and a short last line.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:(?:[\x20\t\r\n]*[A-Za-z-]+:[^\n]*\n){0,9}[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{16,})?"
+        r"(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]{1,15}={0,2}(?:\r?\n|\\n|$))?)",
+        first=True,
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -267,7 +277,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     )
     masked = _with_kinds(rows, rules)
     # A step for each rule: as one nested expression the text before a rule would be worked out twice.
-    for rule in rules:
+    for rule in sorted(rules, key=lambda rule: not rule.first):
         hidden = F.regexp_replace("text", rule.masked or rule.pattern, rule.stays + mask)
         masked = masked.withColumn("text", F.when(_to_try(rule), hidden).otherwise(F.col("text")))
     return masked.select(
