@@ -9,7 +9,9 @@ packing of the whole table, whatever its partitions are.
 The search takes the largest length left and looks for the filling of the room beside it with the least
 waste, larger pieces first. It starts from the best-fit filling, branches over the lengths that still fit,
 cuts branches whose bound on waste is no better, and ends at a perfect filling or after ``NODES``
-branches. A pattern is used as often as its scarcest length allows.
+branches. A filling that another one dominates (a larger piece fits where it has several) gives way to that one.
+A pattern is used as often as its scarcest length allows. Only one filling is followed for each sequence: other
+ones, and what they leave for later sequences, are not tried.
 
 Defined cases: null and empty text is the end id alone; a row without doc_id is packed; repeated rows are
 packed as often as they occur; further columns are ignored; an empty table gives an empty result.
@@ -23,7 +25,8 @@ import re
 import sys
 import zlib
 from bisect import bisect_right
-from itertools import chain
+from collections import Counter
+from itertools import accumulate, chain
 from types import ModuleType
 
 import numpy as np
@@ -199,37 +202,64 @@ def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: i
     if not waste:
         return best
 
-    def search(left: int, high: int, used: int, chosen: list[int]) -> bool:
+    # No more than this can be filled with the lengths up to a place.
+    most = list(accumulate(length * min(counts[length], room // length) for length in lengths))
+
+    # A step takes one length, as often as it says: at most as deep as different lengths fit beside each other.
+    def search(left: int, high: int, chosen: list[int]) -> bool:
         """Try all fillings of ``left`` with ``lengths[:high]``; true once nothing is wasted or nodes run out."""
         nonlocal best, waste, seen
         high = bisect_right(lengths, left, 0, high)
-        while high:
-            seen += 1
-            length = lengths[high - 1]
-            # No more than this can still be filled: the rest of this length and all that are smaller.
-            if seen > nodes:
-                return True
-            if left - length < waste and left >= length:
-                waste, best = left - length, [*chosen, length]
-                if not waste:
-                    return True
-            again = used + 1 if chosen and chosen[-1] == length else 1
-            stop = high if again < counts[length] else high - 1
-            if left - length >= lengths[0] and search(left - length, stop, again, [*chosen, length]):
-                return True
+        while high and left - most[high - 1] < waste:
             high -= 1
-            # Smaller first pieces without company waste more than the incumbent.
-            if high and lengths[high - 1] * 2 <= left and left - _most(high) >= waste:
-                return False
+            length = lengths[high]
+            for times in range(min(left // length, counts[length]), 0, -1):
+                seen += 1
+                if seen > nodes:
+                    return True
+                rest, taken = left - length * times, chosen + [length] * times
+                if rest < waste:
+                    waste, best = rest, taken
+                    if not waste:
+                        return True
+                if high and rest >= lengths[0] and search(rest, high, taken):
+                    return True
         return False
 
-    totals = np.cumsum([length * min(counts[length], room // length) for length in lengths]).tolist()
+    search(room, len(lengths), [])
+    return undominated(best, waste, lengths, counts) if waste else best
 
-    def _most(high: int) -> int:
-        return totals[high - 1]
 
-    search(room, len(lengths), 0, [])
-    return best
+def undominated(filling: list[int], waste: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """Put a larger piece in place of several (or of a smaller one) as long as it fits in their room and ``waste``.
+
+    Whatever packs the other pieces then packs those it replaces too, so the filling is as good or better. A complete
+    search ends at such a filling by itself: larger pieces come first, and only less waste replaces the best.
+    """
+    filling = list(filling)
+    while True:
+        # For each sum the places of pieces that make it, several rather than one.
+        sums: dict[int, tuple[int, ...]] = {0: ()}
+        for place, length in enumerate(filling):
+            for total, places in list(sums.items()):
+                if len(sums.get(total + length, ())) < 2:
+                    sums[total + length] = (*places, place)
+        used = Counter(filling)
+        # Several pieces of the same sum are replaced too, and one piece by a larger one.
+        found = next(
+            (
+                (length, total) for length in reversed(lengths) if used[length] < counts[length]
+                for total in range(length, max(0, length - waste - 1), -1)
+                if total in sums and [filling[place] for place in sums[total]] != [length]
+            ),
+            None,
+        )
+        if found is None:
+            return filling
+        length, total = found
+        gone = set(sums[total])
+        filling = sorted([length, *(own for place, own in enumerate(filling) if place not in gone)], reverse=True)
+        waste -= length - total
 
 
 def bin_completion(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:

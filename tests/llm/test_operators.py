@@ -385,6 +385,37 @@ def test_bin_completion_uses_every_piece_and_is_tight():
         assert sum(times for _, times in plan) <= -(-sum(k * v for k, v in counts.items()) // 60) * 1.34 + 1
 
 
+@pytest.mark.parametrize("counts", [{3: 1, 2: 2000}, {2: 5000}, {2047: 1, 3: 1, 2: 5000}, {n: 40 for n in range(2, 2049, 2)}])
+def test_bin_completion_of_many_short_pieces(counts):
+    plan = packing.bin_completion(counts, 2048)
+    used = Counter()
+    for pattern, times in plan:
+        assert sum(pattern) <= 2048
+        for length, n in Counter(pattern).items():
+            used[length] += n * times
+    assert used == counts
+
+
+@pytest.mark.parametrize("nodes", [0, 1, 3, 2000])
+def test_fillings_are_undominated(nodes):
+    rng = random.Random(16)
+    for _ in range(200):
+        counts = Counter(rng.randrange(2, 40) for _ in range(rng.randrange(1, 9)))
+        room = rng.randrange(5, 60)
+        found = packing.best_filling(room, sorted(counts), counts, nodes)
+        waste, used = room - sum(found), Counter(found)
+        assert waste >= 0 and all(used[n] <= counts[n] for n in used)
+        fillings = (c for size in range(len(found) + 1) for c in itertools.combinations(found, size))
+        for part in fillings if waste else ():
+            assert not any(
+                used[n] < counts[n] and 0 <= n - sum(part) <= waste and part != (n,) and part for n in counts
+            ), (counts, room, found, part)
+        if nodes == 2000:
+            every = [n for n, count in counts.items() for _ in range(count)]
+            sums = {sum(c) for size in range(len(every) + 1) for c in itertools.combinations(every, size)}
+            assert sum(found) == max(total for total in sums if total <= room)
+
+
 def test_hamming_search_equals_brute_force(spark):
     rng = np.random.default_rng(10)
     vectors = rng.normal(size=(150, 64))
