@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm import (
-    common, decontamination, hamming_search, html_extraction, language_id, packing, secret_scan, simhash_dedup,
-    substring_dedup, suffix_dedup, toxicity,
+    common, decontamination, divergence, hamming_search, html_extraction, language_id, packing, quality_gam, ranked_search,
+    secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity,
 )
 
 
@@ -140,6 +140,77 @@ FROM pairs QUALIFY rank <= 10
 """
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(common.read(spark, folder, "documents"))
+
+
+# A-Z alone change case; the figures are wider than 64 bits on their way.
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, {_LOWERED} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (
+  SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS held
+  FROM (SELECT DISTINCT lang FROM groups) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS own FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000 :: HUGEINT * (coalesce(n, 0) + 1)) // (own + v) AS p, 1 + (1000000000 :: HUGEINT * (total + 1)) // (held + v) AS q
+  FROM sizes JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.top_documents(
+        common.read(spark, folder, "documents"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    )
+
+
+OP12_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms)) :: BIGINT AS n_terms FROM docs),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT id, unnest(terms) AS term FROM docs),
+counts AS (SELECT id, term, count(*) AS tf FROM held SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0 :: DOUBLE * n_docs + 2) / (2 * count(*) + 1))) :: BIGINT AS w
+  FROM counts, totals GROUP BY term, n_docs),
+impacts AS (
+  SELECT id, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms) * n_docs) // n_terms)) AS impact
+  FROM counts JOIN docs USING (id), totals),
+scores AS (
+  SELECT item_id, id, doc_id, sum(w * impact) :: BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL HAVING sum(w * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 50
+"""
+
+
+def op13_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.read(spark, folder, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, common.read(spark, folder, "labels")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -151,10 +222,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_hamming_search": op10_hamming_search,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_quality_gam": op13_quality_gam,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op4_secret_scan": _op4_sql(),
     "op6_suffix_dedup": OP6_SQL,
     "op10_hamming_search": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
