@@ -1,186 +1,54 @@
-"""Cosine nearest neighbours of many queries: exact, and by hashed buckets.
-
-Distance is 1 - cosine, rounded to 6 decimals, and equal distances are ordered by id, so the
-result does not depend on how the rows were split. No pair of rows is ever emitted: a task
-multiplies blocks of vectors and passes on at most k hits per query.
-"""
+"""Cosine nearest neighbours of many queries, exact: see ``blocks`` for distances and ties."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from seqlake.session import shared_dir
-
-TOP_K = 5
-QUERY_BYTES = 64 << 20
-TILE_ROWS = 20_000
-BROADCAST_BUCKETS = 1_000_000
-_QUERY_STEP = 512
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norms == 0, 1, norms)
-
-
-def _matrix(vectors) -> np.ndarray:
-    return _unit(np.stack([np.asarray(v, np.float64) for v in vectors]))
-
-
-def _arrow_matrix(column: pa.Array) -> np.ndarray:
-    return _unit(column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1))
-
-
-def _smallest(distance: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the k smallest values per row; among equal ones the leftmost."""
-    if distance.shape[1] <= k:
-        return np.ones(distance.shape, bool)
-    bound = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
-    below = distance < bound
-    equal = distance == bound
-    room = k - below.sum(axis=1, keepdims=True)
-    return below | (equal & (np.cumsum(equal, axis=1) <= room))
-
-
-def _group_hits(queries, places, ids, vectors, k) -> Iterator[pd.DataFrame]:
-    by_id = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by_id], vectors[by_id]
-    for start in range(0, len(places), _QUERY_STEP):
-        step = places[start:start + _QUERY_STEP]
-        distance = np.round(1 - queries[step] @ vectors.T, 6) + 0.0
-        q, c = np.nonzero(_smallest(distance, k))
-        yield pd.DataFrame({"q": step[q], "id": ids[c], "distance": distance[q, c]})
-
-
-def _block_hits(queries, query_groups, ids, vectors, groups, k) -> pd.DataFrame:
-    """At most k hits (``q, id, distance``) per query of one block of the corpus."""
-    if groups is None:
-        parts = [*_group_hits(queries, np.arange(len(queries)), ids, vectors, k)]
-    else:
-        parts = [pd.DataFrame({"q": np.array([], np.int64), "id": ids[:0], "distance": np.array([], float)})]
-        for group in pd.unique(groups):
-            mine, places = groups == group, np.flatnonzero(query_groups == group)
-            parts += _group_hits(queries, places, ids[mine], vectors[mine], k)
-    return pd.concat(parts, ignore_index=True)
-
-
-def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    return hits.sort_values(["q", "distance", "id"], kind="stable").groupby("q").head(k)
-
-
-def _vectors(df: DataFrame, id: str, name: str, on: str | None) -> DataFrame:
-    group = F.col(on).cast("string") if on else F.lit("")
-    return df.filter(F.col("embedding").isNotNull()).select(
-        F.col(id).alias(name), group.alias("_group"), "embedding"
-    )
-
-
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id", "_group").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-
-def _named(ranked: DataFrame, queries: DataFrame, on: str | None) -> DataFrame:
-    group = [F.col("_group").cast(queries.schema[on].dataType).alias(on)] if on else []
-    return ranked.select("query_id", *group, "rank", "id", "distance")
-
-
-def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("_group", T.StringType()),
-        T.StructField("id", corpus.schema["id"].dataType),
-        T.StructField("distance", T.DoubleType()),
-    ])
+from seqlake.operators.blocks import (
+    QUERY_BYTES, TILE_ROWS, TOP_K, arrow_matrix, best, block_hits, hit_schema, matrix, named, ranked, vectors,
+)
+from seqlake.operators.vector_index import top_k_pruned
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int, grouped: bool) -> DataFrame:
     """Every task streams its part of the corpus past all queries. For a checked number of them."""
     rows = queries.toPandas()
     packed = corpus.sparkSession.sparkContext.broadcast(
-        (rows["query_id"].to_numpy(), rows["_group"].to_numpy(), _matrix(rows["embedding"]))
+        (rows["query_id"].to_numpy(), rows["_group"].to_numpy(), matrix(rows["embedding"]))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_groups, vectors = packed.value
-        best = None
+        query_ids, query_groups, asked = packed.value
+        kept = None
         for batch in batches:
             if len(batch) == 0:
                 continue
-            hits = _block_hits(
-                vectors,
+            hits = block_hits(
+                asked,
                 query_groups,
                 batch.column("id").to_numpy(zero_copy_only=False),
-                _arrow_matrix(batch.column("embedding")),
+                arrow_matrix(batch.column("embedding")),
                 batch.column("_group").to_numpy(zero_copy_only=False) if grouped else None,
                 k,
             )
-            best = _best(hits if best is None else pd.concat([best, hits]), k)
-        if best is not None and len(best):
+            kept = best(hits if kept is None else pd.concat([kept, hits]), k)
+        if kept is not None and len(kept):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(query_ids[best["q"].to_numpy()]),
-                    pa.array(query_groups[best["q"].to_numpy()], pa.string()),
-                    pa.array(best["id"].to_numpy(), batch.schema.field("id").type),
-                    pa.array(best["distance"].to_numpy(), pa.float64()),
+                    pa.array(query_ids[kept["q"].to_numpy()]),
+                    pa.array(query_groups[kept["q"].to_numpy()], pa.string()),
+                    pa.array(kept["id"].to_numpy(), batch.schema.field("id").type),
+                    pa.array(kept["distance"].to_numpy(), pa.float64()),
                 ],
                 ["query_id", "_group", "id", "distance"],
             )
 
-    return corpus.mapInArrow(run, _hit_schema(queries, corpus))
-
-
-def _tile_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, grouped: bool) -> DataFrame:
-    """Hits of the queries ``right`` among the rows ``left`` of the same cell."""
-
-    def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if corpus.empty or queries.empty:
-            nothing = queries[["query_id", "_group"]].iloc[:0]
-            return nothing.assign(id=corpus["id"].iloc[:0], distance=0.0)
-        hits = _best(
-            _block_hits(
-                _matrix(queries["embedding"]),
-                queries["_group"].to_numpy(),
-                corpus["id"].to_numpy(),
-                _matrix(corpus["embedding"]),
-                corpus["_group"].to_numpy() if grouped else None,
-                k,
-            ),
-            k,
-        )
-        return pd.DataFrame({
-            "query_id": queries["query_id"].to_numpy()[hits["q"]],
-            "_group": queries["_group"].to_numpy()[hits["q"]],
-            "id": hits["id"],
-            "distance": hits["distance"],
-        })
-
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, _hit_schema(right, left))
-
-
-def _tile(id: str, tiles: Column | int) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(tiles)).cast("int")
-
-
-def _every(tiles: Column | int) -> Column:
-    return F.explode_outer(F.sequence(F.lit(0), (F.lit(tiles) - 1).cast("int")))
-
-
-def _grid(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, grouped: bool, tile_rows: int) -> DataFrame:
-    """Both sides cut into tiles of bounded size; every corpus tile meets every query tile."""
-    across = math.ceil(n_queries / tile_rows)
-    down = max(1, math.ceil(corpus.count() / tile_rows))
-    left = corpus.withColumn("_down", _tile("id", down)).withColumn("_across", _every(across))
-    right = queries.withColumn("_across", _tile("query_id", across)).withColumn("_down", _every(down))
-    return _tile_hits(left, right, ["_down", "_across"], k, grouped)
+    return corpus.mapInArrow(run, hit_schema(queries, corpus))
 
 
 def top_k(
@@ -195,107 +63,16 @@ def top_k(
 
     ``corpus`` has ``id, embedding``, ``queries`` has ``query_id, embedding``; with ``on`` a query
     only meets rows with its own value of that column, which the result names too. Queries of up to
-    ``query_bytes`` are sent to all tasks and the corpus is not shuffled; beyond that both sides are
-    cut into tiles.
+    ``query_bytes`` are sent to all tasks and the corpus is not shuffled; beyond that the corpus is
+    clustered, and a query goes to the clusters that may hold a hit (``vector_index.top_k_pruned``).
     """
-    left = _vectors(corpus, "id", "id", on)
-    right = _vectors(queries, "query_id", "query_id", on)
+    left = vectors(corpus, "id", "id", on)
+    right = vectors(queries, "query_id", "query_id", on)
     size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if size["n"] == 0:
-        hits = left.sparkSession.createDataFrame([], _hit_schema(right, left))
+        hits = left.sparkSession.createDataFrame([], hit_schema(right, left))
     elif size["n"] * size["dim"] * 8 <= query_bytes:
         hits = _scan(left, right, k, on is not None)
     else:
-        hits = _grid(left, right, size["n"], k, on is not None, tile_rows)
-    return _named(_ranked(hits, k), queries, on)
-
-
-def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, tables * bits))
-
-
-def _buckets(dim: int, tables: int, bits: int, seed: int, probe: bool):
-    """Column function: the bucket of a vector in each table; with ``probe`` its neighbours too."""
-    planes = _planes(dim, tables, bits, seed)
-
-    @F.pandas_udf("array<bigint>")
-    def buckets(vectors: pd.Series) -> pd.Series:
-        signs = (_matrix(vectors) @ planes > 0).reshape(len(vectors), tables, bits)
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        codes = signs @ weights
-        if probe:
-            flips = np.concatenate([[0], weights])
-            codes = codes[:, :, None] ^ flips[None, None, :]
-        first = (np.arange(tables, dtype=np.int64) << bits).reshape(1, tables, *([1] if probe else []))
-        return pd.Series(list((codes + first).reshape(len(vectors), -1)))
-
-    return buckets
-
-
-def _split_hot(rows: DataFrame, tile_rows: int) -> DataFrame:
-    """``_bucket, _tiles`` of the buckets with more than ``tile_rows`` rows."""
-    sizes = rows.groupBy("_bucket").count().filter(F.col("count") > tile_rows)
-    hot = sizes.select("_bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("_tiles"))
-    hot = hot.checkpoint()
-    return F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
-
-
-def top_k_approx(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int = TOP_K,
-    on: str | None = None,
-    tables: int = 8,
-    bits: int = 14,
-    seed: int = 7,
-    tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """As ``top_k``, but a query only meets rows that share a bucket of random hyperplanes with it.
-
-    ``bits`` is the width of a table's hash: log2(rows / 2000) gives buckets of about 2,000 rows. The
-    distances are exact; near rows may be missed. A query that finds fewer than k rows is answered by
-    ``top_k``. Buckets with more than ``tile_rows`` rows on either side are cut.
-    """
-    left = _vectors(corpus, "id", "id", on)
-    right = _vectors(queries, "query_id", "query_id", on)
-    dim = left.agg(F.max(F.size("embedding"))).first()[0]
-    if dim is None or bits == 0:
-        return top_k(corpus, queries, k, on, tile_rows=tile_rows)
-
-    def bucketed(df: DataFrame, probe: bool) -> DataFrame:
-        buckets = _buckets(dim, tables, bits, seed, probe)
-        return df.withColumn("_bucket", F.explode_outer(buckets("embedding")))
-
-    rows, probes = bucketed(left, False), bucketed(right, True)
-    shared_dir(corpus.sparkSession)
-    # Rows of buckets nobody asks for stay where they are.
-    asked = probes.select("_bucket").distinct()
-    if right.count() * tables * (bits + 1) <= BROADCAST_BUCKETS:
-        asked = F.broadcast(asked)
-    rows = rows.join(asked, "_bucket", "left_semi")
-    down, across = _split_hot(rows, tile_rows), _split_hot(probes, tile_rows)
-
-    def placed(df: DataFrame, id: str, own: DataFrame, own_as: str, other: DataFrame, other_as: str):
-        tiles = F.coalesce("_tiles", F.lit(1))
-        return (
-            df.join(own, "_bucket", "left")
-            .withColumn(own_as, F.pmod(F.xxhash64(id), tiles).cast("int"))
-            .drop("_tiles")
-            .join(other, "_bucket", "left")
-            .withColumn(other_as, F.explode_outer(F.sequence(F.lit(0), tiles - 1)))
-            .drop("_tiles")
-        )
-
-    hits = _tile_hits(
-        placed(rows, "id", down, "_down", across, "_across"),
-        placed(probes, "query_id", across, "_across", down, "_down"),
-        ["_bucket", "_down", "_across"],
-        k,
-        on is not None,
-    )
-    distinct = hits.groupBy("query_id", "_group", "id").agg(F.min("distance").alias("distance"))
-    found = _named(_ranked(distinct, k).checkpoint(), queries, on)
-    names = ["query_id", *([on] if on else [])]
-    full = found.filter(F.col("rank") == k).select(*names)
-    short = queries.join(full, names, "left_anti")
-    return found.join(full, names, "left_semi").unionByName(top_k(corpus, short, k, on, tile_rows=tile_rows))
+        return top_k_pruned(corpus, queries, k, on, tile_rows)[0]
+    return named(ranked(hits, k), queries, on)

@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import metadata_text
-from seqlake.operators import nearest, retrieval
+from seqlake.operators import retrieval, vector_index
 from seqlake.operators.embedding import embed, embed_with, term_weights
-from seqlake.operators.nearest import top_k, top_k_approx
+from seqlake.operators.nearest import top_k
 from seqlake.operators.retrieval import ROUTES
+from seqlake.operators.vector_index import build_index, open_index, publish_index, search_index, top_k_approx, top_k_pruned
 
 VECTOR = "embedding array<float>"
 
@@ -83,28 +84,93 @@ def test_no_queries_null_vectors_and_text_ids(spark):
     assert sorted((r["query_id"], r["id"]) for r in asked.collect()) == [(n, f"v{n}") for n in range(5)]
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_approximate_search_finds_most_and_splits_hot_buckets(spark, bound, monkeypatch):
-    monkeypatch.setattr(nearest, "BROADCAST_BUCKETS", bound)
-    data = vectors(600, dim=16, seed=4, copies=200)
-    queries = vectors(40, dim=16, seed=5)
-    exact = brute(data, queries, 5)
-    found = hits(top_k_approx(
-        corpus_frame(spark, data), query_frame(spark, queries), 5, tables=6, bits=3, tile_rows=30
-    ))
-    assert len(found) == len(exact) == 200
-    recall = len({h[::2] for h in found} & {h[::2] for h in exact}) / len(exact)
-    assert recall > 0.8
-    assert all(abs(d - brute(data, queries[q:q + 1], 600)[[h[2] for h in brute(data, queries[q:q + 1], 600)].index(i)][3]) < 1e-9
-               for q, _, i, d in found[:10])
-
-
-def test_approximate_search_always_gives_k(spark):
-    """Queries far from everything share no bucket with k rows, and are answered exactly."""
-    data = np.abs(vectors(64, dim=16)) + 1
-    queries = -np.abs(vectors(4, dim=16, seed=3)) - 1
-    found = top_k_approx(corpus_frame(spark, data), query_frame(spark, queries), 5, tables=1, bits=5)
-    assert hits(found) == brute(data, queries, 5)
+def clustered(n, centres=12, dim=8, seed=6):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((centres, dim))
+    return (middle[np.arange(n) % centres] + 0.05 * rng.standard_normal((n, dim))).astype(np.float32)
+
+
+def brute_with_zeros(data, queries, k):
+    """As ``brute``; whatever has length zero is at distance 1 from everything."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    distance = np.round(1 - unit(queries.astype(np.float64)) @ unit(data.astype(np.float64)).T, 6) + 0.0
+    return [(q, rank, i, row[i]) for q, row in enumerate(distance)
+            for rank, i in enumerate(sorted(range(len(data)), key=lambda i: (row[i], i))[:k], 1)]
+
+
+@pytest.mark.parametrize("tile_rows", [9, 40])
+def test_pruned_search_is_exact_and_skips_clusters(spark, tile_rows):
+    data, queries = clustered(300), clustered(25, seed=6)
+    data[:90] = data[0]
+    data[200:203], queries[7] = 0, 0
+    found, met = top_k_pruned(corpus_frame(spark, data), query_frame(spark, queries), 4, tile_rows=tile_rows)
+    assert hits(found) == brute_with_zeros(data, queries, 4)
+    seen = {r["query_id"]: r for r in met.collect()}
+    assert set(seen) == set(range(25)) and {r["rows_total"] for r in seen.values()} == {300}
+    assert seen[7]["rows_met"] == 300
+    assert np.mean([r["rows_met"] for q, r in seen.items() if q != 7]) < 150
+
+
+def test_pruned_search_asks_for_more_than_there_is(spark):
+    data = clustered(20)
+    found, met = top_k_pruned(corpus_frame(spark, data), query_frame(spark, data[:3]), 50, tile_rows=5)
+    assert hits(found) == brute(data, data[:3], 50) and {r["rows_met"] for r in met.collect()} == {20}
+    empty, none = top_k_pruned(corpus_frame(spark, data).limit(0), query_frame(spark, data[:3]), 5)
+    assert empty.count() == 0 and {r["rows_met"] for r in none.collect()} == {0}
+
+
+def test_pruned_search_moves_the_corpus_once(spark, monkeypatch):
+    """No generator copies rows of the corpus: parts and queries are brought together by one shuffle each."""
+    moved = []
+    meet = vector_index._meet
+    monkeypatch.setattr(vector_index, "_meet", lambda *args: moved.append(meet(*args)) or moved[-1])
+    top_k_pruned(corpus_frame(spark, clustered(60)), query_frame(spark, clustered(9)), 3, tile_rows=10)
+    for df in moved:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(list") == 1 and "Generate" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("way", [{}, {"query_bytes": 16 * 8 * 15}])
+def test_index_finds_most_from_few_rows(spark, way):
+    data, queries = vectors(800, dim=16, seed=4, copies=200), vectors(60, dim=16, seed=5)
+    index = build_index(corpus_frame(spark, data), tile_rows=50)
+    sizes = index.rows.groupBy("list", "part").count().agg(F.max("count")).first()[0]
+    assert sizes <= 90  # 200 copies in one list, cut
+    found, met = search_index(index, query_frame(spark, queries), 5, **way)
+    exact = {h[::2] for h in brute(data, queries, 5)}
+    assert len({h[::2] for h in hits(found)} & exact) / len(exact) >= 0.9
+    rows = met.collect()
+    assert len(rows) == 60 and np.mean([r["rows_met"] for r in rows]) < 0.4 * 800
+    distance = {h[::2]: h[3] for h in brute(data, queries, 800)}
+    assert all(distance[q, i] == d for q, _, i, d in hits(found))
+
+
+def test_index_is_exact_when_all_lists_are_met(spark, tmp_path):
+    data, queries = vectors(120), vectors(9, seed=2)
+    data[5], queries[3] = 0, 0
+    groups, asked = np.arange(120) % 4, np.arange(9) % 5
+    index = build_index(corpus_frame(spark, data, groups), on="collection")
+    schema = f"i_{tmp_path.name}".replace("-", "_")
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{tmp_path}/{schema}'")
+    publish_index(index, f"{schema}.vectors", f"{tmp_path}/v")
+    found, met = search_index(open_index(spark, f"{schema}.vectors"), query_frame(spark, queries, asked), 3, on="collection", step=1.0)
+    allowed = {q: [i for i in range(120) if groups[i] == asked[q]] for q in range(9)}
+    want = []
+    for q, ids in allowed.items():
+        want += [(q, rank, ids[i], d) for _, rank, i, d in brute_with_zeros(data[ids], queries[q:q + 1], 3)] if ids else []
+    assert hits(found) == want
+    assert {(r["complete"], r["rows_met"], r["rows_total"]) for r in met.collect()} == {(True, 120, 120)}
+
+
+def test_index_of_nothing_of_zeros_and_with_text_ids(spark):
+    data = vectors(30)
+    corpus = corpus_frame(spark, data).withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string")))
+    assert search_index(build_index(corpus.limit(0)), query_frame(spark, data))[0].count() == 0
+    assert search_index(build_index(corpus), query_frame(spark, data).limit(0))[0].count() == 0
+    zeros = build_index(corpus_frame(spark, np.zeros((4, 3))))
+    assert [(r["id"], r["distance"]) for r in search_index(zeros, query_frame(spark, vectors(1, dim=3)), 2)[0].orderBy("rank").collect()] == [(0, 1.0), (1, 1.0)]
+    one = top_k_approx(corpus, query_frame(spark, data), 1)
+    assert sorted((r["query_id"], r["id"]) for r in one.collect()) == [(n, f"v{n}") for n in range(30)]
 
 
 def test_clean_text(spark):
