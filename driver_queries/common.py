@@ -80,7 +80,7 @@ EVENTS = SequenceSpec(
     prev_state="props",
     move="move",
     best="best",
-    bucket_rows=2_500,
+    bucket_rows=500,
 )
 EVENTS_SQL = """
 steps AS (

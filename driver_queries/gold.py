@@ -179,10 +179,10 @@ ORACLES = {
                              AS VARCHAR) AS score_series_json
         FROM turns GROUP BY conv_id""",
     "G10_series_parts_long_keys": "WITH" + EVENTS_SQL + """
-        SELECT event_type, event_id // 2500 AS part, CAST(count(*) AS INTEGER) AS entries,
+        SELECT event_type, event_id // 500 AS part, CAST(count(*) AS INTEGER) AS entries,
                CAST(to_json(list(struct_pack(event_id := event_id, score := score) ORDER BY event_id))
                     AS VARCHAR) AS series_json
-        FROM steps GROUP BY event_type, event_id // 2500""",
+        FROM steps GROUP BY event_type, event_id // 500""",
     "G11_summary": TURNS_SCORED + SUMMARY_SQL.format(
         key="conv_id", order="turn", actor="role", first="user", second="assistant"),
     "G11_summary_long_keys": EVENTS_SCORED + SUMMARY_SQL.format(

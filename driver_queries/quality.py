@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns, turns_spec
 from seqlake.operators import event_log, features, quality
-from seqlake.operators.ordered import with_previous
+from seqlake.operators.ordered import measured, with_previous
 
 EVENT_RULES = {
     "valid_user": "user_id IS NOT NULL",
@@ -88,19 +88,19 @@ def q5_long(spark, folder):
     )
 
 
-def _chain(spark, folder):
+def _chain(rows, spec):
     """Each event's state is its value; the state before was the value of the event before it
     by the same rule, spoiled where the event id divides by 11."""
-    rows = steps(spark, folder).select("event_type", "event_id", F.col("score").alias("state"))
-    return with_previous(rows, EVENTS, {"prev_state": "state"}).withColumn(
+    return with_previous(rows, spec, {"prev_state": "state"}).withColumn(
         "prev_state",
         F.when(F.col("event_id") % 11 == 0, F.col("prev_state") + 1).otherwise(F.col("prev_state")),
     )
 
 
 def q6(spark, folder):
-    spec = replace(EVENTS, state="state", prev_state="prev_state")
-    return quality.chain_breaks(_chain(spark, folder), spec)
+    rows = steps(spark, folder).select("event_type", "event_id", F.col("score").alias("state"))
+    spec = measured(rows, replace(EVENTS, state="state", prev_state="prev_state"))
+    return quality.chain_breaks(_chain(rows, spec), spec)
 
 
 def q7(spark, folder):

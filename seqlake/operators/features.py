@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions import scoring
-from seqlake.operators.ordered import BUCKET, bucket_of, null_first, row_rank, with_previous
+from seqlake.operators.ordered import BUCKET, measured, null_first, row_rank, with_bucket, with_previous
 from seqlake.spec import SequenceSpec
 
 SPEC = SequenceSpec()
@@ -125,7 +125,7 @@ def series_parts(
 ) -> DataFrame:
     """The score series of every key as JSON arrays, one per bucket: whole at any key length."""
     return (
-        df.groupBy(spec.key, bucket_of(spec).alias("part"))
+        with_bucket(df, spec).groupBy(spec.key, F.col(BUCKET).alias("part"))
         .agg(_entries(spec).alias("_entries"))
         .select(
             spec.key,
@@ -170,9 +170,9 @@ def summarise(
     """
     first, second = f"{spec.first_actor}_blunders", f"{spec.second_actor}_blunders"
     final = f"final_{spec.score}"
-    bucket = F.col(BUCKET) if BUCKET in scored.columns else bucket_of(spec)
-    per_bucket = scored.groupBy(
-        spec.key, *([] if spec.one_bucket else [bucket.alias("part")])
+    rows = scored if spec.one_bucket or BUCKET in scored.columns else with_bucket(scored, spec)
+    per_bucket = rows.groupBy(
+        spec.key, *([] if spec.one_bucket else [F.col(BUCKET).alias("part")])
     ).agg(
         F.min_by(spec.first_name, row_rank(spec)).alias(spec.first_name),
         F.min_by(spec.second_name, row_rank(spec)).alias(spec.second_name),
@@ -210,6 +210,7 @@ def build_summary(
     keep_nulls: bool = False,
 ) -> DataFrame:
     """``game_summary``: names, length, last score, jumps per actor and the score series."""
+    spec = measured(df, spec)
     scored = with_scores(df, spec, threshold, keep_bucket=True)
     return summarise(scored, spec, keep_nulls)
 

@@ -1,10 +1,10 @@
 """Looking back inside an ordered key without holding the key in one task.
 
-A plain window puts every row of a key into one task. Here the rows are hashed by
-(key, bucket of the order), and what a bucket must know about the rows before it arrives as one
-extra row, its *halo*. Halos come from one small aggregate row per bucket. Orders are unique in a key, so
-a bucket holds at most as many rows as it has values; where orders are so sparse that the buckets are
-many, they are cut in the same way, and no window holds more than ``LEVEL`` of them.
+A plain window puts every row of a key into one task. Here the work is a prefix scan over ranges. Long keys are
+cut into ranges of about the same number of rows, whatever their orders are (``cut_ranges``); a first pass leaves
+one carry row for each range, a window runs over the few carries of a key, and a second pass over the rows,
+hashed by (key, range), starts from what was carried in: one extra row, the *halo* of the range. That is three
+exchanges, one of them of the rows.
 """
 
 from __future__ import annotations
@@ -15,17 +15,16 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqlake.spec import SequenceSpec
 
 BUCKET = "_bucket"
 HALO = "_halo"
-_OUTER, _NUMBER, _TAIL = "_outer", "_rows", "_tail"
+_NUMBER, _TAIL = "_rows", "_tail"
 _EARLIER = "_earlier"
-# Buckets of a key that one window may hold.
-LEVEL = 1_000_000
-_INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}
+# Ranges of all keys together, and how many rows are drawn for each of them.
+MOST_RANGES = 100_000
+DRAWN_PER_RANGE = 32
 
 
 def with_bounds(df: DataFrame, spec: SequenceSpec) -> SequenceSpec:
@@ -79,6 +78,60 @@ def null_first(order: str) -> str:
     return f"coalesce(cast(`{order}` AS bigint), bigint('{-(2**63)}'))"
 
 
+def cut_ranges(df: DataFrame, spec: SequenceSpec, most_ranges: int = MOST_RANGES) -> SequenceSpec:
+    """``spec`` with cuts that split every key of more than ``bucket_rows`` rows into ranges of about as many.
+
+    If there is no such key, ``short_keys`` says so, and what follows takes one plain window. Two passes over key and
+    order: one counts the rows of each key, one draws orders of the long keys by a hash, ``DRAWN_PER_RANGE`` for a range. With so many long keys that there would be more than ``most_ranges`` ranges,
+    the ranges get longer. The cuts are the only rows that are kept, one row for each long key.
+    """
+    shared = df.select(F.col(spec.key).alias("_key"), F.col(spec.order).cast("bigint").alias("_at"))
+    sizes = shared.groupBy("_key").agg(F.count("_at").alias("n")).filter(F.col("n") > spec.bucket_rows)
+    sizes = sizes.persist()
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
+        return replace(spec, short_keys=True)
+    rows = max(spec.bucket_rows, -(-total // most_ranges))
+    steps = 1 << 30
+    drawn = F.pmod(F.xxhash64("_key", "_at"), F.lit(steps)) < min(steps, max(1, DRAWN_PER_RANGE * steps // rows))
+    # There are at most ``most_ranges`` long keys.
+    long = shared.filter(drawn & F.col("_at").isNotNull()).join(F.broadcast(sizes.withColumnRenamed("_key", "_long")), F.col("_key").eqNullSafe(F.col("_long")))
+    per_cut = min(DRAWN_PER_RANGE, rows)
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_at"))
+    cuts = long.select("_key", "_at", place.alias("place")).filter(F.col("place") % per_cut == 0)
+    per_key = cuts.groupBy("_key").agg(F.array_sort(F.collect_list("_at")).alias("every"))
+    # Blocks of cuts, so that a row is compared with few of them.
+    width = F.ceil(F.sqrt(F.size("every"))).cast("int")
+    starts = F.sequence(F.lit(1), F.size("every"), width)
+    blocks = F.transform(starts, lambda start: F.slice("every", start, width))
+    # A number for each range, in a row for each long key.
+    found = per_key.select("_key", blocks.alias("cuts"))
+    cuts = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    sizes.unpersist()
+    return replace(spec, cuts=cuts)
+
+
+def measured(df: DataFrame, spec: SequenceSpec) -> SequenceSpec:
+    """``spec`` as it is if its buckets are known to be few, else as ``cut_ranges`` finds it."""
+    known = spec.max_order is not None and spec.max_order // spec.bucket_rows < MOST_RANGES
+    return spec if spec.one_bucket or known or spec.cuts is not None else cut_ranges(df, spec)
+
+
+def with_bucket(df: DataFrame, spec: SequenceSpec) -> DataFrame:
+    """Add the bucket of each row in its key: the number of cuts up to its order, or its order by width."""
+    if spec.cuts is None:
+        return df.withColumn(BUCKET, bucket_of(spec))
+    at = F.col(spec.order).cast("bigint")
+    # The last block that starts at or before the row, and the cuts in it; all blocks before it are full.
+    before = F.size(F.filter("_cuts", lambda block: block[0] <= at))
+    inside = F.size(F.filter(F.get("_cuts", before - 1), lambda cut: cut <= at))
+    bucket = F.when(before > 0, (before - 1) * F.size(F.col("_cuts")[0]) + inside).otherwise(0).cast("bigint")
+    cuts = F.broadcast(spec.cuts.select(F.col("_key").alias("_cut_key"), F.col("cuts").alias("_cuts")))
+    # One row for each long key, of bounded number.
+    found = df.join(cuts, F.col(spec.key).eqNullSafe(F.col("_cut_key")), "left")
+    return found.withColumn(BUCKET, bucket).drop("_cut_key", "_cuts")
+
+
 def row_rank(spec: SequenceSpec) -> Column:
     return F.expr(null_first(spec.order))
 
@@ -98,48 +151,17 @@ def _drop_halos(rows: DataFrame, keep_bucket: bool = False) -> DataFrame:
     return rows if keep_bucket else rows.drop(BUCKET)
 
 
-def _most_buckets(df: DataFrame, spec: SequenceSpec) -> int:
-    """How many buckets a key can have, by the stated bound or the type of the order."""
-    bits = _INTEGER_BITS.get(type(df.schema[spec.order].dataType), 64)
-    values = 2**bits if spec.max_order is None else spec.max_order + 1
-    return values // spec.bucket_rows + 1
-
-
-def _with_earlier(buckets: DataFrame, spec: SequenceSpec, how: Mapping[str, str], most: int) -> DataFrame:
+def _with_earlier(buckets: DataFrame, spec: SequenceSpec, how: Mapping[str, str]) -> DataFrame:
     """Add ``_earlier<column>``: what the earlier buckets of the key hold, null if nothing.
 
     ``buckets`` has a row for each key and bucket; ``how`` says of each column whether its "sum" or its
-    "last" value that is not null is taken. ``most`` buckets of a key at most.
+    "last" value that is not null is taken.
     """
-    def taken(*parts: str) -> dict[str, Column]:
-        window = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        return {
-            _EARLIER + name: (F.sum(name) if rule == "sum" else F.last(name, ignorenulls=True)).over(window)
-            for name, rule in how.items()
-        }
-
-    if most <= LEVEL:
-        return buckets.withColumns(taken(spec.key))
-    cut = buckets.withColumn(_OUTER, F.expr(f"`{BUCKET}` div {LEVEL}"))
-    totals = cut.groupBy(spec.key, _OUTER).agg(*[
-        F.sum(name).alias(name) if rule == "sum"
-        else F.expr(f"max_by(`{name}`, {null_first(BUCKET)}) FILTER (WHERE `{name}` IS NOT NULL)").alias(name)
+    window = Window.partitionBy(spec.key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.withColumns({
+        _EARLIER + name: (F.sum(name) if rule == "sum" else F.last(name, ignorenulls=True)).over(window)
         for name, rule in how.items()
-    ])
-    outer = _with_earlier(totals.withColumnRenamed(_OUTER, BUCKET), spec, how, most // LEVEL + 1)
-    outer = outer.select(
-        F.col(spec.key).alias("_key"), F.col(BUCKET).alias("_place"),
-        *[F.col(_EARLIER + name).alias(f"_before{name}") for name in how],
-    )
-    inner = cut.withColumns(taken(spec.key, _OUTER))
-    both = inner.join(
-        outer, inner[spec.key].eqNullSafe(outer["_key"]) & inner[_OUTER].eqNullSafe(outer["_place"])
-    )
-    found = {}
-    for name, rule in how.items():
-        here, before = F.col(_EARLIER + name), F.col(f"_before{name}")
-        found[_EARLIER + name] = F.coalesce(here + before, here, before) if rule == "sum" else F.coalesce(here, before)
-    return both.withColumns(found).select(*buckets.columns, *found)
+    })
 
 
 def with_history(
@@ -150,6 +172,7 @@ def with_history(
     keep_bucket: bool = False,
 ) -> DataFrame:
     """``previous`` as in ``with_previous`` and, if named, ``number`` as in ``with_row_number``, in one go."""
+    spec = measured(df, spec)
     if spec.one_bucket:
         window = Window.partitionBy(spec.key).orderBy(spec.order)
         found = {new: F.lag(old).over(window) for new, old in previous.items()}
@@ -157,7 +180,7 @@ def with_history(
             found[number] = F.row_number().over(window).cast("bigint")
         return df.withColumns(found)
 
-    cut = df.withColumn(BUCKET, bucket_of(spec))
+    cut = with_bucket(df, spec)
     sources = sorted(set(previous.values()))
     # A struct is never null, so the last one is that of the bucket before, whatever it holds.
     kept = {_TAIL: (F.max_by(F.struct(*sources), row_rank(spec)), "last")} if sources else {}
@@ -165,7 +188,7 @@ def with_history(
         kept[_NUMBER] = F.count(F.lit(1)), "sum"
     tails = cut.groupBy(spec.key, BUCKET).agg(*[value.alias(name) for name, (value, _) in kept.items()])
     rules = {name: rule for name, (_, rule) in kept.items()}
-    earlier = _with_earlier(tails, spec, rules, _most_buckets(df, spec))
+    earlier = _with_earlier(tails, spec, rules)
     carried = [f"{_EARLIER}{_TAIL}.{name}" for name in sources]
     if number:
         carried.append(F.col(_EARLIER + _NUMBER).alias("_before"))
@@ -191,15 +214,16 @@ def with_previous(
 
 def with_last_known(df: DataFrame, spec: SequenceSpec, new: str, old: str) -> DataFrame:
     """Add ``new``: the last non-null ``old`` of the key, up to and including the row."""
+    spec = measured(df, spec)
     if spec.one_bucket:
         window = Window.partitionBy(spec.key).orderBy(spec.order)
         return df.withColumn(new, F.last(old, ignorenulls=True).over(window))
 
-    cut = df.withColumn(BUCKET, bucket_of(spec))
+    cut = with_bucket(df, spec)
     tails = cut.groupBy(spec.key, BUCKET).agg(
         F.expr(f"max_by(`{old}`, {null_first(spec.order)}) FILTER (WHERE `{old}` IS NOT NULL)").alias(old)
     )
-    earlier = _with_earlier(tails, spec, {old: "last"}, _most_buckets(df, spec))
+    earlier = _with_earlier(tails, spec, {old: "last"})
     halos = earlier.select(spec.key, BUCKET, F.col(_EARLIER + old).alias(old)).filter(F.col(old).isNotNull())
     upto = _in_bucket(spec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = with_halos(cut, halos).withColumn(new, F.last(old, ignorenulls=True).over(upto))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators.ordered import BUCKET, with_history, with_previous, with_row_number
+from seqlake.operators.ordered import BUCKET, measured, with_history, with_previous, with_row_number
 from seqlake.spec import SequenceSpec
 
 
@@ -173,6 +173,7 @@ def audit_sequence(
     Counts as the operators of those names do; rows are shuffled once where the keys fit a bucket.
     """
     order = F.col(spec.order)
+    spec = measured(df, spec)
     rows = with_history(df, spec, {"_state_before": spec.state} if chain else {}, "_number", keep_bucket=True)
     place = [spec.key, *([BUCKET] if BUCKET in rows.columns else []), spec.order]
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*place).orderBy(spec.order)))

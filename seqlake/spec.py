@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Column names and types of the tables.
@@ -76,11 +77,12 @@ EXPECTATIONS = {
 class SequenceSpec:
     """Which columns hold the key, the order and the scored attributes of a sequence.
 
-    ``order`` is an integer column, unique inside a key (``dedupe`` first). A key is cut into
-    buckets of ``bucket_rows`` order values, so that no window ever holds a whole hot key; for orders
-    with wide gaps ``fit_buckets`` finds the width. ``max_order`` states a known upper bound of an
-    order that is never negative (``with_bounds`` reads it); a bound below ``bucket_rows`` makes one
-    bucket per key enough, which saves the pass over the bucket borders.
+    ``order`` is an integer column, unique inside a key (``dedupe`` first). Keys of more than
+    ``bucket_rows`` rows are cut at ``cuts``, orders that ``cut_ranges`` has drawn from them, so that no
+    window ever holds a whole hot key. ``max_order`` states a known upper bound of an order that is never
+    negative (``with_bounds`` reads it): keys are then cut every ``bucket_rows`` values (``fit_buckets``
+    finds the width for orders with wide gaps). A bound below ``bucket_rows``, or ``short_keys`` where no key
+    turned out to be long, makes one bucket per key enough, which saves the pass over the bucket borders.
     """
 
     key: str = "game_id"
@@ -97,10 +99,12 @@ class SequenceSpec:
     best: str = "best_move"
     bucket_rows: int = 100_000
     max_order: int | None = None
+    cuts: DataFrame | None = field(default=None, compare=False, repr=False)
+    short_keys: bool = False
 
     @property
     def one_bucket(self) -> bool:
-        return self.max_order is not None and self.max_order < self.bucket_rows
+        return self.short_keys or self.max_order is not None and self.max_order < self.bucket_rows
 
     def with_max_order(self, max_order: int | None) -> SequenceSpec:
         return replace(self, max_order=max_order)

@@ -7,8 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seqlake.operators import features, ordered
-from seqlake.operators.ordered import bucket_of, fit_buckets, with_bounds, with_last_known, with_row_number
+from seqlake.operators import features
+from seqlake.operators.ordered import (
+    bucket_of, cut_ranges, fit_buckets, measured, with_bounds, with_bucket, with_last_known, with_row_number,
+)
 from seqlake.spec import POSITIONS_SCHEMA, SequenceSpec
 
 SPEC = SequenceSpec()
@@ -240,9 +242,8 @@ ORDERS = {
 
 
 @pytest.mark.parametrize("orders", ORDERS.values(), ids=ORDERS.keys())
-def test_no_bucket_holds_more_than_its_share_whatever_the_orders(spark, monkeypatch, orders):
-    """Rows for a task, and the same features. At this level a window holds a few of the buckets."""
-    monkeypatch.setattr(ordered, "LEVEL", 20_000_000)
+def test_no_bucket_holds_more_than_its_share_whatever_the_orders(spark, orders):
+    """Rows for a task, and the same features."""
     rng = random.Random(len(orders))
     rows = [("G1", n, rng.choice(["black", "white"]), rng.choice([None, rng.randint(-500, 500)])) for n in orders]
     df = spark.createDataFrame(rows, "game_id string, move_number bigint, player string, score_cp int")
@@ -252,8 +253,8 @@ def test_no_bucket_holds_more_than_its_share_whatever_the_orders(spark, monkeypa
         return by_key(with_row_number(known, spec, "place"), "score_delta", "known", "place")
 
     want = built(SequenceSpec(max_order=10**18, bucket_rows=2 * 10**18))
-    for spec in (fit_buckets(df, SPEC, rows=10), SequenceSpec(bucket_rows=10)):
-        sizes = [r["count"] for r in df.groupBy("game_id", bucket_of(spec)).count().collect()]
+    for spec in (fit_buckets(df, SPEC, rows=10), cut_ranges(df, SequenceSpec(bucket_rows=10))):
+        sizes = [r["count"] for r in with_bucket(df, spec).groupBy("game_id", "_bucket").count().collect()]
         assert max(sizes) <= 20 and sum(sizes) == len(orders)
     narrow = SequenceSpec(bucket_rows=10)
     assert by_key(features.with_scores(df, narrow), "score_delta") == {k: v[:1] for k, v in want.items()}
@@ -291,12 +292,32 @@ def test_a_long_key_is_no_single_window_partition(spark):
     )
     spec = SequenceSpec(bucket_rows=10)
     scored = features.with_scores(df, spec, keep_bucket=True)
-    assert scored.select("_bucket").distinct().count() == 100
+    assert max(r["count"] for r in scored.groupBy("_bucket").count().collect()) <= 10
     assert scored.filter("score_delta = 1").count() == 999
     plan = scored._jdf.queryExecution().toString()
     assert "hashpartitioning(game_id" in plan and "_bucket" in plan
 
 
+def test_cuts_of_a_hot_key_among_short_ones(spark):
+    """A third of the rows share a key, whose orders come in bursts; drawn cuts make ranges of about the same size."""
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("g"), (F.col("id") % 997).cast("string"))).alias("game_id"),
+        (F.col("id") * F.when(F.col("id") % 5 == 0, 1).otherwise(1_000_000_007) - 10_000).alias("move_number"),
+    )
+    spec = cut_ranges(df, SequenceSpec(bucket_rows=1_000))
+    assert not spec.one_bucket and spec.cuts.count() == 2
+    sizes = with_bucket(df, spec).groupBy("game_id", "_bucket").count().collect()
+    assert sum(r["count"] for r in sizes) == 90_000 and max(r["count"] for r in sizes) <= 2_200
+    assert {r["_bucket"] for r in sizes if r["game_id"] and r["game_id"] != "hot"} == {0}
+    assert len([r for r in sizes if r["game_id"] == "hot"]) >= 20
+    few = cut_ranges(df, SequenceSpec(bucket_rows=1_000), most_ranges=6)
+    assert with_bucket(df, few).select("game_id", "_bucket").filter("_bucket > 0").distinct().count() <= 8
+    assert measured(df, SequenceSpec()).short_keys
+    numbered = with_row_number(df, SequenceSpec(bucket_rows=1_000), "place")
+    whole = with_row_number(df, SequenceSpec(short_keys=True), "place")
+    assert numbered.exceptAll(whole).isEmpty()
+
+
 def test_gold_of_feed_and_knowledge(spark):
     feed = spark.createDataFrame([("s", "m"), (None, "m")], "sfen string, move_usi string")
     assert [r["search_text"] for r in features.build_feed_features(feed).collect()] == ["局面: s 指し手: m", None]
