@@ -37,7 +37,7 @@ TURNS = SequenceSpec(
 TURNS_SQL = """
 turns AS (
   SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS score,
-         substr(text, 1, 1) AS move, substr(text, 2, 1) AS best,
+         text AS move, CASE WHEN turn % 3 = 0 THEN text ELSE concat(role, text) END AS best,
          text AS state, concat(role, text) AS prev_state,
          concat('U', CAST(conv_id AS VARCHAR)) AS first_name,
          concat('A', CAST(conv_id AS VARCHAR)) AS second_name
@@ -57,8 +57,8 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
         "turn",
         "role",
         F.length("text").alias("score"),
-        F.substring("text", 1, 1).alias("move"),
-        F.substring("text", 2, 1).alias("best"),
+        F.col("text").alias("move"),
+        F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("role", "text")).alias("best"),
         F.col("text").alias("state"),
         F.concat("role", "text").alias("prev_state"),
         F.concat(F.lit("U"), conv).alias("first_name"),

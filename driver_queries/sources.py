@@ -17,7 +17,7 @@ from seqlake.plans import audits, flows
 from seqlake.session import scratch_path
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text
-from seqlake.sources.tables import append_bronze, publish
+from seqlake.sources.tables import append_bronze, publish, read_version, roll_back
 from seqlake.sources.web import day_urls, first_extract, listing_links
 from seqlake.spec import EXPECTATIONS, Layers
 
@@ -86,13 +86,14 @@ def s5(spark, folder):
 
 
 def s6(spark, folder):
-    """A JSON answer per document: an empty page first, then one with the whole text."""
+    """A JSON answer per document: an empty page first, then one with the whole text. Beside them, broken answers."""
     page = F.struct(F.col("text").alias("extract"))
     empty = F.struct(F.lit("").alias("extract"))
     pages = F.create_map(F.lit("0"), empty, F.concat(F.lit("p"), F.col("doc_id").cast("string")), page)
     answer = F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))
-    broken = F.when(F.col("lang") == "de", F.lit('{"query": {}}')).otherwise(answer)
-    return read_spread(spark, folder, "documents").select("doc_id", first_extract(broken).alias("extract"))
+    documents = read_spread(spark, folder, "documents")
+    broken = documents.filter("lang = 'de'").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit('{"query": {}}').alias("answer"))
+    return documents.select("doc_id", answer.alias("answer")).unionByName(broken).select("doc_id", first_extract("answer").alias("extract"))
 
 
 def s6_props(spark, folder):
@@ -107,9 +108,10 @@ def s6_props(spark, folder):
 def s7(spark, folder):
     name = uuid.uuid4().hex
     table, path = f"bronze_{name}", scratch_path(spark, "bronze")
-    # German texts come empty, and are not appended.
-    body = F.when(F.col("lang") == "de", "").otherwise(F.col("text"))
-    rows = read(spark, folder, "documents").select("doc_id", body.alias("body"), "source")
+    documents = read(spark, folder, "documents")
+    # Empty bodies come with the others, and are not appended.
+    empty = documents.filter("lang = 'de'").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("").alias("body"), "source")
+    rows = documents.select("doc_id", F.col("text").alias("body"), "source").unionByName(empty)
     for _ in range(2):
         append_bronze(rows, table, STAMP, "body", path)
     appended = spark.read.table(table)
@@ -164,6 +166,24 @@ def s11(spark, folder):
     return publish(orders, table, path)
 
 
+def s11_versions(spark, folder):
+    """Three versions of other columns and formats, the first of which readers have again at the end."""
+    table, path = f"gold_{uuid.uuid4().hex}", scratch_path(spark, "versions")
+    orders = read(spark, folder, "orders")
+    publish(orders, table, path)
+    pinned = read_version(spark, table, 1)
+    publish(orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), table, path, format="json")
+    publish(spark.read.table(table).withColumn("twice", F.col("n") * 2), table, path, format="orc")
+    roll_back(spark, table, 1)
+    by_version = [
+        pinned.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(1)),
+        read_version(spark, table, 2).withColumn("version", F.lit(2)),
+        read_version(spark, table, 3).select("o_orderstatus", F.col("twice").alias("n"), F.lit(3).alias("version")),
+        spark.read.table(table).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(0)),
+    ]
+    return by_version[0].unionByName(by_version[1]).unionByName(by_version[2]).unionByName(by_version[3])
+
+
 def _run_flows(spark, folder):
     """All three flows over tables built from the given ones."""
     base, name = scratch_path(spark, "flows"), uuid.uuid4().hex[:12]
@@ -271,6 +291,7 @@ QUERIES = {
     "S9_parse_kif": s9,
     "S10_export_csv": s10,
     "S11_publish": s11,
+    "S11_versions": s11_versions,
     "R1_flows": r1,
     "R1_gate": r1_gate,
     "R1_audits": r1_audits,
@@ -301,12 +322,13 @@ ORACLES = {
                regexp_replace(split_part(link_url, '/', -1), '\\.[^.]*$', '') AS key
         FROM named""",
     "S6_first_extract": """
-        SELECT doc_id, CASE WHEN lang = 'de' THEN '' ELSE text END AS extract FROM documents""",
+        SELECT doc_id, text AS extract FROM documents
+        UNION ALL SELECT -doc_id - 1, '' FROM documents WHERE lang = 'de'""",
     "S6_first_extract_props": "SELECT event_id, replace(props, '\"', chr(39)) AS extract FROM events",
     "S7_append_bronze": """
         SELECT doc_id, source, TIMESTAMP '2024-02-01 12:30:00' AS fetched_at, 2 * count(*) AS versions,
                CAST(max(length(text)) AS INTEGER) AS chars
-        FROM documents WHERE lang != 'de' GROUP BY doc_id, source""",
+        FROM documents GROUP BY doc_id, source""",
     "S8_mixed_encodings": f"""
         SELECT doc_id, CASE WHEN lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')
                THEN translate(text, '{LETTERS}', '{KANA}')
@@ -324,6 +346,9 @@ ORACLES = {
                regexp_replace(text, '[\\r\\n]+', '|', 'g') AS pv
         FROM conversations""",
     "S11_publish": "SELECT * FROM orders",
+    "S11_versions": """
+        SELECT o_orderstatus, CASE version WHEN 3 THEN 2 ELSE 1 END * count(*) AS n, CAST(version AS INTEGER) AS version
+        FROM orders, range(4) t(version) GROUP BY o_orderstatus, version""",
     "R1_audits": f"""
         WITH wanted(dataset, "check") AS (VALUES {_checks_sql()}),
         c AS (SELECT CASE WHEN role != 'system' THEN conv_id END AS game_id, turn, role,

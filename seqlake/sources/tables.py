@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_VERSION = "version-"
+# Versions of a published table that are kept beside the current one.
+KEEP_VERSIONS = 10
+_FOLDER = "version-"
+_VERSION_MARK = "__v"
 
 
 def append_rows(df: DataFrame, table: str, path: str | None = None, format: str = "parquet") -> None:
@@ -32,47 +36,129 @@ def append_bronze(
     append_rows(rows, table, path, format)
 
 
-def _columns(df: DataFrame) -> list[tuple[str, str]]:
-    return [(field.name, field.dataType.simpleString()) for field in df.schema]
-
-
 def _home(spark: SparkSession, table: str) -> str:
     *schema, name = table.split(".")
     return f"{spark.catalog.getDatabase('.'.join(schema) or spark.catalog.currentDatabase()).locationUri}/{name}"
 
 
+def version_table(table: str, version: int) -> str:
+    """The name under which one version of a published table is kept."""
+    return f"{table}{_VERSION_MARK}{version:06d}"
+
+
+@dataclass(frozen=True)
+class Version:
+    """One version of a published table: what it was written as, and whether readers get it now."""
+
+    number: int
+    location: str
+    format: str
+    columns: tuple[str, ...]
+    current: bool
+
+
+def _described(spark: SparkSession, table: str) -> dict[str, str]:
+    return {row["col_name"]: row["data_type"] for row in spark.sql(f"DESCRIBE FORMATTED {table}").collect()}
+
+
+def _numbers(spark: SparkSession, table: str) -> list[int]:
+    *schema, name = table.split(".")
+    inside = f" IN {'.'.join(schema)}" if schema else ""
+    found = spark.sql(f"SHOW TABLES{inside} LIKE '{name}{_VERSION_MARK}*'").collect()
+    tails = [row["tableName"].rsplit(_VERSION_MARK, 1)[1] for row in found]
+    return sorted(int(tail) for tail in tails if tail.isdigit())
+
+
+def current_version(spark: SparkSession, table: str) -> int | None:
+    """The version that readers of the table get, None if there is none."""
+    if not spark.catalog.tableExists(table):
+        return None
+    number = _described(spark, table).get("View Text", "").rsplit(_VERSION_MARK, 1)[-1]
+    return int(number) if number.isdigit() else None
+
+
+def versions(spark: SparkSession, table: str) -> list[Version]:
+    """The manifest of the table: all versions that are kept, oldest first; a version that never came to be current too."""
+    now = current_version(spark, table)
+    out = []
+    for number in _numbers(spark, table):
+        name = version_table(table, number)
+        seen = _described(spark, name)
+        out.append(Version(number, seen["Location"], seen["Provider"], tuple(spark.read.table(name).columns), number == now))
+    return out
+
+
+def read_version(spark: SparkSession, table: str, version: int) -> DataFrame:
+    """One version, whatever is published meanwhile."""
+    return spark.read.table(version_table(table, version))
+
+
+def _register(df: DataFrame, name: str, place: str, format: str) -> None:
+    df.sparkSession.catalog.createTable(name, path=place, source=format, schema=df.schema)
+
+
+def _switch(spark: SparkSession, table: str, version: int) -> None:
+    """Point the table's name to a version: one operation of the catalog."""
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {version_table(table, version)}")
+
+
 def publish(
-    df: DataFrame, table: str, path: str | None = None, format: str = "parquet"
+    df: DataFrame, table: str, path: str | None = None, format: str = "parquet", keep: int = KEEP_VERSIONS
 ) -> DataFrame:
-    """Replace the table by ``df`` and return the table as it was written.
-
-    The rows go to a fresh folder below ``path``, and the table is pointed to it at the end: a write that
-    fails leaves the table as it was, and a table can be worked out from itself. Earlier versions stay
-    until ``drop_old_versions``. A table of other columns is created anew.
+    """Replace the table by ``df`` and return the version that was written.
+
+    A version is a folder below ``path`` and a table of its own; the table's name is a view of one of them. First the
+    rows are written, then the version is registered, and at last the view is replaced, which is the only step
+    readers see. Columns and format may change with a version. A write that dies at any step leaves the table as it
+    was, a table can be worked out from itself, and who reads a version keeps it until ``keep`` newer ones are there.
+    Of two publishers that draw the same number the second fails before the last step. A plain table of that name
+    becomes version 0.
     """
     spark = df.sparkSession
-    fresh = f"{path or _home(spark, table)}/{_VERSION}{uuid.uuid4().hex}"
-    df.write.format(format).save(fresh)
-    if spark.catalog.tableExists(table) and _columns(spark.read.table(table)) == _columns(df):
-        place = fresh.replace("'", "\\'")
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
-        spark.catalog.refreshTable(table)
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.catalog.createTable(table, path=fresh, source=format, schema=df.schema)
-    return spark.read.table(table)
+    if spark.catalog.tableExists(table) and current_version(spark, table) is None:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {version_table(table, 0)}")
+        _switch(spark, table, 0)
+    number = max(_numbers(spark, table), default=0) + 1
+    place = f"{path or _home(spark, table)}/{_FOLDER}{number:06d}-{uuid.uuid4().hex}"
+    df.write.format(format).save(place)
+    _register(df, version_table(table, number), place, format)
+    _switch(spark, table, number)
+    _drop(spark, table, [n for n in _numbers(spark, table) if n < number][:-keep] if keep else [])
+    return read_version(spark, table, number)
+
+
+def roll_back(spark: SparkSession, table: str, version: int) -> DataFrame:
+    """Give readers an earlier version again."""
+    if version not in _numbers(spark, table):
+        raise ValueError(f"{table} has no version {version}")
+    _switch(spark, table, version)
+    return read_version(spark, table, version)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _drop(spark: SparkSession, table: str, numbers: list[int]) -> None:
+    for number in numbers:
+        place = _described(spark, version_table(table, number))["Location"]
+        spark.sql(f"DROP TABLE {version_table(table, number)}")
+        _delete(spark, place)
 
 
 def drop_old_versions(spark: SparkSession, table: str) -> int:
-    """Delete the folders that ``publish`` has replaced, and return their number.
+    """Delete all versions but the current one, and what dead writes left, and return the number of folders.
 
     To be called when nobody reads an earlier version or publishes the table.
     """
-    place = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
-    current = spark._jvm.org.apache.hadoop.fs.Path(place)
-    files = current.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [
-        status.getPath() for status in files.listStatus(current.getParent())
-        if status.getPath().getName().startswith(_VERSION) and status.getPath().getName() != current.getName()
+    now = current_version(spark, table)
+    place = spark._jvm.org.apache.hadoop.fs.Path(_described(spark, version_table(table, now))["Location"])
+    old = [number for number in _numbers(spark, table) if number != now]
+    _drop(spark, table, old)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [
+        status.getPath() for status in files.listStatus(place.getParent())
+        if status.getPath().getName().startswith(_FOLDER) and status.getPath().getName() != place.getName()
     ]
-    return sum(files.delete(folder, True) for folder in old)
+    return len(old) + sum(files.delete(folder, True) for folder in left)

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text, read_text_records
-from seqlake.sources.tables import append_bronze, drop_old_versions, publish
+from seqlake.sources import tables
+from seqlake.sources.tables import (
+    append_bronze, current_version, drop_old_versions, publish, read_version, roll_back, version_table, versions,
+)
 from seqlake.sources.web import day_urls, first_extract, listing_links
 from seqlake.spec import POSITIONS_SCHEMA
 from seqlake.streaming.ingest import append_new_files
@@ -136,6 +139,59 @@ def test_a_write_that_dies_leaves_the_table_and_a_table_is_made_from_itself(spar
     assert drop_old_versions(spark, table) == 2 and spark.read.table(table).count() == 3
 
 
+@pytest.mark.parametrize("step", ["write", "_register", "_switch"])
+def test_a_write_killed_at_each_step_leaves_the_old_table(spark, tmp_path, table, step, monkeypatch):
+    """Also when columns and format change; the next write goes through."""
+    path = f"{tmp_path}/gold"
+    publish(spark.range(5), table, path)
+    fresh = spark.range(9).select(F.col("id").cast("string").alias("name"), F.lit(1).alias("more"))
+
+    def die(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        if step == "write":
+            fresh_or_broken = fresh.withColumn("more", F.raise_error(F.lit("killed")).cast("int"))
+        else:
+            fresh_or_broken = fresh
+            patch.setattr(tables, step, die)
+        with pytest.raises(Exception, match="killed"):
+            publish(fresh_or_broken, table, path, format="json")
+    now = spark.read.table(table)
+    assert now.columns == ["id"] and now.count() == 5 and current_version(spark, table) == 1
+    assert publish(fresh, table, path, format="json").count() == 9
+    now = spark.read.table(table)
+    assert now.columns == ["name", "more"] and now.schema["more"].dataType.simpleString() == "int"
+    assert [v.format for v in versions(spark, table) if v.current] == ["json"]
+    drop_old_versions(spark, table)
+    assert [v.current for v in versions(spark, table)] == [True] and spark.read.table(table).count() == 9
+    assert len([p for p in (tmp_path / "gold").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_readers_keep_their_version_and_history_is_bounded(spark, tmp_path, table):
+    path = f"{tmp_path}/gold"
+    for n in range(1, 6):
+        written = publish(spark.range(n), table, path, keep=2)
+        assert written.count() == n
+    assert [(v.number, v.current) for v in versions(spark, table)] == [(3, False), (4, False), (5, True)]
+    pinned = read_version(spark, table, 4)
+    publish(spark.range(50).withColumnRenamed("id", "other"), table, path, keep=2)
+    assert pinned.count() == 4 and spark.read.table(table).columns == ["other"]
+    assert roll_back(spark, table, 5).count() == 5 and spark.read.table(table).count() == 5
+    with pytest.raises(ValueError):
+        roll_back(spark, table, 1)
+    # The next version is newer than all there were, rolled back or not.
+    publish(spark.range(7), table, path)
+    assert current_version(spark, table) == 7
+
+
+def test_a_plain_table_becomes_the_first_version(spark, tmp_path, table):
+    spark.range(3).write.option("path", f"{tmp_path}/plain").saveAsTable(table)
+    publish(spark.range(4).withColumn("more", F.lit("x")), table, f"{tmp_path}/gold")
+    assert spark.read.table(table).count() == 4 and read_version(spark, table, 0).count() == 3
+    assert version_table(table, 0).endswith("__v000000")
+
+
 def test_publish_without_a_path(spark, table):
     assert publish(spark.range(3), table).count() == 3 and publish(spark.range(4), table).count() == 4
 
