@@ -1,18 +1,18 @@
 """The three table flows, each from its source through Silver to Gold.
 
-Every table is replaced as a whole, and its row expectations are counted in the pass that writes it.
+The seven tables are declared with their inputs (see ``graph``). Every table is replaced as a whole, and its row
+expectations are counted in the pass that writes it.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.operators.event_log import LOG_SCHEMA
@@ -23,21 +23,22 @@ from seqlake.operators.features import (
     build_knowledge_features,
     summarise,
 )
-from seqlake.operators.quality import expect, observed_counts
 from seqlake.operators.silver import build_knowledge, dedupe
+from seqlake.plans.graph import BLOCKED, FAILED, Made, Node, Outcome, Source, file_source, run_graph, table_source
 from seqlake.sources.csv_files import read_sequences_csv
-from seqlake.sources.tables import append_rows, publish
+from seqlake.sources.tables import append_rows
 from seqlake.spec import EXPECTATIONS, Layers, SequenceSpec
 
 
 @dataclass
 class FlowReport:
-    """Tables a flow wrote, its expectation counts, and the error that ended it."""
+    """Tables a flow wrote, what became of each of its tables, its expectation counts, and the error that ended it."""
 
     flow: str
     tables: list[str] = field(default_factory=list)
     counts: list[tuple[str, str, int, int]] = field(default_factory=list)
     error: str | None = None
+    states: dict[str, str] = field(default_factory=dict)
 
     def expectations(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -45,61 +46,91 @@ class FlowReport:
         )
 
 
-def _write(
-    df: DataFrame,
-    layers: Layers,
-    layer: str,
-    name: str,
-    report: FlowReport,
-    extra: Mapping[str, Column] | None = None,
-) -> tuple[DataFrame, dict]:
-    rules = EXPECTATIONS[name]
-    checked, observation = expect(df, rules, extra)
-    table = publish(checked, layers.table(layer, name), layers.path(layer, name))
-    report.tables.append(layers.table(layer, name))
-    report.counts += [(name, *count) for count in observed_counts(observation, rules)]
-    return table, observation.get
-
-
-def positions_flow(spark: SparkSession, layers: Layers, source: str, report: FlowReport) -> None:
-    """Landing CSV to ``positions``, ``position_features`` and ``game_summary``."""
-    rows = read_sequences_csv(spark, source)
+def _positions(made: Made) -> DataFrame:
+    rows = made.tables["landing"]
     keys = ["game_id", "move_number"]
-    silver = dedupe(rows, keys, [name for name in rows.columns if name not in keys])
-    positions, seen = _write(
-        silver, layers, "silver", "positions", report,
-        {"min_order": F.min("move_number"), "max_order": F.max("move_number")},
-    )
-    # The bounds were seen in the write: when all orders fit a bucket, one window per key will do. Keys,
-    # the null key too, hold an order once, as Silver was deduplicated.
-    known = seen["min_order"] is not None and seen["min_order"] >= 0
-    spec = SequenceSpec().with_max_order(seen["max_order"] if known else None)
-    features, _ = _write(build_features(positions, spec), layers, "gold", "position_features", report)
-    # The features hold the changes already, so the summary needs no window of its own.
-    _write(summarise(features, spec), layers, "gold", "game_summary", report)
+    return dedupe(rows, keys, [name for name in rows.columns if name not in keys])
 
 
-def feed_flow(spark: SparkSession, layers: Layers, source: str, report: FlowReport) -> None:
-    """Bronze game feed to ``floodgate_positions`` and ``floodgate_position_features``."""
-    silver = build_feed_positions(spark.read.table(source))
-    positions, _ = _write(silver, layers, "silver", "floodgate_positions", report)
-    _write(build_feed_features(positions), layers, "gold", "floodgate_position_features", report)
+def _bounds():
+    return {"min_order": F.min("move_number"), "max_order": F.max("move_number")}
 
 
-def knowledge_flow(spark: SparkSession, layers: Layers, source: str, report: FlowReport) -> None:
-    """Bronze articles to ``joseki_knowledge`` and ``joseki_features``."""
-    silver = build_knowledge(spark.read.table(source))
-    knowledge, _ = _write(silver, layers, "silver", "joseki_knowledge", report)
-    _write(build_knowledge_features(knowledge), layers, "gold", "joseki_features", report)
+def _spec(made: Made) -> SequenceSpec:
+    """The bounds were seen in the write: when all orders fit a bucket, one window per key will do.
+
+    Keys, the null key too, hold an order once, as Silver was deduplicated.
+    """
+    seen = made.seen["positions"]
+    known = seen["min_order"] is not None and seen["min_order"] >= 0
+    return SequenceSpec().with_max_order(seen["max_order"] if known else None)
 
 
-FLOWS: dict[str, Callable[[SparkSession, Layers, str, FlowReport], None]] = {
-    "positions": positions_flow,
-    "feed": feed_flow,
-    "knowledge": knowledge_flow,
+NODES = {node.name: node for node in (
+    Node("positions", "silver", ("landing",), _positions, EXPECTATIONS["positions"], _bounds),
+    Node(
+        "position_features", "gold", ("positions",), lambda made: build_features(made.tables["positions"], _spec(made)),
+        EXPECTATIONS["position_features"],
+    ),
+    # The features hold the changes already, so the summary needs no window of its own.
+    Node(
+        "game_summary", "gold", ("position_features", "positions"),
+        lambda made: summarise(made.tables["position_features"], _spec(made)), EXPECTATIONS["game_summary"],
+    ),
+    Node(
+        "floodgate_positions", "silver", ("floodgate_raw",), lambda made: build_feed_positions(made.tables["floodgate_raw"]),
+        EXPECTATIONS["floodgate_positions"],
+    ),
+    Node(
+        "floodgate_position_features", "gold", ("floodgate_positions",),
+        lambda made: build_feed_features(made.tables["floodgate_positions"]), EXPECTATIONS["floodgate_position_features"],
+    ),
+    Node(
+        "joseki_knowledge", "silver", ("wikipedia_raw",), lambda made: build_knowledge(made.tables["wikipedia_raw"]),
+        EXPECTATIONS["joseki_knowledge"],
+    ),
+    Node(
+        "joseki_features", "gold", ("joseki_knowledge",),
+        lambda made: build_knowledge_features(made.tables["joseki_knowledge"]), EXPECTATIONS["joseki_features"],
+    ),
+)}
+# The source of each flow and the tables it makes.
+FLOWS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "positions": ("landing", ("positions", "position_features", "game_summary")),
+    "feed": ("floodgate_raw", ("floodgate_positions", "floodgate_position_features")),
+    "knowledge": ("wikipedia_raw", ("joseki_knowledge", "joseki_features")),
 }
 
 
+def _source(flow: str, source: str) -> Source:
+    if flow == "positions":
+        return file_source(source, lambda spark: read_sequences_csv(spark, source))
+    return table_source(source)
+
+
+def _run(spark: SparkSession, layers: Layers, sources: Mapping[str, str], only_changed: bool) -> dict[str, Outcome]:
+    for layer in ("silver", "gold"):
+        create_schema(spark, layers, layer)
+    nodes = [NODES[name] for flow in sources for name in FLOWS[flow][1]]
+    read = {FLOWS[flow][0]: _source(flow, source) for flow, source in sources.items()}
+    return run_graph(spark, nodes, read, layers, only_changed)
+
+
+def _report(report: FlowReport, outcomes: Mapping[str, Outcome]) -> BaseException | None:
+    """Put what became of the flow's tables into its report; the first error, if any."""
+    first = None
+    for name in FLOWS[report.flow][1]:
+        made = outcomes[name]
+        report.states[name] = made.state
+        if made.state not in (FAILED, BLOCKED):
+            report.tables.append(made.table)
+            report.counts += [(name, *count) for count in made.counts]
+        elif made.state == FAILED and first is None:
+            first = made.error
+            report.error = f"{type(first).__name__}: {first}"
+    return first
+
+
 def create_schema(spark: SparkSession, layers: Layers, layer: str) -> None:
     """The schema of a layer, in the folder of its tables when that is given."""
     where = f" LOCATION '{layers.location}/{getattr(layers, layer)}'" if layers.location else ""
@@ -107,16 +138,17 @@ def create_schema(spark: SparkSession, layers: Layers, layer: str) -> None:
 
 
 def run(
-    spark: SparkSession, flow: str, layers: Layers, source: str, report: FlowReport | None = None
+    spark: SparkSession, flow: str, layers: Layers, source: str, report: FlowReport | None = None, only_changed: bool = False
 ) -> FlowReport:
     """Run one flow; ``source`` is its landing path or its Bronze table. Errors are raised.
 
-    ``report``, if given, holds what was done even if an error ends the flow.
+    ``report``, if given, holds what was done even if an error ends the flow. With ``only_changed`` tables whose
+    inputs are what they were stay as they are.
     """
-    for layer in ("silver", "gold"):
-        create_schema(spark, layers, layer)
     report = FlowReport(flow) if report is None else report
-    FLOWS[flow](spark, layers, source, report)
+    error = _report(report, _run(spark, layers, {flow: source}, only_changed))
+    if error is not None:
+        raise error
     return report
 
 
@@ -130,7 +162,7 @@ def log_events(spark: SparkSession, reports: Sequence[FlowReport], update_id: st
     for report in reports:
         names = {table.rsplit(".", 1)[-1]: table for table in report.tables}
         state = "FAILED" if report.error else "COMPLETED"
-        progress = {"status": state}
+        progress = {"status": state, "tables": report.states}
         if report.counts:
             progress["data_quality"] = {"expectations": [
                 {"name": rule, "dataset": names[dataset], "passed_records": passed, "failed_records": failed}
@@ -145,25 +177,17 @@ def log_events(spark: SparkSession, reports: Sequence[FlowReport], update_id: st
 
 
 def run_all(
-    spark: SparkSession, layers: Layers, sources: Mapping[str, str], update_id: str | None = None
+    spark: SparkSession, layers: Layers, sources: Mapping[str, str], update_id: str | None = None, only_changed: bool = False
 ) -> list[FlowReport]:
-    """Run the flows side by side; an error ends its own flow only.
+    """Run the flows side by side; an error ends the tables made from the failed one only.
 
-    It is kept in the flow's report, beside the tables and counts from before. What happened is appended
+    It is kept in the flow's report, beside the tables and counts of the others. What happened is appended
     to the Gold table ``event_log`` under ``update_id`` (a new one if none is given).
     """
-
-    def attempt(flow: str, source: str) -> FlowReport:
-        report = FlowReport(flow)
-        try:
-            return run(spark, flow, layers, source, report)
-        except Exception as error:
-            report.error = f"{type(error).__name__}: {error}"
-            return report
-
-    with ThreadPoolExecutor(max(1, len(sources))) as pool:
-        reports = list(pool.map(attempt, sources.keys(), sources.values()))
-    create_schema(spark, layers, "gold")
+    outcomes = _run(spark, layers, sources, only_changed)
+    reports = [FlowReport(flow) for flow in sources]
+    for report in reports:
+        _report(report, outcomes)
     events = log_events(spark, reports, update_id or uuid.uuid4().hex)
     append_rows(events, layers.table("gold", "event_log"), layers.path("gold", "event_log"))
     return reports

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 KEEP_VERSIONS = 10
 _FOLDER = "version-"
 _VERSION_MARK = "__v"
+_NOTE = "note."
 
 
 def append_rows(df: DataFrame, table: str, path: str | None = None, format: str = "parquet") -> None:
@@ -93,8 +95,25 @@ def read_version(spark: SparkSession, table: str, version: int) -> DataFrame:
     return spark.read.table(version_table(table, version))
 
 
-def _register(df: DataFrame, name: str, place: str, format: str) -> None:
-    df.sparkSession.catalog.createTable(name, path=place, source=format, schema=df.schema)
+def _register(df: DataFrame, name: str, place: str, format: str, notes: Mapping[str, str]) -> None:
+    spark = df.sparkSession
+    spark.catalog.createTable(name, path=place, source=format, schema=df.schema)
+    if notes:
+        pairs = ", ".join(f"'{_NOTE}{key}' = '{_quoted(value)}'" for key, value in notes.items())
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
+
+
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def notes_of(spark: SparkSession, table: str) -> dict[str, str]:
+    """What the current version was published with; nothing if there is no version."""
+    number = current_version(spark, table)
+    if number is None:
+        return {}
+    rows = spark.sql(f"SHOW TBLPROPERTIES {version_table(table, number)}").collect()
+    return {row["key"].removeprefix(_NOTE): row["value"] for row in rows if row["key"].startswith(_NOTE)}
 
 
 def _switch(spark: SparkSession, table: str, version: int) -> None:
@@ -103,7 +122,12 @@ def _switch(spark: SparkSession, table: str, version: int) -> None:
 
 
 def publish(
-    df: DataFrame, table: str, path: str | None = None, format: str = "parquet", keep: int = KEEP_VERSIONS
+    df: DataFrame,
+    table: str,
+    path: str | None = None,
+    format: str = "parquet",
+    keep: int = KEEP_VERSIONS,
+    notes: Callable[[], Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """Replace the table by ``df`` and return the version that was written.
 
@@ -112,7 +136,7 @@ def publish(
     readers see. Columns and format may change with a version. A write that dies at any step leaves the table as it
     was, a table can be worked out from itself, and who reads a version keeps it until ``keep`` newer ones are there.
     Of two publishers that draw the same number the second fails before the last step. A plain table of that name
-    becomes version 0.
+    becomes version 0. ``notes`` is asked once the rows are written; what it says is kept with the version.
     """
     spark = df.sparkSession
     if spark.catalog.tableExists(table) and current_version(spark, table) is None:
@@ -121,7 +145,7 @@ def publish(
     number = max(_numbers(spark, table), default=0) + 1
     place = f"{path or _home(spark, table)}/{_FOLDER}{number:06d}-{uuid.uuid4().hex}"
     df.write.format(format).save(place)
-    _register(df, version_table(table, number), place, format)
+    _register(df, version_table(table, number), place, format, notes() if notes else {})
     _switch(spark, table, number)
     _drop(spark, table, [n for n in _numbers(spark, table) if n < number][:-keep] if keep else [])
     return read_version(spark, table, number)
