@@ -14,6 +14,7 @@ from seqlake.operators.nearest import top_k
 from seqlake.operators.features import build_features, build_feed_features, build_knowledge_features
 from seqlake.operators.ordered import with_bounds
 from seqlake.operators.retrieval import Route
+from seqlake.operators.routing import route_by_rules
 from seqlake.operators.vector_index import build_index, open_index, publish_index, search_index, top_k_pruned
 from seqlake.plans import collections, flows
 from seqlake.session import scratch_path
@@ -262,6 +263,19 @@ def v9(spark, folder):
     return retrieval.route(questions, "text", WORD_ROUTES).select("doc_id", "collection", "hits")
 
 
+def _rules(spark, folder):
+    """Every word of the benchmark calls for a collection of its length; one rule holds for all."""
+    words = read(spark, folder, "benchmark").select(F.explode(F.split("text", r"[ \n]+")).alias("word")).filter("word != ''").distinct()
+    size = F.length("word")
+    named = words.select(F.concat(F.lit("length"), size.cast("string")).alias("collection"), (size % 3 + 1).alias("hits"), "word")
+    return named.unionByName(spark.createDataFrame([("all", 4, None)], "collection string, hits int, word string"))
+
+
+def v9_rules(spark, folder):
+    documents = read_spread(spark, folder, "documents").select("doc_id", "text")
+    return route_by_rules(documents, "text", _rules(spark, folder)).select("doc_id", "collection", "hits")
+
+
 def v9_search(spark, folder):
     """Routed questions, each collection searched for its own number of hits."""
     every = _collections(spark, folder)
@@ -338,6 +352,7 @@ QUERIES = {
     "V7_no_hits": v7,
     "V8_search": v8,
     "V9_route": v9,
+    "V9_route_by_rules": v9_rules,
     "V9_routed_search": v9_search,
     "V10_chunk": v10,
 }
@@ -448,6 +463,11 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'english', 2 FROM documents WHERE regexp_matches(text, 'the |with ')
         UNION ALL SELECT doc_id, 'french', 2 FROM documents WHERE regexp_matches(text, 'le |eau')
         UNION ALL SELECT doc_id, 'absent', 2 FROM documents WHERE regexp_matches(text, 'and ')""",
+    "V9_route_by_rules": """
+        WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS word FROM benchmark)
+        SELECT DISTINCT doc_id, 'length' || length(word) AS collection, CAST(length(word) % 3 + 1 AS INTEGER) AS hits
+        FROM documents JOIN words ON word != '' AND contains(text, word)
+        UNION ALL SELECT doc_id, 'all', 4 FROM documents""",
     "V9_routed_search": "WITH" + QUESTIONS_SQL + """
         routed AS (
           SELECT *, 'all' AS collection, 3 AS hits FROM questions

@@ -7,6 +7,7 @@ from seqlake.operators import retrieval, vector_index
 from seqlake.operators.embedding import embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k
 from seqlake.operators.retrieval import ROUTES
+from seqlake.operators.routing import route_by_rules
 from seqlake.operators.vector_index import build_index, open_index, publish_index, search_index, top_k_approx, top_k_pruned
 
 VECTOR = "embedding array<float>"
@@ -273,6 +274,30 @@ def test_route_by_words(spark):
     assert len(ROUTES) == 3
 
 
+@pytest.mark.parametrize("word_bytes", [1 << 20, 40_000])
+def test_route_by_ten_thousand_words(spark, word_bytes):
+    """One pass or several; the plan does not grow with the words."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcé漢"), rng.integers(1, 7))) for _ in range(10_000)]
+    rules = [(f"c{n % 40}", n % 5 + 1, word) for n, word in enumerate(words)] + [("all", 2, None), ("all", 1, ""), ("c1", 9, "zz")]
+    texts = ["".join(rng.choice(list("abcé漢 x"), 60)) for _ in range(50)] + [None, "", "zz"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, question string")
+    table = spark.createDataFrame(rules, "collection string, hits int, word string")
+    routed = route_by_rules(queries, "question", table, word_bytes)
+    want = set()
+    for number, text in enumerate(texts):
+        called = {}
+        for collection, hits, word in rules:
+            if not word or (text and word in text):
+                called[collection] = max(hits, called.get(collection, 0))
+        want |= {(number, collection, hits) for collection, hits in called.items()}
+    got = [(r["query_id"], r["collection"], r["hits"]) for r in routed.collect()]
+    assert len(got) == len(want) and set(got) == want
+    few = route_by_rules(queries, "question", table.limit(5))
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert word_bytes < 1 << 20 or abs(plan(routed) - plan(few)) <= 1
+
+
 def test_routed_search_takes_the_hits_of_each_route(spark, collections):
     asked = [(1, "a", 1, [1.0, 0.0]), (1, "b", 2, [1.0, 0.0])]
     queries = spark.createDataFrame(asked, f"query_id int, collection string, hits int, {VECTOR}")
