@@ -16,6 +16,7 @@ from seqlake.operators.kif import parse_kif
 from seqlake.plans import audits, flows
 from seqlake.session import scratch_path
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
+from seqlake.sources.record_files import read_records, write_records
 from seqlake.sources.records import decode_text
 from seqlake.sources.tables import append_bronze, publish, read_version, roll_back
 from seqlake.sources.web import day_urls, first_extract, listing_links
@@ -134,6 +135,16 @@ def s8(spark, folder):
     return read_spread(spark, folder, "documents").select("doc_id", decode_text(content).alias("text"))
 
 
+def s8_files(spark, folder):
+    """The same texts written to files in both encodings, read back as lines, each with its number of copies."""
+    path = scratch_path(spark, "records")
+    documents = read_spread(spark, folder, "documents").filter(F.col("text").isNotNull())
+    plain = (F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7f]*$")
+    write_records(documents.filter(plain).select(F.translate("text", LETTERS, KANA).alias("text")), path, "cp932")
+    write_records(documents.filter(~plain), path)
+    return read_records(spark, f"{path}/*.txt").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def s9(spark, folder):
     return parse_kif(kif_records(spark, folder), "game_id", "body")
 
@@ -318,6 +329,7 @@ QUERIES = {
     "S6_first_extract_props": s6_props,
     "S7_append_bronze": s7,
     "S8_mixed_encodings": s8,
+    "S8_files": s8_files,
     "S9_parse_kif": s9,
     "S10_export_csv": s10,
     "S11_publish": s11,
@@ -364,6 +376,11 @@ ORACLES = {
         SELECT doc_id, CASE WHEN lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')
                THEN translate(text, '{LETTERS}', '{KANA}')
                ELSE text END AS text FROM documents""",
+    "S8_files": f"""
+        WITH texts AS (
+          SELECT CASE WHEN lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')
+                 THEN translate(text, '{LETTERS}', '{KANA}') ELSE text END AS text FROM documents)
+        SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM texts) GROUP BY text""",
     "S9_parse_kif": "WITH" + KIF_SQL + """
         SELECT game_id, move_number, move_usi, black_player, white_player FROM plies
         UNION ALL

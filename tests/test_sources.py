@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text, read_text_records
-from seqlake.sources import tables
+from seqlake.sources import record_files, tables
+from seqlake.sources.record_files import read_records, write_records
 from seqlake.sources.tables import (
     append_bronze, current_version, drop_old_versions, publish, read_version, roll_back, version_table, versions,
 )
@@ -207,6 +208,53 @@ def test_text_in_two_encodings(spark, tmp_path):
     assert "�" in rows["d"]
 
 
+TEXTS = {
+    "a.kif": "先手：一郎\n後手：二郎\n".encode(), "b.kif": "先手：一郎\n後手：二郎".encode("cp932"), "c.kif": "一\r\n\r二\n".encode("utf-8-sig"),
+    "d.kif": b"\x81\xff\x81\xff\nok", "e.kif": b"", "_hidden.kif": b"no", "f.txt": b"other",
+}
+
+
+def test_record_files_as_lines_and_as_files(spark, tmp_path):
+    for name, content in TEXTS.items():
+        (tmp_path / name).write_bytes(content)
+    lines = {}
+    for r in read_records(spark, f"{tmp_path}/[a-e].kif", partitionBytes="40").collect():
+        lines.setdefault(r["path"][-5], {})[r["line"]] = r["text"]
+    assert lines["a"] == lines["b"] == {0: "先手：一郎", 1: "後手：二郎"}
+    assert lines["c"] == {0: "一", 1: "", 2: "二"} and "�" in lines["d"][0] and lines["d"][1] == "ok" and "e" not in lines
+    files = {r["path"][-5]: r["text"] for r in read_records(spark, f"{tmp_path}/*.kif", rows="file").collect()}
+    assert files["b"] == "先手：一郎\n後手：二郎" and files["e"] == "" and files["c"] == "一\n\n二\n"
+    old = {r["path"][-5]: r["text"] for r in read_text_records(spark, f"{tmp_path}/*.kif").collect()}
+    assert {name: files[name] for name in old} == old
+    assert sorted(r["path"][-5] for r in read_records(spark, str(tmp_path), rows="file").collect()) == ["a", "b", "c", "d", "e", "f"]
+    with pytest.raises(Exception, match="no file at"):
+        read_records(spark, f"{tmp_path}/*.none").count()
+    with pytest.raises(Exception, match="rows must be"):
+        read_records(spark, str(tmp_path), rows="word").count()
+
+
+def test_record_files_are_dealt_out_by_size_and_decoded_in_pieces(spark, tmp_path):
+    for n in range(12):
+        (tmp_path / f"{n:02d}.txt").write_bytes(b"x" * 100)
+    shares = record_files.RecordReader({"path": str(tmp_path), "partitionbytes": "250"}, record_files.LINES).partitions()
+    assert [len(share.files) for share in shares] == [2] * 6
+    # Characters that lie across the pieces in which a file is read.
+    long = "漢字" * 700_000
+    for name, encoding in (("long8", "utf-8"), ("long932", "cp932")):
+        (tmp_path / name).write_bytes(("a" + long + "\nend").encode(encoding))
+        got = read_records(spark, f"{tmp_path}/{name}").orderBy("line").collect()
+        assert [r["text"] for r in got] == ["a" + long, "end"]
+
+
+def test_written_records_are_read_back(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    df = spark.createDataFrame([("一二",), ("two\nlines",), (None,), ("",)], "text string").repartition(2)
+    for encoding in ("utf-8", "cp932"):
+        write_records(df, path, encoding)
+    got = sorted(r["text"] for r in read_records(spark, path).collect())
+    assert got == sorted(["一二", "two", "lines", ""] * 2)
+
+
 def test_undecodable_bytes_do_not_stop_the_others(spark):
     df = spark.createDataFrame([(b"\xff\xfe\xff",), (None,), (b"ok",)], "content binary")
     found = [r["t"] for r in df.select(decode_text("content").alias("t")).collect()]
