@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.common import read, read_spread
 from seqlake.operators import retrieval
-from seqlake.operators.embedding import embed, embed_with, term_weights, with_terms
+from seqlake.operators.embedding import count_terms, embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k
 from seqlake.operators.features import build_features, build_feed_features, build_knowledge_features
 from seqlake.operators.ordered import with_bounds
@@ -39,8 +39,7 @@ def v1(spark, folder):
 
 def v2_terms(spark, folder):
     """What ``embed`` counts: words and pairs of words."""
-    rows = with_terms(read_spread(spark, folder, "documents"), "text")
-    return rows.select("doc_id", F.explode("_terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return count_terms(read_spread(spark, folder, "documents"), "doc_id", "text")
 
 
 def v2(spark, folder):
@@ -111,6 +110,35 @@ def v3_collections(spark, folder):
     )
 
 
+def _merged(spark, folder):
+    """A collection of all turns, then brought up to other turns: some changed, some gone, some new."""
+    table, path = f"merged_{uuid.uuid4().hex}", scratch_path(spark, "merged")
+
+    def embedder(df, text):
+        return embed_with(df, text, _letter_counts)
+
+    rows = read(spark, folder, "conversations").withColumn("position", F.col("turn"))
+    changed = rows.filter("conv_id % 50 != 7").withColumn(
+        "text", F.when(F.col("conv_id") % 20 == 3, F.concat("text", F.lit(" abc"))).otherwise(F.col("text"))
+    )
+    more = rows.filter("conv_id % 25 = 1").withColumn("position", F.col("turn") + 5000)
+    for now in (rows, changed.unionByName(more)):
+        found = retrieval.entries(now, "positions", retrieval.position_id("conv_id", "position"), "text", ["role"])
+        report = retrieval.merge_collection(found, table, path, embedder, "letters")
+    return spark.read.table(table), report
+
+
+def v3_merge(spark, folder):
+    collection, _ = _merged(spark, folder)
+    vector = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return collection.select("id", "document", F.col("metadata")["role"].alias("role"), F.concat_ws(",", vector).alias("vector"))
+
+
+def v3_merge_counts(spark, folder):
+    _, report = _merged(spark, folder)
+    return spark.createDataFrame([(report.embedded, report.kept, report.gone)], "embedded bigint, kept bigint, gone bigint")
+
+
 def _vectors(spark, folder):
     return read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -340,6 +368,8 @@ QUERIES = {
     "V2_embed_with_model": v2_model,
     "V3_build_collection": v3,
     "V3_collections": v3_collections,
+    "V3_merge": v3_merge,
+    "V3_merge_counts": v3_merge_counts,
     "V4_top_k": v4,
     "V4_top_k_tiles": v4_tiles,
     "V4_pruned": v4_pruned,
@@ -407,6 +437,21 @@ ORACLES = {
           FROM ({CHUNK_SQL}) c JOIN documents USING (doc_id))
         SELECT *, {DOCUMENT_LETTERS_SQL} AS vector FROM entries
         WHERE document IS NOT NULL AND lower(document) NOT IN ('', 'nan', 'none')""",
+    "V3_merge": f"""
+        WITH turns AS (
+          SELECT conv_id, turn AS position, role, CASE WHEN conv_id % 20 = 3 THEN text || ' abc' ELSE text END AS text
+          FROM conversations WHERE conv_id % 50 != 7
+          UNION ALL SELECT conv_id, turn + 5000, role, text FROM conversations WHERE conv_id % 25 = 1),
+        entries AS (
+          SELECT format('{{}}__move{{:04d}}', CAST(conv_id AS VARCHAR), position) AS id, role,
+                 regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS document FROM turns)
+        SELECT id, document, role, {DOCUMENT_LETTERS_SQL} AS vector FROM entries
+        WHERE lower(document) NOT IN ('', 'nan', 'none')""",
+    "V3_merge_counts": """
+        SELECT count(*) FILTER (conv_id % 50 != 7 AND conv_id % 20 = 3) + count(*) FILTER (conv_id % 25 = 1) AS embedded,
+               count(*) FILTER (conv_id % 50 != 7 AND conv_id % 20 != 3) AS kept, count(*) FILTER (conv_id % 50 = 7) AS gone
+        FROM conversations
+        WHERE lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none')""",
     "V4_top_k": TOP_K_SQL,
     "V4_top_k_tiles": TOP_K_SQL,
     "V4_pruned": f"""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqlake.functions.arrays import explode_with_place
@@ -15,7 +15,7 @@ from seqlake.functions.text import CHUNK_CHARS, NO_TEXT, chunks, metadata_map, m
 from seqlake.operators.embedding import embed
 from seqlake.operators.nearest import TOP_K, top_k
 from seqlake.session import shared_dir
-from seqlake.sources.tables import publish
+from seqlake.sources.tables import notes_of, publish
 
 # The prompt, its numbered blocks, and the answer when nothing was found.
 PROMPT = ("以下の将棋の棋譜情報を参考に、質問に答えてください。\n質問: ", "\n参考情報:\n", "\n回答:")
@@ -23,6 +23,7 @@ BLOCK = ("ドキュメント ", ":\n", "\nメタデータ: ")
 NOTHING_FOUND = "関連する情報が見つかりませんでした。"
 
 BROADCAST_HITS = 500_000
+_MODEL = "model"
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,18 @@ def clean_text(df: DataFrame, text: str) -> DataFrame:
     return stripped.filter(F.col(text).isNotNull() & ~F.lower(text).isin(*NO_TEXT))
 
 
+def entries(
+    df: DataFrame, name: str, id: Column, text: str, metadata: Mapping[str, Column] | list[str]
+) -> DataFrame:
+    """``collection, id, document, metadata`` of the rows that have a text."""
+    return clean_text(df, text).select(
+        F.lit(name).alias("collection"),
+        id.alias("id"),
+        F.col(text).alias("document"),
+        metadata_map(metadata).alias("metadata"),
+    )
+
+
 def build_collection(
     df: DataFrame,
     name: str,
@@ -59,13 +72,7 @@ def build_collection(
     embedder: Callable[[DataFrame, str], DataFrame] = embed,
 ) -> DataFrame:
     """``collection, id, document, metadata, embedding`` of the rows that have a text."""
-    rows = clean_text(df, text).select(
-        F.lit(name).alias("collection"),
-        id.alias("id"),
-        F.col(text).alias("document"),
-        metadata_map(metadata).alias("metadata"),
-    )
-    return embedder(rows, "document")
+    return embedder(entries(df, name, id, text, metadata), "document")
 
 
 def position_id(key: str, order: str) -> Column:
@@ -84,6 +91,56 @@ def replace_collection(collection: DataFrame, table: str, path: str | None = Non
     return True
 
 
+@dataclass(frozen=True)
+class Merged:
+    """Entries that were embedded, that kept their vector, and that are gone."""
+
+    embedded: int
+    kept: int
+    gone: int
+
+
+def merge_collection(
+    fresh: DataFrame,
+    table: str,
+    path: str | None = None,
+    embedder: Callable[[DataFrame, str], DataFrame] = embed,
+    model: str = "default",
+) -> Merged | None:
+    """Bring a published collection up to ``fresh`` (``entries``): embed new and changed documents only.
+
+    An entry whose id and document, by its SHA-256, are in the table keeps its vector; its metadata is that of
+    ``fresh``. Entries that ``fresh`` does not have are gone. ``model`` names what the embedder makes: a table made by
+    another one is built anew. The table becomes what a full build would give, as a new version; an empty ``fresh`` is
+    skipped. Vectors and hashes are shuffled by id, documents of kept entries with their own row.
+    """
+    if fresh.isEmpty():
+        return None
+    spark = fresh.sparkSession
+    name = {_MODEL: model}
+    known = spark.catalog.tableExists(table) and notes_of(spark, table).get(_MODEL) == model
+    if not known:
+        gone = spark.read.table(table).select("id").join(fresh.select("id"), "id", "left_anti").count() if spark.catalog.tableExists(table) else 0
+        counted, seen = _counted(fresh, "embedded")
+        publish(embedder(counted, "document"), table, path, notes=lambda: name)
+        return Merged(seen.get["embedded"], 0, gone)
+    digest = F.sha2("document", 256)
+    old = spark.read.table(table).select(F.col("id"), digest.alias("_digest"), F.struct("embedding").alias("_old"))
+    old = old.dropDuplicates(["id", "_digest"])
+    marked = fresh.withColumn("_digest", digest).join(old, ["id", "_digest"], "left")
+    columns = [F.col(column) for column in fresh.columns]
+    changed, embedded = _counted(marked.filter(F.col("_old").isNull()).select(columns), "embedded")
+    same, kept = _counted(marked.filter(F.col("_old").isNotNull()).select(*columns, F.col("_old.embedding").alias("embedding")), "kept")
+    gone = spark.read.table(table).select("id").join(fresh.select("id"), "id", "left_anti").count()
+    publish(embedder(changed, "document").unionByName(same), table, path, notes=lambda: name)
+    return Merged(embedded.get["embedded"], kept.get["kept"], gone)
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias(name)), seen
+
+
 def search(
     collections: DataFrame,
     queries: DataFrame,

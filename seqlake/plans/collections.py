@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seqlake.functions.arrays import explode_with_place
 from seqlake.functions.text import CHUNK_CHARS, chunks
 from seqlake.operators.embedding import embed
-from seqlake.operators.retrieval import build_collection, chunk_id, position_id, replace_collection
+from seqlake.operators.retrieval import Merged, chunk_id, entries, merge_collection, position_id, replace_collection
 from seqlake.spec import Layers
 
 
@@ -40,10 +40,8 @@ def collection_table(layers: Layers, name: str) -> tuple[str, str | None]:
     return layers.table("gold", f"collection_{name}"), layers.path("gold", f"collection_{name}")
 
 
-def collection_of(
-    gold: DataFrame, name: str, embedder: Callable[[DataFrame, str], DataFrame] = embed, max_chars: int = CHUNK_CHARS
-) -> DataFrame:
-    """The entries of collection ``name`` from its Gold table: one per position, or per chunk of an article."""
+def entries_of(gold: DataFrame, name: str, max_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The entries of collection ``name`` from its Gold table, without vectors: one per position, or per chunk of an article."""
     source = SOURCES[name]
     text, key = "search_text", position_id("game_id", "move_number")
     if source.chunked:
@@ -51,7 +49,14 @@ def collection_of(
         gold = explode_with_place(gold, ["strategy", "source"], pieces, "chunk_index", text)
         key = chunk_id("strategy", "chunk_index")
     metadata: dict[str, Column] = {column: F.col(column) for column in source.metadata}
-    return build_collection(gold, name, key, text, metadata, embedder)
+    return entries(gold, name, key, text, metadata)
+
+
+def collection_of(
+    gold: DataFrame, name: str, embedder: Callable[[DataFrame, str], DataFrame] = embed, max_chars: int = CHUNK_CHARS
+) -> DataFrame:
+    """The entries of collection ``name`` with their vectors."""
+    return embedder(entries_of(gold, name, max_chars), "document")
 
 
 def build_collections(
@@ -66,7 +71,24 @@ def build_collections(
         gold = layers.table("gold", SOURCES[name].table)
         if not spark.catalog.tableExists(gold):
             continue
-        entries = collection_of(spark.read.table(gold), name, embedder)
-        if replace_collection(entries, *collection_table(layers, name)):
+        if replace_collection(collection_of(spark.read.table(gold), name, embedder), *collection_table(layers, name)):
             built.append(name)
     return built
+
+
+def update_collections(
+    spark: SparkSession,
+    layers: Layers,
+    names: Sequence[str] = tuple(SOURCES),
+    embedder: Callable[[DataFrame, str], DataFrame] = embed,
+    model: str = "default",
+) -> dict[str, Merged]:
+    """As ``build_collections``, but only new and changed entries are embedded; what was done, by collection."""
+    done = {}
+    for name in names:
+        gold = layers.table("gold", SOURCES[name].table)
+        if spark.catalog.tableExists(gold):
+            merged = merge_collection(entries_of(spark.read.table(gold), name), *collection_table(layers, name), embedder, model)
+            if merged is not None:
+                done[name] = merged
+    return done

@@ -1,12 +1,15 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import metadata_text
 from seqlake.operators import retrieval, vector_index
-from seqlake.operators.embedding import embed, embed_with, term_weights
+from seqlake.operators.embedding import count_terms, embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k
-from seqlake.operators.retrieval import ROUTES
+from seqlake.operators.retrieval import ROUTES, Merged
 from seqlake.operators.routing import route_by_rules
 from seqlake.operators.vector_index import build_index, open_index, publish_index, search_index, top_k_approx, top_k_pruned
 
@@ -226,6 +229,104 @@ def test_model_gets_batches_and_is_loaded_once_per_task(spark):
     assert (loads.value, calls.value) == (1, 3)
 
 
+def test_model_is_loaded_once_in_a_worker_and_gets_texts_of_a_length(spark):
+    texts = [(n, "x" * (n * 37 % 101)) for n in range(900)]
+    df = spark.createDataFrame(texts, "n int, t string").repartition(16)
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda found: np.array([[len(t)] for t in found])
+
+    for _ in range(2):
+        rows = embed_with(df, "t", load).collect()
+        assert {r["n"]: r["embedding"] for r in rows} == {n: [float(len(t))] for n, t in texts}
+    # Two runs of 16 tasks, on 4 cores.
+    assert 1 <= loads.value <= 4
+
+    def ordered():
+        last = [0]
+
+        def encode(found):
+            assert last[0] <= min(map(len, found))
+            last[0] = max(map(len, found))
+            return np.array([[1.0]] * len(found))
+
+        return encode
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert embed_with(df.coalesce(1), "t", ordered).count() == 900
+        assert embed_with(df.coalesce(1), "t", lambda: lambda found: np.array([[1.0]] * len(found)), buffer_bytes=1).select("n").distinct().count() == 900
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+TERM_TEXTS = ["The rook, the ROOK moves", "one", "", None, "局面の評価 abc 1二", "a a a a b"]
+
+
+def plain_terms(text):
+    import regex
+
+    words = regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]+", (text or "").lower())
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def test_terms_are_counted_in_the_row(spark):
+    df = spark.createDataFrame(list(enumerate(TERM_TEXTS)), "k int, t string")
+    counted = count_terms(df, "k", "t")
+    got = {(r["k"], r["term"]): r["n"] for r in counted.collect()}
+    want = {(k, term): n for k, text in enumerate(TERM_TEXTS) for term, n in Counter(plain_terms(text)).items()}
+    assert got == want
+    plan = counted._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString()
+    # The text is cut once, here and ahead of the hashed vectors.
+    assert plan.optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert embed(df, "t")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_hashed_vectors_equal_counts_worked_out_by_hand(spark):
+    df = spark.createDataFrame([(t,) for t in TERM_TEXTS], "t string")
+    place = HashingTF(numFeatures=256).indexOf
+    every = [Counter(map(place, plain_terms(text))) for text in TERM_TEXTS]
+    seen = Counter(bucket for counts in every for bucket in counts)
+    weights = {bucket: np.log((len(TERM_TEXTS) + 1) / (n + 1)) for bucket, n in seen.items()}
+    for given, weight in ((None, lambda b: 1.0), (term_weights(df, "t"), weights.get)):
+        for row, counts in zip(embed(df, "t", weights=given).collect(), every):
+            want = np.zeros(256)
+            for bucket, n in counts.items():
+                want[bucket] = n * weight(bucket)
+            want /= np.linalg.norm(want) or 1
+            np.testing.assert_allclose(row["embedding"], want, atol=1e-6)
+
+
+def test_merge_embeds_what_is_new_or_changed(spark, tmp_path, table):
+    path = f"{tmp_path}/c"
+
+    def embedder(mark):
+        """Vectors that tell in which run they were made."""
+        return lambda df, text: embed_with(df, text, lambda: lambda texts: np.array([[len(t), mark] for t in texts]))
+
+    def entries(rows):
+        df = spark.createDataFrame(rows, "n int, t string, m string")
+        return retrieval.entries(df, "c", F.col("n").cast("string"), "t", ["m"])
+
+    def held():
+        return {r["id"]: (r["document"], r["metadata"]["m"], r["embedding"]) for r in spark.read.table(table).collect()}
+
+    first = [(n, f"text {n}", "a") for n in range(200)]
+    assert retrieval.merge_collection(entries(first), table, path, embedder(1), "one") == Merged(200, 0, 0)
+    # One text changed, one gone, one new, one with other metadata only; a text that moved to another id is new there.
+    now = [(n, "changed" if n == 7 else text, "b" if n == 8 else m) for n, text, m in first if n != 9] + [(500, "new", "a"), (501, "text 3", "a")]
+    assert retrieval.merge_collection(entries(now), table, path, embedder(2), "one") == Merged(3, 198, 1)
+    assert held() == {str(n): (t, m, [float(len(t)), 2.0 if n in (7, 500, 501) else 1.0]) for n, t, m in now}
+    assert retrieval.merge_collection(entries(now), table, path, embedder(3), "one") == Merged(0, 201, 0)
+    # Vectors of another model are of no use.
+    assert retrieval.merge_collection(entries(now[:5]), table, path, embedder(4), "two") == Merged(5, 0, 196)
+    assert retrieval.merge_collection(entries(now).limit(0), table, path, embedder(5), "two") is None
+    assert {vector[1] for *_, vector in held().values()} == {4.0}
+
+
 def test_collection_rows_and_replacement(spark, tmp_path, table):
     df = spark.createDataFrame([("g", 7, "text"), ("g", 8, " nan ")], "game_id string, move_number int, search_text string")
     collection = retrieval.build_collection(
