@@ -13,7 +13,10 @@ from seqlake.llm.common import read, stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter or far from every language. Learned from the labelled rows of ``docs``."""
+    """Drop texts without a letter or far from every language. Learned from the labelled rows of ``docs``.
+
+    Without a labelled row nothing is known of any language, and all rows stay.
+    """
     return language_id.keep_known(docs, language_id.train(docs))
 
 
