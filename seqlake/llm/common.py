@@ -29,14 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with at most ``most`` bytes in ``column``, one row at least."""
+def slices(
+    batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with at most ``most`` bytes in ``column`` and ``rows`` rows, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = int(ends[start - 1]) if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        stop = stop if rows is None else min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -8,12 +8,13 @@ language of the most similar centroid. A text farther from it than any training
 
 Fitting uses a bounded sample of labelled rows: at most about ``TRAIN_DOCS`` per language and
 ``TRAIN_TOTAL`` in all, chosen by a hash of doc_id, each as one vector of ``BUCKETS`` floats (4 x
-``BUCKETS`` bytes). Prediction reads every whole text and sees nothing but the text.
+``BUCKETS`` bytes). Of more than ``TRAIN_TOTAL`` values of lang the most frequent ones are learned, of equal ones those
+that sort first. Prediction reads every whole text and sees nothing but the text.
 
 Defined cases: null text and text without a letter give ``und`` and score 0, rejected; a row without
 doc_id is predicted, counts as not held out and is not learned from; rows without lang are not learned
 from; of equal similarities the language that sorts first wins; without any training row every text is
-``und``; an empty table gives an empty result.
+``und`` and none is rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CENTROIDS = 4
 TRAIN_DOCS = 500
 TRAIN_TOTAL = 4000
 SLACK = 1.25
+# Texts whose vectors are held at a time.
+SLICE_ROWS = 1024
 FOLDS = 5
 UNKNOWN = "und"
 _SPACE = 32
@@ -100,7 +103,7 @@ class LanguageModel:
         """Language, score from 0 to 1 and whether the text is rejected."""
         counts, letters = ngram_counts(texts)
         if not len(self.centroids):
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         owner, cosine = self.nearest(counts)
         none = letters == 0
         score = np.where(none, 0.0, np.clip(cosine.astype(float), 0.0, 1.0))
@@ -159,18 +162,18 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_total: int = TRAI
     rows = docs.select(
         F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter((fold(F.col("doc_id"), FOLDS) != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    # One row for each language.
-    sizes = {row["lang"]: row["n"] for row in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    quota = min(train_docs, train_total // max(1, len(sizes)))
-    steps = 1 << 20
-    chance = F.lit(0)
-    for lang, size in sorted(sizes.items()):
-        chance = F.when(F.col("lang") == lang, min(steps, -(-quota * steps // size))).otherwise(chance)
-    sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(steps)) < chance)
+    # One row for each language that is learned.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(train_total).collect()
+    quota = max(1, min(train_docs, train_total // max(1, len(sizes))))
+    steps = 1 << 30
+    chances = [(row["lang"], min(steps, -(-quota * steps // row["n"]))) for row in sizes]
+    chances = docs.sparkSession.createDataFrame(chances, "lang string, chance bigint")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(steps))
+    sample = rows.join(F.broadcast(chances), "lang").filter(drawn < F.col("chance"))
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 20, SLICE_ROWS):
                 counts, letters = ngram_counts(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(letters)],
@@ -189,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 20, SLICE_ROWS):
                 names, score, rejected = model.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score),
@@ -210,7 +213,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 20, SLICE_ROWS):
                 rejected = model.predict(batch.column("text").to_pylist())[2]
                 yield batch.filter(pa.array(~rejected))
 
