@@ -58,16 +58,38 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    """Each rule's matches with their places, from the pieces between them."""
+    """Each rule's matches with their places, from the pieces between them; of a key also what belongs to it."""
+    quoted = lambda pattern: pattern.replace("'", "''")
+    places = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)"
     parts = []
     for number, rule in enumerate(secret_scan.RULES):
-        pattern = rule.pattern.replace("'", "''")
+        pattern = quoted(rule.pattern)
+        size, ok = "length(found[i])", f"length(tested[i]) >= {rule.least}"
+        if rule.key:
+            size, ok = "length(found[i]) + key_length", "key_length > 0"
+        texts = f"""(
+  SELECT *, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found,
+         regexp_extract_all(text, '{pattern}', {rule.group}) AS tested FROM texts), unnest(range(1, len(found) + 1)) t(i)"""
+        if rule.key:
+            texts = f"""(
+  SELECT *, CASE WHEN ended > 0 THEN ended WHEN last IS NULL THEN 0
+         ELSE coalesce(list_sum(list_transform(lines[1:last - 1], lambda x: length(x))), 0)
+              + length(regexp_replace(lines[last], '{secret_scan.KEY_LINE_END}', '')) END AS key_length
+  FROM (
+    SELECT *, CASE WHEN known[long + 1] = 1 AND known[long + 2] = 3 THEN long + 2 WHEN known[long + 1] IN (1, 3) THEN long + 1 ELSE long END AS last
+    FROM (
+      SELECT *, list_max(list_filter(range(1, len(known) + 1), lambda x: known[x] = 2)) AS long
+      FROM (
+        SELECT *, CASE WHEN list_position(kinds, -1) > 0 THEN kinds[1:list_position(kinds, -1) - 1] ELSE kinds END AS known
+        FROM (
+          SELECT *, list_transform(lines, lambda x: CASE
+                   WHEN regexp_matches(x, '{secret_scan.KEY_BLANK}') OR regexp_matches(x, '{secret_scan.KEY_HEADER}') THEN 0
+                   WHEN regexp_matches(x, '{secret_scan.KEY_BASE64}') AND NOT regexp_matches(x, '{secret_scan.KEY_PROSE}') THEN 2
+                   WHEN regexp_matches(x, '{secret_scan.KEY_SHORT}') THEN 1 WHEN regexp_matches(x, '{secret_scan.KEY_SUM}') THEN 3 ELSE -1 END) AS kinds,
+                 length(regexp_extract(rest, '{secret_scan.KEY_END}', 0)) AS ended
+          FROM (SELECT *, gaps[i + 1] AS rest, regexp_extract_all(gaps[i + 1], '{secret_scan.KEY_LINE}', 0) AS lines FROM {texts}))))))"""
         parts.append(f"""
-  SELECT doc_id, {number} AS kind, '{rule.kind}' AS name, i,
-         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start,
-         length(found[i]) AS size, length(tested[i]) >= {rule.least} AS ok
-  FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found,
-               regexp_extract_all(text, '{pattern}', {rule.group}) AS tested FROM texts), unnest(range(1, len(found) + 1)) t(i)""")
+  SELECT doc_id, {number} AS kind, '{rule.kind}' AS name, i, {places} AS start, {size} AS size, {ok} AS ok FROM {texts}""")
     spans = "concat(name, ':', CAST(start AS BIGINT), ':', CAST(start + size AS BIGINT))"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

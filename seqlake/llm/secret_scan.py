@@ -6,6 +6,11 @@ taken from the lower-cased whole texts. A rule is tried only on texts whose post
 and every candidate is verified with the expression itself. Rules without a mandatory trigram (runs of
 hex digits) are tried on every text.
 
+A private key goes from its BEGIN line to the next END line, if no other BEGIN line stands between. Without an END
+line it goes on through header lines, blank lines and lines of base64, as many as there are, to the last line with a
+word of 16 or more, and a short one and a line of check sum behind it; if there is no such line, nothing is found,
+however the text goes on.
+
 Spans are code points, the end exclusive. They follow from the lengths of the pieces between matches and
 of the matches, summed up in order.
 
@@ -29,7 +34,7 @@ class Rule:
     """``group`` must have ``least`` characters; ``base`` rules count for the digest.
 
     ``masked``: what ``redact`` replaces, if not the whole match; ``stays``: its groups that are left.
-    ``first``: replaced before the others, which would cut it.
+    ``first``: replaced before the others, which would cut it. ``key``: the match is the line ahead of a key.
     """
 
     kind: str
@@ -40,6 +45,8 @@ class Rule:
     masked: str = ""
     stays: str = ""
     first: bool = False
+    # The match begins a key that goes on behind it.
+    key: bool = False
 
 
 # The base kinds in their order, then well-known token formats.
@@ -53,15 +60,8 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True, masked=r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]+", 0, 16, True, masked=r"[0-9a-f]{16,}"),
-    # To the END line, if no other line of five dashes comes before it. Without one: header lines, all up to the last
-    # long word of base64 before any other character, and a short last line.
-    Rule(
-        "private_key",
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
-        r"|(?:(?:[\x20\t\r\n]*[A-Za-z-]+:[^\n]*\n){0,9}[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{16,})?"
-        r"(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]{1,15}={0,2}(?:\r?\n|\\n|$))?)",
-        first=True,
-    ),
+    # What belongs to a key is told by ``_key_length``.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----", first=True, key=True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -209,12 +209,80 @@ def _to_try(rule: Rule) -> Column:
     return F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
 
 
+# A line of a key file with its end, which may be written as a backslash and an n; what such lines can be; the end of a key.
+KEY_LINE = r"[^\n\\]+(?:\\n|\n|\\)?|\\n|\n|\\"
+KEY_BLANK = r"^[\x20\t\r]*(?:\\n|\n)?$"
+KEY_HEADER = r"^[\x20\t]*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?:\\n|\n)$"
+KEY_BASE64 = r"^[A-Za-z0-9+/=\x20\t\r]*[A-Za-z0-9+/]{16}[A-Za-z0-9+/=\x20\t\r]*(?:\\n|\n|\\)?$"
+# A short word with another one behind it: this is prose.
+KEY_PROSE = r"(?:^|[\x20\t])[A-Za-z0-9+/=]{1,15}[\x20\t]+[A-Za-z0-9+/=]"
+KEY_SHORT = r"^[\x20\t]*[A-Za-z0-9+/]{1,15}={0,2}[\x20\t\r]*(?:\\n|\n|\\)?$"
+KEY_SUM = r"^[\x20\t]*=[A-Za-z0-9+/]{4}[\x20\t\r]*(?:\\n|\n|\\)?$"
+KEY_LINE_END = r"[\x20\t\r]*(?:\\n|\n|\\)?$"
+KEY_END = r"^[\x00-\x{10FFFF}]*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _key_length(rest: Column) -> Column:
+    """How much of ``rest``, the text from behind a BEGIN line to the next one, belongs to the key."""
+    def kind(line: Column) -> Column:
+        return (
+            F.when(line.rlike(KEY_BLANK) | line.rlike(KEY_HEADER), 0)
+            .when(line.rlike(KEY_BASE64) & ~line.rlike(KEY_PROSE), 2)
+            .when(line.rlike(KEY_SHORT), 1).when(line.rlike(KEY_SUM), 3).otherwise(-1)
+        )
+
+    def of_lines(lines: Column) -> Column:
+        def of_kinds(kinds: Column) -> Column:
+            other = F.array_position(kinds, F.lit(-1)).cast("int")
+            known = F.when(other > 0, F.slice(kinds, 1, other - 1)).otherwise(kinds)
+            back = F.array_position(F.reverse(known), F.lit(2)).cast("int")
+            last = F.size(known) - back + 1
+            for next_kind in (1, 3):
+                last = F.when(F.get(known, last) == next_kind, last + 1).otherwise(last)
+            body = F.aggregate(F.slice(lines, 1, last - 1), F.lit(0), lambda total, line: total + F.length(line))
+            whole = body + F.length(F.regexp_replace(F.get(lines, last - 1), KEY_LINE_END, ""))
+            return F.when(back > 0, whole).otherwise(0)
+
+        return _let(F.transform(lines, kind), of_kinds)
+
+    ended = F.length(F.regexp_extract(rest, KEY_END, 0))
+    open_end = _let(F.regexp_extract_all(rest, F.lit(KEY_LINE), F.lit(0)), of_lines)
+    return F.when(ended > 0, ended).otherwise(open_end)
+
+
+def _key_parts(rule: Rule, use) -> Column:
+    """``use(begins, pieces, lengths)``: the BEGIN lines, the text before, between and behind them, and how much of each piece
+    belongs to the key whose line stands before it."""
+    text = F.col("text")
+    begins = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+
+    def of_pieces(pieces: Column) -> Column:
+        rests = F.slice(pieces, 2, F.size(pieces))
+        return _let(F.concat(F.array(F.lit(0)), F.transform(rests, _key_length)), lambda lengths: use(begins, pieces, lengths))
+
+    return _let(F.split(text, rule.pattern, -1), of_pieces)
+
+
 _HIT = "array<struct<kind:int,gap:int,size:int,ok:boolean>>"
 
 
 def _hits(number: int, rule: Rule) -> Column:
     """Every match in order, with the length of what stands between it and the one before."""
     text = F.col("text")
+    if rule.key:
+        def of_parts(begins: Column, pieces: Column, lengths: Column) -> Column:
+            gaps = F.zip_with(pieces, lengths, lambda piece, length: F.length(piece) - length)
+            sizes = F.zip_with(begins, F.slice(lengths, 2, F.size(lengths)), lambda begin, length: F.struct(
+                (F.length(begin) + length).alias("size"), (length > 0).alias("ok")))
+            return F.zip_with(gaps, sizes, lambda gap, m: F.struct(
+                F.lit(number).alias("kind"), gap.alias("gap"), m["size"].alias("size"), m["ok"].alias("ok"))).cast(_HIT)
+
+        return F.when(_to_try(rule) & text.rlike(rule.pattern), _key_parts(rule, of_parts)).otherwise(F.array().cast(_HIT))
     gaps = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
@@ -239,11 +307,18 @@ def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return ends.filter("ok").select("text_key", (F.col("end") - F.col("size")).alias("start"), "kind", "end")
 
 
+def _text_key() -> Column:
+    """128 bits of doc_id and text: two texts never meet."""
+    return F.struct(
+        F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit("other"), "text", "doc_id").alias("two")
+    ).alias("text_key")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.xxhash64("doc_id", "text").alias("text_key"),
+        _text_key(),
     )
 
 
@@ -268,17 +343,27 @@ def spans_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     )
 
 
+def _without_keys(rule: Rule, mask: str) -> Column:
+    def of_parts(begins: Column, pieces: Column, lengths: Column) -> Column:
+        ends = F.zip_with(pieces, lengths, lambda piece, length: F.substr(piece, length + 1))
+        heads = F.zip_with(begins, F.slice(lengths, 2, F.size(lengths)), lambda begin, length: F.when(length > 0, mask).otherwise(begin))
+        # One head for each piece but the first.
+        return F.concat(F.get(ends, F.lit(0)), F.array_join(F.zip_with(heads, F.slice(ends, 2, F.size(ends)), lambda head, end: F.concat(head, end)), ""))
+
+    return F.when(F.col("text").rlike(rule.pattern), _key_parts(rule, of_parts)).otherwise(F.col("text"))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``mask`` in place of every secret in ``text``; the name before an assigned one stays."""
     rows = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.col("text").cast("string").alias("text"),
-        F.xxhash64("doc_id", "text").alias("text_key"),
+        _text_key(),
     )
     masked = _with_kinds(rows, rules)
     # A step for each rule: as one nested expression the text before a rule would be worked out twice.
     for rule in sorted(rules, key=lambda rule: not rule.first):
-        hidden = F.regexp_replace("text", rule.masked or rule.pattern, rule.stays + mask)
+        hidden = _without_keys(rule, mask) if rule.key else F.regexp_replace("text", rule.masked or rule.pattern, rule.stays + mask)
         masked = masked.withColumn("text", F.when(_to_try(rule), hidden).otherwise(F.col("text")))
     return masked.select(
         *[F.col("text") if name == "text" else F.col("row").getField(name).alias(name) for name in docs.columns]
