@@ -1,9 +1,12 @@
 """Main text of web pages: markup first, then the repeats among the pages of a host.
 
 Each page is cut into blocks (what stands between tags that begin or end a line). Blocks inside menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are dropped. If the page names
-its article (``article`` or ``main``), the blocks inside it are kept and the others dropped; without one,
-all other blocks are candidates.
+headers, footers, sidebars, notices, adverts, forms, comments and the like are dropped: by the element's name, its
+role, or a whole name in its class or id, such as ``sidebar`` or ``comment-list``, but not ``no-sidebar`` or
+``has-comments``. An element that only its class or id speaks against stays if it holds all articles of the page or more
+than half of its text; the latter does not save comments, teasers and adverts. If the page names its article (``article`` or ``main``), the blocks inside it are kept and the
+others dropped; an ``article`` that is marked as a comment or a teaser is dropped. Without one, all other blocks are
+candidates.
 
 The token streams of the remaining blocks of all pages of a host are then searched for long repeats with a
 sparse suffix array: suffixes are kept where a minimiser stands, the smallest ``GRAM``-token hash of some window
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html as html_entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ from seqlake.llm.neighbours import with_equal_neighbour
 from seqlake.llm.passages import find_runs, gram_hashes, list_column, span_hashes
 
 WINDOW, GRAM = 16, 5
+# Elements within each other that are dropped by name; those further in are dropped with the others.
+_NESTED = 64
 FEW_PAGES, MANY_PAGES = 3, 10
 
 _SPANS = "array<struct<offset:int,windows:int,often:boolean>>"
@@ -59,65 +65,119 @@ _DROPPED_NAMES = set(
     " subscribe signup login share sharing social related recommended comment comments disqus reply replies widget"
     " pagination pager toolbar masthead skip".split()
 )
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.DOTALL,
+# Words that turn the others round, as in ``no-sidebar``, and what marks an article that is not the page's own.
+_TURNING = set("no not non has have with without is hide hides hidden show shows enabled disabled enable disable on off open".split())
+_OTHER_ARTICLES = set(
+    "comment comments disqus reply replies related recommended teaser promo promotion sponsor sponsored ad ads advert advertisement".split()
 )
+# Inside a tag a quoted value may hold anything but what begins another tag; the slow form lets it hold that, too.
+_TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_SLOW_TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+# As a last resort a tag ends where its quotes are left out of account.
+_LOOSE_TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>[^<>]*+)>")
+_DECLARATION = re.compile(r"<[!?/][^>]*+(?:>|\Z)")
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*+\Z")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+# How an element is dropped: not at all, by what its class or id says, as comment, teaser or advert, or in any case.
+_KEPT, _BY_NAME, _AS_OTHER, _ALWAYS = range(4)
 
 
-def _dropped(name: str, attributes: str, in_article: bool) -> bool:
+def _named_by(attribute: str, names: set[str]) -> bool:
+    """Whether a whole name of the class or id is one of ``names``, or made with one and nothing that turns it round."""
+    return any(
+        names & set(parts) and not _TURNING & set(parts)
+        for parts in (_NAME_PARTS.findall(token) for token in attribute.lower().split())
+    )
+
+
+def _dropped(name: str, attributes: str, in_article: bool) -> int:
     if name in _DROPPED or name == "header" and not in_article:
-        return True
+        return _ALWAYS
     if not attributes.strip():
-        return False
+        return _KEPT
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
+        return _ALWAYS
     if found.get("role", "").lower() in _DROPPED_ROLES:
-        return True
-    names = set(_NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return name not in ("html", "body", "article", "main") and bool(names & _DROPPED_NAMES)
+        return _ALWAYS
+    if name in ("html", "body", "main"):
+        return _KEPT
+    by = lambda names: any(_named_by(found.get(key, ""), names) for key in ("class", "id"))
+    if by(_OTHER_ARTICLES):
+        return _AS_OTHER
+    return _BY_NAME if name != "article" and by(_DROPPED_NAMES) else _KEPT
+
+
+def _tag(html: str, at: int, slow_left: int) -> tuple[re.Match | None, int]:
+    """The tag that begins at ``at``, and how many characters may still be looked at in vain for slow ones."""
+    found = _TAG.match(html, at)
+    if found is None and slow_left > 0 and html[at + 1 : at + 2].isalpha():
+        found = _SLOW_TAG.match(html, at)
+        # A match moves on; only what was looked at in vain is looked at again.
+        slow_left -= 0 if found else len(html) - at
+        found = found or _LOOSE_TAG.match(html, at)
+    return found or _LOOSE_TAG.match(html, at), slow_left
 
 
 def page_blocks(html: str | None) -> tuple[list[str], bool]:
-    """The blocks left by the markup, in order, and whether they are those of a named article."""
+    """The blocks left by the markup, in order, and whether they are those of a named article.
+
+    What a class or id names as no main text is dropped, unless it holds all articles of the page or, but for comments,
+    teasers and adverts, more than half of its text. One pass: every character is looked at a bounded number of times, however broken the markup is.
+    """
     html = html or ""
-    blocks: list[tuple[str, bool]] = []
+    # Text, whether it lies in an article, and the elements around it that are dropped by name.
+    blocks: list[tuple[str, bool, tuple[int, ...]]] = []
     held: list[str] = []
-    # Open elements: name, whether all inside is dropped, whether it is inside an article.
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    named = False
-    at = 0
+    # Open elements: name, whether all inside is dropped, whether it is inside an article, those dropped by name.
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]
+    open_names: Counter[str] = Counter()
+    # Of each element dropped by name: articles inside, whether it is itself inside one, and whether as a comment.
+    articles_in: list[int] = []
+    inside_one: list[bool] = []
+    as_other: list[bool] = []
+    articles = at = 0
+    slow_left = 4 * len(html)
 
     def end_block():
         text = " ".join(html_entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            blocks.append((text, stack[-1][2]))
+            blocks.append((text, stack[-1][2], stack[-1][3]))
 
-    while True:
-        token = _TOKEN.search(html, at)
-        text = html[at : token.start()] if token else html[at:]
+    while at < len(html):
+        place = html.find("<", at)
+        text = html[at:] if place < 0 else html[at:place]
         if text and not stack[-1][1]:
             held.append(text)
-        if not token:
+        if place < 0:
             break
-        at = token.end()
-        name = (token["name"] or "").lower()
-        if not name:
+        if html.startswith("<!--", place):
+            end = html.find("-->", place + 4)
+            at = len(html) if end < 0 else end + 3
             continue
+        token, slow_left = _tag(html, place, slow_left)
+        if token is None:
+            other = _DECLARATION.match(html, place) or _UNFINISHED.match(html, place)
+            if other is None and not stack[-1][1]:
+                held.append("<")
+            at = other.end() if other else place + 1
+            continue
+        at = token.end()
+        name = token["name"].lower()
         if name in _BLOCKS:
             end_block()
         elif name in _SPACED:
             held.append(" ")
         if token["close"]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if place:
-                del stack[place:]
+            # Only open names are looked for, so each element is taken off once.
+            while open_names[name]:
+                last = stack.pop()[0]
+                open_names[last] -= 1
+                if last == name:
+                    break
             continue
         if name in _RAW:
             # What follows is no markup until the element is closed.
@@ -128,13 +188,35 @@ def page_blocks(html: str | None) -> tuple[list[str], bool]:
             continue
         if name in _BLOCKS and stack[-1][0] == "p":
             stack.pop()
-        _, gone, inside = stack[-1]
-        gone = gone or _dropped(name, token["attributes"], inside)
-        inside = inside or (name in ("article", "main") and not gone)
-        named = named or inside
-        stack.append((name, gone, inside))
+            open_names["p"] -= 1
+        _, gone, inside, by_name = stack[-1]
+        how = _dropped(name, token["attributes"], inside)
+        gone = gone or how == _ALWAYS
+        if how in (_BY_NAME, _AS_OTHER) and not gone and len(by_name) < _NESTED:
+            by_name = (*by_name, len(articles_in))
+            articles_in.append(0)
+            inside_one.append(inside)
+            as_other.append(how == _AS_OTHER)
+        if name in ("article", "main") and not gone and how == _KEPT:
+            if not inside:
+                articles += 1
+                for number in by_name:
+                    articles_in[number] += 1
+            inside = True
+        stack.append((name, gone, inside, by_name))
+        open_names[name] += 1
     end_block()
-    return [text for text, inside in blocks if inside or not named], named
+    size = sum(len(text) for text, *_ in blocks)
+    sizes = Counter()
+    for text, _, by_name in blocks:
+        sizes.update(dict.fromkeys(by_name, len(text)))
+    spared = {
+        number for number, count in enumerate(articles_in)
+        if count == articles and count and not inside_one[number] or 2 * sizes[number] > size and not as_other[number]
+    }
+    left = [(text, inside) for text, inside, by_name in blocks if spared.issuperset(by_name)]
+    named = any(inside for _, inside in left)
+    return [text for text, inside in left if inside or not named], named
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
