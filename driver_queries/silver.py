@@ -10,7 +10,7 @@ from driver_queries.common import TURNS, TURNS_SQL, read, read_spread, turns
 from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import explode_record
-from seqlake.operators.replay import RunningTotal, fold_per_key
+from seqlake.operators.replay import RunningTotal, fold_per_key, fold_with_states
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import INITIAL_SFEN
 
@@ -142,6 +142,19 @@ def t6_running(spark, folder):
     )
 
 
+def t6_resumed(spark, folder):
+    """The same fold in three runs over turns that come later and later, each from the states the one before has left."""
+    spec = replace(TURNS, bucket_rows=3)
+    rows = turns(spark, folder).select("conv_id", "turn", "score")
+    out, states = None, None
+    for low, high in ((0, 2), (2, 4), (4, 10**9)):
+        folded, states = fold_with_states(rows.filter(F.col("turn").between(low, high - 1)), spec, "score", RunningTotal(LIMIT), states)
+        out = folded if out is None else out.unionByName(folded)
+    return out.select(
+        "conv_id", "turn", F.col("_before").cast("bigint").alias("before"), F.col("_after").cast("bigint").alias("after")
+    )
+
+
 def t7(spark, folder):
     """A log line per event; the log is that of the user."""
     kind, number = F.col("event_type"), F.col("event_id").cast("string")
@@ -182,11 +195,16 @@ QUERIES = {
     "T3_rename": t3,
     "T4_explode_record": t4,
     "T6_running_fold": t6_running,
+    "T6_resumed_fold": t6_resumed,
     "T7_engine_log": t7,
     "T8_attach_analysis": t8,
     "T9_usi_to_japanese": t9,
 }
 
+RUNNING_SQL = "WITH" + TURNS_SQL + f""",
+        sums AS (SELECT conv_id, turn, score, CAST(sum(score) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS after
+                 FROM turns)
+        SELECT conv_id, turn, after - score AS before, after FROM sums WHERE after <= {LIMIT}"""
 ORACLES = {
     "T1_dedupe": """
         SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
@@ -198,10 +216,8 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY text
                                    ORDER BY n_chars DESC, text DESC, source DESC) = 1""",
     "T4_explode_record": "WITH" + FEED_SQL + "SELECT * FROM feed",
-    "T6_running_fold": "WITH" + TURNS_SQL + f""",
-        sums AS (SELECT conv_id, turn, score, CAST(sum(score) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS after
-                 FROM turns)
-        SELECT conv_id, turn, after - score AS before, after FROM sums WHERE after <= {LIMIT}""",
+    "T6_running_fold": RUNNING_SQL,
+    "T6_resumed_fold": RUNNING_SQL,
     "T7_engine_log": """
         WITH infos AS (
           SELECT user_id, max_by(event_type, event_id) AS kind, max(event_id) AS n FROM events

@@ -5,7 +5,8 @@ from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import build_feed_positions, explode_record
 from seqlake.operators.kif import parse_kif
-from seqlake.operators.replay import RunningTotal, fold_per_key
+from seqlake.operators import replay
+from seqlake.operators.replay import RunningTotal, fold_per_key, fold_with_states, unordered_rows
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import ARTICLE_RAW_SCHEMA, FEED_POSITIONS_SCHEMA, FEED_RAW_SCHEMA, INITIAL_SFEN, SequenceSpec
 
@@ -136,6 +137,33 @@ def test_running_total_stops_at_its_limit(spark, bucket):
     assert found == {"a": [(0, 3), (3, 7)], "b": [(n, n + 1) for n in range(11)]}
 
 
+@pytest.mark.parametrize("bucket_rows", [4, 1_000])
+def test_fold_of_two_halves_equals_the_fold_of_the_whole(spark, bucket_rows, monkeypatch):
+    """Keys that end in the first half, in the second, in neither; keys of one half only; the null key; no rows at all."""
+    spec = SequenceSpec(key="k", order="n", bucket_rows=bucket_rows)
+    rows = [(k, n, 1) for k, size in (("long", 40), (None, 25), ("short", 3), ("first", 9)) for n in range(size)]
+    rows += [("ends", n, 99 if n == 5 else 1) for n in range(30)] + [("late", n, 99 if n == 22 else 1) for n in range(30)]
+    rows += [("short", None, 1), (None, None, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    whole = {(r["k"], r["n"]): (r["_before"], r["_after"]) for r in fold_per_key(df, spec, "v", RunningTotal(60)).collect()}
+    assert len(whole) == 40 + 25 + 3 + 9 + 5 + 22
+    plays = []
+    play = replay._play
+    monkeypatch.setattr(replay, "_play", lambda fold: plays.append(1) or play(fold))
+    one, states = fold_with_states(df.filter("n < 10"), spec, "v", RunningTotal(60))
+    two, after = fold_with_states(df.filter("n >= 10"), spec, "v", RunningTotal(60), states)
+    # Every row is played once.
+    assert len(plays) == 2
+    halves = [(r["k"], r["n"], r["_before"], r["_after"]) for df in (one, two) for r in df.collect()]
+    assert len(halves) == len(whole) and {h[:2]: h[2:] for h in halves} == whole
+    assert {r["k"]: r["state"] for r in after.collect()} == {
+        "long": "40", None: "25", "short": "3", "first": "9", "ends": None, "late": None,
+    }
+    nothing, same = fold_with_states(df.limit(0), spec, "v", RunningTotal(60), after)
+    assert nothing.isEmpty() and same.exceptAll(after).isEmpty() and same.count() == 6
+    assert {r["k"]: r["rows"] for r in unordered_rows(df, spec).collect()} == {"short": 1, None: 2}
+
+
 # Notation
 
 @pytest.mark.parametrize("move, state, text", [
