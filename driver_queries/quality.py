@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driver_queries.common import EVENTS, EVENTS_SQL, TURNS, TURNS_SQL, read, steps, turns, turns_spec
-from seqlake.operators import event_log, features, quality
+from seqlake.operators import audit_state, event_log, features, quality
 from seqlake.operators.ordered import measured, with_previous
+from seqlake.session import scratch_path
 
 EVENT_RULES = {
     "valid_user": "user_id IS NOT NULL",
@@ -88,6 +90,42 @@ def q5_long(spark, folder):
     )
 
 
+def _versions(spark, folder):
+    """The documents in three versions, as they might have been appended."""
+    documents = read(spark, folder, "documents")
+    return [documents.filter(F.col("doc_id") % 3 == number) for number in range(3)]
+
+
+def q2_merged(spark, folder):
+    """The audit of all documents from the stored states of their versions; the second one was recorded twice."""
+    table, path = f"states_{uuid.uuid4().hex}", scratch_path(spark, "states")
+    for number in (0, 1, 1, 2):
+        state = audit_state.audit_state(
+            _versions(spark, folder)[number], "documents", {"long": "n_chars > 500", "known": "lang IN ('en', 'fr')"},
+            [quality.is_empty("text"), quality.not_in("source", ["src0", "src1"])], ["doc_id", "lang", "text"],
+        )
+        audit_state.record_state(state, table, number, path)
+    found = audit_state.audit_of(audit_state.merged(spark.read.table(table)))
+    different = F.when(F.col("check") == "lang values", F.col("different"))
+    return found.select(
+        "check", "rows", "passed", "bad", F.col("low_number").cast("bigint").alias("low_number"),
+        F.col("high_number").cast("bigint").alias("high_number"), "low_text", "high_text", different.alias("different"),
+    )
+
+
+def q3_merged(spark, folder):
+    """Texts that occur more than once, from the keys of the versions."""
+    states = [audit_state.key_state(version, ["text"]) for version in _versions(spark, folder)]
+    both = states[0].unionByName(states[1]).unionByName(states[2])
+    return audit_state.duplicates_of(audit_state.merged_keys(both, ["text"]))
+
+
+def q4_merged(spark, folder):
+    states = [audit_state.key_state(version, ["text"]) for version in _versions(spark, folder)]
+    both = states[0].unionByName(states[1]).unionByName(states[2])
+    return audit_state.uniqueness_of(audit_state.merged_keys(both, ["text"]))
+
+
 def _chain(rows, spec):
     """Each event's state is its value; the state before was the value of the event before it
     by the same rule, spoiled where the event id divides by 11."""
@@ -224,6 +262,9 @@ QUERIES = {
     "Q3_duplicate_keys": q3,
     "Q4_check_unique": q4_unique,
     "Q4_check_same_count": q4_same_count,
+    "Q2_merged_states": q2_merged,
+    "Q3_merged_keys": q3_merged,
+    "Q4_merged_keys": q4_merged,
     "Q5_sequence_gaps": q5,
     "Q5_sequence_gaps_long_keys": q5_long,
     "Q6_chain_breaks": q6,
@@ -260,6 +301,24 @@ ORACLES = {
                count(*) = count(DISTINCT text) AS is_unique FROM documents""",
     "Q4_check_same_count": """
         SELECT count(*) AS left_rows, count(*) AS right_rows, true AS is_same FROM conversations""",
+    "Q2_merged_states": """
+        WITH n AS (SELECT count(*) AS n FROM documents),
+        checks AS (
+          SELECT 'long' AS "check", count(*) FILTER (NOT coalesce(n_chars > 500, false)) AS bad FROM documents
+          UNION ALL SELECT 'known', count(*) FILTER (NOT coalesce(lang IN ('en', 'fr'), false)) FROM documents
+          UNION ALL SELECT 'text empty', count(*) FILTER (text = '') FROM documents
+          UNION ALL SELECT 'source not_in', count(*) FILTER (source NOT IN ('src0', 'src1')) FROM documents),
+        columns AS (
+          SELECT 'doc_id values' AS "check", count(*) FILTER (doc_id IS NULL) AS bad, CAST(min(doc_id) AS BIGINT) AS low_number,
+                 CAST(max(doc_id) AS BIGINT) AS high_number, NULL AS low_text, NULL AS high_text, NULL AS different FROM documents
+          UNION ALL SELECT 'lang values', count(*) FILTER (lang IS NULL), NULL, NULL, min(lang), max(lang), count(DISTINCT lang) FROM documents
+          UNION ALL SELECT 'text values', count(*) FILTER (text IS NULL), NULL, NULL, min(text), max(text), NULL FROM documents),
+        found AS (SELECT "check", bad, NULL AS low_number, NULL AS high_number, NULL AS low_text, NULL AS high_text, NULL AS different FROM checks
+                  UNION ALL SELECT * FROM columns)
+        SELECT "check", n AS rows, n - bad AS passed, bad, low_number, high_number, low_text, high_text, different FROM found, n""",
+    "Q3_merged_keys": "SELECT text, count(*) AS count FROM documents GROUP BY text HAVING count(*) > 1",
+    "Q4_merged_keys": """
+        SELECT count(*) AS row_count, count(DISTINCT text) AS key_count, count(*) = count(DISTINCT text) AS is_unique FROM documents""",
     "Q5_sequence_gaps": """
         SELECT conv_id, turn, expected_order FROM (
           SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS expected_order

@@ -3,9 +3,10 @@ import json
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators import event_log, quality
+from seqlake.operators import audit_state, event_log, quality
 from seqlake.spec import EXPECTATIONS, SequenceSpec
 
 SPEC = SequenceSpec(key="k", order="n", state="s", prev_state="p")
@@ -160,3 +161,41 @@ def test_error_digest(log):
 
 def test_all_tables_have_expectations():
     assert sum(map(len, EXPECTATIONS.values())) == 14
+
+
+def test_state_of_two_versions_equals_the_audit_of_both(spark, tmp_path, table):
+    rows = [(n, n % 7 - 3 if n % 5 else None, f"t{n % 13}", dt.datetime(2024, 1, 1 + n % 20)) for n in range(300)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, v int, t string, at timestamp")
+    rules, audits = {"positive": "v > 0"}, [quality.is_null("v"), quality.not_in("t", ["t1", "t2"])]
+
+    def state(part):
+        return audit_state.audit_state(part, "x", rules, audits, ["id", "v", "t", "at"])
+
+    parts = [df.filter("id < 100"), df.filter("id >= 100 OR id IS NULL"), df.limit(0)]
+    for number, part in enumerate(parts):
+        audit_state.record_state(state(part), table, number, f"{tmp_path}/s")
+    audit_state.record_state(state(parts[0]), table, 0, f"{tmp_path}/s")
+    got = {r["check"]: r.asDict() for r in audit_state.audit_of(audit_state.merged(spark.read.table(table))).collect()}
+    want = {r["check"]: r.asDict() for r in audit_state.audit_of(state(df)).collect()}
+    assert got == want
+    counted = {r["name"]: r["passed_records"] for r in quality.expectation_counts(df, "x", rules).collect()}
+    assert got["positive"]["passed"] == counted["positive"]
+    bad = {f'{r["column"]} {r["rule"]}': r["bad_rows"] for r in quality.audit_columns(df, audits).collect()}
+    assert {check: got[check]["bad"] for check in bad} == bad
+    values = got["v values"]
+    assert (values["bad"], int(values["low_number"]), int(values["high_number"]), values["different"]) == (61, -3, 3, 7)
+    assert got["t values"]["low_text"] == "t0" and got["at values"]["high_text"].startswith("2024-01-20")
+    assert abs(got["id values"]["different"] - 300) < 15
+
+
+def test_keys_of_two_versions_equal_the_keys_of_both(spark):
+    df = spark.createDataFrame([(n % 40, "x" if n % 3 else None) for n in range(90)], "a int, b string")
+    parts = [df.filter("a < 10").withColumn("version", F.lit(1)), df.filter("a >= 10").withColumn("version", F.lit(2))]
+    states = [audit_state.key_state(part, ["version", "a", "b"]) for part in parts]
+    # A version that was recorded twice.
+    merged = audit_state.merged_keys(states[0].unionByName(states[1]).unionByName(states[1]), ["a", "b"])
+    assert audit_state.uniqueness_of(merged).collect() == quality.check_unique(df, ["a", "b"]).collect()
+    assert sorted(map(tuple, audit_state.duplicates_of(merged).collect()), key=str) == sorted(
+        map(tuple, quality.duplicate_keys(df, ["a", "b"]).collect()), key=str
+    )
+    assert audit_state.uniqueness_of(merged.limit(0)).first().asDict() == {"row_count": 0, "key_count": 0, "is_unique": True}
