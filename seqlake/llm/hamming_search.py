@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import stored
+from seqlake.session import spread
 
 BITS = 64
 SEGMENT_BITS = 16
@@ -70,7 +71,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     answers = found
     nearer = Window.partitionBy("query").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
     for radius in range(SEGMENT_BITS + 1):
-        probes = _by_segment(opened, "query").withColumn("mask", F.explode(_masks(radius)))
+        # Dealt out first: the open queries lie in a small file, their probes are many.
+        probes = _by_segment(spread(opened), "query").withColumn("mask", F.explode(_masks(radius)))
         met = (
             probes.select("query", "kth", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
             # The planner takes the probes for small: it doesn't see how many values each query looks up.
