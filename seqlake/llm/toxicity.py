@@ -52,7 +52,7 @@ def subwords(texts: list[str | None]):
     for width in range(1, max(GRAMS) + 1):
         count = len(codes) - width + 1
         if count <= 0:
-            return
+            break
         mixed = (mixed[:count] ^ codes[width - 1 :]) * _STEP
         if width in GRAMS:
             inner = before[width - 1 : width - 1 + count] - before[1 : count + 1]
@@ -62,9 +62,10 @@ def subwords(texts: list[str | None]):
     starts = np.flatnonzero(border[:-1] & ~border[1:]) + 1
     if len(starts):
         ends = np.flatnonzero(~border[:-1] & border[1:]) + 1
-        power = np.multiply.accumulate(np.concatenate([[1], np.full(len(codes), _STEP)]).astype(np.uint64))
+        one = np.ones(1, np.uint64)
+        power = np.multiply.accumulate(np.concatenate([one, np.full(len(codes), _STEP)]))
         inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        back = np.multiply.accumulate(np.concatenate([[1], np.full(len(codes), inverse)]).astype(np.uint64))
+        back = np.multiply.accumulate(np.concatenate([one, np.full(len(codes), inverse)]))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[:-1], dtype=np.uint64)])
         yield row[starts], _bucket((sums[ends] - sums[starts]) * back[starts], 0)
 
