@@ -28,13 +28,13 @@ def feed_records(spark, folder):
     )
 
 
-FEED_SQL = """
+FEED_SQL = f"""
 lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 moves AS (
   SELECT CAST(doc_id AS VARCHAR) AS game_id,
          CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS move_number,
-         'lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1' AS sfen, line AS move_usi,
+         '{INITIAL_SFEN}' AS sfen, line AS move_usi,
          'last' AS black_player, lang AS white_player
   FROM lines WHERE line != ''),
 feed AS (SELECT *, CASE WHEN move_number % 2 = 0 THEN 'black' ELSE 'white' END AS player FROM moves)
@@ -66,6 +66,7 @@ def kif_records(spark, folder):
         return F.concat(F.lit("   "), (i + 1).cast("string"), F.lit(" "), move, F.lit("   ( 0:01/00:00:01)"))
 
     conv = F.col("conv_id").cast("string")
+    # The header lines of a game record, its ruler, and its end.
     body = F.concat(
         F.lit("手合割：平手\n先手："), conv, F.lit("\n後手："), "role",
         F.lit("\n手数----指手---------消費時間--\n* comment\n"),

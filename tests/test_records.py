@@ -10,6 +10,7 @@ from seqlake.operators.replay import RunningTotal, fold_per_key, fold_with_state
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import ARTICLE_RAW_SCHEMA, FEED_POSITIONS_SCHEMA, FEED_RAW_SCHEMA, INITIAL_SFEN, SequenceSpec
 
+# Header lines and moves in the format of game records.
 HEAD = "手合割：平手\n先手：一郎\n後手：二郎\n手数----指手---------消費時間--\n"
 GAME = HEAD + (
     "*a comment\n"
@@ -164,7 +165,7 @@ def test_fold_of_two_halves_equals_the_fold_of_the_whole(spark, bucket_rows, mon
     assert {r["k"]: r["rows"] for r in unordered_rows(df, spec).collect()} == {"short": 1, None: 2}
 
 
-# Notation
+# Notation. Positions and moves in their public notations.
 
 @pytest.mark.parametrize("move, state, text", [
     ("2g2f", INITIAL_SFEN, "2六歩"),
