@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a job shuffled is deleted once the job has written its table, as nothing reads it again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(
     batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int | None = None
 ) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,9 @@ candidates.
 
 The token streams of the remaining blocks of all pages of a host are then searched for long repeats with a
 sparse suffix array: suffixes are kept where a minimiser stands, the smallest ``GRAM``-token hash of some window
-of ``WINDOW`` tokens, and sorted by host and minimiser. Those with an equal neighbour are extended to both sides
-window by window; equal windows always have the same minimiser, so every run of ``WINDOW`` tokens or more that
+of ``WINDOW`` tokens, and sorted by host and minimiser. Only minimisers whose neighbours show enough streams go back
+to the text, where the suffixes at them are extended to both sides window by window; equal windows always have the
+same minimiser, so every run of ``WINDOW`` tokens or more that
 stands in different streams is found, and counted exactly. Equal streams (copies of a page) count once. Runs that at least
 ``FEW_PAGES`` streams of the host repeat are boilerplate, whatever the size of the host; in a named article only
 those that ``MANY_PAGES`` repeat. Their tokens are removed, whatever blocks they lie in; all other tokens are
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import mixed, slices, stored, word_hashes, words
+from seqlake.llm.common import mixed, shuffles_cleared, slices, stored, word_hashes, words
 from seqlake.llm.neighbours import with_equal_neighbour
 from seqlake.llm.passages import find_runs, gram_hashes, list_column, span_hashes
 
@@ -253,47 +254,77 @@ def _signed(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _runs(parsed: DataFrame) -> DataFrame:
-    """The suffixes kept of each stream: anchor and content (hashes with the host), place, windows and ``named``."""
+def _streams(batch: pa.RecordBatch):
+    """Word hashes of all streams laid end to end, words of each, and the runs that share a minimiser."""
+    flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
+    values = word_hashes(flat)
+    row, first, windows, anchor = find_runs(values, counts, WINDOW, GRAM)
+    host = batch.column("host").to_numpy().view(np.uint64)
+    return values, counts, host, row, first, windows, mixed(anchor ^ host[row])
+
+
+def _suffixes(parsed: DataFrame) -> DataFrame:
+    """The suffixes kept of each stream: anchor (a hash with the host), stream and ``named``, each once.
+
+    Of copies in one task only the first is looked at, so that copies of a page do not multiply its suffixes.
+    """
 
     def work(batches):
+        seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, "blocks", 1 << 19):
-                flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
-                values = word_hashes(flat)
-                row, first, windows, anchor = find_runs(values, counts, WINDOW, GRAM)
-                host = batch.column("host").to_numpy().view(np.uint64)[row]
-                content = mixed(span_hashes(values, first, windows + WINDOW - 1) ^ host)
-                begins = np.cumsum(counts) - counts
+            new = []
+            for stream in whole.column("stream").to_pylist():
+                new.append(stream not in seen)
+                seen.add(stream)
+            for batch in slices(whole.filter(pa.array(new, pa.bool_())), "blocks", 1 << 19):
+                _, _, _, row, _, _, anchor = _streams(batch)
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
+                different = np.ones(len(row), bool)
+                different[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                at = pa.array(row[different])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed(anchor ^ host).view(np.int64)), pa.array(content.view(np.int64)),
-                     batch.column("stream").take(pa.array(row)), pa.array((first - begins[row]).astype(np.int32)),
-                     pa.array(windows.astype(np.int32)), batch.column("named").take(pa.array(row))],
-                    names=["anchor", "content", "stream", "start", "windows", "named"],
+                    [pa.array(anchor[different].view(np.int64)), batch.column("stream").take(at), batch.column("named").take(at)],
+                    names=["anchor", "stream", "named"],
                 )
 
-    schema = "anchor bigint, content bigint, stream bigint, start int, windows int, named boolean"
-    return parsed.select("host", "stream", "named", "blocks").mapInArrow(work, schema)
+    return parsed.select("host", "stream", "named", "blocks").mapInArrow(work, "anchor bigint, stream bigint, named boolean")
+
+
+_RUNS = "anchor bigint, content bigint, stream bigint, start int, windows int, named boolean, hashes array<bigint>"
 
 
-def _window_hashes(batches):
-    """For each wanted run the hashes of its windows."""
+def _runs(batches):
+    """The runs of each stream at the wanted anchors: place, number of windows, ``content`` (a hash of all tokens).
+
+    The hashes of a run's windows go with the first run of that content in a task.
+    """
+    seen: set[tuple[int, int]] = set()
     for whole in batches:
         for batch in slices(whole, "blocks", 1 << 19):
-            flat, counts = words(pa.array([zlib.decompress(b).decode() for b in batch.column("blocks").to_pylist()]))
-            hashes = gram_hashes(word_hashes(flat), WINDOW)
+            values, counts, host, row, first, windows, anchor = _streams(batch)
+            bounds, wanted = list_column(batch, "anchors")
+            wanted = wanted.to_numpy().view(np.uint64)
+            at = np.zeros(len(row), bool)
+            cuts = np.searchsorted(row, np.arange(len(counts) + 1))
+            for number in range(len(counts)):
+                own = slice(cuts[number], cuts[number + 1])
+                at[own] = np.isin(anchor[own], wanted[bounds[number] : bounds[number + 1]])
+            row, first, windows, anchor = row[at], first[at], windows[at], anchor[at]
+            content = mixed(span_hashes(values, first, windows + WINDOW - 1) ^ host[row])
+            grams = gram_hashes(values, WINDOW)
+            hashes: list[np.ndarray | None] = []
+            for pair, begin, size, number in zip(zip(anchor.tolist(), content.tolist()), first.tolist(), windows.tolist(), row.tolist()):
+                hashes.append(None if pair in seen else mixed(grams[begin : begin + size] ^ host[number]).view(np.int64))
+                seen.add(pair)
             begins = np.cumsum(counts) - counts
-            bounds, runs = list_column(batch, "runs")
-            anchor, content, start, size = (runs.field(i) for i in range(4))
-            size = size.to_numpy().astype(np.int64)
-            number = np.diff(bounds)
-            at = start.to_numpy() + np.repeat(begins, number)
-            ends = np.cumsum(size)
-            places = np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)
-            host = np.repeat(np.repeat(batch.column("host").to_numpy().view(np.uint64), number), size)
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            found = pa.ListArray.from_arrays(offsets, pa.array(mixed(hashes[places] ^ host).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([anchor, content, found], names=["anchor", "content", "hashes"])
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column("stream").take(taken),
+                 pa.array((first - begins[row]).astype(np.int32)), pa.array(windows.astype(np.int32)),
+                 batch.column("named").take(taken), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["anchor", "content", "stream", "start", "windows", "named", "hashes"],
+            )
 
 
 def host_repeats(parsed: DataFrame) -> DataFrame:
@@ -301,37 +332,33 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
 
     Of named articles only those that many repeat, as no other window takes anything out of them.
     """
-    # Not written: the range cut works the runs out once more for its sample, and saves a copy of all of them.
-    members = stored(with_equal_neighbour(_runs(parsed), ["anchor"], ["content", "stream", "start"]), "members")
-    # Copies of a page are one stream. More streams than MANY_PAGES say nothing new: the first ones of each class
-    # hold the first ones of every window.
-    streams = members.groupBy("anchor", "content", "stream").agg(F.min("start").alias("start"), F.first("windows").alias("windows"), F.min("named").alias("named"))
+    members = stored(with_equal_neighbour(_suffixes(parsed), ["anchor"], ["stream"]), "members")
+    # Copies of a page are one stream. No window has more streams than its anchor.
+    once = members.groupBy("anchor", "stream").agg(F.min("named").alias("named"))
+    counts = once.groupBy("anchor").agg(F.count("*").alias("most"), F.min("named").alias("named"))
+    asked = counts.filter((F.col("most") >= MANY_PAGES) | ~F.col("named") & (F.col("most") >= FEW_PAGES)).select("anchor")
+    wanted = once.join(asked, "anchor").groupBy("stream").agg(F.collect_list("anchor").alias("anchors"))
+    # Joined alike at every size: the blocks are shuffled, however little is wanted of them.
+    texts = parsed.dropDuplicates(["stream"]).join(stored(wanted, "wanted").hint("merge"), "stream")
+    runs = stored(texts.select("host", "stream", "named", "blocks", "anchors").mapInArrow(_runs, _RUNS), "runs")
+    # More streams than MANY_PAGES say nothing new: the first ones of each class hold the first ones of every window.
+    streams = runs.groupBy("anchor", "content", "stream").agg(F.max("windows").alias("windows"))
     few = Window.partitionBy("anchor", "content").orderBy("stream")
     kept = streams.withColumn("number", F.row_number().over(few)).filter(F.col("number") <= MANY_PAGES)
-    classes = kept.groupBy("anchor", "content").agg(
-        F.collect_list("stream").alias("streams"), F.min(F.struct("stream", "start", "windows")).alias("one")
-    )
-    loose = members.filter(~F.col("named")).select("anchor").distinct().withColumn("loose", F.lit(True))
-    counts = kept.select("anchor", "stream").distinct().groupBy("anchor").agg(F.count("*").alias("most"))
-    sizes = kept.select("anchor", "content").distinct().groupBy("anchor").agg(F.count("*").alias("contents"))
-    # No window has more streams than its anchor.
-    asked = counts.join(loose, "anchor", "left").join(sizes, "anchor").filter(
-        (F.col("most") >= MANY_PAGES) | F.col("loose") & (F.col("most") >= FEW_PAGES)
-    )
-    classes = stored(classes.join(stored(asked.select("anchor", "contents"), "asked"), "anchor"), "classes")
+    classes = kept.groupBy("anchor", "content").agg(F.collect_list("stream").alias("streams"), F.max("windows").alias("windows"))
+    sizes = classes.groupBy("anchor").agg(F.count("*").alias("contents"))
+    classes = stored(classes.join(sizes, "anchor"), "classes")
     often = F.col("n") >= MANY_PAGES
     span = lambda offset, windows: F.struct(offset.alias("offset"), windows.alias("windows"), "often")
     # All surroundings equal: all windows repeat.
     alone = classes.filter("contents = 1").withColumn("n", F.size("streams")).filter(F.col("n") >= FEW_PAGES)
     alone = alone.withColumn("often", often).select(
-        "anchor", "content", F.array(span(F.lit(0), F.col("one.windows"))).cast(_SPANS).alias("spans")
+        "anchor", "content", F.array(span(F.lit(0), F.col("windows"))).cast(_SPANS).alias("spans")
     )
-    several = classes.filter("contents > 1")
-    wanted = several.groupBy("one.stream").agg(F.collect_list(F.struct("anchor", "content", "one.start", "one.windows")).alias("runs"))
-    texts = parsed.join(stored(wanted, "wanted"), "stream").select("host", "blocks", "runs")
-    hashed = texts.mapInArrow(_window_hashes, "anchor bigint, content bigint, hashes array<bigint>")
+    several = classes.filter("contents > 1").select("anchor", "content", "streams")
+    hashed = runs.filter("hashes IS NOT NULL").dropDuplicates(["anchor", "content"]).select("anchor", "content", "hashes")
     windows = stored(
-        hashed.dropDuplicates(["anchor", "content"]).join(several, ["anchor", "content"])
+        hashed.join(several, ["anchor", "content"])
         .select("anchor", "content", "streams", F.posexplode("hashes").alias("offset", "hash")),
         "windows",
     )
@@ -341,7 +368,7 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
         F.collect_list(span(F.col("offset"), F.lit(1))).cast(_SPANS).alias("spans")
     )
     found = stored(alone.unionByName(extended), "found")
-    told = members.join(found, ["anchor", "content"]).select(
+    told = runs.join(found, ["anchor", "content"]).select(
         "stream", "named", F.expr("transform(spans, s -> struct(start + s.offset AS start, s.windows, s.often))").alias("spans")
     )
     told = told.withColumn("spans", F.filter("spans", lambda s: s["often"] | ~F.col("named"))).filter(F.size("spans") > 0)
@@ -350,10 +377,10 @@ def host_repeats(parsed: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
-    parsed = stored(_parsed(pages), "blocks")
-    # Written, so that the join knows its size: a small one is sent to the blocks, which then stay in place.
-    found = stored(host_repeats(parsed), "spans")
-    rows = parsed.join(found, "stream", "left").select("page_id", "url", "named", "blocks", "spans")
+    with shuffles_cleared(pages.sparkSession):
+        parsed = stored(_parsed(pages), "blocks")
+        found = stored(host_repeats(parsed), "spans")
+    rows = parsed.join(found.hint("merge"), "stream", "left").select("page_id", "url", "named", "blocks", "spans")
 
     def work(batches):
         for batch in batches:
