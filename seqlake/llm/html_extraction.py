@@ -155,6 +155,12 @@ def page_blocks(html: str | None) -> tuple[list[str], bool]:
             held.append(text)
         if place < 0:
             break
+        if not (html[place + 1 : place + 2].isalpha() or html[place + 1 : place + 2] in "/!?"):
+            # No markup begins here.
+            if not stack[-1][1]:
+                held.append("<")
+            at = place + 1
+            continue
         if html.startswith("<!--", place):
             end = html.find("-->", place + 4)
             at = len(html) if end < 0 else end + 3
