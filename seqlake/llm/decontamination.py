@@ -11,8 +11,9 @@ above the threshold are retrieved; none is lost to a top k.
 A retrieved item is verified against the whole document: at least ``OVERLAP`` of the five-word shingles of
 its question, and of its answer, must occur there.
 
-Statistics are taken over all items in Spark. Index shards of at most about ``SHARD_POSTINGS`` postings are
-sent to the tasks one after the other; each is read past all documents.
+Statistics are taken over all items in Spark. Index shards of about ``SHARD_POSTINGS`` postings are built in tasks and
+written to the shared folder. One at a time is loaded and sent to the tasks, and read past all documents; if there are
+several, what each leaves is written before the next is loaded, so neither the driver nor a task holds two.
 
 Question and answer: the answer begins after a line or word ``Answer:`` or ``A:``, else after the last
 question mark that text follows, else with the last sentence; an item of one sentence is a question only.
@@ -25,8 +26,10 @@ of items with equal text each is reported; further columns are ignored by ``find
 
 from __future__ import annotations
 
+import pickle
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,23 +200,41 @@ def _build(postings: list, items: list) -> Shard:
     )
 
 
-def shards(benchmark: DataFrame, most: int = SHARD_POSTINGS) -> list[Shard]:
-    """Index shards of whole items, of about ``most`` postings each."""
+class Shards:
+    """Index shards of whole items, built and kept in a table; one is loaded at a time."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.numbers = sorted(row["shard"] for row in table.select("shard").collect())
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __iter__(self) -> Iterator[Shard]:
+        for number in self.numbers:
+            yield Shard(**pickle.loads(self.table.filter(F.col("shard") == number).first()["built"]))
+
+
+def _built(key: tuple, postings: pa.Table, items: pa.Table) -> pa.Table:
+    rows = [tuple(row.values()) for row in postings.drop_columns("shard").to_pylist()]
+    texts = sorted((tuple(row.values()) for row in items.drop_columns("shard").to_pylist()), key=repr)
+    built = [pickle.dumps(vars(_build(rows, texts)))] if rows else []
+    return pa.table({"shard": pa.array([key[0].as_py()] * len(built), pa.int64()), "built": pa.array(built, pa.binary())})
+
+
+def shards(benchmark: DataFrame, most: int = SHARD_POSTINGS) -> Shards:
+    """Index shards of whole items, of about ``most`` postings each, built in tasks and written to the shared folder."""
     items = benchmark.select(
         F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")
     ).filter(F.col("text").isNotNull()).withColumn("item_key", F.xxhash64("text")).distinct()
     items = stored(items, "items")
     postings = stored(_postings(items), "postings")
     number = 1 + postings.count() // most
-    shard = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(number))
-    out = []
-    for part in range(number):
-        # One shard at a time: a bounded number of postings and the texts they come from.
-        rows = postings.filter(shard == part).select("item_id", "item_key", "part", "term", "impact").collect()
-        texts = items.filter(shard == part).select("item_id", "item_key", "text").collect()
-        if rows:
-            out.append(_build([tuple(row) for row in rows], sorted((tuple(row) for row in texts), key=repr)))
-    return out
+    shard = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(number)).cast("bigint").alias("shard")
+    # A group is a bounded number of postings and the texts they come from.
+    parts = postings.select(shard, "item_id", "item_key", "part", "term", "impact").groupBy("shard")
+    texts = items.select(shard, "item_id", "item_key", "text").groupBy("shard")
+    return Shards(stored(parts.cogroup(texts).applyInArrow(_built, "shard bigint, built binary"), "shards"))
 
 
 def _matches(shard: Shard, batch: pa.RecordBatch, threshold: float, overlap: float):
@@ -237,7 +258,9 @@ def shingle_set(values: np.ndarray) -> np.ndarray:
 _FOUND = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = SHARD_POSTINGS
+) -> DataFrame:
     """One row for each document and item found in it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -254,13 +277,18 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
 
         return rows.mapInArrow(work, _FOUND)
 
-    out = docs.sparkSession.createDataFrame([], _FOUND)
-    for number, shard in enumerate(shards(benchmark)):
-        out = search(shard) if not number else out.unionByName(search(shard))
-    return out
+    out = None
+    index = shards(benchmark, most)
+    for shard in index:
+        # Of several shards each is done with before the next is loaded.
+        found = search(shard) if len(index) == 1 else stored(search(shard), "found")
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], _FOUND) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = SHARD_POSTINGS
+) -> DataFrame:
     """The rows of ``docs``, all columns, without those in which an item is found."""
 
     def clean(shard):
@@ -274,6 +302,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         return work
 
-    for shard in shards(benchmark):
+    index = shards(benchmark, most)
+    for shard in index:
         docs = docs.mapInArrow(clean(shard), docs.schema)
+        # Of several shards each is done with before the next is loaded.
+        docs = docs if len(index) == 1 else stored(docs, "clean")
     return docs

@@ -459,6 +459,21 @@ def test_decontamination(spark):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [100, 101, 102, 103]
 
 
+def test_decontamination_by_many_shards_equals_one(spark):
+    rng = random.Random(17)
+    items = [(2**60 + n, " ".join(prose(rng, rng.randrange(8, 90), 900)) + "? " + " ".join(prose(rng, 4, 900))) for n in range(12)]
+    items += [(None, items[0][1]), (None, None)]
+    rows = [(n, " ".join(prose(rng, 100, 900)) + " " + text) for n, (_, text) in enumerate(items[:8])] + [(90, "no item"), (91, None), (3, items[3][1])]
+    frame = docs(spark, rows)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [sorted(map(tuple, decontamination.find(frame, bench, most=most).collect()), key=repr) for most in (10**6, 100)]
+    assert found[0] == found[1] and {(r[0], r[1]) for r in found[0]} == {(n, 2**60 + n) for n in range(8)} | {(0, None)}
+    index = decontamination.shards(bench, 100)
+    assert len(index) > 2 and sum(len(shard.items) for shard in index) == 13
+    kept = [sorted(r["doc_id"] for r in decontamination.drop_contaminated(frame, bench, most=most).collect()) for most in (10**6, 100)]
+    assert kept[0] == kept[1] == [90, 91]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
