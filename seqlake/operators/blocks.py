@@ -20,7 +20,11 @@ TOP_K = 5
 # Queries that are sent to all tasks at once, and rows of a corpus that a task holds.
 QUERY_BYTES = 64 << 20
 TILE_ROWS = 20_000
-_QUERY_STEP = 512
+# Distances worked out at once, and rows of a block.
+BLOCK_CELLS = 1 << 20
+BLOCK_ROWS = 2_048
+# Distances are rounded to 6 decimals.
+_ROUNDING = 1e-6
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -47,30 +51,83 @@ def _smallest(distance: np.ndarray, k: int) -> np.ndarray:
     return below | (equal & (np.cumsum(equal, axis=1) <= room))
 
 
-def group_hits(queries, places, ids, vectors, k) -> Iterator[pd.DataFrame]:
-    by_id = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by_id], vectors[by_id]
-    for start in range(0, len(places), _QUERY_STEP):
-        step = places[start:start + _QUERY_STEP]
-        distance = np.round(1 - queries[step] @ vectors.T, 6) + 0.0
-        q, c = np.nonzero(_smallest(distance, k))
-        yield pd.DataFrame({"q": step[q], "id": ids[c], "distance": distance[q, c]})
-
-
-def block_hits(queries, query_groups, ids, vectors, groups, k) -> pd.DataFrame:
-    """At most k hits (``q, id, distance``) per query of one block of the corpus."""
-    if groups is None:
-        parts = [*group_hits(queries, np.arange(len(queries)), ids, vectors, k)]
-    else:
-        parts = [pd.DataFrame({"q": np.array([], np.int64), "id": ids[:0], "distance": np.array([], float)})]
-        for group in pd.unique(groups):
-            mine, places = groups == group, np.flatnonzero(query_groups == group)
-            parts += group_hits(queries, places, ids[mine], vectors[mine], k)
-    return pd.concat(parts, ignore_index=True)
-
-
-def best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    return hits.sort_values(["q", "distance", "id"], kind="stable").groupby("q").head(k)
+def _in_order(q: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if ids.dtype == object:
+        return pd.DataFrame({"q": q, "d": distance, "id": ids}).sort_values(["q", "d", "id"], kind="stable").index.to_numpy()
+    return np.lexsort((ids, distance, q))
+
+
+class Nearest:
+    """The k nearest rows of each of ``n`` queries among blocks that are met one after the other.
+
+    Holds n x k hits, however many rows are met, and BLOCK_CELLS distances at a time. ``limit`` gives for each query
+    a distance beyond which no row is wanted. Once a query has k hits, its k-th is such a limit, so that most blocks
+    cost a product and a comparison.
+    """
+
+    def __init__(self, n: int, k: int, limit: np.ndarray | None = None):
+        self.k = k
+        self.limit = np.full(n, np.inf) if limit is None else np.array(limit, np.float64)
+        self.distance = np.full((n, k), np.inf)
+        self.ids = None
+
+    def meet(self, queries: np.ndarray, places: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Meet a block with the queries at ``places``, each of them named once."""
+        if not len(ids) or not len(places):
+            return
+        if self.ids is None:
+            self.ids = np.zeros(self.distance.shape, ids.dtype)
+        by_id = np.argsort(ids, kind="stable")
+        ids, vectors = ids[by_id], vectors[by_id]
+        width = min(len(ids), BLOCK_ROWS)
+        for left in range(0, len(ids), width):
+            block = vectors[left:left + width].T
+            step = max(1, BLOCK_CELLS // block.shape[1])
+            for start in range(0, len(places), step):
+                here = places[start:start + step]
+                cosine = queries[here] @ block
+                near = cosine >= (1 - self.limit[here] - _ROUNDING)[:, None]
+                if np.count_nonzero(near) > 4 * self.k * len(here):
+                    near &= _smallest(np.round(1 - cosine, 6) + 0.0, self.k)
+                q, c = np.nonzero(near)
+                if len(q):
+                    self._merge(here[q], ids[left + c], np.round(1 - cosine[q, c], 6) + 0.0)
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        some = distance <= self.limit[q]
+        q, ids, distance = q[some], ids[some], distance[some]
+        touched = np.unique(q)
+        held = np.isfinite(self.distance[touched])
+        q = np.concatenate([np.broadcast_to(touched[:, None], held.shape)[held], q])
+        ids = np.concatenate([self.ids[touched][held], ids])
+        distance = np.concatenate([self.distance[touched][held], distance])
+        order = _in_order(q, distance, ids)
+        q, ids, distance = q[order], ids[order], distance[order]
+        starts = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
+        kept = rank < self.k
+        q, rank = q[kept], rank[kept]
+        self.ids[q, rank], self.distance[q, rank] = ids[kept], distance[kept]
+        self.limit[touched] = np.minimum(self.limit[touched], self.distance[touched, -1])
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and distance of every hit."""
+        held = np.isfinite(self.distance)
+        q, _ = np.nonzero(held)
+        return q, self.ids[held] if self.ids is not None else np.zeros(0, np.int64), self.distance[held]
+
+
+def numbered(groups: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Groups as numbers, and the number of each."""
+    numbers, names = pd.factorize(groups, use_na_sentinel=False)
+    return numbers, {name: number for number, name in enumerate(names)}
+
+
+def each_group(groups: np.ndarray, number_of: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of every group that some query has: its number, and where they are."""
+    for name in pd.unique(groups):
+        if name in number_of:
+            yield number_of[name], np.flatnonzero(groups == name)
 
 
 def vectors(df: DataFrame, id: str, name: str, on: str | None) -> DataFrame:

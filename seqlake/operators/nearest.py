@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.operators.blocks import (
-    QUERY_BYTES, TILE_ROWS, TOP_K, arrow_matrix, best, block_hits, hit_schema, matrix, named, ranked, vectors,
+    QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, matrix, named, numbered, ranked, vectors,
 )
 from seqlake.operators.vector_index import top_k_pruned
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, k: int, grouped: bool) -> DataFrame:
+def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Every task streams its part of the corpus past all queries. For a checked number of them."""
     rows = queries.toPandas()
     packed = corpus.sparkSession.sparkContext.broadcast(
@@ -24,27 +24,20 @@ def _scan(corpus: DataFrame, queries: DataFrame, k: int, grouped: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_groups, asked = packed.value
-        kept = None
+        numbers, number_of = numbered(query_groups)
+        places = [np.flatnonzero(numbers == number) for number in range(len(number_of))]
+        nearest, id_type = Nearest(len(asked), k), None
         for batch in batches:
             if len(batch) == 0:
                 continue
-            hits = block_hits(
-                asked,
-                query_groups,
-                batch.column("id").to_numpy(zero_copy_only=False),
-                arrow_matrix(batch.column("embedding")),
-                batch.column("_group").to_numpy(zero_copy_only=False) if grouped else None,
-                k,
-            )
-            kept = best(hits if kept is None else pd.concat([kept, hits]), k)
-        if kept is not None and len(kept):
+            id_type = batch.schema.field("id").type
+            ids, found = batch.column("id").to_numpy(zero_copy_only=False), arrow_matrix(batch.column("embedding"))
+            for number, mine in each_group(batch.column("_group").to_numpy(zero_copy_only=False), number_of):
+                nearest.meet(asked, places[number], ids[mine], found[mine])
+        q, ids, distance = nearest.hits()
+        if len(q):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query_ids[kept["q"].to_numpy()]),
-                    pa.array(query_groups[kept["q"].to_numpy()], pa.string()),
-                    pa.array(kept["id"].to_numpy(), batch.schema.field("id").type),
-                    pa.array(kept["distance"].to_numpy(), pa.float64()),
-                ],
+                [pa.array(query_ids[q]), pa.array(query_groups[q], pa.string()), pa.array(ids, id_type), pa.array(distance)],
                 ["query_id", "_group", "id", "distance"],
             )
 
@@ -72,7 +65,7 @@ def top_k(
     if size["n"] == 0:
         hits = left.sparkSession.createDataFrame([], hit_schema(right, left))
     elif size["n"] * size["dim"] * 8 <= query_bytes:
-        hits = _scan(left, right, k, on is not None)
+        hits = _scan(left, right, k)
     else:
         return top_k_pruned(corpus, queries, k, on, tile_rows)[0]
     return named(ranked(hits, k), queries, on)

@@ -7,8 +7,9 @@ longer than ``tile_rows`` are cut into parts, so copies of one vector do not mak
 ``search_index`` lets every query meet the lists nearest to it, a few more in each round, until its k-th hit has not
 changed for ``patience`` rounds. ``top_k_pruned`` is exact: the rows of a query's nearest lists give a bound for its
 k-th distance, and by the triangle inequality a list whose centroid is farther than that bound and its radius
-together holds no hit. There the corpus is shuffled once by list and part and never copied; queries are copied to the
-parts they must meet, and stream past them.
+together holds no hit. There the corpus is shuffled once by cell, some lists side by side, and never copied; queries
+are copied to the cells that hold a list they must meet, and stream past them. Cells grow with the corpus up to
+``TILE_ROWS`` rows, so their number, and with it the copies of a query, stays the same until then.
 
 Centroids come from at most ``SAMPLE_BYTES`` of different vectors, chosen by a hash of the id; all rows are
 assigned. Centroids, ``LIST_BYTES`` at most, are the only data of the corpus that pass through the driver.
@@ -29,13 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.operators.blocks import (
-    QUERY_BYTES, TILE_ROWS, TOP_K, arrow_matrix, best, group_hits, hit_schema, named, ranked, unit, vectors,
+    BLOCK_CELLS, QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, named, numbered, ranked, unit, vectors,
 )
 from seqlake.session import stored
 from seqlake.sources.tables import publish
 
 # Lists for each square root of the number of rows.
 LISTS_PER_ROOT = 16
+# Lists of a corpus that is clustered for one exact search, and cells that its rows are dealt to, if these hold no more
+# than TILE_ROWS each. Neither grows with the corpus, so its rows and queries are compared with as many centroids and
+# queries are copied as often at every size.
+PRUNED_LISTS = 2_048
+CELLS = 32
 LIST_BYTES = 32 << 20
 SAMPLE_BYTES = 128 << 20
 SAMPLE_PER_LIST = 32
@@ -199,8 +205,9 @@ def _with_bounds(queries: DataFrame, lists: Lists, step: float) -> DataFrame:
                 batch = whole.slice(start, block)
                 cosine = arrow_matrix(batch.column("embedding")) @ centroids.T
                 order = np.argsort(-cosine, axis=1, kind="stable")
-                at = order[:, np.array(ends) - 1]
-                nearer = np.take_along_axis(cosine, at, axis=1)
+                # Between the last list that is met and the next one, so that no rounding moves a list to the other side.
+                last, after = (order[:, np.minimum(np.array(ends) + more, count) - 1] for more in (0, 1))
+                nearer = (np.take_along_axis(cosine, last, axis=1) + np.take_along_axis(cosine, after, axis=1)) / 2
                 met = np.cumsum(sizes[order], axis=1)[:, np.array(ends) - 1]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(list(nearer), pa.list_(pa.float64())), pa.array(list(met), pa.list_(pa.int64()))],
@@ -210,46 +217,48 @@ def _with_bounds(queries: DataFrame, lists: Lists, step: float) -> DataFrame:
     return queries.mapInArrow(run, shape)
 
 
-def _probe(rows: DataFrame, lists: Lists, asked, nearer: np.ndarray, before: np.ndarray, first: bool, k: int) -> DataFrame:
-    """``q, id, distance`` among the lists whose cosine lies from ``nearer`` up to, but below, ``before``."""
+def _probe(
+    rows: DataFrame, lists: Lists, asked, nearer: np.ndarray, before: np.ndarray, kth: np.ndarray, first: bool, k: int
+) -> DataFrame:
+    """``q, id, distance``, up to ``kth``, among the lists whose cosine lies from ``nearer`` up to, but below, ``before``.
+
+    A task holds k hits of each query, however many rows it meets.
+    """
     places, groups, matrix = asked
     place_of = np.full(int(lists.numbers.max(initial=0)) + 1, -1)
     place_of[lists.numbers] = np.arange(len(lists.numbers))
-    packed = rows.sparkSession.sparkContext.broadcast((places, groups, matrix, nearer, before, lists.centroids, place_of))
+    packed = rows.sparkSession.sparkContext.broadcast((places, groups, matrix, nearer, before, kth, lists.centroids, place_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, groups, matrix, nearer, before, centroids, place_of = packed.value
-        kept, pending, size = None, [], 0
-        id_type = pa.int64()
+        places, groups, matrix, nearer, before, kth, centroids, place_of = packed.value
+        numbers, number_of = numbered(groups)
+        nearest, id_type = Nearest(len(places), k, kth), pa.int64()
+        step = max(1, BLOCK_CELLS // len(places))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             id_type = batch.schema.field("id").type
             number = batch.column("list").to_numpy()
             group = batch.column("_group").to_numpy(zero_copy_only=False)
+            ids, found = batch.column("id").to_numpy(zero_copy_only=False), arrow_matrix(batch.column("embedding"))
             order = np.argsort(number, kind="stable")
             starts = np.flatnonzero(np.diff(number[order], prepend=-2))
-            for start, end in zip(starts, [*starts[1:], len(order)]):
-                current, inside = number[order[start]], order[start:end]
-                if current < 0:
-                    mine = np.arange(len(places)) if first else np.zeros(0, np.int64)
-                else:
-                    cosine = matrix @ centroids[place_of[current]]
-                    mine = np.flatnonzero((cosine >= nearer) & (cosine < before))
-                for name in pd.unique(groups[mine]) if len(mine) else ():
-                    here = inside[group[inside] == name]
-                    if len(here):
-                        chosen = batch.take(pa.array(here))
-                        ids = chosen.column("id").to_numpy(zero_copy_only=False)
-                        pending += group_hits(matrix, mine[groups[mine] == name], ids, arrow_matrix(chosen.column("embedding")), k)
-            size = sum(map(len, pending))
-            if size > 4 * k * len(places) + 100_000:
-                kept = best(pd.concat([*([] if kept is None else [kept]), *pending]), k)
-                pending, size = [], 0
-        if pending or kept is not None:
-            kept = best(pd.concat([*([] if kept is None else [kept]), *pending]), k)
+            inside = np.split(order, starts[1:])
+            here = number[order[starts]]
+            for at in range(0, len(here), step):
+                centres = centroids[place_of[np.maximum(here[at:at + step], 0)]] if len(centroids) else np.zeros((1, matrix.shape[1]))
+                cosine = centres @ matrix.T
+                met = (cosine >= nearer) & (cosine < before)
+                met[here[at:at + step] < 0] = first
+                for these, chosen in zip(met, inside[at:at + step]):
+                    mine = np.flatnonzero(these)
+                    for name, rows_of in each_group(group[chosen], number_of) if len(mine) else ():
+                        of_group = mine if len(number_of) == 1 else mine[numbers[mine] == name]
+                        nearest.meet(matrix, of_group, ids[chosen[rows_of]], found[chosen[rows_of]])
+        q, ids, distance = nearest.hits()
+        if len(q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(places[kept["q"].to_numpy()], pa.int64()), pa.array(kept["id"].to_numpy(), id_type),
-                 pa.array(kept["distance"].to_numpy(), pa.float64())],
-                ["q", "id", "distance"],
+                [pa.array(places[q], pa.int64()), pa.array(ids, id_type), pa.array(distance)], ["q", "id", "distance"]
             )
 
     # The lists of the last few queries are worth naming to the scan.
@@ -316,7 +325,7 @@ def search_index(
             if not len(going):
                 break
             fresh = _probe(
-                index.rows, lists, (going, groups[going], matrix[going]), nearer[going, at], before[going], at == 0, k
+                index.rows, lists, (going, groups[going], matrix[going]), nearer[going, at], before[going], kth[going], at == 0, k
             )
             both = fresh if found is None else fresh.unionByName(found.drop("rank"))
             found = stored(_k_best(both, k), "found")
@@ -344,15 +353,68 @@ def top_k_approx(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, on: str
     return search_index(build_index(corpus, on), queries, k, on, **search)[0]
 
 
-def _meet(rows: DataFrame, probes: DataFrame, k: int, shape: T.StructType) -> DataFrame:
-    """Hits of ``probes`` (list, part and a query) among the rows of their part.
+@dataclass(frozen=True)
+class Cells:
+    """Lists in the order of their cells: ``starts`` is where each cell begins, ``cell`` names each list's cell.
 
-    Parts come one after the other, each its rows first: these are held, ``tile_rows`` or so, and queries stream past.
+    A cell is some lists that lie side by side and hold ``rows`` rows or so together, or one list of several parts. It
+    is named by its first list. A query is copied to a cell once, for all the lists in it.
     """
-    left = rows.withColumns({"query_id": F.lit(None).cast(probes.schema["query_id"].dataType), "side": F.lit(0)})
-    right = probes.withColumns({"id": F.lit(None).cast(rows.schema["id"].dataType), "side": F.lit(1)})
+
+    lists: Lists
+    cell: np.ndarray
+    starts: np.ndarray
+
+
+def _cells(lists: Lists, rows: int) -> Cells:
+    # Lists that are near to one of a few centroids follow each other.
+    some = lists.centroids[:math.isqrt(len(lists.numbers)) + 1]
+    order = np.lexsort(((lists.centroids @ some.T).argmax(axis=1), lists.parts > 1))
+    lists = Lists(*(values[order] for values in (lists.centroids, lists.numbers, lists.sizes, lists.radius, lists.parts)))
+    starts, held = [], 0
+    for at, (size, parts) in enumerate(zip(lists.sizes, lists.parts)):
+        if not at or parts > 1 or held + size > rows:
+            starts.append(at)
+            held = 0
+        held += size
+    starts = np.array(starts)
+    cell = np.repeat(lists.numbers[starts], np.diff(starts, append=len(lists.numbers)))
+    return Cells(lists, cell, starts)
+
+
+def _in_cells(rows: DataFrame, cells: Cells) -> DataFrame:
+    """``rows`` of an index with the cell's name as ``list``, and their own list as ``inner``."""
+    names = rows.sparkSession.createDataFrame(
+        [(int(number), int(cell)) for number, cell in zip(cells.lists.numbers, cells.cell)], "inner int, list int"
+    )
+    return rows.withColumnRenamed("list", "inner").join(F.broadcast(names), "inner")
+
+
+def _meet(rows: DataFrame, probes: DataFrame, k: int, shape: T.StructType, cells: Cells, choose) -> DataFrame:
+    """Hits up to ``bound`` of ``probes`` (list, part and a query) among the rows of their cell that ``choose`` names.
+
+    Cells come one after the other, each its rows first: these are held, ``tile_rows`` or so, and queries stream past.
+    """
+    left = rows.withColumns({
+        "query_id": F.lit(None).cast(probes.schema["query_id"].dataType), "bound": F.lit(None).cast("double"), "side": F.lit(0),
+    })
+    right = probes.withColumns({"id": F.lit(None).cast(rows.schema["id"].dataType), "inner": F.lit(None).cast("int"), "side": F.lit(1)})
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = left.unionByName(right).repartition(tasks, "list", "part").sortWithinPartitions("list", "part", "side")
+    lists = cells.lists
+
+    def ready_of(held: list[pa.RecordBatch], cell: int):
+        """The rows of a cell by list and group."""
+        inner = np.concatenate([p.column("inner").to_numpy() for p in held])
+        groups = np.concatenate([p.column("_group").to_numpy(zero_copy_only=False) for p in held])
+        ids = np.concatenate([p.column("id").to_numpy(zero_copy_only=False) for p in held])
+        found = np.concatenate([arrow_matrix(p.column("embedding")) for p in held])
+        places = np.flatnonzero(cells.cell == cell)
+        blocks = []
+        for at, place in enumerate(places):
+            here = np.flatnonzero(inner == lists.numbers[place])
+            blocks += [(at, name, ids[here[mine]], found[here[mine]]) for name in pd.unique(groups[here]) for mine in [groups[here] == name]]
+        return places, blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, ready = None, [], None
@@ -372,45 +434,51 @@ def _meet(rows: DataFrame, probes: DataFrame, k: int, shape: T.StructType) -> Da
                 if not held:
                     continue
                 if ready is None:
-                    ready = (
-                        np.concatenate([p.column("id").to_numpy(zero_copy_only=False) for p in held]),
-                        np.concatenate([p.column("_group").to_numpy(zero_copy_only=False) for p in held]),
-                        np.concatenate([arrow_matrix(p.column("embedding")) for p in held]),
-                    )
-                ids, groups, found = ready
+                    ready, held = ready_of(held, here[0]), [None]
+                places, blocks = ready
                 asked, matrix = piece.column("_group").to_numpy(zero_copy_only=False), arrow_matrix(piece.column("embedding"))
-                for name in pd.unique(asked):
-                    mine = groups == name
-                    for hits in group_hits(matrix, np.flatnonzero(asked == name), ids[mine], found[mine], k) if mine.any() else ():
-                        at = pa.array(hits["q"].to_numpy())
-                        yield pa.RecordBatch.from_arrays(
-                            [piece.column("query_id").take(at), piece.column("_group").take(at),
-                             pa.array(hits["id"].to_numpy(), batch.schema.field("id").type), pa.array(hits["distance"].to_numpy(), pa.float64())],
-                            ["query_id", "_group", "id", "distance"],
-                        )
+                bound = piece.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                nearest = Nearest(len(matrix), k, bound)
+                wanted = choose(bound, matrix, places)
+                of_group = {name: asked == name for name in pd.unique(asked)}
+                for at, name, ids, found in blocks:
+                    if name in of_group:
+                        nearest.meet(matrix, np.flatnonzero(wanted[:, at] & of_group[name]), ids, found)
+                q, ids, distance = nearest.hits()
+                if len(q):
+                    at = pa.array(q)
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("query_id").take(at), piece.column("_group").take(at),
+                         pa.array(ids, batch.schema.field("id").type), pa.array(distance)],
+                        ["query_id", "_group", "id", "distance"],
+                    )
 
     return both.mapInArrow(run, shape)
 
 
-def _probes(queries: DataFrame, lists: Lists, choose) -> DataFrame:
-    """A row ``list, part`` and a copy of the query for every part of the lists that ``choose`` names for it."""
+def _probes(queries: DataFrame, cells: Cells, choose) -> DataFrame:
+    """A row ``list, part`` and a copy of the query for every part of the cells that hold a list ``choose`` names for it."""
     shape = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("part", T.IntegerType()),
-                          *(queries.schema[name] for name in ("query_id", "_group", "embedding"))])
-    numbers, parts, centroids = lists.numbers, lists.parts, lists.centroids
+                          *(queries.schema[name] for name in ("query_id", "_group", "embedding", "bound"))])
+    lists, starts = cells.lists, cells.starts
+    step = max(1, min(256, BLOCK_CELLS // len(lists.numbers)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                query, place = np.nonzero(choose(batch, arrow_matrix(batch.column("embedding")) @ centroids.T))
-                copies = parts[place]
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                bound = batch.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                chosen = choose(bound, arrow_matrix(batch.column("embedding")), np.arange(len(lists.numbers)))
+                query, place = np.nonzero(np.logical_or.reduceat(chosen, starts, axis=1))
+                place = starts[place]
+                copies = lists.parts[place]
                 query, place = np.repeat(query, copies), np.repeat(place, copies)
                 part = np.arange(len(place)) - np.repeat(np.cumsum(copies) - copies, copies)
                 at = pa.array(query)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[place].astype(np.int32)), pa.array(part.astype(np.int32)),
-                     *(batch.column(name).take(at) for name in ("query_id", "_group", "embedding"))],
-                    ["list", "part", "query_id", "_group", "embedding"],
+                    [pa.array(lists.numbers[place].astype(np.int32)), pa.array(part.astype(np.int32)),
+                     *(batch.column(name).take(at) for name in ("query_id", "_group", "embedding", "bound"))],
+                    ["list", "part", "query_id", "_group", "embedding", "bound"],
                 )
 
     return queries.mapInArrow(run, shape)
@@ -425,9 +493,12 @@ def top_k_pruned(
     Without an ``index`` the corpus is clustered into lists of about ``tile_rows`` rows.
     """
     if index is None:
-        n_rows = corpus.filter(F.col("embedding").isNotNull()).count()
-        dim = corpus.agg(F.max(F.size("embedding"))).first()[0] or 1
-        index = build_index(corpus, on, max(1, min(-(-n_rows // tile_rows), LIST_BYTES // (8 * dim))), tile_rows)
+        # Written once: counting, drawing and assigning read it again, and vectors may be costly to make.
+        corpus = stored(corpus.select("id", "embedding", *([on] if on else [])), "corpus")
+        seen = corpus.filter(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        n_rows, dim = seen["n"], max(1, seen["dim"] or 1)
+        wanted = max(1, min(-(-n_rows // tile_rows), PRUNED_LISTS, LIST_BYTES // (8 * dim)))
+        index = build_index(corpus, on, wanted, max(tile_rows, min(TILE_ROWS, -(-n_rows // CELLS))))
     lists = index.table_of_lists()
     zero_list = index.lists.filter("list < 0").select("n", "parts").first()
     right = vectors(queries, "query_id", "query_id", on)
@@ -442,18 +513,33 @@ def top_k_pruned(
         )
     if not len(lists.numbers):
         return named(ranked(right.sparkSession.createDataFrame([], shape), k), queries, on), _met(right, lists, None, queries, on)
-    sizes, radius, zero = lists.sizes, lists.radius, lists.numbers < 0
-
-    def nearest(cosine: np.ndarray) -> np.ndarray:
-        """The nearest lists that hold k rows together."""
+    cells = _cells(lists, max(tile_rows, min(TILE_ROWS, -(-int(lists.sizes.sum()) // CELLS))))
+    lists = cells.lists
+    centroids, sizes, radius, zero = lists.centroids, lists.sizes, lists.radius, lists.numbers < 0
+    rows = _in_cells(index.rows, cells)
+    of_cell = np.repeat(np.arange(len(cells.starts)), np.diff(cells.starts, append=len(sizes)))
+
+    def nearest(bound: np.ndarray, found: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The cells of the nearest lists that hold k rows together."""
+        cosine = found @ centroids.T
         order = np.argsort(-cosine, axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1) - sizes[order]
         out = np.empty(cosine.shape, bool)
         np.put_along_axis(out, order, held < k, axis=1)
-        return out
+        return np.logical_or.reduceat(out, cells.starts, axis=1)[:, of_cell[places]]
+
+    def all_of_it(bound: np.ndarray, found: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.ones((len(found), len(places)), bool)
 
-    first = ranked(_meet(index.rows, _probes(right, lists, lambda batch, cosine: nearest(cosine)), k, shape), k)
-    first = stored(first, "first_hits")
+    def may_hold(bound: np.ndarray, found: np.ndarray, places: np.ndarray) -> np.ndarray:
+        cosine = found @ centroids[places].T
+        closest = 1 - np.cos(np.maximum(0, np.arccos(np.clip(cosine, -1, 1)) - radius[places]))
+        # A query of length zero is equally far from everything.
+        none = ~found.any(axis=1)[:, None]
+        return (closest <= bound[:, None] + _ROUNDING) | zero[places] | none
+
+    unbound = right.withColumn("bound", F.lit(None).cast("double"))
+    first = stored(ranked(_meet(rows, _probes(unbound, cells, nearest), k, shape, cells, all_of_it), k), "first_hits")
     bound = first.filter(F.col("rank") == k).select(
         F.col("query_id").alias("_query"), F.col("_group").alias("_in"), F.col("distance").alias("bound")
     )
@@ -461,34 +547,29 @@ def top_k_pruned(
         bound, right["query_id"].eqNullSafe(bound["_query"]) & right["_group"].eqNullSafe(bound["_in"]), "left"
     ).drop("_query", "_in")
     known = stored(known, "bounds")
+    # The lists met before are met once more with the others: they are few, and no hit need be told from its copy.
+    hits = ranked(_meet(rows, _probes(known, cells, may_hold), k, shape, cells, may_hold), k)
 
-    def may_hold(batch: pa.RecordBatch, cosine: np.ndarray) -> np.ndarray:
-        limit = batch.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)[:, None]
-        closest = 1 - np.cos(np.maximum(0, np.arccos(np.clip(cosine, -1, 1)) - radius))
-        # A query of length zero is equally far from everything.
-        none = ~arrow_matrix(batch.column("embedding")).any(axis=1)[:, None]
-        return (closest <= limit + _ROUNDING) | zero | none
-
-    def second(batch: pa.RecordBatch, cosine: np.ndarray) -> np.ndarray:
-        return may_hold(batch, cosine) & ~nearest(cosine)
+    def met(bound: np.ndarray, found: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return may_hold(bound, found, places) | nearest(bound, found, places)
 
-    more = _meet(index.rows, _probes(known, lists, second), k, shape)
-    hits = ranked(first.drop("rank").unionByName(more), k)
-    return named(hits, queries, on), _met(known, lists, lambda batch, cosine: may_hold(batch, cosine) | nearest(cosine), queries, on)
+    return named(hits, queries, on), _met(known, lists, met, queries, on)
 
 
 def _met(known: DataFrame, lists: Lists, choose, queries: DataFrame, on: str | None) -> DataFrame:
     """``query_id, rows_met, rows_total``: the rows of the lists that ``choose`` names for a query, and of all."""
     shape = T.StructType([known.schema["query_id"], known.schema["_group"], *_MET])
-    sizes, centroids, total = lists.sizes, lists.centroids, int(lists.sizes.sum())
+    sizes, total = lists.sizes, int(lists.sizes.sum())
+    step = max(1, min(256, BLOCK_CELLS // max(1, len(sizes))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 met = np.zeros(batch.num_rows, np.int64)
                 if choose is not None:
-                    met = choose(batch, arrow_matrix(batch.column("embedding")) @ centroids.T) @ sizes
+                    bound = batch.column("bound").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                    met = choose(bound, arrow_matrix(batch.column("embedding")), np.arange(len(sizes))) @ sizes
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("query_id"), batch.column("_group"), pa.array(met.astype(np.int64)), pa.array(np.full(len(met), total))],
                     ["query_id", "_group", "rows_met", "rows_total"],

@@ -6,7 +6,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import metadata_text
-from seqlake.operators import retrieval, vector_index
+from seqlake.operators import blocks, retrieval, vector_index
 from seqlake.operators.embedding import count_terms, embed, embed_with, term_weights
 from seqlake.operators.nearest import top_k
 from seqlake.operators.retrieval import ROUTES, Merged
@@ -418,3 +418,56 @@ def test_chunks_cover_the_whole_text(spark):
 def test_metadata_text(spark):
     df = spark.sql("SELECT map('a', '1', 'b', CAST(NULL AS STRING)) AS m")
     assert df.select(metadata_text(F.col("m")).alias("t")).first()["t"] == "{'a': '1', 'b': None}"
+
+
+def test_nearest_holds_k_hits_and_few_distances_at_a_time(monkeypatch):
+    """Many short lists, as an index has: what is held does not grow with the rows that are met."""
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 4_000)
+    data, queries = vectors(3_000, seed=8), blocks.unit(vectors(200, seed=9).astype(np.float64))
+    data[100:400] = data[0]
+    found = blocks.Nearest(200, 3)
+    widest = []
+    smallest = blocks._smallest
+    monkeypatch.setattr(blocks, "_smallest", lambda distance, k: widest.append(distance.size) or smallest(distance, k))
+    for ids in np.array_split(np.random.default_rng(1).permutation(3_000), 500):
+        found.meet(queries, np.arange(200), ids, blocks.unit(data[ids].astype(np.float64)))
+        assert found.ids.size == found.distance.size == 600
+    q, ids, distance = found.hits()
+    assert list(zip(q, ids, distance)) == [(q, i, d) for q, _, i, d in brute(data, queries, 3)]
+    whole = blocks.Nearest(200, 3)
+    whole.meet(queries, np.arange(200), np.arange(3_000), blocks.unit(data.astype(np.float64)))
+    assert [x.tolist() for x in whole.hits()] == [q.tolist(), ids.tolist(), distance.tolist()] and max(widest) <= 4_000
+
+
+def test_nearest_takes_text_ids_and_a_limit():
+    data = blocks.unit(vectors(40, seed=3).astype(np.float64))
+    names = np.array([f"v{n:02d}" for n in range(40)], object)
+    want = [(q, names[i], d) for q, _, i, d in brute(data, data[:5], 40) if d <= 0.5]
+    found = blocks.Nearest(5, 40, np.full(5, 0.5))
+    for part in np.array_split(np.arange(40), 6):
+        found.meet(data[:5], np.arange(5), names[part], data[part])
+    assert list(zip(*found.hits())) == want
+
+
+def test_queries_are_copied_to_cells_not_to_tiles(spark, monkeypatch):
+    """Without structure every query meets every row; its copies must not grow with the number of tiles."""
+    copies = []
+    probes = vector_index._probes
+    monkeypatch.setattr(vector_index, "_probes", lambda *args: copies.append(probes(*args)) or copies[-1])
+    data = vectors(1_600, dim=32, seed=2)
+    found = top_k(corpus_frame(spark, data), query_frame(spark, data[:20]), 3, query_bytes=0, tile_rows=4)
+    assert hits(found) == brute(data, data[:20], 3)
+    assert max(probe.count() for probe in copies) <= 20 * 2 * vector_index.CELLS
+
+
+def test_pruned_search_reads_its_corpus_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        read.add(1)
+        return n
+
+    data = clustered(200)
+    corpus = corpus_frame(spark, data).withColumn("id", F.udf(counted, "bigint")("id"))
+    found, met = top_k_pruned(corpus, query_frame(spark, data[:5]), 3, tile_rows=10)
+    assert hits(found) == brute(data, data[:5], 3) and met.count() == 5 and read.value == 200
