@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.functions.arrays import explode_with_place
-from seqlake.operators.silver import latest_per_key
+from seqlake.operators.silver import latest_of_wide_rows
 from seqlake.spec import INITIAL_SFEN
 
 
@@ -60,5 +60,5 @@ def explode_record(df: DataFrame, key: str, body: str) -> DataFrame:
 def build_feed_positions(raw: DataFrame) -> DataFrame:
     """``floodgate_positions``: the newest version of each game, move by move."""
     return explode_record(
-        latest_per_key(raw, "game_id", "fetched_at", ["csa"]), "game_id", "csa"
+        latest_of_wide_rows(raw, "game_id", "fetched_at", ["csa"]), "game_id", "csa"
     )

@@ -7,18 +7,25 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 # Versions of a published table that are kept beside the current one.
 KEEP_VERSIONS = 10
+# Tables hold texts, often the same one in several columns, which Spark's own choice for a format packs loosely.
+COMPRESSION = {"parquet": "zstd", "orc": "zstd"}
 _FOLDER = "version-"
 _VERSION_MARK = "__v"
 _NOTE = "note."
 
 
+def _writer(df: DataFrame, format: str) -> DataFrameWriter:
+    writer = df.write.format(format)
+    return writer.option("compression", COMPRESSION[format]) if format in COMPRESSION else writer
+
+
 def append_rows(df: DataFrame, table: str, path: str | None = None, format: str = "parquet") -> None:
-    writer = df.write.format(format).mode("append")
+    writer = _writer(df, format).mode("append")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -144,7 +151,7 @@ def publish(
         _switch(spark, table, 0)
     number = max(_numbers(spark, table), default=0) + 1
     place = f"{path or _home(spark, table)}/{_FOLDER}{number:06d}-{uuid.uuid4().hex}"
-    df.write.format(format).save(place)
+    _writer(df, format).save(place)
     _register(df, version_table(table, number), place, format, notes() if notes else {})
     _switch(spark, table, number)
     _drop(spark, table, [n for n in _numbers(spark, table) if n < number][:-keep] if keep else [])

@@ -5,7 +5,7 @@ from seqlake.functions.moves import with_japanese
 from seqlake.operators.engine_log import parse_engine_log
 from seqlake.operators.feed import build_feed_positions, explode_record
 from seqlake.operators.kif import parse_kif
-from seqlake.operators import replay
+from seqlake.operators import replay, silver
 from seqlake.operators.replay import RunningTotal, fold_per_key, fold_with_states, unordered_rows
 from seqlake.operators.silver import attach_analysis, build_knowledge, dedupe, latest_per_key
 from seqlake.spec import ARTICLE_RAW_SCHEMA, FEED_POSITIONS_SCHEMA, FEED_RAW_SCHEMA, INITIAL_SFEN, SequenceSpec
@@ -201,3 +201,20 @@ def test_move_in_japanese(spark, move, state, text):
 def test_engine_log(spark, lines, expected):
     df = spark.createDataFrame([("g", n, line) for n, line in enumerate(lines)], "k string, n int, line string")
     assert tuple(parse_engine_log(df, "k", "n", "line").first())[1:] == expected
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_only_rows_that_share_their_key_are_shuffled(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(silver, "REPEATED_KEYS", most)
+    rows = [(f"k{n}" if n else None, n % 4, f"v{n}", "s") for n in range(50)]
+    rows += [("k7", 3, "newer", "s"), ("k7", 3, "newest", "s"), ("k8", 0, "z", "s"), (None, 9, "none", "s"), ("k9", 1, "v9", "s")]
+    spark.createDataFrame(rows, "strategy string, fetched_at int, raw_content string, source string").write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    found = silver.latest_of_wide_rows(raw, "strategy", "fetched_at", ["raw_content"])
+    want = latest_per_key(raw, "strategy", "fetched_at", ["raw_content"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 50
+    plan = build_knowledge(raw)._jdf.queryExecution().optimizedPlan().toString()
+    if most:
+        # The window has the rows of a semi join beneath it, the others pass beside it.
+        above, beneath = plan.split("Window", 1)
+        assert "LeftAnti" in above and "LeftSemi" in beneath

@@ -9,7 +9,7 @@ from seqlake.sources.records import decode_text, read_text_records
 from seqlake.sources import record_files, tables
 from seqlake.sources.record_files import read_records, write_records
 from seqlake.sources.tables import (
-    append_bronze, current_version, drop_old_versions, publish, read_version, roll_back, version_table, versions,
+    append_bronze, append_rows, current_version, drop_old_versions, publish, read_version, roll_back, version_table, versions,
 )
 from seqlake.sources.web import day_urls, first_extract, listing_links
 from seqlake.spec import POSITIONS_SCHEMA
@@ -274,3 +274,15 @@ def test_streaming_reads_each_landing_file_once(spark, tmp_path):
     stored = spark.read.parquet(where[1])
     assert stored.groupBy("game_id").count().orderBy("game_id").collect() == [("G1", 1), ("G2", 2)]
     assert stored.filter(F.col("ingested_at").isNull()).count() == 0
+
+
+def test_tables_are_packed_tightly(spark, tmp_path, table):
+    rows = spark.range(1_000).select("id", F.concat(F.lit("some words of number "), "id").alias("text"))
+    publish(rows, table, f"{tmp_path}/published")
+    for _ in range(2):
+        append_rows(rows, f"{table}_more", f"{tmp_path}/appended")
+    found = [str(path) for path in tmp_path.rglob("*.parquet")]
+    assert len(found) >= 3 and all(path.endswith(".zstd.parquet") for path in found)
+    assert spark.read.table(table).exceptAll(rows).isEmpty() and spark.read.table(f"{table}_more").count() == 2_000
+    publish(rows, table, f"{tmp_path}/published", format="json")
+    assert spark.read.table(table).count() == 1_000
