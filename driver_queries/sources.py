@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,7 @@ from seqlake.plans import audits, flows
 from seqlake.session import scratch_path
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.record_files import read_records, write_records
-from seqlake.sources.records import decode_text
+from seqlake.sources.records import decode_text, in_slices
 from seqlake.sources.tables import append_bronze, publish, read_version, roll_back
 from seqlake.sources.web import day_urls, first_extract, listing_links
 from seqlake.spec import EXPECTATIONS, Layers
@@ -121,9 +122,10 @@ def s7(spark, folder):
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def _cp932(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: None if value is None else value.encode("cp932", errors="replace"))
+@F.arrow_udf(T.BinaryType())
+def _cp932(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for text in texts:
+        yield from in_slices(lambda value: value.encode("cp932", errors="replace"), text, pa.binary())
 
 
 def s8(spark, folder):

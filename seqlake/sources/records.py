@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _decode_cp932(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else raw.decode("cp932", errors="replace"))
+# Bytes of a batch that become Python values at a time.
+SLICE_BYTES = 1 << 20
+
+
+def in_slices(function: Callable[[Any], Any], column: pa.Array, kind: pa.DataType) -> Iterator[pa.Array]:
+    """The function of every value that is not null, of a few rows at a time: a batch is never held in Python as a whole."""
+    step = max(1, len(column) * SLICE_BYTES // max(1, column.nbytes))
+    for start in range(0, len(column), step):
+        yield pa.array([None if value is None else function(value) for value in column.slice(start, step).to_pylist()], kind)
+
+
+@F.arrow_udf(T.StringType())
+def _decode_cp932(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for content in contents:
+        yield from in_slices(lambda raw: raw.decode("cp932", errors="replace"), content, pa.string())
 
 
 def decode_text(content: Column | str) -> Column:

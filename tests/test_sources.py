@@ -1,12 +1,14 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from seqlake.sources.csv_files import parse_csv_lines, read_sequences_csv, write_sequences_csv
 from seqlake.sources.records import decode_text, read_text_records
-from seqlake.sources import record_files, tables
+from seqlake.sources import record_files, records, tables
 from seqlake.sources.record_files import read_records, write_records
 from seqlake.sources.tables import (
     append_bronze, append_rows, current_version, drop_old_versions, publish, read_version, roll_back, version_table, versions,
@@ -286,3 +288,18 @@ def test_tables_are_packed_tightly(spark, tmp_path, table):
     assert spark.read.table(table).exceptAll(rows).isEmpty() and spark.read.table(f"{table}_more").count() == 2_000
     publish(rows, table, f"{tmp_path}/published", format="json")
     assert spark.read.table(table).count() == 1_000
+
+
+def test_a_batch_becomes_python_values_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(records, "SLICE_BYTES", 2_000)
+    held = []
+    column = pa.array([None, b"", *[b"x" * 100] * 500], pa.binary())
+    parts = [*records.in_slices(lambda raw: held.append(len(raw)) or raw.decode(), column, pa.string())]
+    assert pa.concat_arrays(parts).to_pylist() == [None, "", *["x" * 100] * 500] and max(len(part) for part in parts) <= 25
+    assert [*records.in_slices(bytes.decode, column.slice(0, 0), pa.string())] == []
+    texts = [None, "", *["将棋" * n for n in range(1, 300)]]
+    rows = spark.createDataFrame([(i, None if t is None else bytearray(t.encode("cp932"))) for i, t in enumerate(texts)], "i int, raw binary")
+    found = rows.repartition(2).select("i", decode_text("raw").alias("text"))
+    assert [r["text"] for r in found.orderBy("i").collect()] == texts
+    # Not a batch as a series, but an iterator over its slices.
+    assert records._decode_cp932.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
