@@ -25,6 +25,7 @@ BLOCK_CELLS = 1 << 20
 BLOCK_ROWS = 2_048
 # Distances are rounded to 6 decimals.
 _ROUNDING = 1e-6
+_SINGLE = float(np.finfo(np.float32).eps)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -62,7 +63,7 @@ class Nearest:
 
     Holds n x k hits, however many rows are met, and BLOCK_CELLS distances at a time. ``limit`` gives for each query
     a distance beyond which no row is wanted. Once a query has k hits, its k-th is such a limit, so that most blocks
-    cost a product and a comparison.
+    cost a product and a comparison in single precision; what may be a hit by that is worked out in double precision.
     """
 
     def __init__(self, n: int, k: int, limit: np.ndarray | None = None):
@@ -79,19 +80,35 @@ class Nearest:
             self.ids = np.zeros(self.distance.shape, ids.dtype)
         by_id = np.argsort(ids, kind="stable")
         ids, vectors = ids[by_id], vectors[by_id]
-        width = min(len(ids), BLOCK_ROWS)
+        width, dim = min(len(ids), BLOCK_ROWS), vectors.shape[1]
+        # What single precision may be off by, twice over.
+        margin = _ROUNDING + (dim + 4) * _SINGLE
         for left in range(0, len(ids), width):
-            block = vectors[left:left + width].T
-            step = max(1, BLOCK_CELLS // block.shape[1])
+            block = vectors[left:left + width]
+            quick = block.T.astype(np.float32)
+            step = max(1, BLOCK_CELLS // len(block))
             for start in range(0, len(places), step):
                 here = places[start:start + step]
-                cosine = queries[here] @ block
-                near = cosine >= (1 - self.limit[here] - _ROUNDING)[:, None]
-                if np.count_nonzero(near) > 4 * self.k * len(here):
-                    near &= _smallest(np.round(1 - cosine, 6) + 0.0, self.k)
-                q, c = np.nonzero(near)
+                asked, limit = queries[here], self.limit[here]
+                found = np.flatnonzero(asked.astype(np.float32) @ quick >= (1 - limit - margin).astype(np.float32)[:, None])
+                if not len(found):
+                    continue
+                if len(found) * dim <= BLOCK_CELLS:
+                    q, c = np.divmod(found, len(block))
+                    cosine = np.einsum("ij,ij->i", asked[q], block[c])
+                else:
+                    q, c, cosine = self._many(asked, block, limit)
                 if len(q):
-                    self._merge(here[q], ids[left + c], np.round(1 - cosine[q, c], 6) + 0.0)
+                    self._merge(here[q], ids[left + c], np.round(1 - cosine, 6) + 0.0)
+
+    def _many(self, asked: np.ndarray, block: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and cosine of every pair that may be a hit."""
+        cosine = asked @ block.T
+        near = cosine >= (1 - limit - _ROUNDING)[:, None]
+        if np.count_nonzero(near) > 4 * self.k * len(asked):
+            near &= _smallest(np.round(1 - cosine, 6) + 0.0, self.k)
+        q, c = np.nonzero(near)
+        return q, c, cosine[q, c]
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         some = distance <= self.limit[q]

@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -471,3 +472,21 @@ def test_pruned_search_reads_its_corpus_once(spark):
     corpus = corpus_frame(spark, data).withColumn("id", F.udf(counted, "bigint")("id"))
     found, met = top_k_pruned(corpus, query_frame(spark, data[:5]), 3, tile_rows=10)
     assert hits(found) == brute(data, data[:5], 3) and met.count() == 5 and read.value == 200
+
+
+def test_nearest_looks_at_most_rows_in_single_precision():
+    """The pairs of vectors without structure: a block of them costs half the memory, and its hits stay exact."""
+    data, queries = (blocks.unit(vectors(2_048, dim=64, seed=seed).astype(np.float64)) for seed in (11, 12))
+    queries, close = queries[:512], data[:40] + 1e-7 * vectors(40, dim=64, seed=13)
+    data[1_000:1_040] = blocks.unit(close)
+    found = blocks.Nearest(512, 5)
+    found.meet(queries, np.arange(512), np.arange(2_048), data)
+    tracemalloc.start()
+    found.meet(queries, np.arange(512), np.arange(2_048, 4_096), data)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A million distances of 4 bytes, and which of them are near.
+    assert held < 8 * 512 * 2_048
+    q, ids, distance = found.hits()
+    both = np.concatenate([data, data])
+    assert list(zip(q, ids, distance)) == [(q, i, d) for q, _, i, d in brute(both, queries, 5)]
