@@ -170,14 +170,17 @@ def audit_sequence(
 ) -> DataFrame:
     """``check, bad_rows``: ``audit_columns``, duplicate keys, gaps, chain breaks and inconsistent keys in one pass.
 
-    Counts as the operators of those names do; rows are shuffled once where the keys fit a bucket.
+    Counts as the operators of those names do; rows are shuffled once where the keys fit a bucket, and take along what
+    ``rules`` say of them instead of the columns these read.
     """
     order = F.col(spec.order)
     spec = measured(df, spec)
-    rows = with_history(df, spec, {"_state_before": spec.state} if chain else {}, "_number", keep_bucket=True)
+    taken = dict.fromkeys([spec.key, spec.order, *constant, *([spec.state, spec.prev_state] if chain else [])])
+    said = df.select(*taken, *[condition.alias(f"_rule_{i}") for i, (_, _, condition) in enumerate(rules)])
+    rows = with_history(said, spec, {"_state_before": spec.state} if chain else {}, "_number", keep_bucket=True)
     place = [spec.key, *([BUCKET] if BUCKET in rows.columns else []), spec.order]
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*place).orderBy(spec.order)))
-    checks = [(f"{column} {rule}", condition) for column, rule, condition in rules]
+    checks = [(f"{column} {rule}", F.col(f"_rule_{i}")) for i, (column, rule, _) in enumerate(rules)]
     checks += [("duplicate keys", F.col("_copy") == 2), ("sequence gaps", order != F.col("_number") - 1)]
     if chain:
         expected = F.when(order == 0, F.col(spec.state)).otherwise(F.col("_state_before"))

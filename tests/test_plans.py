@@ -102,6 +102,22 @@ def test_a_sequence_is_audited_in_one_pass(spark):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_an_audit_shuffles_what_its_rules_say_not_the_columns_they_read(spark):
+    rows = spark.createDataFrame(
+        [("g", 0, "b", "long text", "x"), ("g", 1, "b", None, "black"), ("g", 1, "c", "", "white")],
+        "game_id string, move_number int, black_player string, move_usi string, player string",
+    )
+    rules = [quality.is_null("move_usi"), quality.is_empty("move_usi"), quality.not_in("player", ("black", "white"))]
+    for spec in (SequenceSpec(max_order=99), SequenceSpec(max_order=99, bucket_rows=1)):
+        found = quality.audit_sequence(rows, spec, rules, ["black_player"])
+        assert {r["check"]: r["bad_rows"] for r in found.collect()} == {
+            "move_usi null": 1, "move_usi empty": 1, "player not_in": 1, "duplicate keys": 1, "sequence gaps": 1, "inconsistent keys": 1,
+        }
+    plan = physical(quality.audit_sequence(rows, SequenceSpec(max_order=99), rules, ["black_player"]))
+    after, before = plan.split("Exchange hashpartitioning")
+    assert "move_usi#" in before and "move_usi#" not in after
+
+
 def test_no_cross_joins(spark):
     import __spark_entry__ as entry
 
