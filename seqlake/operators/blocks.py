@@ -33,14 +33,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1, norms)
 
 
-def matrix(vectors) -> np.ndarray:
-    return unit(np.stack([np.asarray(v, np.float64) for v in vectors]))
-
-
 def arrow_matrix(column: pa.Array) -> np.ndarray:
     return unit(column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1))
 
 
+def raw_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as they came, a row for each: no wider than the column, and none of them a Python object."""
+    return np.concatenate([part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) for part in column.chunks if len(part)])
+
+
+def unit_rows(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``unit`` of some rows, a block of them at a time."""
+    out = np.empty((len(rows), raw.shape[1]))
+    for start in range(0, len(rows), BLOCK_ROWS):
+        out[start:start + BLOCK_ROWS] = unit(raw[rows[start:start + BLOCK_ROWS]].astype(np.float64))
+    return out
+
+
 def _smallest(distance: np.ndarray, k: int) -> np.ndarray:
     """Mask of the k smallest values per row; among equal ones the leftmost."""
     if distance.shape[1] <= k:

@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.operators.blocks import (
-    QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, matrix, named, numbered, ranked, vectors,
+    QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, named, numbered, ranked, raw_matrix, unit_rows, vectors,
 )
 from seqlake.operators.vector_index import top_k_pruned
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Every task streams its part of the corpus past all queries. For a checked number of them."""
-    rows = queries.toPandas()
+    rows = queries.toArrow()
     packed = corpus.sparkSession.sparkContext.broadcast(
-        (rows["query_id"].to_numpy(), rows["_group"].to_numpy(), matrix(rows["embedding"]))
+        (rows["query_id"].combine_chunks(), rows["_group"].to_numpy(), raw_matrix(rows["embedding"]))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_groups, asked = packed.value
+        query_ids, query_groups, raw = packed.value
+        asked = unit_rows(raw, np.arange(len(raw)))
         numbers, number_of = numbered(query_groups)
         places = [np.flatnonzero(numbers == number) for number in range(len(number_of))]
         nearest, id_type = Nearest(len(asked), k), None
@@ -37,7 +38,7 @@ def _scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q, ids, distance = nearest.hits()
         if len(q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[q]), pa.array(query_groups[q], pa.string()), pa.array(ids, id_type), pa.array(distance)],
+                [query_ids.take(pa.array(q)), pa.array(query_groups[q], pa.string()), pa.array(ids, id_type), pa.array(distance)],
                 ["query_id", "_group", "id", "distance"],
             )
 

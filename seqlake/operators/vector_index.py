@@ -12,7 +12,8 @@ are copied to the cells that hold a list they must meet, and stream past them. C
 ``TILE_ROWS`` rows, so their number, and with it the copies of a query, stays the same until then.
 
 Centroids come from at most ``SAMPLE_BYTES`` of different vectors, chosen by a hash of the id; all rows are
-assigned. Centroids, ``LIST_BYTES`` at most, are the only data of the corpus that pass through the driver.
+assigned. Centroids, ``LIST_BYTES`` at most, are the only data of the corpus that pass through the driver. Of the
+queries one set at a time does, as it came, to be sent to all tasks; ids, hits and rows met stay in the shared folder.
 A vector of length zero belongs to list -1, which every query meets.
 """
 
@@ -25,14 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.operators.blocks import (
-    BLOCK_CELLS, QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, named, numbered, ranked, unit, vectors,
+    BLOCK_CELLS, BLOCK_ROWS, QUERY_BYTES, TILE_ROWS, TOP_K, Nearest, arrow_matrix, each_group, hit_schema, named, numbered, ranked, raw_matrix, unit,
+    unit_rows, vectors,
 )
-from seqlake.session import stored
+from seqlake.session import scratch_path, stored
 from seqlake.sources.tables import publish
 
 # Lists for each square root of the number of rows.
@@ -66,11 +69,10 @@ class VectorIndex:
 
     def table_of_lists(self) -> Lists:
         """A row for each list, of bounded size."""
-        found = self.lists.filter("list >= 0").orderBy("list").toPandas()
-        if found.empty:
+        found = self.lists.filter("list >= 0").orderBy("list").toArrow()
+        if not len(found):
             return Lists(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int))
-        centroids = np.stack([np.asarray(c, np.float64) for c in found["centroid"]])
-        return Lists(centroids, *(found[name].to_numpy() for name in ("list", "n", "radius", "parts")))
+        return Lists(raw_matrix(found["centroid"]), *(found[name].to_numpy() for name in ("list", "n", "radius", "parts")))
 
 
 @dataclass(frozen=True)
@@ -127,18 +129,19 @@ def train_centroids(rows: DataFrame, n_rows: int, dim: int, lists: int, rounds:
     sample = rows.filter(drawn & F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
     sample = stored(sample.dropDuplicates(["embedding"]), "sample")
     # The first ones, one for each list.
-    first = sample.orderBy(F.xxhash64("id"), "id").limit(lists).toPandas()
-    if first.empty:
+    first = sample.orderBy(F.xxhash64("id"), "id").limit(lists).select("embedding").toArrow()
+    if not len(first):
         return np.zeros((0, dim))
-    centroids = unit(np.stack([np.asarray(v, np.float64) for v in first["embedding"]]))
+    centroids = unit(raw_matrix(first["embedding"]).astype(np.float64))
     for _ in range(rounds):
         # The sample is bounded, so a list of it is, too.
         moved = _assigned(sample.select("embedding"), centroids).groupBy("list").applyInArrow(
             _mean, "list int, centroid array<double>"
-        ).collect()
-        for number, centre in moved:
-            if any(centre):
-                centroids[number] = centre
+        ).toArrow()
+        if len(moved):
+            centres = raw_matrix(moved["centroid"])
+            some = centres.any(axis=1)
+            centroids[moved["list"].to_numpy()[some]] = centres[some]
     return centroids
 
 
@@ -163,7 +166,11 @@ def build_index(
     placed = stored(_assigned(rows, centroids if len(centroids) else np.zeros((1, dim))), "index_rows")
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
     centres = rows.sparkSession.createDataFrame(
-        [(number, centre.tolist()) for number, centre in enumerate(centroids)], "list int, centroid array<double>"
+        pa.table({
+            "list": pa.array(np.arange(len(centroids), dtype=np.int32)),
+            "centroid": pa.ListArray.from_arrays(np.arange(len(centroids) + 1, dtype=np.int32) * dim, centroids.ravel()),
+        }),
+        "list int, centroid array<double>",
     )
     parts = F.ceil(F.col("n") / tile_rows).cast("int").alias("parts")
     table = stored(sizes.join(F.broadcast(centres), "list", "left").select("list", "centroid", "n", "radius", parts), "index_lists")
@@ -189,16 +196,19 @@ def open_index(spark: SparkSession, table: str) -> VectorIndex:
     return VectorIndex(spark.read.table(f"{table}_rows"), spark.read.table(f"{table}_lists"))
 
 
-def _with_bounds(queries: DataFrame, lists: Lists, step: float) -> DataFrame:
+def _with_bounds(queries: DataFrame, lists: Lists, packed_lists: Broadcast, step: float) -> DataFrame:
     """``nearer``: the least cosine of a list that the query meets by each round; ``met``: the rows it has met by then."""
-    centroids, sizes = lists.centroids, lists.sizes
-    count = len(centroids)
+    count = len(lists.numbers)
+    if not count:
+        # One round, for the vectors of length zero.
+        return queries.withColumns({"nearer": F.array(F.lit(-2.0)), "met": F.array(F.lit(0).cast("long"))})
     ends = sorted({min(count, max(1, math.ceil(count * step * turn))) for turn in range(1, math.ceil(1 / step) + 1)})
     shape = T.StructType([
         *queries.schema.fields, T.StructField("nearer", T.ArrayType(T.DoubleType())), T.StructField("met", T.ArrayType(T.LongType()))
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, sizes, _ = packed_lists.value
         for whole in batches:
             block = max(1, (16 << 20) // (8 * count + 1))
             for start in range(0, whole.num_rows, block):
@@ -218,25 +228,24 @@ def _with_bounds(queries: DataFrame, lists: Lists, step: float) -> DataFrame:
 
 
 def _probe(
-    rows: DataFrame, lists: Lists, asked, nearer: np.ndarray, before: np.ndarray, kth: np.ndarray, first: bool, k: int
+    rows: DataFrame, lists: Lists, packed_lists: Broadcast, asked, packed_asked: Broadcast, now, packed_now: Broadcast, k: int
 ) -> DataFrame:
     """``q, id, distance``, up to ``kth``, among the lists whose cosine lies from ``nearer`` up to, but below, ``before``.
 
-    A task holds k hits of each query, however many rows it meets.
+    ``asked`` is a set of queries: names, groups by number, what these numbers are, and vectors as they came. ``now`` says
+    of a round which of them still go on, and up to where. A task holds k hits of each, however many rows it meets.
     """
-    places, groups, matrix = asked
-    place_of = np.full(int(lists.numbers.max(initial=0)) + 1, -1)
-    place_of[lists.numbers] = np.arange(len(lists.numbers))
-    packed = rows.sparkSession.sparkContext.broadcast((places, groups, matrix, nearer, before, kth, lists.centroids, place_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, groups, matrix, nearer, before, kth, centroids, place_of = packed.value
-        numbers, number_of = numbered(groups)
-        nearest, id_type = Nearest(len(places), k, kth), pa.int64()
-        step = max(1, BLOCK_CELLS // len(places))
+        centroids, _, place_of = packed_lists.value
+        (names, groups, number_of, raw), (going, nearer, before, kth, first) = packed_asked.value, packed_now.value
+        numbers = groups[going]
+        nearest, id_type, matrix = Nearest(len(going), k, kth), pa.int64(), None
+        step = max(1, BLOCK_CELLS // len(going))
         for batch in batches:
             if not batch.num_rows:
                 continue
+            matrix = unit_rows(raw, going) if matrix is None else matrix
             id_type = batch.schema.field("id").type
             number = batch.column("list").to_numpy()
             group = batch.column("_group").to_numpy(zero_copy_only=False)
@@ -258,12 +267,15 @@ def _probe(
         q, ids, distance = nearest.hits()
         if len(q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(places[q], pa.int64()), pa.array(ids, id_type), pa.array(distance)], ["q", "id", "distance"]
+                [pa.array(names[going[q]]), pa.array(ids, id_type), pa.array(distance)], ["q", "id", "distance"]
             )
 
+    going, nearer, *_ = now
     # The lists of the last few queries are worth naming to the scan.
-    few = 0 < len(places) * len(lists.numbers) <= 1 << 22
-    wanted = lists.numbers[(lists.centroids @ matrix.T >= nearer).any(axis=1)] if few else lists.numbers
+    few, wanted = 0 < len(going) * len(lists.numbers) <= 1 << 22, lists.numbers
+    if few:
+        blocks = np.array_split(np.arange(len(going)), -(-len(going) // BLOCK_ROWS))
+        wanted = wanted[sum((lists.centroids @ unit_rows(asked[3], going[some]).T >= nearer[some]).any(axis=1) for some in blocks) > 0]
     if len(wanted) <= min(FILTER_LISTS, len(lists.numbers) - 1):
         rows = rows.filter(F.col("list").isin([int(n) for n in wanted]) | (F.col("list") < 0))
     shape = T.StructType([T.StructField("q", T.LongType()), rows.schema["id"], T.StructField("distance", T.DoubleType())])
@@ -289,7 +301,7 @@ def search_index(
 
     A round meets ``step`` of the lists, nearest first. ``complete`` tells that a query has met all lists, so that
     its hits are exact. A query is done when its k-th distance stayed the same for ``patience`` rounds. Queries are
-    taken in sets of ``query_bytes``; a set's hits lie in the shared folder between the rounds.
+    taken in sets of ``query_bytes``, one after the other through the driver; hits lie in the shared folder between the rounds.
     """
     spark = queries.sparkSession
     lists = index.table_of_lists()
@@ -298,53 +310,62 @@ def search_index(
     per_set = max(1, min(query_bytes // (8 * (size["dim"] or 1)), HIT_ROWS // k))
     sets = max(1, math.ceil(size["n"] / per_set))
     zeros = index.lists.filter("list < 0").agg(F.sum("n")).first()[0] or 0
-    number = F.pmod(F.xxhash64("query_id"), F.lit(sets))
-    asked = stored(_with_bounds(right, lists, step), "asked") if len(lists.sizes) else None
-    id_type, group_type = right.schema["query_id"], right.schema["_group"]
-    hit_shape = T.StructType([id_type, group_type, T.StructField("rank", T.IntegerType()), index.rows.schema["id"], T.StructField("distance", T.DoubleType())])
-    met_shape = T.StructType([id_type, group_type, *_MET, T.StructField("complete", T.BooleanType())])
-    hits, met = spark.createDataFrame([], hit_shape), spark.createDataFrame([], met_shape)
-    for turn in range(sets if size["n"] else 0):
-        if asked is None:
-            mine = right.filter(number == turn).toPandas()
-            rounds, nearer, counts = 1, np.full((len(mine), 1), -2.0), np.zeros((len(mine), 1), np.int64)
-        else:
-            mine = asked.filter(number == turn).toPandas()
-            if mine.empty:
-                continue
-            nearer, counts = np.stack(mine["nearer"]), np.stack(mine["met"])
-            # The last round takes whatever is left.
-            rounds, nearer[:, -1] = nearer.shape[1], -2.0
-        matrix = unit(np.stack([np.asarray(v, np.float64) for v in mine["embedding"]]))
-        groups = mine["_group"].to_numpy()
-        before, kth = np.full(len(mine), np.inf), np.full(len(mine), np.inf)
-        same, last = np.zeros(len(mine), int), np.zeros(len(mine), int)
+    group = [F.col("_group").cast(queries.schema[on].dataType).alias(on)] if on else []
+    name, rank = T.StructField("q", T.LongType()), T.StructField("rank", T.IntegerType())
+    hit_shape = T.StructType([name, rank, index.rows.schema["id"], T.StructField("distance", T.DoubleType())])
+    last_shape = T.StructType([name, T.StructField("last", T.IntegerType())])
+    if not size["n"]:
+        names = [right.schema["query_id"], right.schema["_group"]]
+        hits = spark.createDataFrame([], T.StructType([*names, *hit_shape.fields[1:]]))
+        met = spark.createDataFrame([], T.StructType([*names, *_MET, T.StructField("complete", T.BooleanType())]))
+        return named(hits, queries, on), met.select("query_id", *group, "rows_met", "rows_total", "complete")
+    share = spark.sparkContext.broadcast
+    place_of = np.full(int(lists.numbers.max(initial=0)) + 1, -1)
+    place_of[lists.numbers] = np.arange(len(lists.numbers))
+    packed_lists = share((lists.centroids, lists.sizes, place_of))
+    # Ids may repeat, and so might all rows of a set; a name of its own is what a query is known by until the end.
+    asked = stored(_with_bounds(right.withColumn("q", F.monotonically_increasing_id()), lists, packed_lists, step), "asked")
+    hits_path, last_path = scratch_path(spark, "hits"), scratch_path(spark, "last_rounds")
+    for turn in range(sets):
+        mine = asked.filter(F.pmod(F.xxhash64("q"), F.lit(sets)) == turn).select("q", "_group", "embedding", "nearer").toArrow()
+        if not len(mine):
+            continue
+        names, nearer = mine["q"].to_numpy(), raw_matrix(mine["nearer"])
+        whole = (names, *numbered(mine["_group"].to_numpy()), raw_matrix(mine["embedding"]))
+        del mine
+        packed_asked = share(whole)
+        # The last round takes whatever is left.
+        rounds, nearer[:, -1] = nearer.shape[1], -2.0
+        by_name = np.argsort(names)
+        before, kth = np.full(len(names), np.inf), np.full(len(names), np.inf)
+        same, last = np.zeros(len(names), int), np.zeros(len(names), np.int32)
         found = None
         for at in range(rounds):
             going = np.flatnonzero(same < patience)
             if not len(going):
                 break
-            fresh = _probe(
-                index.rows, lists, (going, groups[going], matrix[going]), nearer[going, at], before[going], kth[going], at == 0, k
-            )
+            now = (going, nearer[going, at], before[going], kth[going], at == 0)
+            packed_now = share(now)
+            fresh = _probe(index.rows, lists, packed_lists, whole, packed_asked, now, packed_now, k)
             both = fresh if found is None else fresh.unionByName(found.drop("rank"))
             found = stored(_k_best(both, k), "found")
-            now = kth.copy()
-            for q, distance in found.filter(F.col("rank") == k).select("q", "distance").toPandas().itertuples(index=False):
-                now[q] = distance
-            unchanged = np.isfinite(now) & (now == kth)
+            packed_now.destroy()
+            ends = found.filter(F.col("rank") == k).select("q", "distance").toArrow()
+            new = kth.copy()
+            new[by_name[np.searchsorted(names, ends["q"].to_numpy(), sorter=by_name)]] = ends["distance"].to_numpy()
+            unchanged = np.isfinite(new) & (new == kth)
             same[going] = np.where(unchanged[going], same[going] + 1, 0)
-            kth, last[going], before[going] = now, at, nearer[going, at]
-        names = pd.DataFrame({"q": np.arange(len(mine)), "query_id": mine["query_id"], "_group": mine["_group"]})
-        named_q = spark.createDataFrame(names, T.StructType([T.StructField("q", T.LongType()), id_type, group_type]))
-        # A row for each query of the set.
-        hits = hits.unionByName(found.join(F.broadcast(named_q), "q").select(*hit_shape.names))
-        seen = pd.DataFrame({
-            "query_id": mine["query_id"], "_group": mine["_group"], "rows_met": counts[np.arange(len(mine)), last] + zeros,
-            "rows_total": int(lists.sizes.sum()) + zeros, "complete": last == rounds - 1,
-        })
-        met = met.unionByName(spark.createDataFrame(seen, met_shape))
-    group = [F.col("_group").cast(queries.schema[on].dataType).alias(on)] if on else []
+            kth, last[going], before[going] = new, at, nearer[going, at]
+        packed_asked.destroy()
+        found.select(hit_shape.names).write.parquet(hits_path, "append", compression="zstd")
+        spark.createDataFrame(pa.table({"q": names, "last": last}), last_shape).write.parquet(last_path, "append", compression="zstd")
+    packed_lists.destroy()
+    hits = spark.read.schema(hit_shape).parquet(hits_path).join(asked.select("q", "query_id", "_group"), "q")
+    met = asked.join(spark.read.schema(last_shape).parquet(last_path), "q").withColumns({
+        "rows_met": F.element_at("met", F.col("last") + 1) + F.lit(zeros),
+        "rows_total": F.lit(int(lists.sizes.sum()) + zeros).cast("long"),
+        "complete": F.col("last") == F.size("met") - 1,
+    })
     return named(hits, queries, on), met.select("query_id", *group, "rows_met", "rows_total", "complete")
 
 

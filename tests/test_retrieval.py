@@ -490,3 +490,50 @@ def test_nearest_looks_at_most_rows_in_single_precision():
     q, ids, distance = found.hits()
     both = np.concatenate([data, data])
     assert list(zip(q, ids, distance)) == [(q, i, d) for q, _, i, d in brute(both, queries, 5)]
+
+
+def test_index_search_leaves_no_rows_of_queries_on_the_driver(spark):
+    """Several sets: what is returned reads the shared folder, its plan is the same for any number of sets."""
+    data = clustered(120)
+    index, asked = build_index(corpus_frame(spark, data)), query_frame(spark, data)
+    nodes = []
+    for query_bytes in (1 << 20, 8 * data.shape[1] * 20):
+        found, met = search_index(index, asked, 3, step=1.0, query_bytes=query_bytes)
+        assert hits(found) == brute(data, data, 3) and met.filter("complete").count() == 120
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, met)]
+        assert not any(kind in plan for plan in plans for kind in ("LocalRelation", "LogicalRDD", "Union"))
+        nodes.append([len(plan.splitlines()) for plan in plans])
+    assert nodes[0] == nodes[1]
+
+
+def test_queries_of_one_name_are_taken_in_sets_too(spark, monkeypatch):
+    sets = []
+    probe = vector_index._probe
+    monkeypatch.setattr(vector_index, "_probe", lambda *args: sets.append(len(next(a for a in args if isinstance(a, tuple))[0])) or probe(*args))
+    data = vectors(60, seed=4)
+    asked = query_frame(spark, data).withColumn("query_id", F.lit(7).cast("bigint"))
+    found, met = search_index(build_index(corpus_frame(spark, data)), asked, 1, step=1.0, query_bytes=8 * data.shape[1] * 6)
+    assert sorted(r["id"] for r in found.collect()) == list(range(60)) and met.count() == 60
+    assert sum(sets) == 60 and max(sets) <= 20
+
+
+@pytest.mark.parametrize("way", ["index", "scan"])
+def test_a_set_of_queries_is_no_python_objects_on_the_driver(spark, way):
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    n, dim = 20_000, 64
+    data = vectors(40, dim=dim, seed=5)
+    shifted = F.transform("embedding", lambda x: (x + F.col("n") % 97 / 1_000).cast("float"))
+    asked = query_frame(spark, data).crossJoin(spark.range(n // 40).withColumnRenamed("id", "n"))
+    asked = asked.select((F.col("query_id") * n + F.col("n")).alias("query_id"), shifted.alias("embedding"))
+    corpus = corpus_frame(spark, data)
+    index = build_index(corpus) if way == "index" else None
+    tracemalloc.start()
+    try:
+        found = search_index(index, asked, 1, step=1.0)[0] if index else top_k(corpus, asked, 1)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert found.count() == n
+    # Twice the vectors as they come; as numbers in double precision they were four times that, as Python's thirty times.
+    assert held < 2 * 4 * n * dim + (4 << 20)
